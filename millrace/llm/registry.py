@@ -8,6 +8,7 @@ from importlib import import_module
 _QUERIES = {
     "op7_best_fit_packing": "packing",
     "op8_warc_segments": "warc",
+    "op9_quality_rules": "quality",
     "op10_bpe_roundtrip": "bpe_transducer",
 }
 
