@@ -46,21 +46,28 @@ class Words(dict):
 
         self.whole = Tokenizer.from_file(path)
 
+    def ids(self, text: str) -> bytes:
+        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        # Letters and the stop after them are always separate tokens, so the letters' entry serves both.
+        ids = self[word[:-1]] + self[word[-1]] if word[-1] in ",." and word[:-1].isalpha() else self.ids(word)
+        if len(word) <= 64:
+            if len(self) >= MAX_WORDS:
+                self.clear()
+            self[word] = ids
+        return ids
+
     def encode(self, text: str) -> bytes:
         # Special tokens' strings may span white space; separators below U+0020 are not white space to the tokenizer.
         if "<|" in text or any(x in text for x in "\x1c\x1d\x1e\x1f"):
-            return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        words = text.split()
+            return self.ids(text)
         try:
-            return b"".join([self[x] for x in words])
-        except KeyError:
+            text.encode("latin-1")  # among these characters lower case is the same in any library
+            text = text.lower()
+        except UnicodeEncodeError:
             pass
-        if len(self) > MAX_WORDS:
-            self.clear()
-        new = list({x for x in words if x not in self})
-        found = {x: np.asarray(e.ids, "<u4").tobytes() for x, e in zip(new, self.whole.encode_batch(new, add_special_tokens=False), strict=True)}
-        self |= {x: ids for x, ids in found.items() if len(x) <= 64}
-        return b"".join([self[x] if x in self else found[x] for x in words])
+        return b"".join(map(self.__getitem__, text.split()))
 
 
 _words: dict[str, Words] = {}
