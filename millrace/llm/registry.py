@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: Query name, module and function; SQL is the module's ORACLE_SQL where it has one.
 _QUERIES = {
+    "op3_language_id": "language",
     "op5_personal_data": "pii",
     "op7_best_fit_packing": "packing",
     "op8_warc_segments": "warc",
