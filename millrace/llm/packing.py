@@ -17,6 +17,7 @@ empty table gives an empty table.
 from __future__ import annotations
 
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -32,7 +33,7 @@ from millrace.plans.shared import materialize
 CAPACITY = 4096
 END_ID = 1
 #: Memory of one worker's word table; when it is full it is cleared, which changes speed alone.
-MAX_WORDS = 400_000
+MAX_WORDS = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
@@ -47,7 +48,7 @@ class Words(dict):
         self.whole = Tokenizer.from_file(path)
 
     def ids(self, text: str) -> bytes:
-        return np.asarray(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         # Letters and the stop after them are always separate tokens, so the letters' entry serves both.
