@@ -7,6 +7,7 @@ from importlib import import_module
 #: Query name, module and function; SQL is the module's ORACLE_SQL where it has one.
 _QUERIES = {
     "op1_ann_inner_product": "ann",
+    "op2_pitman_yor": "pitman_yor",
     "op3_language_id": "language",
     "op4_minhash_groups": "minhash",
     "op5_personal_data": "pii",
