@@ -11,6 +11,7 @@ _QUERIES = {
     "op3_language_id": "language",
     "op4_minhash_groups": "minhash",
     "op5_personal_data": "pii",
+    "op6_tool_calls": "tools",
     "op7_best_fit_packing": "packing",
     "op8_warc_segments": "warc",
     "op9_quality_rules": "quality",
