@@ -1 +1 @@
-"""Functions of the retrieval engine."""
+"""Column functions shared by operators and queries."""
