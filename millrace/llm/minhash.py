@@ -14,9 +14,9 @@ and then leaves the bucket, as all its pairs there are decided. Links are confir
 100 * intersection >= threshold * union. A group of copies joins into one component in the first
 rounds and is then done; a bucket of unlike texts is compared to the end, so no link between
 different texts that share a band is lost. Two texts at similarity 0.8 share no band with probability
-(1 - 0.8 ** ROWS) ** BANDS, under 2e-7. Before sets are fetched, signatures are compared: pairs with
-less agreement than LEAST_AGREE of the coordinates are dropped; at 0.8 that is six standard
-deviations off.
+(1 - 0.8 ** ROWS) ** BANDS, under 2e-7. Pairs are compared by parity sketches before full sets are
+fetched: sketches differ in at most as many bits as the sets have unshared shingles, so that step loses
+no link, and it settles most pairs that are near the threshold, without a row for each of them.
 
 Components spread by smallest labels with pointer jumping over distributed tables; links, labels and
 sets never come to the driver.
@@ -41,7 +41,10 @@ from millrace.plans.shared import materialize, remove
 
 ROWS, BANDS = 5, 40
 THRESHOLD = 80
-LEAST_AGREE = 0.63
+#: Bits of a parity sketch; members of a bucket that one task compares with its pivots; pairs at a time.
+PARITY_BITS = 4096
+CHUNK = 512
+PAIRS_AT_ONCE = 20_000
 #: Shingles whose coordinates are computed at a time; a document of any length takes bounded memory.
 BLOCK = 1 << 14
 
@@ -120,7 +123,7 @@ def set_hash(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def _signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set size, the set's name, one byte of each coordinate, and the bands' hashes, for all rows."""
+    """doc_id, set size, the set's name, its parity sketch, and the bands' hashes, for all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +136,7 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
                     keys = mix64(keys * np.uint64(0x9E3779B97F4A7C15) + row)
                 sizes.append(len(found))
                 names.append(set_hash(found))
-                sketches.append(sig.astype(np.uint8).tobytes())
+                sketches.append(parity(found))
                 bands.append(keys.view(np.int64))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(bands) + 1, BANDS), pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
             first, second = (pa.array([x[i] for x in names], pa.int64()) for i in (0, 1))
@@ -143,20 +146,61 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_shingles long, class long, class2 long, sketch binary, bands array<long>")
 
 
-def _agree(pairs: DataFrame, threshold: int) -> DataFrame:
-    """Pairs whose sizes and signatures leave the threshold possible."""
+def parity(hashes: np.ndarray) -> bytes:
+    """A bit for each of PARITY_BITS places: whether an odd number of shingles falls there.
+
+    Bits that differ between two sets are at most as many as shingles that only one of them has.
+    """
+    places = (mix64(hashes ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(PARITY_BITS)).astype(np.int64)
+    return np.packbits((np.bincount(places, minlength=PARITY_BITS) & 1).astype(np.uint8)).tobytes()
+
+
+def _compare(rows: DataFrame, threshold: int) -> DataFrame:
+    """(a, b): pairs of a pivot and a member of its group, of different labels, that may reach the threshold.
+
+    ``rows`` come sorted by (bucket, chunk), pivots first. A group's rows may span batches; only its
+    pivots are kept meanwhile.
+    """
+    share = (100 - threshold) / (100 + threshold)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            sides = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(n, -1) for c in ("sketch_a", "sketch_b")]
-            good = np.flatnonzero((sides[0] == sides[1]).mean(axis=1) >= LEAST_AGREE)
-            yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(good)) for c in ("a", "b")], names=["a", "b"])
-
-    possible = 100 * F.least("size_a", "size_b") >= threshold * F.greatest("size_a", "size_b")
-    return pairs.where(possible).select("a", "b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+            names = ("bucket", "chunk", "id", "label", "size")
+            now = {c: batch.column(c).to_numpy() for c in names}
+            now["member"] = np.asarray(batch.column("member").to_pylist(), bool)
+            now["sketch"] = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint64).reshape(n, -1)
+            if kept is not None:
+                now = {c: np.concatenate([kept[c], x]) for c, x in now.items()}
+            first = np.flatnonzero(np.concatenate([[True], (now["bucket"][1:] != now["bucket"][:-1]) | (now["chunk"][1:] != now["chunk"][:-1])]))
+            group = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(now["id"])]])))
+            pivots = np.bincount(group, weights=~now["member"]).astype(np.int64)
+            members = np.flatnonzero(now["member"])
+            each = pivots[group[members]]
+            ends = np.cumsum(each)
+            for part in np.split(np.arange(len(members)), np.searchsorted(ends, np.arange(PAIRS_AT_ONCE, ends[-1], PAIRS_AT_ONCE)) if len(ends) else []):
+                if not len(part):
+                    continue
+                x = np.repeat(members[part], each[part])
+                if not len(x):
+                    continue
+                within = np.arange(len(x)) - np.repeat(np.cumsum(each[part]) - each[part], each[part])
+                y = first[group[x]] + within
+                sizes = now["size"]
+                good = (now["label"][x] != now["label"][y]) & (100 * np.minimum(sizes[x], sizes[y]) >= threshold * np.maximum(sizes[x], sizes[y]))
+                x, y = x[good], y[good]
+                differ = np.bitwise_count(now["sketch"][x] ^ now["sketch"][y]).sum(axis=1, dtype=np.int64)
+                good = differ <= share * (sizes[x] + sizes[y]) + 1e-6
+                i, j = now["id"][x[good]], now["id"][y[good]]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(i, j)), pa.array(np.maximum(i, j))], names=["a", "b"])
+            last = np.flatnonzero((group == group[-1]) & ~now["member"])
+            kept = {c: x[last] for c, x in now.items()}
+
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def bounded(ids: DataFrame) -> DataFrame:
@@ -240,16 +284,19 @@ def links(docs: DataFrame, signed: DataFrame, k: int, threshold: int = THRESHOLD
         groups = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min(order).alias("first"))
         open_ = groups.where("low <> high").select("bucket", "n", F.col("first.id").alias("first"))
         share = F.pmod(F.xxhash64("id"), F.lit(1 << 31)) / float(1 << 31)
-        now = now.join(open_, "bucket").select("bucket", "id", "label", ((F.col("id") == F.col("first")) | (share * F.col("n") < pivots - 1)).alias("is_pivot"))
+        now = now.join(open_, "bucket").select("bucket", "n", "id", "label", ((F.col("id") == F.col("first")) | (share * F.col("n") < pivots - 1)).alias("is_pivot"))
         now = materialize(now, "open")
         remove(active)
         if now.isEmpty():
             break
-        chosen = now.where("is_pivot").select("bucket", F.col("id").alias("pivot"), F.col("label").alias("pivot_label"))
-        pairs = now.join(chosen, "bucket").where("label <> pivot_label").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-        a = facts.select(F.col("id").alias("a"), F.col("size").alias("size_a"), F.col("sketch").alias("sketch_a"))
-        b = facts.select(F.col("id").alias("b"), F.col("size").alias("size_b"), F.col("sketch").alias("sketch_b"))
-        likely = materialize(_agree(pairs.join(a, "a").join(b, "b"), threshold), "likely")
+        # Large buckets are dealt out in chunks; their pivots go to each.
+        chunks = (F.lit(1) + F.col("n") / CHUNK).cast("int")
+        sketched = now.join(facts, "id").withColumn("chunks", chunks)
+        members = sketched.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(9)), F.col("chunks")).cast("int")).withColumn("member", F.lit(True))
+        leaders = sketched.where("is_pivot").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("member", F.lit(False))
+        both = members.unionByName(leaders).select("bucket", "chunk", "member", "id", "label", "size", "sketch")
+        both = both.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "member")
+        likely = materialize(_compare(both, threshold).distinct(), "likely")
         if not likely.isEmpty():
             ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
             wanted = materialize(ids.join(signed.select("id", "class"), "id"), "wanted")
