@@ -1,4 +1,571 @@
-"""The queries over the driver's tables, with the DuckDB SQL that gives the same rows."""
+"""The queries over the driver's tables, with the DuckDB SQL that gives the same rows.
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+Each entry applies the library's operators to whole tables. Floating results are rounded in both
+engines, and every limit cuts an order with a unique last key.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from millrace.functions import hashing as H
+from millrace.functions import text as T
+from millrace.operators import chunking, fusion, lexical, relations, state, trees, vectors
+from millrace.plans.shared import table
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+PHRASE = "of the"
+TOKENS = "list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda t: t <> '')"
+ASCII = "list_filter(regexp_split_to_array(lower({}), '[^a-z0-9]+'), lambda t: t <> '')"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "documents")
+
+
+# Lexical retrieval
+
+
+@query(
+    f"""
+    WITH q(query_id, term) AS (VALUES (1, 'widget'), (2, '17'), (3, 'economy'), (4, 'red widget')),
+    p AS (SELECT p_partkey, list_concat({ASCII.format('p_name')}, {ASCII.format('p_brand')}, {ASCII.format('p_type')}) AS ids FROM part)
+    SELECT q.query_id, p.p_partkey AS id, CAST(len(p.ids) AS INTEGER) AS n_identifiers FROM p JOIN q ON list_contains(p.ids, q.term)
+    """
+)
+def exact_identifier(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "part")
+    tokens = F.concat(T.ascii_tokens(F.col("p_name")), T.ascii_tokens(F.col("p_brand")), T.ascii_tokens(F.col("p_type")))
+    queries = spark.createDataFrame([(1, "Widget"), (2, " 17 "), (3, "ECONOMY"), (4, "red widget"), (5, '"red widget"')], "query_id int, text string")
+    return lexical.exact_lookup(p.select(F.col("p_partkey").alias("id"), tokens.alias("identifiers")), queries)
+
+
+@query(
+    f"""
+    SELECT token, count(DISTINCT doc_id) AS df, count(*) AS tf
+    FROM (SELECT doc_id, unnest({ASCII.format('text')}) AS token FROM documents) GROUP BY token
+    """
+)
+def ascii_token_df(spark: SparkSession, sf: str) -> DataFrame:
+    # Terms are counted within their row first, so a document's term is one row of the shuffle's input.
+    tokens = documents(spark, sf).select(F.explode(F.array_sort(T.ascii_tokens(F.lower("text")))).alias("token"), "doc_id")
+    by_doc = tokens.groupBy("token", "doc_id").agg(F.count("*").alias("n"))
+    return by_doc.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+
+
+@query(f"SELECT doc_id, CAST(len({TOKENS}) AS INTEGER) AS dl FROM documents")
+def unicode_doc_length(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf).select("doc_id", F.size(T.unicode_tokens(F.col("text"))).alias("dl"))
+
+
+_BM25 = f"""
+    WITH t AS (SELECT doc_id, lang, {TOKENS} AS w FROM documents),
+    s AS (SELECT count(*) AS n, avg(len(w)) AS mean, count(*) FILTER (list_contains(w, 'of')) AS d0, count(*) FILTER (list_contains(w, 'the')) AS d1 FROM t),
+    h AS (SELECT doc_id, len(w) AS dl, len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the')) AS tf FROM t),
+    scored AS (
+        SELECT doc_id, CAST(tf AS INTEGER) AS tf, CAST(dl AS INTEGER) AS dl,
+            round((ln(1 + (n - d0 + 0.5) / (d0 + 0.5)) + ln(1 + (n - d1 + 0.5) / (d1 + 0.5))) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean)), 6) AS score
+        FROM h, s WHERE tf > 0
+    ), top AS (SELECT * FROM scored ORDER BY score DESC, doc_id LIMIT 100)
+"""
+
+
+def _bm25(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.bm25_phrase(documents(spark, sf), PHRASE, "doc_id", "text")
+
+
+@query(_BM25 + "SELECT doc_id, tf, dl, score FROM top")
+def bm25_phrase_top100(spark: SparkSession, sf: str) -> DataFrame:
+    return _bm25(spark, sf)
+
+
+@query(
+    _BM25
+    + """, m AS (SELECT top.*, coalesce(l.quality = 1, false) AS preferred FROM top LEFT JOIN labels l USING (doc_id))
+    SELECT doc_id, preferred, score, CAST(row_number() OVER (ORDER BY preferred DESC, score DESC, doc_id) AS INTEGER) AS rank FROM m"""
+)
+def mode_preference_rank(spark: SparkSession, sf: str) -> DataFrame:
+    marked = _bm25(spark, sf).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    meta = F.create_map(F.lit("alignment"), F.when(F.col("quality") == 1, "CURRENT").otherwise("DESIGN"))
+    marked = marked.withColumn("preferred", lexical.mode_preferred("current", meta))
+    return lexical.rerank(marked, F.col("preferred"), "doc_id").select("doc_id", "preferred", "score", "rank")
+
+
+@query(
+    _BM25
+    + """, m AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rn, first_value(score) OVER (ORDER BY score DESC, doc_id) AS best FROM top)
+    SELECT doc_id, CAST(round(greatest(score, 0) / best * 100) AS INTEGER) AS percent, CAST(ceil(rn / 5.0) AS INTEGER) AS page, 'L' || rn AS code FROM m"""
+)
+def match_percent_page(spark: SparkSession, sf: str) -> DataFrame:
+    top = _bm25(spark, sf)  # at most a hundred rows
+    order = Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), "doc_id")
+    ranked = top.withColumn("rn", F.row_number().over(order)).withColumn("best", F.first("score").over(order))
+    return ranked.select("doc_id", T.match_percent(F.col("score"), F.col("best")).alias("percent"), trees.page(F.col("rn")).alias("page"), F.concat(F.lit("L"), F.col("rn")).alias("code"))
+
+
+@query(
+    """
+    SELECT p_partkey AS id, row_number() OVER (ORDER BY p_partkey) AS pos FROM part WHERE contains(lower(p_name), 'ring')
+    """
+)
+def symbol_substring(spark: SparkSession, sf: str) -> DataFrame:
+    hits = table(spark, sf, "part").where(T.contains_folded(F.col("p_name"), F.lit("RING")))
+    hits = hits.select(F.col("p_partkey").alias("id"), F.lit(1).alias("query_id"), F.lit("Symbol").alias("channel"))
+    return fusion.rank_in_channel(hits, F.col("id")).select("id", F.col("pos").cast("long").alias("pos"))
+
+
+@query("SELECT doc_id AS id, source FROM documents WHERE contains(lower(text), 'été') OR contains(lower(source), 'été')")
+def map_substring(spark: SparkSession, sf: str) -> DataFrame:
+    d = documents(spark, sf)
+    return d.where(T.contains_folded(F.col("text"), F.lit("ÉTÉ")) | T.contains_folded(F.col("source"), F.lit("ÉTÉ"))).select(F.col("doc_id").alias("id"), "source")
+
+
+# Vectors
+
+_DOT = "list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[]))"
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+
+
+@query(
+    f"""
+    SELECT query_id, id, score, rank FROM (
+        SELECT q.vec_id AS query_id, e.vec_id AS id, round({_DOT}, 6) AS score,
+            CAST(row_number() OVER (PARTITION BY q.vec_id ORDER BY round({_DOT}, 6) DESC, e.vec_id) AS INTEGER) AS rank
+        FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0
+    ) WHERE rank <= 10
+    """
+)
+def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
+    v = _vectors(spark, sf)
+    return vectors.top_k(vectors.scores(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")), 10, "query_id")
+
+
+@query(
+    f"""
+    SELECT query_id, label, id, score, rank FROM (
+        SELECT q.vec_id AS query_id, e.label, e.vec_id AS id, round({_DOT}, 6) AS score,
+            CAST(row_number() OVER (PARTITION BY q.vec_id, e.label ORDER BY round({_DOT}, 6) DESC, e.vec_id) AS INTEGER) AS rank
+        FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0
+    ) WHERE rank <= 3
+    """
+)
+def vector_topk_per_label(spark: SparkSession, sf: str) -> DataFrame:
+    v = _vectors(spark, sf)
+    scored = vectors.scores(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"))
+    return vectors.top_k(scored.join(v.select("id", "label"), "id"), 3, "query_id", "label").select("query_id", "label", "id", "score", "rank")
+
+
+@query(
+    """
+    WITH n AS (SELECT vec_id, embedding, sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS norm FROM embeddings)
+    SELECT vec_id AS id, round(norm, 6) AS norm, round(CAST(embedding[1] AS DOUBLE) / norm, 6) AS first, round(CAST(embedding[64] AS DOUBLE) / norm, 6) AS last, true AS valid FROM n
+    """
+)
+def vector_normalize(spark: SparkSession, sf: str) -> DataFrame:
+    v = _vectors(spark, sf)
+    unit = vectors.normalize(F.col("vector"))
+    return v.select("id", F.round(vectors.norm(F.col("vector")), 6).alias("norm"), F.round(F.get(unit, F.lit(0)), 6).alias("first"), F.round(F.get(unit, F.lit(63)), 6).alias("last"), vectors.valid(F.col("vector"), 64).alias("valid"))
+
+
+def _versions(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Records now, and stored vectors whose ids have moved up by 50, so contents differ or are absent."""
+    v = _vectors(spark, sf)
+    records = v.select("id", F.sha2(F.col("label").cast("string"), 256).alias("content_hash"))
+    return records, v.select((F.col("id") + 50).alias("id"), F.sha2(F.col("label").cast("string"), 256).alias("content_hash"), "vector")
+
+
+_VERSIONS = "SELECT vec_id AS id, sha256(CAST(label AS VARCHAR)) AS content_hash FROM embeddings e WHERE {} EXISTS (SELECT 1 FROM embeddings s WHERE s.vec_id + 50 = e.vec_id AND s.label = e.label)"
+
+
+@query(_VERSIONS.format("NOT"))
+def delta_to_embed(spark: SparkSession, sf: str) -> DataFrame:
+    records, stored = _versions(spark, sf)
+    return vectors.to_embed(records, stored, 64).select("id", "content_hash")
+
+
+@query(_VERSIONS.format("").replace("SELECT vec_id AS id", "SELECT vec_id + 0 AS id"))
+def reusable_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    records, stored = _versions(spark, sf)
+    return vectors.reusable(stored, records, 64).select("id", "content_hash")
+
+
+# Fusion
+
+_CHANNELS = """
+    WITH c AS (
+        SELECT source AS query_id, 'Lexical' AS channel, doc_id AS id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS pos FROM documents
+        UNION ALL
+        SELECT source, 'Vector', doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) FROM documents
+        UNION ALL
+        SELECT source, 'CodeMap', d.doc_id, row_number() OVER (PARTITION BY source ORDER BY d.doc_id) FROM documents d JOIN labels l ON d.doc_id = l.doc_id WHERE l.quality = 1
+        UNION ALL
+        SELECT source, 'Symbol', d.doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars, d.doc_id) FROM documents d WHERE lang = 'de'
+        UNION ALL
+        SELECT source, 'Exact', d.doc_id, row_number() OVER (PARTITION BY source ORDER BY d.doc_id) FROM documents d WHERE lang = 'es'
+    )
+"""
+
+
+def _fusion_sql(mode: str) -> str:
+    values = ", ".join(f"('{c}', {w:.2f}::DOUBLE, {i})" for i, (c, w) in enumerate(zip(fusion.CHANNELS, fusion.WEIGHTS[mode], strict=True)))
+    return (
+        _CHANNELS
+        + f""", w(channel, weight, o) AS (VALUES {values}),
+    f AS (
+        SELECT query_id, id, round(list_sum(list(weight / (60.0 + pos) ORDER BY o)), 9) AS calibrated, bool_or(c.channel = 'Exact') AS exact,
+            arg_max(c.channel, CASE WHEN c.channel = 'Exact' THEN 100 ELSE 0 END + weight * 10 - o / 100.0) AS channel
+        FROM c JOIN w ON c.channel = w.channel GROUP BY query_id, id
+    )
+    SELECT query_id, id, channel, exact, round(calibrated + CASE WHEN exact THEN 1.0 ELSE 0.0 END, 9) AS score,
+        CAST(row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, calibrated DESC, id) AS INTEGER) AS rank FROM f"""
+    )
+
+
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    d = documents(spark, sf).select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), "n_chars", "lang")
+    good = table(spark, sf, "labels").where("quality = 1").select(F.col("doc_id").alias("id"))
+    sets = {
+        "Lexical": (d, [F.desc("n_chars"), F.col("id")]),
+        "Vector": (d, [F.desc("id")]),
+        "CodeMap": (d.join(good, "id"), [F.col("id")]),
+        "Symbol": (d.where("lang = 'de'"), [F.col("n_chars"), F.col("id")]),
+        "Exact": (d.where("lang = 'es'"), [F.col("id")]),
+    }
+    out = None
+    for channel, (rows, order) in sets.items():
+        part = fusion.rank_in_channel(rows.select("query_id", "id", "n_chars", F.lit(channel).alias("channel")), *order).drop("n_chars")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _fusion(mode: str):
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return fusion.fuse(_candidates(spark, sf), mode)
+
+    run.__name__ = f"rrf_{mode}"
+    query(_fusion_sql(mode))(run)
+
+
+for _mode in fusion.WEIGHTS:
+    _fusion(_mode)
+
+
+@query(
+    """
+    WITH h AS (
+        SELECT source AS query_id, doc_id AS id, CAST(n_chars AS DOUBLE) AS score, CASE lang WHEN 'en' THEN 'Lexical' WHEN 'de' THEN 'Vector' WHEN 'fr' THEN 'Exact' ELSE 'Symbol' END AS channel FROM documents
+    )
+    SELECT query_id, id, channel, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
+        CASE channel WHEN 'Exact' THEN 0 WHEN 'Lexical' THEN 1 WHEN 'Vector' THEN 2 WHEN 'CodeMap' THEN 3 ELSE 4 END, id) AS INTEGER) AS rank FROM h
+    """
+)
+def fuse_raw_score(spark: SparkSession, sf: str) -> DataFrame:
+    channel = F.when(F.col("lang") == "en", "Lexical").when(F.col("lang") == "de", "Vector").when(F.col("lang") == "fr", "Exact").otherwise("Symbol")
+    hits = documents(spark, sf).select(F.col("source").alias("query_id"), F.col("doc_id").alias("id"), channel.alias("channel"), F.col("n_chars").cast("double").alias("score"))
+    return fusion.fuse_by_raw_score(hits)
+
+
+@query(
+    _CHANNELS
+    + """SELECT query_id, bool_or(channel = 'Exact') AS has_exact, count(*) FILTER (channel = 'Exact') AS n_exact, count(DISTINCT id) AS n_ids FROM c GROUP BY query_id"""
+)
+def exact_bucket(spark: SparkSession, sf: str) -> DataFrame:
+    fused = fusion.fuse(_candidates(spark, sf))
+    return fused.groupBy("query_id").agg(F.bool_or("exact").alias("has_exact"), F.count_if(F.col("score") > 1).alias("n_exact"), F.count("*").alias("n_ids"))
+
+
+@query(
+    """
+    WITH s AS (SELECT user_id, CASE event_type WHEN 'error' THEN 3 WHEN 'purchase' THEN 2 WHEN 'click' THEN 1 ELSE 0 END AS o FROM events)
+    SELECT user_id, CASE max(o) WHEN 3 THEN 'Degraded' WHEN 2 THEN 'Stale' WHEN 1 THEN 'Current' ELSE 'NotConfigured' END AS freshness FROM s GROUP BY user_id
+    """
+)
+def freshness_merge(spark: SparkSession, sf: str) -> DataFrame:
+    label = F.when(F.col("event_type") == "error", "Degraded").when(F.col("event_type") == "purchase", "Stale").when(F.col("event_type") == "click", "Current").otherwise("NotConfigured")
+    return table(spark, sf, "events").groupBy("user_id").agg(fusion.merge_freshness(label).alias("freshness"))
+
+
+# State
+
+_OLD_NEW = """
+    WITH o AS (SELECT doc_id AS id, source, sha256(lang) AS h FROM documents),
+    n AS (SELECT doc_id + 25 AS id, source, sha256(lang) AS h FROM documents)
+"""
+_CHANGE = "CASE WHEN o.id IS NULL THEN 'add' WHEN n.id IS NULL THEN 'delete' WHEN o.h = n.h THEN 'unchanged' ELSE 'change' END AS state_change"
+
+
+def _old_new(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Two states of the corpus: the second has moved up by 25 ids, so records come, go, change and stay."""
+    d = documents(spark, sf)
+    old = d.select(F.col("doc_id").alias("id"), "source", F.sha2("lang", 256).alias("content_hash"))
+    return old, old.withColumn("id", F.col("id") + 25)
+
+
+@query(_OLD_NEW + f"SELECT coalesce(o.id, n.id) AS id, {_CHANGE} FROM o FULL JOIN n ON o.id = n.id")
+def state_diff(spark: SparkSession, sf: str) -> DataFrame:
+    return state.diff(*_old_new(spark, sf))
+
+
+@query(
+    _OLD_NEW
+    + f""", d AS (SELECT coalesce(o.source, n.source) AS source, {_CHANGE} FROM o FULL JOIN n ON o.id = n.id AND o.source = n.source)
+    SELECT source, state_change, count(*) AS n FROM d GROUP BY ALL"""
+)
+def state_diff_per_source(spark: SparkSession, sf: str) -> DataFrame:
+    return state.diff(*_old_new(spark, sf), "source").groupBy("source", "state_change").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def removed_sources(spark: SparkSession, sf: str) -> DataFrame:
+    known = table(spark, sf, "customer").select("c_custkey")
+    return state.removed_sources(known, table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+
+
+@query(
+    """
+    SELECT o.o_orderkey AS id, o.o_custkey + 1 AS source_key FROM orders o WHERE o.o_orderstatus = 'P'
+    """
+)
+def ownership_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders")
+    owned = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("source_key"))
+    incoming = o.select(F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).alias("source_key"))
+    return state.ownership_conflicts(owned, incoming).select("id", "source_key")
+
+
+@query(
+    """
+    SELECT o_custkey, o_orderkey, 'old' AS side FROM orders WHERE o_orderstatus = 'P'
+    UNION ALL SELECT o_custkey + 1, o_orderkey, 'new' FROM orders WHERE o_orderstatus = 'P'
+    """
+)
+def membership_symdiff(spark: SparkSession, sf: str) -> DataFrame:
+    o = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderstatus")
+    moved = o.withColumn("o_custkey", F.when(F.col("o_orderstatus") == "P", F.col("o_custkey") + 1).otherwise(F.col("o_custkey")))
+    return state.membership_difference(o.drop("o_orderstatus"), moved.drop("o_orderstatus"))
+
+
+@query("SELECT sha256(text) AS content_hash, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
+def duplicate_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return state.duplicate_ids(documents(spark, sf).select(F.sha2("text", 256).alias("content_hash")), "content_hash")
+
+
+# Parents and relations
+
+
+@query(
+    """
+    WITH b AS (
+        SELECT l_orderkey, l_linenumber, l_partkey, round(l_extendedprice, 2) AS score,
+            row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber, l_partkey) AS n FROM lineitem
+        WHERE l_orderkey IN (SELECT o_orderkey FROM orders)
+    )
+    SELECT l_orderkey AS parent_id, max(score) AS score FROM b WHERE n = 1 GROUP BY l_orderkey
+    """
+)
+def parent_collapse(spark: SparkSession, sf: str) -> DataFrame:
+    parents = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"))
+    li = table(spark, sf, "lineitem").join(parents.withColumnRenamed("id", "l_orderkey"), "l_orderkey", "left_semi")
+    hits = li.select(
+        F.lit(1).alias("query_id"), F.lit("Lexical").alias("channel"), F.concat_ws(":", "l_orderkey", "l_linenumber").alias("id"), F.col("l_orderkey").alias("parent_id"), F.round("l_extendedprice", 2).alias("score"), F.col("l_linenumber").alias("pos")
+    )
+    return relations.collapse(hits, parents).select("parent_id", "score")
+
+
+@query(
+    """
+    SELECT 'n' || n_nationkey AS src_id, 'r' || n_regionkey AS id, r.r_name AS title FROM nation JOIN region r ON n_regionkey = r_regionkey
+    """
+)
+def related_one_hop(spark: SparkSession, sf: str) -> DataFrame:
+    n = table(spark, sf, "nation")
+    up = F.concat(F.lit("r"), F.col("n_regionkey"))
+    sources = n.select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id"), F.array(up, up).alias("relations"))
+    corpus = table(spark, sf, "region").select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("id"), F.col("r_name").alias("title"))
+    return relations.related(sources, corpus).select("src_id", "id", "title")
+
+
+@query("SELECT 'c' || c_custkey AS src_id, 'n' || (c_nationkey + 5) AS id FROM customer WHERE c_nationkey + 5 NOT IN (SELECT n_nationkey FROM nation)")
+def related_dangling(spark: SparkSession, sf: str) -> DataFrame:
+    sources = table(spark, sf, "customer").select(F.concat(F.lit("c"), F.col("c_custkey")).alias("id"), F.array(F.concat(F.lit("n"), F.col("c_nationkey") + 5)).alias("relations"))
+    return relations.dangling(sources, table(spark, sf, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey")).alias("id")))
+
+
+@query("SELECT 'o' || l_orderkey AS src_id, CAST(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS INTEGER) AS position, 'p' || l_partkey AS dst_id FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem)")
+def relation_edges(spark: SparkSession, sf: str) -> DataFrame:
+    grouped = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_partkey")).alias("parts"))
+    records = grouped.select(F.concat(F.lit("o"), F.col("l_orderkey")).alias("id"), F.transform("parts", lambda p: F.concat(F.lit("p"), p)).alias("relations"))
+    return relations.edges(records)
+
+
+# Hashes and chunks
+
+
+@query("SELECT doc_id, sha256(text) AS content_hash, CAST(strlen(text) AS INTEGER) AS bytes, CAST(length(text) AS INTEGER) AS characters FROM documents")
+def content_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf).select("doc_id", F.sha2("text", 256).alias("content_hash"), F.octet_length("text").alias("bytes"), F.char_length("text").alias("characters"))
+
+
+_LP = "unhex(lpad(printf('%x', strlen({0})), 16, '0')) || encode({0})"
+
+
+@query(
+    f"""
+    WITH s AS (SELECT doc_id, text, lang FROM documents)
+    SELECT doc_id, 'sha256:v1:' || sha256(unhex('{(H.DOMAIN + H.framed("record")).hex()}') || {_LP.format('lang')} || {_LP.format('text')}) AS record_hash FROM s
+    """
+)
+def versioned_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf).select("doc_id", H.versioned_hash_column("record", F.col("lang"), F.col("text")).alias("record_hash"))
+
+
+@query(
+    """
+    WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
+    c AS (SELECT doc_id, n, line, 'chunk-v1:doc' || doc_id || ':' || n || ':' || substr(sha256('doc' || doc_id || chr(0) || 'paragraph' || chr(0) || line), 1, 16) AS chunk_id FROM l)
+    SELECT doc_id, CAST(n AS INTEGER) AS number, chunk_id, 'sha256:v1:' || sha256(chunk_id || chr(0) || line) AS content_hash FROM c
+    """
+)
+def chunk_ids(spark: SparkSession, sf: str) -> DataFrame:
+    lines = documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+    cid = H.chunk_id(F.concat(F.lit("doc"), F.col("doc_id")), F.col("n"), F.lit("paragraph"), F.col("line"))
+    out = lines.select("doc_id", (F.col("n") + 1).alias("number"), cid.alias("chunk_id"), "line")
+    return out.select("doc_id", "number", "chunk_id", H.chunk_hash(F.col("chunk_id"), F.col("line")).alias("content_hash"))
+
+
+def _text_records(spark: SparkSession, sf: str) -> DataFrame:
+    return documents(spark, sf).select(F.concat(F.lit("doc"), F.col("doc_id")).alias("id"), F.array("source").alias("heading_path"), F.col("text").alias("content"), F.lit(1).alias("line_start"))
+
+
+@query()
+def paragraph_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.blocks(_text_records(spark, sf)).select("id", "ordinal", "kind", F.sha2("text", 256).alias("text_hash"), "start_line", "end_line")
+
+
+@query()
+def chunk_kind_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.chunks(_text_records(spark, sf), "multilingual-e5-small").groupBy("kind").agg(F.count("*").alias("n"), F.max("characters").alias("longest"))
+
+
+@query(
+    """
+    SELECT conv_id, turn AS ordinal, role AS title, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '^$', '') AS excerpt, 'conv' || conv_id || '#' || turn AS id FROM conversations
+    """
+)
+def conversation_sections(spark: SparkSession, sf: str) -> DataFrame:
+    c = table(spark, sf, "conversations")
+    return c.select("conv_id", F.col("turn").alias("ordinal"), F.col("role").alias("title"), T.excerpt(F.col("text")).alias("excerpt"), F.concat(F.lit("conv"), F.col("conv_id"), F.lit("#"), F.col("turn")).alias("id"))
+
+
+@query()
+def corpus_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    d = documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), F.sha2("text", 256).alias("content_hash"))
+    return spark.createDataFrame([(H.corpus_fingerprint(d),)], "fingerprint string")
+
+
+# Admission, paths, trees
+
+
+@query(
+    """
+    SELECT source, count(*) FILTER (coalesce(quality = 1, false)) AS included, count(*) FILTER (NOT coalesce(quality = 1, false)) AS excluded,
+        count(*) FILTER (quality IS NULL) AS without_property FROM documents LEFT JOIN labels USING (doc_id) GROUP BY source
+    """
+)
+def admission_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    from millrace.sources.markdown import admitted
+
+    d = documents(spark, sf).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id", "left")
+    meta = F.when(F.col("quality").isNotNull(), F.create_map(F.lit("Index"), F.col("quality").cast("string"))).otherwise(F.create_map().cast("map<string,string>"))
+    decided = d.withColumn("included", admitted(meta, "index", "1"))
+    return decided.groupBy("source").agg(F.count_if("included").alias("included"), F.count_if(~F.col("included")).alias("excluded"), F.count_if(F.col("quality").isNull()).alias("without_property"))
+
+
+_PATH = "regexp_replace(regexp_replace(url, '^[a-z]+://', ''), '[?#].*$', '')"
+
+
+def _paths(spark: SparkSession, sf: str) -> DataFrame:
+    bare = F.regexp_replace(F.regexp_replace("url", "^[a-z]+://", ""), "[?#].*$", "")
+    return table(spark, sf, "pages").select("page_id", bare.alias("path"))
+
+
+@query(
+    f"""
+    WITH p AS (SELECT page_id, {_PATH} || CASE page_id % 6 WHEN 0 THEN '.md' WHEN 1 THEN '.cfmap.md' WHEN 2 THEN '.tsv' WHEN 3 THEN '.rs' WHEN 4 THEN '.py' ELSE '' END AS path FROM pages)
+    SELECT page_id, CASE WHEN path LIKE '%.cfmap.md' THEN 'CodeMap' WHEN path LIKE '%.md' THEN 'Markdown' WHEN path LIKE '%.tsv' THEN 'Registry'
+        WHEN path LIKE '%.rs' OR path LIKE '%.py' THEN 'CodeCandidate' ELSE 'Unsupported' END AS admission FROM p
+    """
+)
+def path_classify(spark: SparkSession, sf: str) -> DataFrame:
+    ending = F.element_at(F.array(*[F.lit(x) for x in (".md", ".cfmap.md", ".tsv", ".rs", ".py", "")]), (F.col("page_id") % 6 + 1).cast("int"))
+    return _paths(spark, sf).select("page_id", T.classify_path(F.concat("path", ending)).alias("admission"))
+
+
+@query(
+    f"""
+    WITH p AS (SELECT DISTINCT {_PATH} AS path, list_filter(string_split({_PATH}, '/'), lambda x: x <> '') AS parts FROM pages),
+    r AS (SELECT DISTINCT parts[1] AS prefix FROM p UNION SELECT DISTINCT parts[1] || '/en' FROM p)
+    SELECT p.path, max_by(r.prefix, length(r.prefix)) AS prefix FROM p JOIN r ON array_to_string(p.parts, '/') = r.prefix OR starts_with(array_to_string(p.parts, '/'), r.prefix || '/') GROUP BY p.path
+    """
+)
+def deepest_prefix(spark: SparkSession, sf: str) -> DataFrame:
+    paths = _paths(spark, sf).select("path").distinct()
+    host = F.substring_index("path", "/", 1)
+    registered = paths.select(F.explode(F.array(host, F.concat(host, F.lit("/en")))).alias("prefix"))
+    return trees.deepest_ancestor(paths, registered)
+
+
+_ROLL = """
+    d AS (SELECT array_to_string(list_filter(string_split(path, '/'), lambda x: x <> '')[:-2], '/') AS directory, md FROM base),
+    a AS (SELECT unnest(list_transform(range(0, len(string_split(directory, '/')) + 1), lambda n: array_to_string(string_split(directory, '/')[1:n], '/'))) AS directory, md FROM d)
+    SELECT directory, count(*) AS total, CAST(sum(md) AS BIGINT) AS markdown FROM a GROUP BY directory
+"""
+_BASE = f"WITH base AS (SELECT {_PATH} AS path, CASE WHEN url LIKE '%/en/%' THEN 1 ELSE 0 END AS md FROM pages),"
+
+
+def _rolled(spark: SparkSession, sf: str) -> DataFrame:
+    p = table(spark, sf, "pages").select("page_id", "url").join(_paths(spark, sf), "page_id")
+    parts = F.filter(F.split("path", "/"), lambda x: x != "")
+    directory = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/")
+    md = F.when(F.col("url").contains("/en/"), 1).otherwise(0)
+    by_dir = p.groupBy(directory.alias("directory")).agg(F.count("*").alias("total"), F.sum(md).alias("markdown"))
+    return trees.roll_up(by_dir, "total", "markdown")
+
+
+@query(_BASE + _ROLL)
+def dir_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    return _rolled(spark, sf)
+
+
+@query(_BASE + _ROLL.replace("SELECT directory, count(*)", "SELECT directory, markdown, total FROM (SELECT directory, count(*)") + ") WHERE markdown > 0 AND markdown * 5 > total * 4")
+def markdown_dominant(spark: SparkSession, sf: str) -> DataFrame:
+    return _rolled(spark, sf).where(trees.markdown_dominant(F.col("markdown"), F.col("total"))).select("directory", "markdown", "total")
+
+
+@query(
+    """
+    WITH h AS (SELECT user_id, event_type, round(median(value), 6) AS median_value, count(*) AS runs, CAST(max(epoch_us(ts)) // 1000 AS BIGINT) AS last_ms FROM events GROUP BY ALL)
+    SELECT user_id, event_type, median_value, runs, last_ms FROM h
+    """
+)
+def experiment_journal(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    return e.groupBy("user_id", "event_type").agg(F.round(F.median("value"), 6).alias("median_value"), F.count("*").alias("runs"), F.max(F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")).alias("last_ms"))

@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_CLEANUP = ("spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,11 +36,19 @@ def new_path(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
-    This cuts the lineage: later jobs reread whole files that outlive any executor.
+    This cuts the lineage: later jobs reread whole files that outlive any executor. The shuffle files
+    of the job are of no more use then, so Spark is told to delete them when the write has ended.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    df.write.option("compression", compression).parquet(path)
+    before = {key: spark.conf.get(key, None) for key in _CLEANUP}
+    for key in _CLEANUP:
+        spark.conf.set(key, "true")
+    try:
+        df.write.option("compression", compression).parquet(path)
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     out = spark.read.schema(df.schema).parquet(path)
     out.millrace_path = path
     return out
