@@ -33,7 +33,7 @@ from millrace.plans.shared import materialize
 CAPACITY = 4096
 END_ID = 1
 #: Memory of one worker's word table; when it is full it is cleared, which changes speed alone.
-MAX_WORDS = 1_000_000
+MAX_WORDS = 500_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, salt int"
 
@@ -46,13 +46,19 @@ class Words(dict):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.merge = self.whole.model.tokenize
 
     def ids(self, text: str) -> bytes:
         return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __missing__(self, word: str) -> bytes:
         # Letters and the stop after them are always separate tokens, so the letters' entry serves both.
-        ids = self[word[:-1]] + self[word[-1]] if word[-1] in ",." and word[:-1].isalpha() else self.ids(word)
+        if word[-1] in ",." and word[:-1].isalpha():
+            ids = self[word[:-1]] + self[word[-1]]
+        elif word.isascii() and word.isalpha() and word.islower():  # normal already, and one piece
+            ids = array("I", [x.id for x in self.merge(word)]).tobytes()
+        else:
+            ids = self.ids(word)
         if len(word) <= 64:
             if len(self) >= MAX_WORDS:
                 self.clear()
