@@ -33,17 +33,19 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/millrace/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "zstd", batch_rows: int = 2000) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage: later jobs reread whole files that outlive any executor. The shuffle files
     of the job are of no more use then, so Spark is told to delete them when the write has ended.
+    Python functions in the plan get ``batch_rows`` rows at a time, which bounds what long texts take.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
-    before = {key: spark.conf.get(key, None) for key in _CLEANUP}
-    for key in _CLEANUP:
-        spark.conf.set(key, "true")
+    now = dict.fromkeys(_CLEANUP, "true") | {"spark.sql.execution.arrow.maxRecordsPerBatch": str(batch_rows)}
+    before = {key: spark.conf.get(key, None) for key in now}
+    for key, value in now.items():
+        spark.conf.set(key, value)
     try:
         df.write.option("compression", compression).parquet(path)
     finally:
