@@ -60,7 +60,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     memo = _word_hashes
-    if len(memo) > 500_000:
+    if len(memo) > 200_000:
         memo.clear()
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     if len(words) < k:
@@ -301,7 +301,7 @@ def links(docs: DataFrame, signed: DataFrame, k: int, threshold: int = THRESHOLD
             ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
             wanted = materialize(ids.join(signed.select("id", "class"), "id"), "wanted")
             sets = materialize(_full_sets(docs, wanted, k), "sets", "none")
-            new = materialize(_verify(likely, sets, threshold), "links")
+            new = materialize(_verify(likely, sets, threshold), "links", batch_rows=500)
             remove(sets), remove(wanted)
             if not new.isEmpty():
                 found = new if found is None else found.unionByName(new)
