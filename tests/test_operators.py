@@ -1,0 +1,86 @@
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from millrace.functions import text as T
+from millrace.functions.hashing import corpus_fingerprint, fingerprint
+from millrace.operators import fusion, lexical, models, relations, state, trees, vectors
+
+
+def test_state_truth_table(spark):
+    old = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "id string, content_hash string")
+    new = spark.createDataFrame([("b", "1"), ("c", "2"), ("d", "1")], "id string, content_hash string")
+    out = state.diff(old, new)
+    assert {r["id"]: r["state_change"] for r in out.collect()} == {"a": "delete", "b": "unchanged", "c": "change", "d": "add"}
+    assert state.next_generation(out, 4) == 5 and state.next_generation(state.diff(old, old), 4) == 4
+    assert state.next_generation(state.diff(old, old), 4, membership_changed=True) == 5
+
+
+def test_fusion_order_and_representative(spark):
+    rows = [(1, "Lexical", "x", 1), (1, "Vector", "x", 1), (1, "Exact", "y", 9), (1, "Symbol", "y", 1), (1, "Vector", "z", 1), (1, "CodeMap", "w", 2)]
+    out = fusion.fuse(spark.createDataFrame(rows, "query_id int, channel string, id string, pos int"), "design").orderBy("rank").collect()
+    assert [r["id"] for r in out] == ["y", "x", "w", "z"]
+    assert out[0]["channel"] == "Exact" and out[0]["score"] == pytest.approx(1 + 1 / 69 + 0.95 / 61, abs=1e-9)
+    assert out[1]["channel"] == "Vector"  # 0.85 against 0.7
+
+
+def test_freshness():
+    assert fusion.lifecycle("Current", "Current", 3, 3) == "Current"
+    assert fusion.lifecycle("Current", "Current", 2, 3) == "Stale"
+    assert fusion.lifecycle("Current", "Degraded", None, 3) == "Degraded"
+    assert fusion.lifecycle("Degraded", "Current", 3, 3) == "Degraded"
+
+
+def test_phrases_overlap_and_edges(spark):
+    df = spark.createDataFrame([("a", "x x x"), ("b", "X, x!"), ("c", "y"), ("d", None), ("e", "")], "id string, content string")
+    out = {r["id"]: r["tf"] for r in lexical.bm25_phrase(df, "x x").collect()}
+    assert out == {"a": 2, "b": 1}
+    assert lexical.bm25_phrase(df, "!!").count() == 0
+
+
+def test_text_functions(spark):
+    row = spark.range(1).select(
+        T.ascii_tokens(F.lit("a_B-1 é9")).alias("a"), T.unicode_tokens(F.lit("Straße 12")).alias("u"), T.is_quoted(F.lit('"')).alias("q"), T.finite(F.lit(float("nan"))).alias("f"),
+        T.classify_path(F.lit("x.cfmap.md")).alias("c"), T.excerpt(F.lit(" a \n b ")).alias("e"), T.match_percent(F.lit(0.5), F.lit(2.0)).alias("p"),
+        T.identifiers(F.lit("i"), F.lit("t"), F.lit("c"), F.create_map(F.lit("_millrace_x"), F.lit("no"), F.lit("k"), F.lit("v w")), F.array(F.lit("r-1"))).alias("ids"),
+    ).first()
+    assert row["a"] == ["a", "b", "1", "9"] and row["u"] == ["straße", "12"] and not row["q"] and row["f"] == 0
+    assert row["c"] == "CodeMap" and row["e"] == "a b" and row["p"] == 25 and row["ids"] == ["i", "t", "c", "k", "v", "w", "r", "1"]
+
+
+def test_collapse_fails_on_a_lost_parent(spark):
+    hits = spark.createDataFrame([(1, "Lexical", "c1", "p1", 1.0, 1), (1, "Lexical", "c2", "p1", 2.0, 2)], "query_id int, channel string, id string, parent_id string, score double, pos int")
+    parents = spark.createDataFrame([("p1",)], "id string")
+    assert [(r["parent_id"], r["score"]) for r in relations.collapse(hits, parents).collect()] == [("p1", 2.0)]
+    with pytest.raises(Exception, match="without its parent"):
+        relations.collapse(hits, parents.limit(0)).collect()
+
+
+def test_vectors(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0]), (2, [0.0, 0.0]), (3, [float("nan"), 1.0]), (4, [1.0])], "id int, vector array<float>")
+    out = {r["id"]: r for r in df.select("id", vectors.valid(F.col("vector"), 2).alias("ok"), vectors.normalize(F.col("vector")).alias("u")).collect()}
+    assert [out[i]["ok"] for i in (1, 2, 3, 4)] == [True, True, False, False]
+    assert out[1]["u"] == [pytest.approx(0.6), pytest.approx(0.8)] and out[2]["u"] == [0.0, 0.0]
+    with pytest.raises(Exception, match="wrong number"):
+        rows = spark.createDataFrame([("a", "h", "t")], "id string, content_hash string, embedding_input string")
+        models.embed(rows, lambda texts: [[math.inf, 0.0]], 2).collect()
+
+
+def test_trees(spark):
+    d = spark.createDataFrame([("a/b", 5, 5), ("a", 1, 0), ("", 2, 1)], "directory string, total long, markdown long")
+    rolled = {r["directory"]: (r["total"], r["markdown"]) for r in trees.roll_up(d, "total", "markdown").collect()}
+    assert rolled == {"": (8, 6), "a": (6, 5), "a/b": (5, 5)}
+    keep = lambda *xs: sorted(r[0] for r in trees.remove_nested(spark.createDataFrame([(x,) for x in xs], "directory string")).collect())
+    assert keep("", "a", "a/b", "c") == ["a", "c"] and keep("") == [""]
+    paths = spark.createDataFrame([("a/b/c",), ("x",)], "path string")
+    found = trees.deepest_ancestor(paths, spark.createDataFrame([("a",), ("a/b",), ("a/bb",)], "prefix string")).collect()
+    assert [(r["path"], r["prefix"]) for r in found] == [("a/b/c", "a/b")]
+
+
+def test_fingerprint_and_models(spark):
+    pairs = [("b", "2"), ("a", "1")]
+    df = spark.createDataFrame(pairs, "id string, content_hash string")
+    assert corpus_fingerprint(df) == fingerprint(sorted(pairs)) != fingerprint(pairs)
+    assert models.parse_model(" E5 Small ") == "multilingual-e5-small" and models.parse_model("M3") == "bge-m3" and models.parse_model("x") is None
+    assert models.catalogue(spark).count() == 9 and models.dimension("bge-m3") == 1024
