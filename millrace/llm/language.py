@@ -41,6 +41,8 @@ TRUST = 0.9
 STRENGTH = 20.0
 UND = "und"
 UND_PRIOR = 0.01
+#: The background must beat every language by so much for each trigram: rare words alone are not junk.
+UND_MARGIN = 1.5
 LEAST_CONFIDENCE = 0.5
 
 
@@ -74,7 +76,9 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarra
     for k, name in enumerate(names):
         own = found[found["lang"] == name]
         table[own["bucket"], k] += own["n"].to_numpy(float)
-    return names, np.log(table / table.sum(axis=0)).astype(np.float32)
+    logs = np.log(table / table.sum(axis=0))
+    logs[:, -1] -= UND_MARGIN
+    return names, logs.astype(np.float32)
 
 
 def text_scores(docs: DataFrame, table: np.ndarray) -> DataFrame:

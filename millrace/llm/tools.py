@@ -121,6 +121,7 @@ def format_calls(messages: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
 
     Within a conversation, rows ordered by (level, turn) are a topological order.
     """
+    messages = messages.select("conv_id", "turn", "kind", "call_id", "parent_id", "tool", "payload")
     found = link(messages).join(levels(messages), ["conv_id", "call_id"], "left")
     fields = F.when(F.col("kind") == "call", raw_fields(F.col("payload")))
     found = found.withColumn("fields", fields)
