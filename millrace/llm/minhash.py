@@ -340,6 +340,27 @@ def keep(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     return out.join(again, on, "left_anti").unionByName(out.join(again, on, "left_semi").dropDuplicates(["doc_id"]))
 
 
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) < 2 THEN w ELSE list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) END) AS shingle FROM w
+), n AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+    SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+    SELECT x, y FROM p JOIN n nx ON x = nx.doc_id JOIN n ny ON y = ny.doc_id WHERE 100 * c >= 80 * (nx.n + ny.n - c)
+), linked AS (
+    SELECT x, y FROM e UNION ALL SELECT y, x FROM e
+), reach AS (
+    SELECT doc_id, doc_id AS from_id FROM documents UNION SELECT linked.y, reach.from_id FROM reach JOIN linked ON reach.doc_id = linked.x
+)
+SELECT r.doc_id, coalesce(n.n, 0) AS n_shingles, r.component_id, r.doc_id = r.component_id AS kept
+FROM (SELECT doc_id, min(from_id) AS component_id FROM reach GROUP BY doc_id) r LEFT JOIN n ON r.doc_id = n.doc_id
+"""
+
+
 def op4_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All whole texts of ``documents`` by their 2-word shingles."""
     return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), 2)
