@@ -9,8 +9,8 @@ linear system.
 
 Search. Every vector is coded; codes of two parts share a byte. Queries go in blocks of QUERY_BLOCK:
 a block's tables hold its partial products for each byte value, and a scan adds table rows by the
-codes. Each scan keeps SHORTLIST different vectors a query (ties to smaller ids) and reranks them by exact
-double-precision inner products on the original vectors. A task hands on its best k, and the best of
+codes. Each scan keeps SHORTLIST different vectors a query, and what is within MARGIN of them, and
+reranks them by exact double-precision inner products on the original vectors. A task hands on its best k, and the best of
 all tasks remain.
 
 The query set is stated by the caller and every vector is scanned for it, block by block, so there
@@ -40,6 +40,9 @@ ETA = 4.0
 #: The codebooks are fitted on about so many vectors, chosen by hash; every vector is coded.
 SAMPLE = 20_000
 SHORTLIST = 150
+#: The shortlist also has all vectors whose approximate scores are so close below it, as a share of the
+#: longest vector's and the query's lengths: codes cannot tell the members of a tight group apart.
+MARGIN = 0.01
 #: Queries in a block, which one job broadcasts (8 bytes a component), and vectors in a scan.
 QUERY_BLOCK = 8192
 SCAN = 16_384
@@ -161,19 +164,14 @@ def distinct(vectors: np.ndarray, ids: np.ndarray, most: int) -> tuple[np.ndarra
     return own[rank < most], first[order], ids[by][rank < most]
 
 
-def shortlist(scores: np.ndarray, many: int) -> np.ndarray:
-    """Row numbers (many, queries) of the best scores of each column; ties go to the first row."""
+def shortlist(scores: np.ndarray, many: int, margin: np.ndarray) -> list[np.ndarray]:
+    """Row numbers, for each column, of the ``many`` best scores and all within ``margin`` below them."""
     n = len(scores)
-    if n <= many:
-        return np.tile(np.arange(n)[:, None], (1, scores.shape[1]))
     columns = np.ascontiguousarray(scores.T)
-    cut = np.partition(columns, n - many, axis=1)[:, n - many]
-    out = np.empty((many, len(columns)), np.int64)
-    for q, column in enumerate(columns):
-        above = np.flatnonzero(column > cut[q])
-        level = np.flatnonzero(column == cut[q])[: many - len(above)]
-        out[:, q] = np.concatenate([above, level])
-    return out
+    if n <= many:
+        return [np.arange(n)] * len(columns)
+    cut = np.partition(columns, n - many, axis=1)[:, n - many] - margin
+    return [np.flatnonzero(column >= low) for column, low in zip(columns, cut, strict=True)]
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, many: int = SHORTLIST) -> DataFrame:
@@ -230,11 +228,12 @@ def _scanner(shared, d: int, pad, k: int, many: int):
                 v = np.frombuffer(row["vectors"], np.float64).reshape(-1, d)
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(-1, len(v))
                 starts = np.searchsorted(own, np.arange(len(v) + 1))
+                longest = np.linalg.norm(v, axis=1).max()
                 v = v[own]
                 for at in range(0, len(q), 64):
-                    near = shortlist(scan(codes, tables(pad(q[at : at + 64]), centres)), many)
-                    for j in range(near.shape[1]):
-                        rows = near[:, j]
+                    block = q[at : at + 64]
+                    near = shortlist(scan(codes, tables(pad(block), centres)), many, MARGIN * longest * np.linalg.norm(block, axis=1))
+                    for j, rows in enumerate(near):
                         rows = starts[rows] if len(ids) == codes.shape[1] else np.concatenate([np.arange(starts[x], starts[x + 1]) for x in rows])
                         rows = rows[ids[rows] != q_ids[at + j]]
                         all_ids = np.concatenate([top_ids[at + j], ids[rows]])
