@@ -63,7 +63,7 @@ def exact_identifier(spark: SparkSession, sf: str) -> DataFrame:
 )
 def ascii_token_df(spark: SparkSession, sf: str) -> DataFrame:
     # Terms are counted within their row first, so a document's term is one row of the shuffle's input.
-    tokens = documents(spark, sf).select(F.explode(F.array_sort(T.ascii_tokens(F.lower("text")))).alias("token"), "doc_id")
+    tokens = documents(spark, sf).select(F.explode(T.ascii_tokens(F.lower("text"))).alias("token"), "doc_id")
     by_doc = tokens.groupBy("token", "doc_id").agg(F.count("*").alias("n"))
     return by_doc.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
@@ -475,6 +475,24 @@ def conversation_sections(spark: SparkSession, sf: str) -> DataFrame:
     return c.select("conv_id", F.col("turn").alias("ordinal"), F.col("role").alias("title"), T.excerpt(F.col("text")).alias("excerpt"), F.concat(F.lit("conv"), F.col("conv_id"), F.lit("#"), F.col("turn")).alias("id"))
 
 
+@query(
+    """
+    SELECT doc_id, 'passage: ' || source || ': ' || text AS e5_document, 'search_document: ' || source || ': ' || text AS nomic_document, source || ': ' || text AS plain_document,
+        'query: ' || source AS e5_query, CAST(length(source || ': ' || text) AS INTEGER) AS characters FROM documents
+    """
+)
+def embedding_inputs(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.concat("source", F.lit(": "), "text")
+    return documents(spark, sf).select(
+        "doc_id",
+        chunking.prefixed("multilingual-e5-base", text, chunking.DOCUMENT_PREFIX).alias("e5_document"),
+        chunking.prefixed("nomic-embed-text-v2-moe", text, chunking.DOCUMENT_PREFIX).alias("nomic_document"),
+        chunking.prefixed("bge-m3", text, chunking.DOCUMENT_PREFIX).alias("plain_document"),
+        chunking.prefixed("multilingual-e5-base", F.col("source"), chunking.QUERY_PREFIX).alias("e5_query"),
+        F.char_length(text).alias("characters"),
+    )
+
+
 @query()
 def corpus_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), F.sha2("text", 256).alias("content_hash"))
@@ -569,3 +587,80 @@ def markdown_dominant(spark: SparkSession, sf: str) -> DataFrame:
 def experiment_journal(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events")
     return e.groupBy("user_id", "event_type").agg(F.round(F.median("value"), 6).alias("median_value"), F.count("*").alias("runs"), F.max(F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")).alias("last_ms"))
+
+
+# Further parts of the inventory
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 0.0 WHEN 'signup' THEN 0.0 ELSE value END AS relevance FROM events")
+def finite_relevance(spark: SparkSession, sf: str) -> DataFrame:
+    raw = F.when(F.col("event_type") == "error", float("inf")).when(F.col("event_type") == "signup", float("nan")).otherwise(F.col("value"))
+    return table(spark, sf, "events").select("event_id", T.finite(raw).alias("relevance"))
+
+
+@query(
+    """
+    SELECT n.doc_id + 25 AS source_key, sha256(n.lang) AS file_hash FROM documents n
+    WHERE NOT EXISTS (SELECT 1 FROM documents o WHERE o.doc_id = n.doc_id + 25 AND o.lang = n.lang)
+    """
+)
+def changed_sources(spark: SparkSession, sf: str) -> DataFrame:
+    old, new = (x.select(F.col("id").alias("source_key"), F.col("content_hash").alias("file_hash")) for x in _old_new(spark, sf))
+    return state.changed_sources(new, old)
+
+
+@query(_OLD_NEW + ", d AS (SELECT coalesce(o.source, n.source) AS source, " + _CHANGE + " FROM o FULL JOIN n ON o.id = n.id AND o.source = n.source) SELECT source, bool_or(state_change <> 'unchanged') AS changed FROM d GROUP BY source")
+def generation_bumps(spark: SparkSession, sf: str) -> DataFrame:
+    return state.diff(*_old_new(spark, sf), "source").groupBy("source").agg(F.bool_or(F.col("state_change") != "unchanged").alias("changed"))
+
+
+@query("SELECT d.source AS source_key, count(*) AS members, sum(l.quality) AS good FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source")
+def source_members(spark: SparkSession, sf: str) -> DataFrame:
+    joined = documents(spark, sf).select("doc_id", F.col("source").alias("source_key")).join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
+    return joined.groupBy("source_key").agg(F.count("*").alias("members"), F.sum("quality").alias("good"))
+
+
+@query(
+    """
+    WITH f AS (SELECT CASE lang WHEN 'en' THEN NULL ELSE lang END AS root_id, source AS path, max(sha256(text)) AS file_hash FROM documents GROUP BY ALL)
+    SELECT d.doc_id AS chunk_id, CASE d.lang WHEN 'en' THEN NULL ELSE d.lang END AS root_id, d.source AS path, f.file_hash FROM documents d
+    LEFT JOIN f ON f.root_id IS NOT DISTINCT FROM CASE d.lang WHEN 'en' THEN NULL ELSE d.lang END AND f.path = d.source
+    """
+)
+def chunk_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    from millrace.plans import inspection
+
+    root = F.when(F.col("lang") != "en", F.col("lang"))
+    d = documents(spark, sf).select("doc_id", root.alias("root_id"), F.col("source").alias("path"), "text")
+    files = d.groupBy("root_id", "path").agg(F.max(F.sha2("text", 256)).alias("file_hash")).withColumn("included", F.lit(True))
+    chunks = d.select(F.col("doc_id").alias("chunk_id"), "root_id", "path", F.lit(None).cast("int").alias("source_line_start"))
+    return inspection.chunk_manifest(chunks, files).select("chunk_id", "root_id", "path", "file_hash")
+
+
+@query("SELECT label, CAST(i AS INTEGER) AS position, round(avg(CAST(embedding[i + 1] AS DOUBLE)), 6) AS mean FROM embeddings, range(64) r(i) GROUP BY ALL")
+def mean_pooling(spark: SparkSession, sf: str) -> DataFrame:
+    parts = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("position", "x"))
+    return parts.groupBy("label", "position").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
+
+
+def _models_sql() -> str:
+    from millrace.operators import models
+
+    rows = ", ".join(f"('{s}', '{n}', {d}, {i}, {models.COMPARISON_ORDER.index(s)})" for i, (s, n, d, _) in enumerate(models.MODELS))
+    return f"SELECT * FROM (VALUES {rows}) m(slug, name, dimension, display_order, comparison_order)"
+
+
+@query(_models_sql())
+def model_orders(spark: SparkSession, sf: str) -> DataFrame:
+    from millrace.operators import models
+
+    return models.catalogue(spark)
+
+
+@query(
+    _BM25
+    + """SELECT doc_id, to_json({'schema_version': 1, 'kind': 'search', 'id': CAST(doc_id AS VARCHAR), 'record_kind': 'MarkdownSection', 'tf': tf, 'channel': 'Lexical'})::VARCHAR AS json FROM top"""
+)
+def json_contract(spark: SparkSession, sf: str) -> DataFrame:
+    fields = F.struct(F.lit(1).alias("schema_version"), F.lit("search").alias("kind"), F.col("doc_id").cast("string").alias("id"), F.lit("MarkdownSection").alias("record_kind"), "tf", F.lit("Lexical").alias("channel"))
+    return _bm25(spark, sf).select("doc_id", F.to_json(fields).alias("json"))
