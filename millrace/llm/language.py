@@ -163,10 +163,10 @@ def identify(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
 
 def keep(docs: DataFrame) -> DataFrame:
     """The rows whose language is known well enough, unchanged."""
-    bad = materialize(identify(docs).where(~F.col("kept")).select(F.col("doc_id").alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct(), "rejected")
+    bad = materialize(identify(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_own_bad_id"), F.col("text_hash").alias("_own_bad_hash")).distinct(), "rejected")
     if bad.count() <= 100_000:
         bad = F.broadcast(bad)
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("bad_hash"))
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("_own_bad_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_own_bad_hash"))
     return docs.join(bad, on, "left_anti")
 
 

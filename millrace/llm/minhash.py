@@ -331,12 +331,12 @@ def classify(docs: DataFrame, k: int, threshold: int = THRESHOLD) -> DataFrame:
 def keep(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
     """One document of each group, the one with the smallest doc_id; all columns unchanged."""
     found = materialize(classify(docs, k, threshold), "groups")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("gone_id")).distinct()
-    out = docs.join(bounded(gone), F.col("doc_id").cast("long") == F.col("gone_id"), "left_anti")
-    again = materialize(found.where("kept AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id")), "repeated")
+    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_own_gone_id")).distinct()
+    out = docs.join(bounded(gone), F.col("doc_id").cast("long") == F.col("_own_gone_id"), "left_anti")
+    again = materialize(found.where("kept AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_own_again_id")), "repeated")
     if again.isEmpty():
         return out
-    on = F.col("doc_id").cast("long") == F.col("again_id")
+    on = F.col("doc_id").cast("long") == F.col("_own_again_id")
     return out.join(again, on, "left_anti").unionByName(out.join(again, on, "left_semi").dropDuplicates(["doc_id"]))
 
 
