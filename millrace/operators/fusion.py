@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,23 +49,23 @@ def fuse(candidates: DataFrame, mode: str = "balanced") -> DataFrame:
     """(query_id, id, channel, exact, score, rank) from (query_id, channel, id, pos).
 
     Raw scores play no part. The channel is the exact one if there, else that of the highest weight.
-    Scores are sums of at most five terms in channel order, so they do not depend on row order.
+    A channel's share is one term, and terms are added in channel order, so scores do not depend on row
+    order; sums by channel are plain hash aggregates with partial sums.
     """
     has_provenance = "provenance" in candidates.columns
     w = by_channel(F.lit(mode), F.col("channel"))
     rows = candidates.withColumn("weight", w).withColumn("o", order_of(F.col("channel")))
-    term = F.struct("o", "pos", (F.col("weight") / (OFFSET + F.col("pos"))).alias("x"))
+    share = F.col("weight") / (OFFSET + F.col("pos"))
     strength = F.struct((F.col("channel") == "Exact").alias("e"), F.col("weight").alias("w"), (-F.col("o")).alias("o"))
     aggregates = [
-        F.array_sort(F.collect_list(term)).alias("terms"),
+        *[F.coalesce(F.sum(F.when(F.col("channel") == c, share)), F.lit(0.0)).alias(f"_{c}") for c in CHANNELS],
         F.bool_or(F.col("channel") == "Exact").alias("exact"),
         F.max_by("channel", strength).alias("channel"),
     ]
     if has_provenance:
         aggregates.append(F.min_by("provenance", F.when(F.col("provenance").isNotNull(), F.col("o"))).alias("provenance"))
     fused = rows.groupBy("query_id", "id").agg(*aggregates)
-    total = F.aggregate("terms", F.lit(0.0), lambda a, t: a + t["x"])
-    calibrated = F.round(total, PLACES)
+    calibrated = F.round(reduce(lambda a, b: a + b, [F.col(f"_{c}") for c in CHANNELS]), PLACES)
     fused = fused.withColumn("calibrated", calibrated)
     order = Window.partitionBy("query_id").orderBy(F.desc("exact"), F.desc("calibrated"), "id")
     score = F.round(F.col("calibrated") + F.when(F.col("exact"), EXACT_BUCKET).otherwise(0.0), PLACES)

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -46,6 +50,50 @@ def scores(vectors: DataFrame, queries: DataFrame, places: int = PLACES) -> Data
     return out
 
 
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, by: str | None = None, places: int = PLACES) -> DataFrame:
+    """(query_id, [by,] id, score, rank): the best ``k`` vectors of each query, within ``by`` if given.
+
+    Blocks of queries go to the tasks as matrices of bounded size. A task multiplies its batches with
+    them and hands on only what may be among the best, so no row for each pair is made.
+    """
+    group = F.col(by).cast("string") if by else F.lit("")
+    rows = vectors.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"), group.alias("_group"))
+    kind = dict(queries.dtypes)["query_id"]
+    numbered = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    blocks = max(1, -(-numbered.count() // QUERY_BLOCK))
+    schema = f"query_id {kind}, id {dict(vectors.dtypes)['id']}, _group string, score double"
+    out = None
+    for block in range(blocks):
+        asked = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        if asked:
+            part = rows.mapInArrow(_multiplier([r["query_id"] for r in asked], np.asarray([r["vector"] for r in asked]), k, places), schema)
+            out = part if out is None else out.unionByName(part)
+    if out is None:
+        out = vectors.sparkSession.createDataFrame([], schema)
+    ranked = top_k(out.withColumn("score", F.round("score", places)), k, "query_id", "_group")
+    chosen = [F.col("_group").cast(dict(vectors.dtypes)[by]).alias(by)] if by else []
+    return ranked.select("query_id", *chosen, "id", "score", "rank")
+
+
+def _multiplier(query_ids: list, matrix: np.ndarray, k: int, places: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            groups = np.asarray(batch.column("_group").fill_null("").to_pylist())
+            values = batch.column("vector")
+            for g in np.unique(groups):
+                own = np.flatnonzero(groups == g)
+                v = values.take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1)
+                scores = np.round(v @ matrix.T, places)
+                least = min(k, len(own))
+                cut = np.partition(scores, len(own) - least, axis=0)[len(own) - least]
+                at, q = np.nonzero(scores >= cut)
+                ids = batch.column("id").take(pa.array(own[at]))
+                asked = pa.array([query_ids[i] for i in q])
+                yield pa.RecordBatch.from_arrays([asked, ids, pa.array([str(g)] * len(at)), pa.array(scores[at, q])], names=["query_id", "id", "_group", "score"])
+
+    return run
+
+
 def top_k(scored: DataFrame, k: int, *by: str) -> DataFrame:
     """The best ``k`` rows within ``by`` by score, ties to smaller ids."""
     window = Window.partitionBy(*by).orderBy(F.desc("score"), "id")

@@ -155,7 +155,7 @@ def _vectors(spark: SparkSession, sf: str) -> DataFrame:
 )
 def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
-    return vectors.top_k(vectors.scores(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector")), 10, "query_id")
+    return vectors.nearest(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), 10)
 
 
 @query(
@@ -169,8 +169,13 @@ def vector_topk(spark: SparkSession, sf: str) -> DataFrame:
 )
 def vector_topk_per_label(spark: SparkSession, sf: str) -> DataFrame:
     v = _vectors(spark, sf)
-    scored = vectors.scores(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"))
-    return vectors.top_k(scored.join(v.select("id", "label"), "id"), 3, "query_id", "label").select("query_id", "label", "id", "score", "rank")
+    return vectors.nearest(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"), 3, "label")
+
+
+@query(f"SELECT q.vec_id AS query_id, e.vec_id AS id, round({_DOT}, 6) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0")
+def vector_scores(spark: SparkSession, sf: str) -> DataFrame:
+    v = _vectors(spark, sf)
+    return vectors.scores(v, v.where("id % 100 = 0").select(F.col("id").alias("query_id"), "vector"))
 
 
 @query(
