@@ -27,6 +27,8 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.plans.shared import spread
+
 #: Bounds of the per-worker memories; they are cleared when full, which changes speed alone.
 MAX_STATES = 150_000
 MAX_PIECES = 300_000
@@ -268,7 +270,7 @@ def roundtrip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, SCHEMA)
 
 
 def op10_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:

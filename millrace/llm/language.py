@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.plans.shared import materialize
+from millrace.plans.shared import materialize, spread
 
 #: About so many labelled rows are used to fit the text model, however large the corpus.
 TRAIN_ROWS = 6000
@@ -99,7 +99,7 @@ def text_scores(docs: DataFrame, table: np.ndarray) -> DataFrame:
     host = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     declared = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("text_hash"), host.alias("host"), declared.alias("declared"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, host string, declared string, likelihood array<double>")
+    return spread(rows).mapInArrow(run, "doc_id long, text_hash long, host string, declared string, likelihood array<double>")
 
 
 def argmax(values: Column, names: list[str]) -> Column:

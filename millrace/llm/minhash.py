@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.plans.shared import materialize, remove
+from millrace.plans.shared import materialize, remove, spread
 
 ROWS, BANDS = 5, 40
 THRESHOLD = 80
@@ -143,7 +143,7 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), first, second, pa.array(sketches, pa.binary()), listed], names=["doc_id", "n_shingles", "class", "class2", "sketch", "bands"])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, class long, class2 long, sketch binary, bands array<long>")
+    return spread(rows).mapInArrow(run, "doc_id long, n_shingles long, class long, class2 long, sketch binary, bands array<long>")
 
 
 def parity(hashes: np.ndarray) -> bytes:
