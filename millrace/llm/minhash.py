@@ -48,7 +48,7 @@ PAIRS_AT_ONCE = 20_000
 #: Shingles whose coordinates are computed at a time; a document of any length takes bounded memory.
 BLOCK = 1 << 14
 
-#: Up to so many ids are broadcast (8 bytes each, counted first); beyond it their tables are shuffled.
+#: Tables of up to so many ids or buckets are broadcast (at most 24 bytes a row, counted first); larger ones are shuffled.
 BROADCAST_IDS = 500_000
 
 
@@ -271,8 +271,9 @@ def links(docs: DataFrame, signed: DataFrame, k: int, threshold: int = THRESHOLD
     """
     spark = signed.sparkSession
     rows = signed.select("id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    active = materialize(rows.join(shared, "bucket"), "buckets")
+    shared = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "shared")
+    active = materialize(rows.join(bounded(shared), "bucket"), "buckets")
+    remove(shared)
     facts = signed.select("id", "size", "sketch")
     found: DataFrame | None = None  # all links so far
     labels = spark.createDataFrame([], "id long, label long")
@@ -282,11 +283,11 @@ def links(docs: DataFrame, signed: DataFrame, k: int, threshold: int = THRESHOLD
         # Buckets of one component have nothing left to find. Hash order is the same in all buckets, so they agree on pivots.
         order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
         groups = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min(order).alias("first"))
-        open_ = groups.where("low <> high").select("bucket", "n", F.col("first.id").alias("first"))
+        open_ = materialize(groups.where("low <> high").select("bucket", "n", F.col("first.id").alias("first")), "open-buckets")
         share = F.pmod(F.xxhash64("id"), F.lit(1 << 31)) / float(1 << 31)
-        now = now.join(open_, "bucket").select("bucket", "n", "id", "label", ((F.col("id") == F.col("first")) | (share * F.col("n") < pivots - 1)).alias("is_pivot"))
+        now = now.join(bounded(open_), "bucket").select("bucket", "n", "id", "label", ((F.col("id") == F.col("first")) | (share * F.col("n") < pivots - 1)).alias("is_pivot"))
         now = materialize(now, "open")
-        remove(active)
+        remove(active), remove(open_)
         if now.isEmpty():
             break
         # Large buckets are dealt out in chunks; their pivots go to each.
