@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.functions import text as T
+from millrace.plans.shared import spread
 
 K1, B = 1.2, 0.75
 LIMIT = 100
@@ -29,41 +30,48 @@ def exact_lookup(postings: DataFrame, queries: DataFrame, id_column: str = "id")
     return rows.join(terms, "term").select("query_id", "id", "n_identifiers")
 
 
-def phrase_frequency(tokens: Column, phrase: list[str]) -> Column:
-    """How often the phrase's tokens stand side by side."""
-    if len(phrase) == 1:
-        return F.size(F.filter(tokens, lambda t: t == phrase[0]))
-    starts = F.filter(
-        F.transform(tokens, lambda t, i: F.when(t == phrase[0], i)),
-        lambda i: i.isNotNull(),
-    )
-    follows = lambda i: reduce(lambda a, b: a & b, [F.get(tokens, i + k) == w for k, w in enumerate(phrase) if k])
-    return F.size(F.filter(starts, lambda i: F.coalesce(follows(i), F.lit(False))))
+_TERM = "[\\p{L}\\p{N}]"
 
 
-def corpus_statistics(tokens: DataFrame, phrase: list[str]) -> dict:
-    """N, mean length and each term's document frequency, by one aggregation."""
-    counts = [F.count_if(F.array_contains("tokens", w)).alias(f"df{k}") for k, w in enumerate(phrase)]
-    return tokens.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("mean"), *counts).first().asDict()
+def phrase_pattern(words: list[str]) -> str:
+    """A pattern that matches the first token of each place where the tokens stand side by side.
+
+    The other tokens are looked ahead at, so places may overlap.
+    """
+    rest = "".join(f"[^\\p{{L}}\\p{{N}}]+{w}" for w in words[1:])
+    return f"(?<!{_TERM}){words[0]}(?={rest}(?!{_TERM}))"
+
+
+def length(lowered: Column) -> Column:
+    """The number of tokens, counted without making them."""
+    return F.regexp_count(lowered, F.lit(f"{_TERM}+"))
+
+
+def corpus_statistics(texts: DataFrame, words: list[str]) -> dict:
+    """N, mean length and each term's document frequency, by one aggregation over (id, lowered)."""
+    # A substring test is cheap, and most documents that fail a term fail it.
+    has = lambda w: F.contains("lowered", F.lit(w)) & F.col("lowered").rlike(phrase_pattern([w]))
+    counts = [F.count_if(has(w)).alias(f"df{k}") for k, w in enumerate(words)]
+    return texts.agg(F.count("*").alias("n"), F.avg(length(F.col("lowered"))).alias("mean"), *counts).first().asDict()
 
 
 def bm25_phrase(docs: DataFrame, phrase: str, id_column: str = "id", text_column: str = "content", limit: int = LIMIT) -> DataFrame:
     """(id, tf, dl, score) of the best documents that hold the phrase; scores have PLACES decimals.
 
-    The phrase's weight is the sum of its terms' inverse document frequencies.
+    The phrase's weight is the sum of its terms' inverse document frequencies. Tokens are counted by
+    patterns inside generated code; no token arrays are made.
     """
     session = docs.sparkSession
     words = [r["w"] for r in session.range(1).select(F.explode(T.unicode_tokens(F.lit(phrase))).alias("w")).collect()]
     if not words:
         return session.createDataFrame([], f"{id_column} {dict(docs.dtypes)[id_column]}, tf int, dl int, score double")
-    tokens = docs.select(id_column, T.unicode_tokens(F.col(text_column)).alias("tokens"))
-    stats = corpus_statistics(tokens, words)
+    texts = spread(docs.select(id_column, F.lower(F.col(text_column)).alias("lowered")))
+    stats = corpus_statistics(texts, words)
     n, mean = stats["n"], stats["mean"] or 1.0
     idf = reduce(lambda a, b: a + b, [F.log(F.lit(1 + (n - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5))) for k in range(len(words))])
-    # Substring tests on the raw text come first: they are cheap and drop most rows before tokens are made.
-    likely = reduce(lambda a, b: a & b, [F.contains(F.lower(text_column), F.lit(w)) for w in words])
-    found = docs.where(likely).select(id_column, T.unicode_tokens(F.col(text_column)).alias("tokens"))
-    found = found.select(id_column, phrase_frequency(F.col("tokens"), words).alias("tf"), F.size("tokens").alias("dl")).where("tf > 0")
+    likely = reduce(lambda a, b: a & b, [F.contains("lowered", F.lit(w)) for w in words])
+    found = texts.where(likely).withColumn("tf", F.regexp_count("lowered", F.lit(phrase_pattern(words)))).where("tf > 0")
+    found = found.select(id_column, "tf", length(F.col("lowered")).alias("dl"))
     tf = F.col("tf").cast("double")
     score = idf * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / mean))
     found = found.withColumn("score", F.round(T.finite(score), PLACES))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.functions import hashing as H
 from millrace.functions import text as T
 from millrace.operators import chunking, fusion, lexical, relations, state, trees, vectors
-from millrace.plans.shared import table
+from millrace.plans.shared import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -63,14 +63,14 @@ def exact_identifier(spark: SparkSession, sf: str) -> DataFrame:
 )
 def ascii_token_df(spark: SparkSession, sf: str) -> DataFrame:
     # Terms are counted within their row first, so a document's term is one row of the shuffle's input.
-    tokens = documents(spark, sf).select(F.explode(T.ascii_tokens(F.lower("text"))).alias("token"), "doc_id")
+    tokens = spread(documents(spark, sf).select("doc_id", "text")).select(F.explode(T.ascii_tokens(F.lower("text"))).alias("token"), "doc_id")
     by_doc = tokens.groupBy("token", "doc_id").agg(F.count("*").alias("n"))
     return by_doc.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
 
 
 @query(f"SELECT doc_id, CAST(len({TOKENS}) AS INTEGER) AS dl FROM documents")
 def unicode_doc_length(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).select("doc_id", F.size(T.unicode_tokens(F.col("text"))).alias("dl"))
+    return documents(spark, sf).select("doc_id", lexical.length(F.lower("text")).alias("dl"))
 
 
 _BM25 = f"""
