@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from millrace import schema as S
 from millrace.operators import state
 from millrace.plans.shared import materialize
 from millrace.plans.store import Store
@@ -43,4 +42,4 @@ def start(events: DataFrame, store: Store, checkpoint: str) -> StreamingQuery:
     return events.writeStream.foreachBatch(lambda df, i: apply_batch(store, df, i) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-__all__ = ["EVENTS", "RECORDS", "S", "apply_batch", "start"]
+__all__ = ["EVENTS", "RECORDS", "apply_batch", "start"]
