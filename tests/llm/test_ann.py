@@ -41,7 +41,6 @@ def test_equal_vectors_ties_and_odd_sizes(spark):
     same = rng.normal(size=7)
     check(spark, {i: same if i % 3 else rng.normal(size=7) for i in range(600)}, 0.97)
     check(spark, {i: rng.normal(size=2) for i in range(15)}, 1)
-    check(spark, {0: same}, 1) if False else None
 
 
 def test_query_recall(spark, sf_dir):
