@@ -25,3 +25,23 @@ def render(response: dict, form: str = "technical", number: int = 1) -> str:
         percent = round(max(h["score"], 0) / best * 100) if best > 0 else 0
         lines.append(f"{i}. {h['title']} — {h['path']} ({percent}%)")
     return "\n".join(lines)
+
+
+class Pager:
+    """Pages of one response: next, prev, page N, repeat; a page out of range leaves the place."""
+
+    def __init__(self, response: dict):
+        self.response, self.number = response, 1
+        self.pages = max(1, math.ceil(len(response["hits"]) / PAGE))
+
+    def do(self, command: str) -> str:
+        word, _, rest = command.strip().partition(" ")
+        wanted = {"next": self.number + 1, "prev": self.number - 1, "repeat": self.number}.get(word)
+        if word == "page":
+            wanted = int(rest) if rest.strip().isdigit() else None
+        if wanted is None:
+            return f"unknown command: {command}"
+        if not 1 <= wanted <= self.pages:
+            return f"no page {wanted}; there are {self.pages}"
+        self.number = wanted
+        return render(self.response, "human", wanted)
