@@ -23,6 +23,13 @@ def test_any_text_encodes_as_the_library_does(text):
     assert ENCODER.encode(text) == REFERENCE.encode_ordinary(text)
 
 
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.characters(max_codepoint=255), max_size=40))
+def test_latin_splitter_splits_alike(text):
+    assert B.latin_splitter(P.PATTERN)(text) == ENCODER.split(text)
+    assert B.latin_splitter(r"\w+") is None
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.binary(min_size=1, max_size=40))
 def test_any_bytes_merge_alike(raw):
