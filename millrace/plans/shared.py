@@ -33,7 +33,7 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_root(spark)}/millrace/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str, compression: str = "zstd", batch_rows: int = 2000) -> DataFrame:
+def materialize(df: DataFrame, label: str, compression: str = "zstd", batch_rows: int = 500) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 
     This cuts the lineage: later jobs reread whole files that outlive any executor. The shuffle files
