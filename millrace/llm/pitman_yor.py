@@ -1,23 +1,27 @@
 """Hierarchical Pitman-Yor language model: seating by Gibbs sampling, averaged predictions as scores.
 
-Restaurants. A word is drawn in the restaurant of its context: the last two bytes of the word before
-(``<s>`` before the first). Its parent is the restaurant of the last byte, whose parent is the one
-root restaurant, over a uniform base of the vocabulary and one unseen word. So contexts share parents,
-there are at most 65,536 restaurants whatever the corpus, and totals by restaurant are small tables.
-Dishes are unbounded: every word of every training document is counted.
+Restaurants. A word is drawn in the restaurant of its context: the whole word before (the end token
+before the first). Its parent is the restaurant of that word's last two bytes, whose parent is that of
+the last byte, whose parent is the one root restaurant, over a uniform base of the vocabulary and one
+unseen word. Contexts and dishes are unbounded: every pair of words of every training document is counted.
+A word's key is 48 bits of its hash above its last two bytes, so a key names its parents too.
 
 Seating. For each (restaurant, word) with c customers at t tables, collapsed Gibbs steps take a customer
 away and seat it anew: by exchangeability it sat alone with probability S(c-1, t-1) / S(c, t)
 (generalised Stirling numbers), and opens a table with probability in proportion to
 (strength + discount * T) * parent, against c - 1 - discount * t. Tables are customers of the parent. For
 more than LARGE customers a blocked move seats them all again in growing groups, each binomial.
-A restaurant's total T is estimated while sampling from the words in the same partition, which are a
-hash sample of all; the exact totals of the sampled seating are used for every prediction.
+While seats are sampled, a suffix restaurant's total T is estimated from the words in the same
+partition, which are a hash sample of all; a whole word's is its exact number of distinct words,
+times the tables for each distinct word that restaurants of its size have in the partition. The exact
+totals of the sampled seating are used for every prediction.
 
 Scale. Documents are coded in blocks of bounded size. A block sends its distinct (context, word) counts to
-partitions by word; a partition merges them, samples, and sends back, to each block, what predictions
-need for the block's own pairs. So what moves follows distinct pairs, not tokens, and no group outgrows
-a block or a share of the vocabulary. The probability of a text is the average over SAMPLES seatings.
+partitions by word. A partition merges them, samples, and sends back, to each block, what predictions
+need for the block's own pairs. Totals of whole-word restaurants are a distributed table: partitions
+send their parts to the partition of the context's own key, which adds them up and answers those who
+have that context. So what moves follows distinct pairs, not tokens. All contexts of one word meet in its
+partition. The probability of a text is the average over SAMPLES seatings.
 
 Defined results: null or empty text is its end token alone. Rows with a null doc_id are held out by no
 rule and train. Repeated rows count each. Extra columns are not read. Without training tokens every
@@ -39,11 +43,11 @@ from millrace.plans.shared import materialize, spread
 
 #: The end of a text: no word can hold a space.
 END = b" "
-#: Contexts are two bytes. No word has white space, so bytes below that cannot end one name the others.
-ONE_BYTE, START = 0x2000, 0x0900
-CONTEXTS = 1 << 16
-DISCOUNTS = (0.6, 0.7, 0.8)  # root, one byte, two bytes
-STRENGTHS = (1.0, 2.0, 2.0)
+#: Suffixes are two bytes. No word has white space, so bytes below that cannot end one name the others.
+ONE_BYTE = 0x2000
+SUFFIXES = 1 << 16
+DISCOUNTS = (0.6, 0.7, 0.8, 0.8)  # root, one byte, two bytes, whole word
+STRENGTHS = (1.0, 2.0, 2.0, 2.0)
 SAMPLES = 2
 BURN = 2
 #: Customers of one dish up to which single Gibbs steps are taken.
@@ -52,15 +56,22 @@ STEPS = 8
 BLOCK_BYTES = 12 << 20
 
 
-def context(word: bytes) -> int:
-    """The restaurant of the word that follows ``word``: its last two bytes, or its only one."""
+def suffix(word: bytes) -> int:
+    """The suffix restaurant above that of ``word``: its last two bytes, or its only one."""
     return word[-1] * 256 + word[-2] if len(word) > 1 else ONE_BYTE + word[0]
 
 
-def parent(contexts: np.ndarray) -> np.ndarray:
-    """The one-byte restaurant above each; the start has its own."""
-    high = contexts >> 8
-    return np.where(high == ONE_BYTE >> 8, contexts & 255, high)
+def parent(suffixes: np.ndarray) -> np.ndarray:
+    """The one-byte restaurant above each."""
+    high = suffixes >> 8
+    return np.where(high == ONE_BYTE >> 8, suffixes & 255, high)
+
+
+def cuts(keys: np.ndarray, partitions: int) -> np.ndarray:
+    """Where each partition's keys begin among sorted ones, and their end."""
+    limits = np.searchsorted((keys >> np.uint64(32)).astype(np.float64) * partitions / 2**32, np.arange(partitions + 1))
+    limits[-1] = len(keys)
+    return limits
 
 
 def squeezed(raw: bytes) -> bytes:
@@ -114,7 +125,8 @@ def stirling_alone(discount: float, most: int = LARGE) -> np.ndarray:
 
 
 def code_blocks(docs: DataFrame, partitions: int) -> DataFrame:
-    """Blocks of coded documents: rows of kind 0 (a document) and 1 (a block's counts for one partition).
+    """Blocks of coded documents: rows of kind 0 (a document), 1 (a block's counts for one partition) and
+    2 (a block's pairs: how many each word has, their contexts as places among its words, its suffixes).
 
     A document's tokens are numbers of the block's distinct (context, word) pairs. Pairs are ordered by
     partition, word and context, so counts and answers need no keys.
@@ -131,45 +143,45 @@ def code_blocks(docs: DataFrame, partitions: int) -> DataFrame:
             rows[i] = (doc_id, held, None)
         words = list(ids)
         hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words))
-        contexts = np.fromiter((context(x) for x in words), np.int64, len(words))
-        order = np.argsort(hashes, kind="stable")
+        keys = (hashes & ~np.uint64(0xFFFF)) | np.fromiter(map(suffix, words), np.uint64, len(words))
+        order = np.argsort(keys, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
-        hashes = hashes[order]
+        keys = keys[order]
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        flat = np.concatenate(tokens).astype(np.int64)
-        del tokens, words, ids, get
+        flat = rank[np.concatenate(tokens)]
+        start = rank[get(END)]
+        del tokens, words, ids, get, hashes
         before = np.empty_like(flat)
-        before[1:] = contexts[flat[:-1]]
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        before[starts] = START
-        flat = rank[flat]
-        flat *= CONTEXTS
-        flat += before
+        before[1:] = flat[:-1]
+        before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = start
+        flat <<= 32
+        flat |= before
         del before
         pairs = np.unique(flat)
         places = np.searchsorted(pairs, flat).astype(np.uint32)
         del flat
         held = np.fromiter((h for _, h, _ in rows), bool, len(rows))
         counts = np.bincount(places, weights=np.repeat(~held, sizes), minlength=len(pairs)).astype(np.uint32)
-        word, ctx = pairs >> 16, (pairs & 0xFFFF).astype(np.uint16)
+        word, ctx = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.uint32)
+        del pairs
         ends = np.cumsum(sizes)
-        limits = np.searchsorted((hashes >> np.uint64(32)).astype(np.float64) * partitions / 2**32, np.arange(partitions + 1))
-        limits[-1] = len(hashes)
-        cuts = np.searchsorted(word, limits)
+        each = np.bincount(word, minlength=len(keys)).astype(np.uint32)  # every word has a pair
+        limits = cuts(keys, partitions)
+        bounds = np.searchsorted(word, limits)
         parts = []
         for p in range(partitions):
-            lo, hi = cuts[p], cuts[p + 1]
+            lo, hi, first, last = bounds[p], bounds[p + 1], limits[p], limits[p + 1]
             if hi > lo:
-                w = word[lo:hi]
-                new = np.concatenate([[True], w[1:] != w[:-1]])
-                each = np.diff(np.concatenate([np.flatnonzero(new), [len(w)]])).astype(np.uint32)
-                parts.append((p, hashes[w[new]].tobytes(), squeezed(each.tobytes()), squeezed(ctx[lo:hi].tobytes()), squeezed(counts[lo:hi].tobytes())))
+                parts.append((p, keys[first:last].tobytes(), squeezed(each[first:last].tobytes()), keys[ctx[lo:hi]].tobytes(), squeezed(counts[lo:hi].tobytes())))
         n = len(parts)
         kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), *[pa.binary()] * 4]
         names = ["kind", "block", "doc_id", "held_out", "part", "a", "b", "c", "d"]
         columns = [[1] * n, [block_id] * n, [None] * n, [None] * n, *([x[i] for x in parts] for i in range(5))]
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
+        shape = [squeezed(each.tobytes()), squeezed(narrow(ctx)), squeezed((keys & np.uint64(0xFFFF)).astype(np.uint16).tobytes())]
+        columns = [[2], [block_id], [None], [None], [None], *([x] for x in shape), [None]]
+        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
         m = len(rows)
         columns = [[0] * m, [block_id] * m, [r[0] for r in rows], [r[1] for r in rows], [None] * m, [narrow(places[e - s : e]) for s, e in zip(sizes, ends, strict=True)], [None] * m, [None] * m, [None] * m]
         yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
@@ -221,92 +233,155 @@ def seat(c: np.ndarray, t: np.ndarray, base: np.ndarray, discount: float, openin
         t[many] = np.minimum(tables, total)
 
 
-def sample_part(rows: pd.DataFrame, share: float, seed: int) -> tuple[list[tuple], dict]:
-    """Merges a partition's counts, samples seatings, and answers every block.
-
-    An answer has, by word: training count (high and low part) and the root's mass in each sample; and by
-    pair: its context, the average mass of its own restaurant, and its parent's mass in each sample.
-    Mass is customers less discounts. Words and pairs are places in tables of the rows that occur.
+class Merged:
+    """A partition's counts from all blocks: its words, their contexts and pairs, in order of their keys."""
+
+    def __init__(self, rows: pd.DataFrame) -> None:
+        self.blocks = rows["block"].tolist()
+        found = [(np.frombuffer(a, np.uint64), np.frombuffer(opened(b), np.uint32), np.frombuffer(c, np.uint64), np.frombuffer(opened(d), np.uint32)) for a, b, c, d in zip(rows["a"], rows["b"], rows["c"], rows["d"], strict=True)]
+        self.keys = np.unique(np.concatenate([x[0] for x in found]))
+        self.contexts = np.unique(np.concatenate([x[2] for x in found]))
+        many = len(self.contexts)
+        self.words = [np.searchsorted(self.keys, a) for a, *_ in found]
+        own = [np.repeat(w, b) * many + np.searchsorted(self.contexts, c) for w, (_, b, c, _) in zip(self.words, found, strict=True)]
+        pairs = np.unique(np.concatenate(own))
+        self.places = [np.searchsorted(pairs, x) for x in own]
+        self.counts = np.zeros(len(pairs), np.int64)
+        for at, (*_, d) in zip(self.places, found, strict=True):
+            np.add.at(self.counts, at, d)
+        self.word, self.ctx = np.divmod(pairs, many)
+
+
+def sample_part(m: Merged, types: np.ndarray, share: float, seed: int) -> tuple[list[tuple], dict, np.ndarray]:
+    """Samples seatings of a partition, and answers every block; also sums, and tables by context.
+
+    ``types`` has each context's number of distinct words in the whole training part. An answer has, by
+    word: training count (high and low part) and the root's mass in each sample; and by pair: the average
+    mass of its own restaurant, and the mass of the two above in each sample. Mass is customers less
+    discounts. Words and pairs are places in tables of the rows that occur.
     """
-    from_blocks = [(np.frombuffer(a, np.uint64), np.frombuffer(opened(b), np.uint32), np.frombuffer(opened(c), np.uint16), np.frombuffer(opened(d), np.uint32)) for a, b, c, d in zip(rows["a"], rows["b"], rows["c"], rows["d"], strict=True)]
-    hashes = np.unique(np.concatenate([x[0] for x in from_blocks]))
-    keys = [np.repeat(np.searchsorted(hashes, a), b) * CONTEXTS + c for a, b, c, _ in from_blocks]
-    pairs = np.unique(np.concatenate(keys))
-    places = [np.searchsorted(pairs, x) for x in keys]
-    c2 = np.zeros(len(pairs), np.int64)
-    for at, (_, _, _, d) in zip(places, from_blocks, strict=True):
-        c2[at] += d
-    word, ctx = pairs >> 16, pairs & 0xFFFF
-    mid_keys, mid = np.unique(word * 512 + parent(ctx), return_inverse=True)
-    mid_word, mid_ctx = mid_keys >> 9, mid_keys & 511
-    n = len(hashes)
-    counts = np.bincount(word, weights=c2, minlength=n).astype(np.int64)
-    d0, d1, d2 = DISCOUNTS
+    c3, word, ctx = m.counts, m.word, m.ctx
+    ends = (m.contexts & np.uint64(0xFFFF)).astype(np.int64)[ctx]
+    two_keys, two = np.unique(word * SUFFIXES + ends, return_inverse=True)
+    two_word, two_ctx = two_keys >> 16, two_keys & 0xFFFF
+    one_keys, one = np.unique(two_word * 512 + parent(two_ctx), return_inverse=True)
+    one_word, one_ctx = one_keys >> 9, one_keys & 511
+    n = len(m.keys)
+    counts = np.bincount(word, weights=c3, minlength=n).astype(np.int64)
+    d0, d1, d2, d3 = DISCOUNTS
     alone = [stirling_alone(d) for d in DISCOUNTS]
     rng = np.random.default_rng(seed)
     uniform = share / max(1.0, float((counts > 0).sum()))  # 1 / V, from this sample of the vocabulary
-    t2 = np.minimum(c2, 1)
+    by = lambda at, v, size: np.bincount(at, weights=v, minlength=size)
+    below = lambda at, v, size: by(at, v, size).astype(np.int64)
+    fit = lambda t, c: np.minimum(c, 1) if t is None else np.clip(t, np.minimum(c, 1), c)
+    t3 = np.minimum(c3, 1)
+    local = by(ctx, t3, len(types))
+    size_class = np.log2(np.maximum(types, 1)).astype(np.int64)
+    class_types = np.maximum(by(size_class, local, 64), 1.0)
+    t2 = t1 = t0 = None
     seatings = []
-    c_mid_ctx_of = lambda v, size, at: np.bincount(at, weights=v, minlength=size)
-    t1 = t0 = None
     for sweep in range(BURN + SAMPLES):
-        c1 = np.bincount(mid, weights=t2, minlength=len(mid_keys)).astype(np.int64)
-        t1 = np.minimum(c1, 1) if t1 is None else np.clip(t1, np.minimum(c1, 1), c1)
-        c0 = np.bincount(mid_word, weights=t1, minlength=n).astype(np.int64)
-        t0 = np.minimum(c0, 1) if t0 is None else np.clip(t0, np.minimum(c0, 1), c0)
-        for level in ("root", "mid", "own"):
-            if level == "root":
-                opening = STRENGTHS[0] + d0 * t0.sum() / share
-                seat(c0, t0, np.full(n, uniform), d0, np.full(n, opening), alone[0], rng)
-                p0 = (c0 - d0 * t0 + (STRENGTHS[0] + d0 * t0.sum() / share) * uniform) / (STRENGTHS[0] + max(1.0, c0.sum() / share))
-            elif level == "mid":
-                total_t, total_c = c_mid_ctx_of(t1, 512, mid_ctx) / share, c_mid_ctx_of(c1, 512, mid_ctx) / share
-                seat(c1, t1, p0[mid_word], d1, (STRENGTHS[1] + d1 * total_t)[mid_ctx], alone[1], rng)
-                p1 = (c1 - d1 * t1 + (STRENGTHS[1] + d1 * total_t[mid_ctx]) * p0[mid_word]) / (STRENGTHS[1] + total_c[mid_ctx])
-            else:
-                total_t = c_mid_ctx_of(t2, CONTEXTS, ctx) / share
-                seat(c2, t2, p1[mid], d2, (STRENGTHS[2] + d2 * total_t)[ctx], alone[2], rng)
+        c2 = below(two, t3, len(two_keys))
+        t2 = fit(t2, c2)
+        c1 = below(one, t2, len(one_keys))
+        t1 = fit(t1, c1)
+        c0 = below(one_word, t1, n)
+        t0 = fit(t0, c0)
+        opening = STRENGTHS[0] + d0 * t0.sum() / share
+        seat(c0, t0, np.full(n, uniform), d0, np.full(n, opening), alone[0], rng)
+        p0 = (c0 - d0 * t0 + (STRENGTHS[0] + d0 * t0.sum() / share) * uniform) / (STRENGTHS[0] + max(1.0, c0.sum() / share))
+        total_t, total_c = by(one_ctx, t1, 512) / share, by(one_ctx, c1, 512) / share
+        seat(c1, t1, p0[one_word], d1, (STRENGTHS[1] + d1 * total_t)[one_ctx], alone[1], rng)
+        p1 = (c1 - d1 * t1 + (STRENGTHS[1] + d1 * total_t[one_ctx]) * p0[one_word]) / (STRENGTHS[1] + total_c[one_ctx])
+        total_t, total_c = by(two_ctx, t2, SUFFIXES) / share, by(two_ctx, c2, SUFFIXES) / share
+        seat(c2, t2, p1[one], d2, (STRENGTHS[2] + d2 * total_t)[two_ctx], alone[2], rng)
+        p2 = (c2 - d2 * t2 + (STRENGTHS[2] + d2 * total_t[two_ctx]) * p1[one]) / (STRENGTHS[2] + total_c[two_ctx])
+        ratio = np.maximum(by(size_class, by(ctx, t3, len(types)), 64) / class_types, 1.0)
+        seat(c3, t3, p2[two], d3, (STRENGTHS[3] + d3 * types * ratio[size_class])[ctx], alone[3], rng)
         if sweep >= BURN:
-            c1 = np.bincount(mid, weights=t2, minlength=len(mid_keys)).astype(np.int64)
-            s1 = np.clip(t1, np.minimum(c1, 1), c1)
-            c0 = np.bincount(mid_word, weights=s1, minlength=n).astype(np.int64)
-            s0 = np.clip(t0, np.minimum(c0, 1), c0)
-            seatings.append((t2.copy(), c1, s1, c0, s0))
+            c2 = below(two, t3, len(two_keys))
+            s2 = fit(t2, c2)
+            c1 = below(one, s2, len(one_keys))
+            s1 = fit(t1, c1)
+            c0 = below(one_word, s1, n)
+            seatings.append((t3.copy(), c2, s2, c1, s1, c0, fit(t0, c0)))
     sums = {"tokens": int(counts.sum()), "types": int((counts > 0).sum())}
-    sums["c2"] = np.bincount(ctx, weights=c2, minlength=CONTEXTS)
-    for s, (x2, y1, x1, y0, x0) in enumerate(seatings):
-        sums[f"t2_{s}"] = np.bincount(ctx, weights=x2, minlength=CONTEXTS)
-        sums[f"c1_{s}"] = np.bincount(mid_ctx, weights=y1, minlength=512)
-        sums[f"t1_{s}"] = np.bincount(mid_ctx, weights=x1, minlength=512)
+    for s, (_, y2, x2, y1, x1, y0, x0) in enumerate(seatings):
+        sums |= {f"c2_{s}": by(two_ctx, y2, SUFFIXES), f"t2_{s}": by(two_ctx, x2, SUFFIXES), f"c1_{s}": by(one_ctx, y1, 512), f"t1_{s}": by(one_ctx, x1, 512)}
         sums[f"c0_{s}"], sums[f"t0_{s}"] = np.asarray([float(y0.sum())]), np.asarray([float(x0.sum())])
+    tables = np.stack([by(ctx, x[0], len(types)) for x in seatings]).astype(np.uint32)
     # A pair's own mass enters predictions linearly, so its average is all that is needed; what is above it varies by sample.
-    own = np.mean([c2 - d2 * x[0] for x in seatings], axis=0)
-    middle = np.stack([x[1] - d1 * x[2] for x in seatings], 1)[mid]
+    own = np.mean([c3 - d3 * x[0] for x in seatings], axis=0)
+    middle = np.stack([x[1] - d2 * x[2] for x in seatings] + [(x[3] - d1 * x[4])[one] for x in seatings], 1)[two]
     pair_rows, pair_at = np.unique(np.column_stack([own, middle]).astype(np.float32), axis=0, return_inverse=True)
-    root = np.stack([x[3] - d0 * x[4] for x in seatings], 1)
+    root = np.stack([x[5] - d0 * x[6] for x in seatings], 1)
     word_rows, word_at = np.unique(np.column_stack([counts // (1 << 20), counts % (1 << 20), root]).astype(np.float32), axis=0, return_inverse=True)
     answers = []
-    for block_id, at, (a, b, _, _) in zip(rows["block"], places, from_blocks, strict=True):
-        w = np.searchsorted(hashes, a)
-        answers.append((int(block_id), squeezed(b.tobytes()), *coded(word_at.ravel()[w], word_rows), squeezed(ctx[at].astype(np.uint16).tobytes()), *coded(pair_at.ravel()[at], pair_rows)))
-    return answers, sums
+    for block_id, w, at in zip(m.blocks, m.words, m.places, strict=True):
+        answers.append((int(block_id), *coded(word_at.ravel()[w], word_rows), *coded(pair_at.ravel()[at], pair_rows)))
+    return answers, sums, tables
+
+
+def context_types(blocks: DataFrame, partitions: int) -> DataFrame:
+    """To each partition, in order of its contexts: their numbers of distinct words in all partitions."""
+
+    def send(rows: pd.DataFrame) -> pd.DataFrame:
+        m = Merged(rows.sort_values("block"))
+        types = np.bincount(m.ctx, weights=m.counts > 0, minlength=len(m.contexts)).astype(np.uint32)
+        at, p = cuts(m.contexts, partitions), int(rows["part"].iloc[0])
+        out = [(q, p, m.contexts[lo:hi].tobytes(), squeezed(types[lo:hi].tobytes())) for q, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
+        return pd.DataFrame(out, columns=["home", "part", "keys", "types"])
 
+    def add(rows: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(x, np.uint64) for x in rows["keys"]]
+        whole = np.unique(np.concatenate(keys))
+        places, total = [np.searchsorted(whole, x) for x in keys], np.zeros(len(whole), np.uint32)
+        for at, types in zip(places, rows["types"], strict=True):
+            total[at] += np.frombuffer(opened(types), np.uint32)
+        return pd.DataFrame({"home": rows["home"], "part": rows["part"], "types": [squeezed(total[at].tobytes()) for at in places]})
 
-ANSWER = ["each", "word_rows", "words", "ctx", "pair_rows", "pairs"]
+    sent = blocks.where("kind = 1").select("block", "part", "a", "b", "c", "d").groupBy("part").applyInPandas(send, "home int, part int, keys binary, types binary")
+    return sent.groupBy("home").applyInPandas(add, "home int, part int, types binary")
 
 
-def fit_and_answer(blocks: DataFrame, partitions: int) -> DataFrame:
-    """Answers to all blocks (kind 1), and each partition's sums (kind 0)."""
+ANSWER = ["word_rows", "words", "pair_rows", "pairs"]
 
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
+
+def fit_and_answer(blocks: DataFrame, types: DataFrame, partitions: int) -> DataFrame:
+    """Answers to all blocks (kind 1), each partition's sums (0), and its tables by context for their homes (2)."""
+
+    def run(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         p = int(rows["part"].iloc[0])
-        answers, sums = sample_part(rows.sort_values("block"), 1.0 / partitions, 1_000 + p)
+        m = Merged(rows.sort_values("block"))
+        whole = np.concatenate([np.frombuffer(opened(x), np.uint32) for x in known.sort_values("home")["types"]]).astype(np.float64)
+        answers, sums, tables = sample_part(m, whole, 1.0 / partitions, 1_000 + p)
         packed = np.concatenate([[sums["tokens"], sums["types"]], *[sums[k] for k in sorted(sums) if k not in ("tokens", "types")]]).astype(np.float64)
-        out = [(1, b, p, *x) for b, *x in answers] + [(0, -1, p, squeezed(packed.tobytes()), None, None, None, None, None)]
+        out = [(1, b, p, *x) for b, *x in answers] + [(0, -1, p, squeezed(packed.tobytes()), None, None, None)]
+        at = cuts(m.contexts, partitions)
+        out += [(2, -1, q, m.contexts[lo:hi].tobytes(), squeezed(tables[:, lo:hi].tobytes()), None, None) for q, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
         return pd.DataFrame(out, columns=["kind", "block", "part", *ANSWER])
 
     schema = "kind int, block long, part int, " + ", ".join(f"{x} binary" for x in ANSWER)
-    return blocks.where("kind = 1").select("block", "part", "a", "b", "c", "d").groupBy("part").applyInPandas(run, schema)
+    sent = blocks.where("kind = 1").select("block", "part", "a", "b", "c", "d").groupBy("part")
+    return sent.cogroup(types.groupBy("part")).applyInPandas(run, schema)
+
+
+def context_tables(blocks: DataFrame, answers: DataFrame) -> DataFrame:
+    """To each block, in order of its words: the tables in each word's own restaurant, by sample (column ``tables``)."""
+
+    def run(own: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
+        keys = [np.frombuffer(x, np.uint64) for x in sent["word_rows"]]
+        whole = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+        total = np.zeros((SAMPLES, len(whole)), np.uint32)
+        for x, tables in zip(keys, sent["words"], strict=True):
+            total[:, np.searchsorted(whole, x)] += np.frombuffer(opened(tables), np.uint32).reshape(SAMPLES, -1)
+        # Every word of a block is the context of another of its tokens, or its end.
+        out = [squeezed(total[:, np.searchsorted(whole, np.frombuffer(a, np.uint64))].tobytes()) for a in own["a"]]
+        return pd.DataFrame({"block": own["block"], "part": own["part"], "tables": out})
+
+    homes = blocks.where("kind = 1").select("block", "part", "a").groupBy("part")
+    return homes.cogroup(answers.where("kind = 2").select("part", "word_rows", "words").groupBy("part")).applyInPandas(run, "block long, part int, tables binary")
 
 
 def totals(answers: DataFrame) -> dict[str, np.ndarray]:
@@ -319,14 +394,14 @@ def totals(answers: DataFrame) -> dict[str, np.ndarray]:
                 x = np.frombuffer(opened(x.as_buffer()), np.float64)
                 total = x.copy() if total is None else total + x
         if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([squeezed(total.tobytes())], pa.binary())], names=["each"])
+            yield pa.RecordBatch.from_arrays([pa.array([squeezed(total.tobytes())], pa.binary())], names=["sums"])
 
-    sums = answers.where("kind = 0").select("each")
+    sums = answers.where("kind = 0").select(F.col("word_rows").alias("sums"))
     for few in (32, 1):
-        sums = sums.coalesce(few).mapInArrow(add, "each binary")
+        sums = sums.coalesce(few).mapInArrow(add, "sums binary")
     row = sums.first()
-    sizes = {"c2": CONTEXTS} | {f"t2_{s}": CONTEXTS for s in range(SAMPLES)} | {f"{k}_{s}": 512 for k in ("c1", "t1") for s in range(SAMPLES)} | {f"{k}_{s}": 1 for k in ("c0", "t0") for s in range(SAMPLES)}
-    whole = np.frombuffer(opened(bytes(row["each"])), np.float64) if row else np.zeros(2 + sum(sizes.values()))
+    sizes = {f"{k}_{s}": SUFFIXES for k in ("c2", "t2") for s in range(SAMPLES)} | {f"{k}_{s}": 512 for k in ("c1", "t1") for s in range(SAMPLES)} | {f"{k}_{s}": 1 for k in ("c0", "t0") for s in range(SAMPLES)}
+    whole = np.frombuffer(opened(bytes(row["sums"])), np.float64) if row else np.zeros(2 + sum(sizes.values()))
     out, at = {"tokens": int(whole[0]), "types": int(whole[1])}, 2
     for name in sorted(sizes):
         out[name] = whole[at : at + sizes[name]]
@@ -337,25 +412,30 @@ def totals(answers: DataFrame) -> dict[str, np.ndarray]:
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_docs(blocks: DataFrame, answers: DataFrame, model: dict, spark: SparkSession) -> DataFrame:
+def score_docs(blocks: DataFrame, answers: DataFrame, tables: DataFrame, model: dict, spark: SparkSession) -> DataFrame:
     """Scores of all documents, block by block."""
-    shared = spark.sparkContext.broadcast(model)  # a fixed size: sums by restaurant
+    shared = spark.sparkContext.broadcast(model)  # a fixed size: sums by suffix
 
     def run(docs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         m = shared.value
         own = own.sort_values("part")
-        view = lambda name, kind: np.concatenate([np.frombuffer(opened(x), kind) for x in own[name]]) if len(own) else np.zeros(0, kind)
-        each, ctx = view("each", np.uint32), view("ctx", np.uint16).astype(np.int64)
-        table = lambda rows, at, n: np.concatenate([np.frombuffer(opened(x), np.float32).reshape(n, -1).T[wide(opened(y))] for x, y in zip(own[rows], own[at], strict=True)]).astype(float) if len(own) else np.zeros((0, n))
-        words, pairs = table("word_rows", "words", 2 + SAMPLES), table("pair_rows", "pairs", 1 + SAMPLES)
+        homes, own = own[own["tables"].notna()], own[own["tables"].isna()]
+        shape, docs = docs[docs["kind"] == 2].iloc[0], docs[docs["kind"] == 0]
+        each, ctx = np.frombuffer(opened(shape["a"]), np.uint32), wide(opened(shape["b"]))
+        ends = np.frombuffer(opened(shape["c"]), np.uint16).astype(np.int64)[ctx]
+        table = lambda rows, at, n: np.concatenate([np.frombuffer(opened(x), np.float32).reshape(n, -1).T[wide(opened(y))] for x, y in zip(own[rows], own[at], strict=True)]).astype(float)
+        words, pairs = table("word_rows", "words", 2 + SAMPLES), table("pair_rows", "pairs", 1 + 2 * SAMPLES)
+        seated = np.concatenate([np.frombuffer(opened(x), np.uint32).reshape(SAMPLES, -1) for x in homes["tables"]], 1)
         counts, root = words[:, 0] * (1 << 20) + words[:, 1], words[:, 2:]
-        word, mid = np.repeat(np.arange(len(each)), each), parent(ctx)
+        word, one = np.repeat(np.arange(len(each)), each), parent(ends)
         uniform = 1.0 / (m["types"] + 1)
         p = np.zeros(len(ctx))
         for s in range(SAMPLES):
             p0 = (root[:, s] + (STRENGTHS[0] + DISCOUNTS[0] * m[f"t0_{s}"][0]) * uniform) / (STRENGTHS[0] + m[f"c0_{s}"][0])
-            p1 = (pairs[:, 1 + s] + (STRENGTHS[1] + DISCOUNTS[1] * m[f"t1_{s}"][mid]) * p0[word]) / (STRENGTHS[1] + m[f"c1_{s}"][mid])
-            p += (pairs[:, 0] + (STRENGTHS[2] + DISCOUNTS[2] * m[f"t2_{s}"][ctx]) * p1) / (STRENGTHS[2] + m["c2"][ctx])
+            p1 = (pairs[:, 1 + SAMPLES + s] + (STRENGTHS[1] + DISCOUNTS[1] * m[f"t1_{s}"][one]) * p0[word]) / (STRENGTHS[1] + m[f"c1_{s}"][one])
+            p2 = (pairs[:, 1 + s] + (STRENGTHS[2] + DISCOUNTS[2] * m[f"t2_{s}"][ends]) * p1) / (STRENGTHS[2] + m[f"c2_{s}"][ends])
+            # A word comes before another, or the first of a text, as often as it occurs.
+            p += (pairs[:, 0] + (STRENGTHS[3] + DISCOUNTS[3] * seated[s][ctx]) * p2) / (STRENGTHS[3] + counts[ctx])
         logs = np.log10(p / SAMPLES)
         base = np.log10((counts + 1.0) / (m["tokens"] + (m["types"] + 1.0)))[word]
         known = (counts > 0)[word]
@@ -368,8 +448,8 @@ def score_docs(blocks: DataFrame, answers: DataFrame, model: dict, spark: SparkS
         out["score"] = [float(logs[x].sum()) for x in tokens]
         return out
 
-    docs = blocks.where("kind = 0").select("block", "doc_id", "held_out", "a").groupBy("block")
-    own = answers.where("kind = 1").select("block", "part", *ANSWER).groupBy("block")
+    docs = blocks.where("kind <> 1").select("kind", "block", "doc_id", "held_out", "a", "b", "c").groupBy("block")
+    own = answers.where("kind = 1").select("block", "part", *ANSWER).unionByName(tables, allowMissingColumns=True).groupBy("block")
     return docs.cogroup(own).applyInPandas(run, SCORES)
 
 
@@ -380,8 +460,9 @@ def score(docs: DataFrame, partitions: int | None = None) -> DataFrame:
         # A partition's share of distinct pairs follows the input; about this many rows' words each.
         partitions = max(2, docs.count() // 4_000)
     blocks = materialize(code_blocks(docs, partitions), "coded")
-    answers = materialize(fit_and_answer(blocks, partitions), "answers")
-    return score_docs(blocks, answers, totals(answers), spark)
+    types = materialize(context_types(blocks, partitions), "context-types")
+    answers = materialize(fit_and_answer(blocks, types, partitions), "answers")
+    return score_docs(blocks, answers, context_tables(blocks, answers), totals(answers), spark)
 
 
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:

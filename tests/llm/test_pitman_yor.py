@@ -69,3 +69,13 @@ def test_stirling_and_seating():
     big, tables = np.full(50, 100_000), np.ones(50, np.int64)
     H.seat(big, tables, np.full(50, 0.1), 0.5, np.full(50, 10.0), H.stirling_alone(0.5), rng)
     assert (tables > 5).all() and (tables < 5000).all()
+
+
+def test_contexts_are_whole_words(spark):
+    """Words that end in the same two bytes are contexts apart, and contexts grow with the corpus."""
+    train = [i for i in range(400) if zlib.crc32(str(i).encode()) % 7 != 2]
+    held = [i for i in range(1000, 1100) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows = [(i, "running left" if i % 2 else "walking right") for i in train]
+    rows += list(zip(held, ["running left", "running right", "walking right", "walking left"], strict=True))
+    got = {r["doc_id"]: r["score"] for r in check(spark.createDataFrame(rows, "doc_id long, text string"))}
+    assert got[held[0]] > got[held[1]] + 1 and got[held[2]] > got[held[3]] + 1
