@@ -2,11 +2,10 @@
 
 Native: DataFrame functions alone. The statistics are computed within each row by higher-order
 functions, so whole texts never move. For cross-document frequency, lines are normalised (lower
-case, runs of white space to one space, trimmed) and hashed; each row counts once per line. Counts
-per (host, line, sketch) are partial sums before the shuffle, so a host with a third of all rows is
-no burden. The sketch is the smallest hash among the document's other lines: copies of one document
-share it, so a line is common only where most of its documents differ otherwise, and copies are left
-to deduplication. A line is removed where more than LIMIT documents of its host, and more than
+case, runs of white space to one space, trimmed) and hashed. A digest of all of a document's
+normalised lines in order tells documents apart: what is counted for a (host, line) is distinct digests,
+so copies of one document count once, and are left to deduplication. Distinct (host, line, digest) are
+found before and after a shuffle by all three, so a host with a third of all rows is no burden. A line is removed where more than LIMIT documents of its host, and more than
 LIMIT_SHARE of the host, have it. A document is rejected as depleted if lines were removed and what
 is left has under LEAST_WORDS words, or under LEAST_SHARE of its words.
 
@@ -99,11 +98,8 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def common_lines(facts: DataFrame, limit: int = LIMIT, share: float = LIMIT_SHARE) -> DataFrame:
     """(source, h): the lines that too many differing documents of a host have."""
-    each = facts.select("source", F.sort_array(F.array_distinct(F.col("lines.h"))).alias("hs"))
-    seen = each.select("source", F.explode("hs").alias("h"), F.get("hs", F.lit(0)).alias("a"), F.get("hs", F.lit(1)).alias("b"))
-    seen = seen.select("source", "h", F.when(F.col("h") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("sketch"))
-    by_sketch = seen.groupBy("source", "h", "sketch").agg(F.count("*").alias("n"))
-    lines = by_sketch.groupBy("source", "h").agg(F.sum("n").alias("n"), F.count("*").alias("kinds")).where((F.col("n") > limit) & (2 * F.col("kinds") > F.col("n")))
+    seen = facts.select("source", F.xxhash64("lines.h").alias("digest"), F.explode(F.array_distinct("lines.h")).alias("h")).distinct()
+    lines = seen.groupBy("source", "h").agg(F.count("*").alias("n")).where(F.col("n") > limit)
     hosts = facts.groupBy("source").agg(F.count("*").alias("docs"))
     on = lines["source"].eqNullSafe(hosts["source"])
     return lines.join(hosts, on).where(F.col("n") > share * F.col("docs")).select(lines["source"], "h")

@@ -65,3 +65,15 @@ def test_keep_cuts_lines(spark, monkeypatch):
     out = {r["doc_id"]: r for r in Q.keep(df).collect()}
     assert out[1]["text"] == body and out[1]["n_chars"] == len(body)
     assert out[2]["text"].startswith("Drop") and out[2]["n_chars"] == 6
+
+
+def test_shared_blocks_go_and_copies_do_not_count(spark):
+    """Boilerplate of several lines is told from copies by whole texts, not by another of its own lines."""
+    own = lambda i: "\n".join(" ".join(f"t{i}l{j}w{n}" for n in range(12)) for j in range(3))
+    block = "\n".join(f"Licence clause number {j} which all of these pages carry" for j in range(6))
+    rows = [(i, block + "\n" + own(i), "h") for i in range(300)]
+    # Two texts that share a line, of which there are many copies: two documents.
+    rows += [(1000 + i, own(5000 + i % 2) + "\na line of two much copied documents", "h") for i in range(300)]
+    facts = Q.materialize(Q.statistics(spark.createDataFrame(rows, "doc_id long, text string, source string")), "t")
+    gone = {r["doc_id"]: len(r["gone"]) for r in Q.removed_lines(facts, limit=100, share=0.1).collect()}
+    assert gone == dict.fromkeys(range(300), 6)
