@@ -5,13 +5,14 @@ functions, so whole texts never move. For cross-document frequency, lines are no
 case, runs of white space to one space, trimmed) and hashed. A digest of all of a document's
 normalised lines in order tells documents apart: what is counted for a (host, line) is distinct digests,
 so copies of one document count once, and are left to deduplication. Distinct (host, line, digest) are
-found before and after a shuffle by all three, so a host with a third of all rows is no burden. A line is removed where more than LIMIT documents of its host, and more than
-LIMIT_SHARE of the host, have it. A document is rejected as depleted if lines were removed and what
-is left has under LEAST_WORDS words, or under LEAST_SHARE of its words.
+found before and after a shuffle by all three, so a host with a third of all rows is no burden. A line
+is removed where more than LIMIT different documents of its host have it, however large the host. A
+document is rejected as depleted if lines were removed and what is left has under LEAST_WORDS words, or
+under LEAST_SHARE of its words.
 
 Defined results: null or empty text has no words, so it fails the base rules. A null source is a host
-of its own. Each row counts as one document; rows with one doc_id share the set of removed lines. A
-null doc_id loses no lines. Extra columns pass through :func:`keep` untouched, also those named like
+of its own. Rows with one text on one host count as one document; rows with one doc_id share the set of
+removed lines. A null doc_id loses no lines. Extra columns pass through :func:`keep` untouched, also those named like
 the statistics. An empty table gives an empty table.
 """
 
@@ -23,10 +24,8 @@ from pyspark.sql import functions as F
 from millrace.plans.shared import materialize
 
 SPACE = "[\\x20\\x09-\\x0D]+"
-#: A line is removed where more documents of its host have it.
-LIMIT = 200
-#: And more than this share of the host's documents.
-LIMIT_SHARE = 0.02
+#: A line is removed where more different documents of its host have it, whatever the size of the host.
+LIMIT = 20
 LEAST_WORDS = 10
 LEAST_SHARE = 0.3
 WINDOW = 5
@@ -96,16 +95,21 @@ def statistics(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def common_lines(facts: DataFrame, limit: int = LIMIT, share: float = LIMIT_SHARE) -> DataFrame:
-    """(source, h): the lines that too many differing documents of a host have."""
+def common_lines(facts: DataFrame, limit: int = LIMIT, share: float = 0.0) -> DataFrame:
+    """(source, h): the lines that over ``limit`` different documents of a host have.
+
+    With ``share`` they must also be over that share of the host's rows; no query asks for that.
+    """
     seen = facts.select("source", F.xxhash64("lines.h").alias("digest"), F.explode(F.array_distinct("lines.h")).alias("h")).distinct()
     lines = seen.groupBy("source", "h").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    if not share:
+        return lines.select("source", "h")
     hosts = facts.groupBy("source").agg(F.count("*").alias("docs"))
     on = lines["source"].eqNullSafe(hosts["source"])
     return lines.join(hosts, on).where(F.col("n") > share * F.col("docs")).select(lines["source"], "h")
 
 
-def removed_lines(facts: DataFrame, limit: int = LIMIT, share: float = LIMIT_SHARE) -> DataFrame:
+def removed_lines(facts: DataFrame, limit: int = LIMIT, share: float = 0.0) -> DataFrame:
     """doc_id and the hashes of its removed lines, for documents that lose any; written once."""
     common = common_lines(facts, limit, share)
     lines = facts.where("doc_id IS NOT NULL").select("doc_id", "source", F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))

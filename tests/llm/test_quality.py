@@ -77,3 +77,11 @@ def test_shared_blocks_go_and_copies_do_not_count(spark):
     facts = Q.materialize(Q.statistics(spark.createDataFrame(rows, "doc_id long, text string, source string")), "t")
     gone = {r["doc_id"]: len(r["gone"]) for r in Q.removed_lines(facts, limit=100, share=0.1).collect()}
     assert gone == dict.fromkeys(range(300), 6)
+
+
+def test_one_limit_at_every_host_size(spark):
+    own = lambda i: " ".join(f"t{i}w{n}" for n in range(12))
+    rows = [(i, own(i) + ("\nin many pages of a small host" if i < 66 else "\nin few" if i < 80 else ""), "small") for i in range(500)]
+    rows += [(1000 + i, own(i + 1000) + ("\nin few pages of a large host" if i < 30 else ""), "large") for i in range(3000)]
+    facts = Q.materialize(Q.statistics(spark.createDataFrame(rows, "doc_id long, text string, source string")), "t")
+    assert {r["doc_id"] for r in Q.removed_lines(facts).collect()} == {*range(66), *range(1000, 1030)}
