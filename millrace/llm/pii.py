@@ -36,8 +36,9 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
 }
-#: What a text must hold for a kind to be looked for at all.
-NEEDS = {"email": "@", "ip": ".", "card": None, "phone": "+", "iban": None}
+#: What a text must hold for a kind to be looked for at all: a string, or else a pattern.
+NEEDS = {"email": "@", "ip": ".", "phone": "+"}
+NEEDS_MATCH = {"card": "[0-9][ -]?[0-9]", "iban": "[0-9]{2}"}
 CONFIDENCE = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.8}
 RAISING = {
     "email": "mail|contact|write",
@@ -128,7 +129,7 @@ def spans_of(text: Column, kind: str) -> Column:
         none = F.array().cast(SPAN)
         return let(matches, lambda m: F.when(F.size(m) == 0, none).otherwise(let(F.struct(m.alias("m"), F.split(t, pattern, -1).alias("b")), place)))
 
-    wanted = text.contains(NEEDS[kind]) if NEEDS[kind] else text.rlike("[0-9]{2}")
+    wanted = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike(NEEDS_MATCH[kind])
     return F.when(wanted, found(text)).otherwise(F.array().cast(SPAN))
 
 

@@ -59,3 +59,10 @@ def test_iban_context_and_redaction(spark):
     clean = {r["doc_id"]: r for r in D.redact(df).collect()}
     assert clean[1]["text"] == "bank account <IBAN> now" and clean[4]["text"] == "call <PHONE> or <EMAIL>"
     assert clean[4]["n_chars"] == 23 and clean[2]["text"] == rows[1][1]
+
+
+def test_card_of_single_digits(spark):
+    rows = [(i, f"my card {s.join('4' + '1' * 15)} thanks") for i, s in enumerate((" ", "-"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert [r["n_card"] for r in check(df).values()] == [1, 1]
+    assert {r["text"] for r in D.redact(df).collect()} == {"my card <CARD> thanks"}
