@@ -6,11 +6,11 @@ the last byte, whose parent is the one root restaurant, over a uniform base of t
 unseen word. Contexts and dishes are unbounded: every pair of words of every training document is counted.
 A word's key is 48 bits of its hash above its last two bytes, so a key names its parents too.
 
-Seating. For each (restaurant, word) with c customers at t tables, collapsed Gibbs steps take a customer
-away and seat it anew: by exchangeability it sat alone with probability S(c-1, t-1) / S(c, t)
-(generalised Stirling numbers), and opens a table with probability in proportion to
-(strength + discount * T) * parent, against c - 1 - discount * t. Tables are customers of the parent. For
-more than LARGE customers a blocked move seats them all again in growing groups, each binomial.
+Seating. A sweep draws, for each (restaurant, word) with c customers, its number of tables t from its own
+conditional: in proportion to S(c, t) (generalised Stirling numbers), to parent ** t, and to the product of
+strength + discount * (T + j) for j < t, with T the restaurant's other tables. Logarithms of S are exact up to
+EXACT customers, and beyond by saddle point, corrected by the exact row EXACT. Tables are customers of
+the parent. Sweeps go on until the levels' totals of tables settle, then SAMPLES seatings are kept.
 While seats are sampled, a suffix restaurant's total T is estimated from the words in the same
 partition, which are a hash sample of all; a whole word's is its exact number of distinct words,
 times the tables for each distinct word that restaurants of its size have in the partition. The exact
@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,6 +51,11 @@ DISCOUNTS = (0.6, 0.7, 0.8, 0.8)  # root, one byte, two bytes, whole word
 STRENGTHS = (1.0, 2.0, 2.0, 2.0)
 SAMPLES = 2
 BURN = 2
+#: Seatings burn in for BURN sweeps at least, and until no level's tables change by more than this share.
+SETTLED = 0.01
+MOST_BURN = 40
+#: Customers up to which Stirling numbers are exact.
+EXACT = 1024
 #: Customers of one dish up to which single Gibbs steps are taken.
 LARGE = 24
 STEPS = 8
@@ -207,7 +213,7 @@ def code_blocks(docs: DataFrame, partitions: int) -> DataFrame:
 
 
 def seat(c: np.ndarray, t: np.ndarray, base: np.ndarray, discount: float, opening: np.ndarray, alone: np.ndarray, rng: np.random.Generator) -> None:
-    """One sweep of Gibbs moves over dishes with c customers at t tables, in place.
+    """One sweep of Gibbs moves over dishes with c customers at t tables, in place. The model uses :func:`draw`.
 
     ``base`` is the parent's probability of the dish, ``opening`` strength + discount * T of its restaurant.
     """
@@ -233,6 +239,85 @@ def seat(c: np.ndarray, t: np.ndarray, base: np.ndarray, discount: float, openin
         t[many] = np.minimum(tables, total)
 
 
+@lru_cache
+def log_stirling(discount: float) -> np.ndarray:
+    """[c, t]: log S(c, t) for c up to EXACT."""
+    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
+    out[0, 0] = 0.0
+    for c in range(1, EXACT + 1):
+        t = np.arange(1, c + 1)
+        with np.errstate(divide="ignore"):
+            stay = out[c - 1, 1 : c + 1] + np.log(np.maximum(c - 1 - discount * t, 0.0))
+        out[c, 1 : c + 1] = np.logaddexp(out[c - 1, :c], stay)
+    return out
+
+
+def log_gamma(x: np.ndarray) -> np.ndarray:
+    """For x > 0, by Stirling's series ten steps up."""
+    y = x + 10
+    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - sum(np.log(x + i) for i in range(10))
+
+
+def saddle(c: int, discount: float, size: int = 8000) -> tuple[np.ndarray, np.ndarray]:
+    """Rising numbers of tables, no whole ones, and log S(c, t) at each by saddle point.
+
+    S(c, t) is c! / (t! d ** t) times the coefficient of z ** c in (1 - (1 - z) ** d) ** t.
+    """
+    d = discount
+    lowest = -(np.log(c) + 5.0) / (1 - d)
+    u = np.exp(np.concatenate([np.linspace(lowest, -0.7, size), np.log1p(-np.geomspace(0.5, 1e-6, size // 4))[1:]]))
+    z, f = -np.expm1(np.log(u)), -np.expm1(d * np.log(u))
+    mean = z * d * u ** (d - 1) / f
+    spread_ = z * mean * (1 / z + (1 - d) / u - d * u ** (d - 1) / f)
+    t = c / mean
+    fits = (t > 0.5) & (t < c) & (spread_ > 0)
+    t, z, f, spread_ = t[fits], z[fits], f[fits], spread_[fits]
+    whole = log_gamma(np.asarray([c + 1.0]))[0]
+    return t, whole - log_gamma(t + 1) - t * np.log(d) + t * np.log(f) - c * np.log(z) - 0.5 * np.log(2 * np.pi * t * spread_)
+
+
+@lru_cache
+def saddle_error(discount: float) -> np.ndarray:
+    """What the saddle point lacks for each t, by the exact row EXACT; far below its end alone."""
+    t = np.arange(1, EXACT // 4 + 1)
+    return log_stirling(discount)[EXACT, t] - np.interp(np.log(t), np.log((at := saddle(EXACT, discount))[0]), at[1])
+
+
+def draw(c: np.ndarray, t: np.ndarray, base: np.ndarray, discount: float, strength: float, opening: np.ndarray, rng: np.random.Generator) -> None:
+    """Draws each dish's tables from their conditional given all others, in place.
+
+    ``base`` is the parent's probability of the dish, ``opening`` strength + discount * T of its
+    restaurant, with T before the draw.
+    """
+    others = np.maximum(opening - discount * t, strength)
+    many = np.flatnonzero(c > 1)
+    if not len(many):
+        return
+    many = many[np.argsort(c[many], kind="stable")]
+    sizes, starts = np.unique(c[many], return_index=True)
+    for size, group in zip(sizes.tolist(), np.split(many, starts[1:]), strict=True):
+        if size > EXACT:
+            at, logs = saddle(size, discount)
+            lack = saddle_error(discount)
+            for i in group:
+                o = others[i] / discount
+                rise = lambda x: log_gamma(o + x) + x * np.log(discount * base[i])  # noqa: B023, E731
+                rough = logs + rise(at)
+                near = at[rough > rough.max() - 40.0]
+                tables = np.arange(max(1, int(near[0]) - 1), min(size, int(near[-1]) + 2) + 1)
+                fine = np.interp(np.log(tables), np.log(at), logs) + rise(tables.astype(float))
+                fine += np.where(tables <= len(lack), lack[np.minimum(tables, len(lack)) - 1], 0.0)
+                chance = np.cumsum(np.exp(fine - fine.max()))
+                t[i] = tables[np.searchsorted(chance, rng.random() * chance[-1])]
+            continue
+        logs, steps = log_stirling(discount)[size, 1 : size + 1], discount * np.arange(size)
+        for lo in range(0, len(group), max(1, 1_000_000 // size)):
+            own = group[lo : lo + max(1, 1_000_000 // size)]
+            chance = logs + np.cumsum(np.log((others[own, None] + steps) * base[own, None]), 1)
+            chance = np.cumsum(np.exp(chance - chance.max(1, keepdims=True)), 1)
+            t[own] = 1 + (chance < rng.random((len(own), 1)) * chance[:, -1:]).sum(1)
+
+
 class Merged:
     """A partition's counts from all blocks: its words, their contexts and pairs, in order of their keys."""
 
@@ -269,7 +354,6 @@ def sample_part(m: Merged, types: np.ndarray, share: float, seed: int) -> tuple[
     n = len(m.keys)
     counts = np.bincount(word, weights=c3, minlength=n).astype(np.int64)
     d0, d1, d2, d3 = DISCOUNTS
-    alone = [stirling_alone(d) for d in DISCOUNTS]
     rng = np.random.default_rng(seed)
     uniform = share / max(1.0, float((counts > 0).sum()))  # 1 / V, from this sample of the vocabulary
     by = lambda at, v, size: np.bincount(at, weights=v, minlength=size)
@@ -281,7 +365,8 @@ def sample_part(m: Merged, types: np.ndarray, share: float, seed: int) -> tuple[
     class_types = np.maximum(by(size_class, local, 64), 1.0)
     t2 = t1 = t0 = None
     seatings = []
-    for sweep in range(BURN + SAMPLES):
+    before, sweep, settled = np.zeros(4), 0, False
+    while len(seatings) < SAMPLES:
         c2 = below(two, t3, len(two_keys))
         t2 = fit(t2, c2)
         c1 = below(one, t2, len(one_keys))
@@ -289,17 +374,21 @@ def sample_part(m: Merged, types: np.ndarray, share: float, seed: int) -> tuple[
         c0 = below(one_word, t1, n)
         t0 = fit(t0, c0)
         opening = STRENGTHS[0] + d0 * t0.sum() / share
-        seat(c0, t0, np.full(n, uniform), d0, np.full(n, opening), alone[0], rng)
+        draw(c0, t0, np.full(n, uniform), d0, STRENGTHS[0], np.full(n, opening), rng)
         p0 = (c0 - d0 * t0 + (STRENGTHS[0] + d0 * t0.sum() / share) * uniform) / (STRENGTHS[0] + max(1.0, c0.sum() / share))
         total_t, total_c = by(one_ctx, t1, 512) / share, by(one_ctx, c1, 512) / share
-        seat(c1, t1, p0[one_word], d1, (STRENGTHS[1] + d1 * total_t)[one_ctx], alone[1], rng)
+        draw(c1, t1, p0[one_word], d1, STRENGTHS[1], (STRENGTHS[1] + d1 * total_t)[one_ctx], rng)
         p1 = (c1 - d1 * t1 + (STRENGTHS[1] + d1 * total_t[one_ctx]) * p0[one_word]) / (STRENGTHS[1] + total_c[one_ctx])
         total_t, total_c = by(two_ctx, t2, SUFFIXES) / share, by(two_ctx, c2, SUFFIXES) / share
-        seat(c2, t2, p1[one], d2, (STRENGTHS[2] + d2 * total_t)[two_ctx], alone[2], rng)
+        draw(c2, t2, p1[one], d2, STRENGTHS[2], (STRENGTHS[2] + d2 * total_t)[two_ctx], rng)
         p2 = (c2 - d2 * t2 + (STRENGTHS[2] + d2 * total_t[two_ctx]) * p1[one]) / (STRENGTHS[2] + total_c[two_ctx])
         ratio = np.maximum(by(size_class, by(ctx, t3, len(types)), 64) / class_types, 1.0)
-        seat(c3, t3, p2[two], d3, (STRENGTHS[3] + d3 * types * ratio[size_class])[ctx], alone[3], rng)
-        if sweep >= BURN:
+        draw(c3, t3, p2[two], d3, STRENGTHS[3], (STRENGTHS[3] + d3 * types * ratio[size_class])[ctx], rng)
+        now = np.asarray([t0.sum(), t1.sum(), t2.sum(), t3.sum()], float)
+        kept, sweep = settled, sweep + 1
+        settled = settled or (sweep >= BURN and (sweep >= MOST_BURN or bool((np.abs(now - before) <= SETTLED * now).all())))
+        before = now
+        if kept:
             c2 = below(two, t3, len(two_keys))
             s2 = fit(t2, c2)
             c1 = below(one, s2, len(one_keys))

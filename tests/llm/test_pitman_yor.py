@@ -79,3 +79,21 @@ def test_contexts_are_whole_words(spark):
     rows += list(zip(held, ["running left", "running right", "walking right", "walking left"], strict=True))
     got = {r["doc_id"]: r["score"] for r in check(spark.createDataFrame(rows, "doc_id long, text string"))}
     assert got[held[0]] > got[held[1]] + 1 and got[held[2]] > got[held[3]] + 1
+
+
+@pytest.mark.parametrize(("c", "d", "w"), [(24, 0.6, 10.0), (400, 0.6, 10.0), (400, 0.6, 1.0), (3000, 0.8, 5.0)])
+def test_tables_come_from_their_conditional(c, d, w):
+    """Against exact weights S(c, t) w ** t: so many others that a dish's own tables do not change w."""
+    logs = np.full(c + 2, -np.inf)
+    logs[0] = 0.0
+    for k in range(1, c + 1):
+        stay = logs[1 : k + 1] + np.log(np.maximum(k - 1 - d * np.arange(1, k + 1), 1e-300))
+        logs[1 : k + 1] = np.logaddexp(logs[:k], stay)
+        logs[0] = -np.inf
+    x = logs[1:-1] + np.arange(1, c + 1) * np.log(w)
+    p = np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+    mean = (p * np.arange(1, c + 1)).sum()
+    sd = (p * (np.arange(1, c + 1) - mean) ** 2).sum() ** 0.5
+    n, t = 1500, np.ones(1500, np.int64)
+    H.draw(np.full(n, c), t, np.full(n, w / 1e9), d, 1.0, np.full(n, 1e9), np.random.default_rng(3))
+    assert abs(t.mean() - mean) < 5 * sd / n**0.5 and 0.85 < t.std() / sd < 1.15
