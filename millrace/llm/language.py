@@ -1,10 +1,12 @@
 """Language identification: one posterior from text, declared markup language, address and host.
 
-Text: naive Bayes over hashed byte trigrams, fitted on a bounded sample of rows whose language is
-declared (about TRAIN_ROWS of them, chosen by hash, whole texts). A background class with uniform
+Text: naive Bayes over hashed byte trigrams. The languages are the MAX_LANGUAGES most often declared, by
+a count of all rows; each is fitted on a bounded sample of its own rows (about TRAIN_ROWS in all, but
+LEAST_ROWS or all rows of each language, chosen by hash, whole texts). A background class with uniform
 trigrams stands for what is no language known here.
 
-Declared language: right with probability TRUST, otherwise any other language alike.
+Declared language: right with probability TRUST, otherwise any other language alike. One outside the
+model is a class of its own for its row, with the background's text likelihood and prior.
 
 Address: hosts get a prior P(language | host), smoothed towards P(language | suffix), which is
 smoothed towards P(language). The counts are grouped sums of the text's own decision over all
@@ -14,7 +16,7 @@ The weights of the evidence add up as logarithms; the text's is scaled by TEMPER
 a text depend on each other.
 
 Defined results: null or empty text leaves the decision to the other evidence, and is rejected as it
-has no language. Unknown or null declared languages, and null hosts, say nothing; a null host is a
+has no language. Blank or null declared languages, and null hosts, say nothing; a null host is a
 host of its own. Ties go to the language first in the alphabet, the background class last. Repeated
 rows count each. A corpus without any declared language has only the background class. Extra columns
 pass through :func:`keep` untouched. An empty table gives an empty table.
@@ -33,6 +35,8 @@ from millrace.plans.shared import materialize, spread
 
 #: About so many labelled rows are used to fit the text model, however large the corpus.
 TRAIN_ROWS = 6000
+#: But not fewer of any language, as far as it has them.
+LEAST_ROWS = 200
 MAX_LANGUAGES = 100
 BUCKETS = 1 << 16
 TEMPER = 0.2
@@ -54,8 +58,14 @@ def trigrams(text: str) -> np.ndarray:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Language names, and log probabilities of buckets: a column for each, the background last."""
-    total = max(1, docs.count())
-    labelled = docs.where(F.col("lang").isNotNull() & (F.col("text") != "")).where(F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(total)) < rows)
+    declared = F.col("lang").cast("string")
+    labelled = docs.where((F.trim(declared) != "") & (F.col("text") != ""))
+    top = labelled.groupBy(declared.alias("_own_lang")).agg(F.count("*").alias("_own_n")).orderBy(F.desc("_own_n"), "_own_lang").limit(MAX_LANGUAGES).collect()
+    names = sorted(r["_own_lang"] for r in top)
+    each = max(LEAST_ROWS, rows // max(1, len(names)))
+    if names:
+        sizes = F.create_map(*[F.lit(x) for r in top for x in (r["_own_lang"], r["_own_n"])])
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.try_element_at(sizes, declared)) < each)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -70,8 +80,6 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarra
     counts = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "lang string, bucket long, n long")
     # At most BUCKETS rows for each language of the sample.
     found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    order = found.groupby("lang")["n"].sum().sort_values(ascending=False).index[:MAX_LANGUAGES]
-    names = sorted(str(x) for x in order)
     table = np.full((BUCKETS, len(names) + 1), 0.05)
     for k, name in enumerate(names):
         own = found[found["lang"] == name]
@@ -143,14 +151,18 @@ def with_priors(scores: DataFrame, names: list[str]) -> DataFrame:
 def fuse(scores: DataFrame, names: list[str]) -> DataFrame:
     """Posterior of every class, the language, its confidence, and the verdict."""
     n = len(names)
-    known = F.col("declared").isin(names) if names else F.lit(False)
-    by_name = [F.when(~F.coalesce(known, F.lit(False)), 0.0).when(F.col("declared") == x, float(np.log(TRUST))).otherwise(float(np.log((1 - TRUST) / max(1, n - 1)))) for x in names]
-    markup = F.array(*by_name, F.when(F.coalesce(known, F.lit(False)), float(np.log(1 / (n + 1)))).otherwise(0.0)).cast("array<double>")
+    said = F.coalesce(F.trim("declared") != "", F.lit(False))
+    known = said & F.col("declared").isin(names) if names else F.lit(False)
+    others = F.when(known, float(np.log((1 - TRUST) / max(1, n - 1)))).otherwise(float(np.log((1 - TRUST) / max(1, n))))
+    by_name = [F.when(~said, 0.0).when(F.col("declared") == x, float(np.log(TRUST))).otherwise(others) for x in names]
+    markup = F.array(*by_name, F.when(said, float(np.log(1 / (n + 1)))).otherwise(0.0)).cast("array<double>")
     prior = F.concat(F.transform("prior", lambda p: F.log(F.greatest(p, F.lit(1e-9)) * (1 - UND_PRIOR))), F.array(F.lit(float(np.log(UND_PRIOR)))))
     total = F.transform(F.arrays_zip(F.col("likelihood").alias("t"), markup.alias("m"), prior.alias("p")), lambda x: TEMPER * x["t"] + x["m"] + x["p"])
-    out = with_priors(scores, names).withColumn("total", total)
+    # Last, a declared language that the model does not have: text and prior as the background's.
+    outside = F.when(said & ~known, TEMPER * F.get("likelihood", F.lit(n)) + float(np.log(TRUST) + np.log(UND_PRIOR))).otherwise(-1e300)
+    out = with_priors(scores, names).withColumn("total", F.concat(total, F.array(outside)))
     norm = F.aggregate(F.transform("total", lambda x: F.exp(x - F.array_max("total"))), F.lit(0.0), lambda a, x: a + x)
-    out = out.withColumn("language", argmax(F.col("total"), names)).withColumn("confidence", 1 / norm)
+    out = out.withColumn("language", F.coalesce(argmax(F.col("total"), names), F.col("declared"))).withColumn("confidence", 1 / norm)
     # Texts without any word carry only padding trigrams.
     return out.withColumn("kept", (F.col("language") != UND) & (F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("text_hash") != F.xxhash64(F.lit(""))) & (F.col("text_hash") != F.xxhash64(F.lit(None).cast("string"))))
 

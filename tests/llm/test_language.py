@@ -35,3 +35,19 @@ def test_junk_and_edges(spark, docs, edge_docs, no_docs):
     assert {1, 2} <= gone and 5 not in gone
     assert L.keep(edge_docs).columns == edge_docs.columns
     assert L.identify(no_docs).count() == 0 and L.keep(no_docs).count() == 0
+
+
+def test_rare_languages_are_known(spark, docs, monkeypatch):
+    """Languages come from all declared rows, and one outside the model is evidence still."""
+    russian = "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по своему. " * 4
+    rare = spark.createDataFrame([(10_000 + i, russian + str(i), "ru", "ru.example") for i in range(5)], "doc_id long, text string, lang string, source string")
+    plain = docs.select("doc_id", "text", F.lit(None).cast("string").alias("lang"), "source")
+    labelled = docs.select("doc_id", "text", "lang", "source").where("doc_id % 2 = 0")
+    both = plain.where("doc_id % 2 <> 0").unionByName(labelled).unionByName(rare)
+    names, _ = L.train(both, rows=10)
+    assert names == ["de", "en", "es", "fr", "ru"]
+    judged = lambda: {r["doc_id"]: (r["language"], r["kept"]) for r in L.identify(both, rows=10).where("doc_id >= 10000").collect()}
+    assert judged() == dict.fromkeys(range(10_000, 10_005), ("ru", True))
+    monkeypatch.setattr(L, "MAX_LANGUAGES", 4)
+    assert L.train(both, rows=10)[0] == ["de", "en", "es", "fr"]
+    assert judged() == dict.fromkeys(range(10_000, 10_005), ("ru", True))
