@@ -1,31 +1,33 @@
 """Hierarchical Pitman-Yor language model: seating by Gibbs sampling, averaged predictions as scores.
 
-Restaurants. A word is drawn in the restaurant of its context: the whole word before (the end token
-before the first). Its parent is the restaurant of that word's last two bytes, whose parent is that of
-the last byte, whose parent is the one root restaurant, over a uniform base of the vocabulary and one
-unseen word. Contexts and dishes are unbounded: every pair of words of every training document is counted.
-A word's key is 48 bits of its hash above its last two bytes, so a key names its parents too.
-
-Seating. A sweep draws, for each (restaurant, word) with c customers, its number of tables t from its own
-conditional: in proportion to S(c, t) (generalised Stirling numbers), to parent ** t, and to the product of
-strength + discount * (T + j) for j < t, with T the restaurant's other tables. Logarithms of S are exact up to
-EXACT customers, and beyond by saddle point, corrected by the exact row EXACT. Tables are customers of
-the parent. Sweeps go on until the levels' totals of tables settle, then SAMPLES seatings are kept.
-While seats are sampled, a suffix restaurant's total T is estimated from the words in the same
-partition, which are a hash sample of all; a whole word's is its exact number of distinct words,
-times the tables for each distinct word that restaurants of its size have in the partition. The exact
-totals of the sampled seating are used for every prediction.
+Restaurants. A word is drawn in the restaurant of its context, the whole word before it (the end token
+before the first). All contexts share one parent, the root restaurant, over a uniform base of the
+vocabulary and one unseen word. Contexts and dishes are unbounded: every pair of words of every training
+document is counted. Each level's discount is Ney's estimate n1 / (n1 + 2 * n2) from its own counts.
+
+Seating. The sampler is a blocked Gibbs sampler that needs no estimate of another partition's state.
+Given the root's measure G, contexts are independent. For each context x ~ Gamma(tables + strength /
+discount) is drawn; given it, each dish's number of tables has probability in proportion to
+S(c, t) * (discount * x * G(dish)) ** t for its c customers (S: generalised Stirling numbers), independent of
+all other dishes. Tables are customers of the root, whose tables are drawn alike, and G is then drawn
+anew: a Gamma variable of (customers - discount * tables) for each dish, and one of (strength +
+discount * all tables) for what has no table, spread over the base. S is exact up to EXACT customers; beyond, t - 1 is
+Poisson or normal by the saddle point of its generating function (the tests compare both with exact rows).
+Sweeps go on until no level's total of tables changes by over SETTLED; then SAMPLES seatings are kept,
+and a text's probability is the average over them.
 
 Scale. Documents are coded in blocks of bounded size. A block sends its distinct (context, word) counts to
-partitions by word. A partition merges them, samples, and sends back, to each block, what predictions
-need for the block's own pairs. Totals of whole-word restaurants are a distributed table: partitions
-send their parts to the partition of the context's own key, which adds them up and answers those who
-have that context. So what moves follows distinct pairs, not tokens. All contexts of one word meet in its
-partition. The probability of a text is the average over SAMPLES seatings.
-
-Defined results: null or empty text is its end token alone. Rows with a null doc_id are held out by no
-rule and train. Repeated rows count each. Extra columns are not read. Without training tokens every
-word has the base probability. An empty table gives an empty table.
+the partitions of the contexts, so what moves follows distinct pairs, not tokens. The number of
+partitions follows a count of pairs, so each takes about PART_PAIRS of them. Contexts with more than a
+partition's share of the pairs are split by word; only their sums (at most one row for each partition)
+pass the driver. Dishes of the root live in coarser partitions by word; in each sweep partitions send
+them sums and get values of G, in an order that was fixed once, for words that some context has twice or more.
+All tables are written to the shared folder between steps.
+
+Defined results: null or empty text is its end token alone. Very long texts are whole within one block,
+whose places take four bytes beyond 2 ** 24 pairs. Rows with a null doc_id are held out by no rule and train.
+Repeated rows count each; nothing depends on ties. Extra columns are not read. Without training tokens
+every word has the base probability. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -40,44 +42,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.plans.shared import materialize, spread
+from millrace.plans.shared import materialize, remove, spread
 
 #: The end of a text: no word can hold a space.
 END = b" "
-#: Suffixes are two bytes. No word has white space, so bytes below that cannot end one name the others.
-ONE_BYTE = 0x2000
-SUFFIXES = 1 << 16
-DISCOUNTS = (0.6, 0.7, 0.8, 0.8)  # root, one byte, two bytes, whole word
-STRENGTHS = (1.0, 2.0, 2.0, 2.0)
+STRENGTH = 1.0
 SAMPLES = 2
-BURN = 2
 #: Seatings burn in for BURN sweeps at least, and until no level's tables change by more than this share.
+BURN = 3
 SETTLED = 0.01
-MOST_BURN = 40
+MOST_BURN = 30
 #: Customers up to which Stirling numbers are exact.
-EXACT = 1024
-#: Customers of one dish up to which single Gibbs steps are taken.
-LARGE = 24
-STEPS = 8
+EXACT = 256
 BLOCK_BYTES = 12 << 20
-
-
-def suffix(word: bytes) -> int:
-    """The suffix restaurant above that of ``word``: its last two bytes, or its only one."""
-    return word[-1] * 256 + word[-2] if len(word) > 1 else ONE_BYTE + word[0]
-
-
-def parent(suffixes: np.ndarray) -> np.ndarray:
-    """The one-byte restaurant above each."""
-    high = suffixes >> 8
-    return np.where(high == ONE_BYTE >> 8, suffixes & 255, high)
-
-
-def cuts(keys: np.ndarray, partitions: int) -> np.ndarray:
-    """Where each partition's keys begin among sorted ones, and their end."""
-    limits = np.searchsorted((keys >> np.uint64(32)).astype(np.float64) * partitions / 2**32, np.arange(partitions + 1))
-    limits[-1] = len(keys)
-    return limits
+#: Pairs of blocks that one partition takes; neighbouring partitions whose words share a partition of the root.
+PART_PAIRS = 1_500_000
+GROUP = 8
 
 
 def squeezed(raw: bytes) -> bytes:
@@ -93,50 +73,90 @@ def opened(packed: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(packed)
 
 
+def u32(packed: bytes) -> np.ndarray:
+    return np.frombuffer(opened(packed), np.uint32)
+
+
+def pack32(values: np.ndarray) -> bytes:
+    return squeezed(values.astype(np.uint32).tobytes())
+
+
 def narrow(values: np.ndarray) -> bytes:
-    """Unsigned numbers below 2 ** 24 as three bytes each."""
-    return values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes()
+    """Unsigned numbers as three bytes each, or four if one needs them; the first byte says which."""
+    size = 3 if not len(values) or int(values.max()) < 1 << 24 else 4
+    return bytes([size]) + values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size].tobytes()
 
 
 def wide(packed: bytes) -> np.ndarray:
-    out = np.zeros((len(packed) // 3, 4), np.uint8)
-    out[:, :3] = np.frombuffer(packed, np.uint8).reshape(-1, 3)
+    size = packed[0]
+    out = np.zeros(((len(packed) - 1) // size, 4), np.uint8)
+    out[:, :size] = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, size)
     return out.view("<u4").ravel()
 
 
+def pack_rising(places: np.ndarray) -> bytes:
+    """Rising numbers by their differences."""
+    return squeezed(narrow(np.diff(places, prepend=0)))
+
+
+def rising(packed: bytes) -> np.ndarray:
+    return np.cumsum(wide(opened(packed)), dtype=np.int64)
+
+
+def pack48(keys: np.ndarray) -> bytes:
+    """Keys below 2 ** 48 as six bytes each."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def keys48(packed: bytes) -> np.ndarray:
+    out = np.zeros((len(packed) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(packed, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def cuts(keys: np.ndarray, partitions: int, bits: int = 64) -> np.ndarray:
+    """Where each partition's keys begin among sorted ones, and their end."""
+    limits = np.searchsorted((keys >> np.uint64(bits - 32)).astype(np.float64) * partitions / 2**32, np.arange(partitions + 1))
+    limits[-1] = len(keys)
+    return limits
+
+
 def coded(numbers: np.ndarray, rows: np.ndarray) -> tuple[bytes, bytes]:
-    """(rows that occur, three-byte places in them) of ``rows[numbers]``; most rows occur often."""
+    """(rows that occur, places in them) of ``rows[numbers]``; most rows occur often."""
     found, at = np.unique(numbers, return_inverse=True)
     return squeezed(rows[found].astype(np.float32).T.tobytes()), squeezed(narrow(at))
 
 
+def decoded(rows: bytes, at: bytes, width: int) -> np.ndarray:
+    return np.frombuffer(opened(rows), np.float32).reshape(width, -1).T[wide(opened(at))]
+
+
+def batch(names: str, kinds: dict, rows: list[tuple]) -> pa.RecordBatch:
+    """Rows as a batch; a column's type by its name, binary unless given."""
+    columns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(x, kinds.get(n, pa.binary())) for n, x in zip(names.split(), columns, strict=True)], names=names.split())
+
+
 class _Ids(dict):
     def __missing__(self, word: bytes) -> int:
         self[word] = found = len(self)
         return found
 
 
-def stirling_alone(discount: float, most: int = LARGE) -> np.ndarray:
-    """[c, t]: the probability that one given customer of c at t tables sits alone."""
-    s = np.zeros((most + 1, most + 1))
-    s[0, 0] = 1.0
-    alone = np.ones((most + 1, most + 1))
-    for c in range(1, most + 1):
-        for t in range(1, c + 1):
-            s[c, t] = s[c - 1, t - 1] + (c - 1 - discount * t) * s[c - 1, t]
-            alone[c, t] = s[c - 1, t - 1] / s[c, t] if s[c, t] > 0 else 1.0
-        top = s[c].max()
-        s[: c + 1] /= top  # ratios of neighbouring rows are all that counts
-    return alone
+# Blocks
+
+
+BLOCKS = "kind int, block long, doc_id long, held_out boolean, pairs long, a binary, b binary, c binary, d binary"
 
 
-def code_blocks(docs: DataFrame, partitions: int) -> DataFrame:
-    """Blocks of coded documents: rows of kind 0 (a document), 1 (a block's counts for one partition) and
-    2 (a block's pairs: how many each word has, their contexts as places among its words, its suffixes).
+def code_blocks(docs: DataFrame) -> DataFrame:
+    """Blocks of coded documents: rows of kind 0 (a document: its tokens as places among the block's pairs) and
+    1 (a block: its words' keys, how many words follow each, which ones, and the pairs' training counts).
 
-    A document's tokens are numbers of the block's distinct (context, word) pairs. Pairs are ordered by
-    partition, word and context, so counts and answers need no keys.
+    Pairs are ordered by the keys of the context and of the word.
     """
+    kinds = {"kind": pa.int32(), "block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "pairs": pa.int64()}
+    names = "kind block doc_id held_out pairs a b c d"
 
     def block(block_id: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -148,57 +168,38 @@ def code_blocks(docs: DataFrame, partitions: int) -> DataFrame:
             tokens.append(np.fromiter(map(get, (*text.lower().split(), END)), np.uint32))
             rows[i] = (doc_id, held, None)
         words = list(ids)
-        hashes = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words))
-        keys = (hashes & ~np.uint64(0xFFFF)) | np.fromiter(map(suffix, words), np.uint64, len(words))
+        keys = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words))
         order = np.argsort(keys, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
         keys = keys[order]
         sizes = np.fromiter(map(len, tokens), np.int64, len(tokens))
-        flat = rank[np.concatenate(tokens)]
+        word = rank[np.concatenate(tokens)]
         start = rank[get(END)]
-        del tokens, words, ids, get, hashes
-        before = np.empty_like(flat)
-        before[1:] = flat[:-1]
-        before[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = start
+        del tokens, words, ids, get, order, rank
+        flat = np.empty_like(word)
+        flat[1:] = word[:-1]
+        flat[np.concatenate([[0], np.cumsum(sizes)[:-1]])] = start
         flat <<= 32
-        flat |= before
-        del before
+        flat |= word
+        del word
         pairs = np.unique(flat)
         places = np.searchsorted(pairs, flat).astype(np.uint32)
         del flat
         held = np.fromiter((h for _, h, _ in rows), bool, len(rows))
-        counts = np.bincount(places, weights=np.repeat(~held, sizes), minlength=len(pairs)).astype(np.uint32)
-        word, ctx = pairs >> 32, (pairs & 0xFFFFFFFF).astype(np.uint32)
-        del pairs
+        counts = np.bincount(places, weights=np.repeat(~held, sizes), minlength=len(pairs))
+        each = np.bincount(pairs >> 32, minlength=len(keys))  # every word is the context of another or of the end
         ends = np.cumsum(sizes)
-        each = np.bincount(word, minlength=len(keys)).astype(np.uint32)  # every word has a pair
-        limits = cuts(keys, partitions)
-        bounds = np.searchsorted(word, limits)
-        parts = []
-        for p in range(partitions):
-            lo, hi, first, last = bounds[p], bounds[p + 1], limits[p], limits[p + 1]
-            if hi > lo:
-                parts.append((p, keys[first:last].tobytes(), squeezed(each[first:last].tobytes()), keys[ctx[lo:hi]].tobytes(), squeezed(counts[lo:hi].tobytes())))
-        n = len(parts)
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), *[pa.binary()] * 4]
-        names = ["kind", "block", "doc_id", "held_out", "part", "a", "b", "c", "d"]
-        columns = [[1] * n, [block_id] * n, [None] * n, [None] * n, *([x[i] for x in parts] for i in range(5))]
-        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
-        shape = [squeezed(each.tobytes()), squeezed(narrow(ctx)), squeezed((keys & np.uint64(0xFFFF)).astype(np.uint16).tobytes())]
-        columns = [[2], [block_id], [None], [None], [None], *([x] for x in shape), [None]]
-        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
-        m = len(rows)
-        columns = [[0] * m, [block_id] * m, [r[0] for r in rows], [r[1] for r in rows], [None] * m, [narrow(places[e - s : e]) for s, e in zip(sizes, ends, strict=True)], [None] * m, [None] * m, [None] * m]
-        yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], names=names)
+        yield batch(names, kinds, [(1, block_id, None, None, len(pairs), keys.tobytes(), pack32(each), squeezed(narrow(pairs & 0xFFFFFFFF)), pack32(counts))])
+        yield batch(names, kinds, [(0, block_id, r[0], r[1], None, narrow(places[e - s : e]), None, None, None) for r, s, e in zip(rows, sizes, ends, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         first, number = TaskContext.get().partitionId() << 24, 0
         rows, size = [], 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for own in batches:
+            for doc_id, text in zip(own.column(0).to_pylist(), own.column(1), strict=True):
                 raw = (text.as_py() or "").encode("utf-8", "replace")
                 rows.append((doc_id, doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2, raw))
                 size += len(raw)
@@ -208,328 +209,466 @@ def code_blocks(docs: DataFrame, partitions: int) -> DataFrame:
         if rows:
             yield from block(first + number, rows)
 
-    schema = "kind int, block long, doc_id long, held_out boolean, part int, a binary, b binary, c binary, d binary"
-    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, schema)
+    return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, BLOCKS)
 
 
-def seat(c: np.ndarray, t: np.ndarray, base: np.ndarray, discount: float, opening: np.ndarray, alone: np.ndarray, rng: np.random.Generator) -> None:
-    """One sweep of Gibbs moves over dishes with c customers at t tables, in place. The model uses :func:`draw`.
+def hot_contexts(blocks: DataFrame, parts: int, total: int) -> dict[int, int]:
+    """Into how many parts each context is split that has over a partition's share of the pairs.
 
-    ``base`` is the parent's probability of the dish, ``opening`` strength + discount * T of its restaurant.
+    Fewer than ``parts`` contexts can have that share, whatever the input.
     """
-    weight = opening * base
-    few = np.flatnonzero((c > 1) & (c <= LARGE))
-    for step in range(STEPS):
-        few = few[c[few] > step] if step > 1 else few
-        if not len(few):
-            break
-        cc, tt = c[few], t[few]
-        tt = tt - (rng.random(len(few)) < alone[cc, tt])
-        new = weight[few] / (weight[few] + np.maximum(cc - 1 - discount * tt, 0.0))
-        t[few] = np.where(tt < 1, 1, tt + (rng.random(len(few)) < new))
-    many = np.flatnonzero(c > LARGE)
-    if len(many):
-        seated, tables = np.ones(len(many), np.int64), np.ones(len(many), np.int64)
-        total, w = c[many], weight[many]
-        while (seated < total).any():
-            group = np.minimum(total - seated, np.maximum(1, seated // 4))
-            new = w / (w + np.maximum(seated - discount * tables, 1e-9))
-            tables += rng.binomial(group, np.clip(new, 0.0, 1.0))
-            seated += group
-        t[many] = np.minimum(tables, total)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for own in batches:
+            for pairs, a, b in zip(*(own.column(c).to_pylist() for c in ("pairs", "a", "b")), strict=True):
+                each = u32(b)
+                often = each * parts * 4 > pairs
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.uint64)[often].view(np.int64)), pa.array(each[often].astype(np.int64))], names=["key", "n"])
 
-@lru_cache
-def log_stirling(discount: float) -> np.ndarray:
-    """[c, t]: log S(c, t) for c up to EXACT."""
-    out = np.full((EXACT + 1, EXACT + 1), -np.inf)
-    out[0, 0] = 0.0
-    for c in range(1, EXACT + 1):
-        t = np.arange(1, c + 1)
-        with np.errstate(divide="ignore"):
-            stay = out[c - 1, 1 : c + 1] + np.log(np.maximum(c - 1 - discount * t, 0.0))
-        out[c, 1 : c + 1] = np.logaddexp(out[c - 1, :c], stay)
-    return out
+    counts = blocks.where("kind = 1").select("pairs", "a", "b").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    found = counts.where(F.col("n") * parts > total).collect()
+    return {r["key"] & 0xFFFFFFFFFFFFFFFF: 1 + r["n"] * parts // total for r in found}
 
 
-def log_gamma(x: np.ndarray) -> np.ndarray:
-    """For x > 0, by Stirling's series ten steps up."""
-    y = x + 10
-    return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) - sum(np.log(x + i) for i in range(10))
+class Dealt:
+    """How a block's pairs are dealt to partitions: by context, split contexts by context and word.
 
+    ``order`` lists the block's pairs as partitions get them: for each its own words' pairs, then those of split ones.
+    """
 
-def saddle(c: int, discount: float, size: int = 8000) -> tuple[np.ndarray, np.ndarray]:
-    """Rising numbers of tables, no whole ones, and log S(c, t) at each by saddle point.
+    def __init__(self, keys: np.ndarray, each: np.ndarray, word: np.ndarray, hot: dict[int, int], parts: int) -> None:
+        each = each.astype(np.int64)
+        names = np.fromiter(sorted(hot), np.uint64, len(hot))
+        ways = np.fromiter((hot[int(x)] for x in names), np.uint64, len(hot))
+        ctx = np.repeat(np.arange(len(keys)), each)
+        self.is_hot = np.isin(keys, names)
+        at = np.flatnonzero(self.is_hot[ctx])
+        ways = ways[np.searchsorted(names, keys[ctx[at]])] if len(at) else np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            sub = keys[ctx[at]] + (1 + (keys[word[at]] >> np.uint64(16)) % np.maximum(ways, 1)) * np.uint64(0x9E3779B97F4A7C15)
+            sub = (sub ^ (sub >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            sub ^= sub >> np.uint64(29)
+        at = at[order := np.lexsort((word[at], sub))]
+        self.subs, first, self.sub_each = np.unique(sub[order], return_index=True, return_counts=True)
+        self.sub_of = keys[ctx[at[first]]] if len(at) else np.zeros(0, np.uint64)
+        self.own_each = np.where(self.is_hot, 0, each)
+        plain = np.flatnonzero(~self.is_hot[ctx])
+        self.words, self.sub_cuts = cuts(keys, parts), cuts(self.subs, parts)
+        own = np.concatenate([[0], np.cumsum(self.own_each)])[self.words]
+        split = np.concatenate([[0], np.cumsum(self.sub_each)])[self.sub_cuts]
+        self.parts = [(plain[own[p] : own[p + 1]], at[split[p] : split[p + 1]]) for p in range(parts)]
+        self.order = np.concatenate([x for both in self.parts for x in both]) if parts else np.zeros(0, np.int64)
+
+
+MESSAGES = "part int, block long, words binary, each binary, subs binary, sub_of binary, sub_each binary, follow binary, counts binary"
+
+
+def messages(blocks: DataFrame, hot: dict[int, int], parts: int) -> DataFrame:
+    """What each block sends to each partition that has one of its words."""
 
-    S(c, t) is c! / (t! d ** t) times the coefficient of z ** c in (1 - (1 - z) ** d) ** t.
-    """
-    d = discount
-    lowest = -(np.log(c) + 5.0) / (1 - d)
-    u = np.exp(np.concatenate([np.linspace(lowest, -0.7, size), np.log1p(-np.geomspace(0.5, 1e-6, size // 4))[1:]]))
-    z, f = -np.expm1(np.log(u)), -np.expm1(d * np.log(u))
-    mean = z * d * u ** (d - 1) / f
-    spread_ = z * mean * (1 / z + (1 - d) / u - d * u ** (d - 1) / f)
-    t = c / mean
-    fits = (t > 0.5) & (t < c) & (spread_ > 0)
-    t, z, f, spread_ = t[fits], z[fits], f[fits], spread_[fits]
-    whole = log_gamma(np.asarray([c + 1.0]))[0]
-    return t, whole - log_gamma(t + 1) - t * np.log(d) + t * np.log(f) - c * np.log(z) - 0.5 * np.log(2 * np.pi * t * spread_)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for block_id, a, b, c, d in zip(*(rows.column(x).to_pylist() for x in ("block", "a", "b", "c", "d")), strict=True):
+                keys, each, word, counts = np.frombuffer(a, np.uint64), u32(b), wide(opened(c)), u32(d)
+                dealt = Dealt(keys, each, word, hot, parts)
+                short = keys >> np.uint64(16)
+                out = []
+                for p, both in enumerate(dealt.parts):
+                    w, s = slice(*dealt.words[p : p + 2]), slice(*dealt.sub_cuts[p : p + 2])
+                    pairs = np.concatenate(both)
+                    if w.stop > w.start or len(pairs):
+                        out.append((p, block_id, keys[w].tobytes(), pack32(dealt.own_each[w]), dealt.subs[s].tobytes(), dealt.sub_of[s].tobytes(), pack32(dealt.sub_each[s]), pack48(short[word[pairs]]), pack32(counts[pairs])))
+                yield batch("part block words each subs sub_of sub_each follow counts", {"part": pa.int32(), "block": pa.int64()}, out)
+
+    return blocks.where("kind = 1").select("block", "a", "b", "c", "d").mapInArrow(run, MESSAGES)
+
+
+# Partitions by context
+
+
+#: All tables between partitions. Kinds: 0 a partition, 1 its words or sums for a partition of the root, 2 a block's
+#: places in it, 3 its contexts' keys; 4 values of G for a partition, 5 its tables by context, 6 by pair, 7 a partition of
+#: the root, 8 its masses for a partition; 9 answers to a block. In tables of the root: 0 its keys, 1 places, 2 first sums, 3 sums.
+STATE = "kind int, part int, home int, block long, stats array<double>, split array<struct<key:long,n:double,m:double>>, a binary, b binary, c binary, d binary, e binary, f binary"
+COLUMNS = ["kind", "part", "home", "block", "stats", "split", *"abcdef"]
+
+
+def row(kind: int, *blobs: bytes, part: int = -1, home: int = -1, block: int = -1, stats: list | None = None, split: list | None = None) -> tuple:
+    return (kind, part, home, block, stats, split, *blobs, *[None] * (6 - len(blobs)))
+
+
+def table(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=COLUMNS)
+
+
+def bound(body, *args):
+    """``body`` of a group's rows and ``args`` as they are now."""
+    return lambda rows: body(rows, *args)
+
+
+def merge(rows: pd.DataFrame, homes: int) -> pd.DataFrame:
+    """A partition's pairs from all blocks' messages."""
+    rows = rows.sort_values("block")
+    part = int(rows["part"].iloc[0])
+    words = [np.frombuffer(x, np.uint64) for x in rows["words"]]
+    subs = [np.frombuffer(x, np.uint64) for x in rows["subs"]]
+    contexts = np.unique(np.concatenate([*words, *subs]))
+    word_at = [np.searchsorted(contexts, x) for x in words]
+    sub_of = np.zeros(len(contexts), np.uint64)
+    ctx = []
+    for at, s, of, each, sub_each in zip(word_at, subs, rows["sub_of"], rows["each"], rows["sub_each"], strict=True):
+        places = np.searchsorted(contexts, s)
+        sub_of[places] = np.frombuffer(of, np.uint64)
+        ctx.append(np.concatenate([np.repeat(at, u32(each)), np.repeat(places, u32(sub_each))]))
+    sizes = [len(x) for x in ctx]
+    follow, inverse = np.unique(np.concatenate([keys48(x) for x in rows["follow"]]), return_inverse=True)
+    pairs, at = np.unique(np.concatenate(ctx) * len(follow) + inverse, return_inverse=True)
+    del ctx, inverse
+    counts = np.bincount(at, weights=np.concatenate([u32(x) for x in rows["counts"]]), minlength=len(pairs)).astype(np.int64)
+    ctx, word = np.divmod(pairs, len(follow))
+    customers = np.bincount(ctx, weights=counts, minlength=len(contexts)).astype(np.int64)
+    many = counts > 1
+    singles = np.bincount(ctx, weights=counts == 1, minlength=len(contexts))
+    kinds = np.zeros((2, len(follow)), np.int64)
+    kinds[0], kinds[1] = np.bincount(word, weights=counts == 1, minlength=len(follow)), np.bincount(word, weights=many, minlength=len(follow))
+    split = np.flatnonzero(sub_of)
+    stats = [float(counts.sum()), float((customers[sub_of == 0] > 0).sum()), float((counts == 1).sum()), float((counts == 2).sum())]
+    several = np.flatnonzero(kinds[1])
+    rank = np.zeros(len(follow), np.int64)
+    rank[several] = np.arange(len(several))
+    seen = np.bincount(ctx, weights=counts > 0, minlength=len(contexts))
+    hot = [(int(k.view(np.int64)), float(n), float(m)) for k, n, m in zip(sub_of[split], customers[split], seen[split], strict=True)]
+    state = [pack32(customers), pack32(singles), pack32(counts), squeezed(narrow(rank[word[many]])), pack32(np.bincount(ctx, minlength=len(contexts))), split.astype(np.uint32).tobytes() + sub_of[split].tobytes()]
+    out = [row(0, *state, part=part, stats=stats, split=hot), row(3, contexts.tobytes(), part=part)]
+    at48 = cuts(follow, homes, 48)
+    for q, (lo, hi) in enumerate(zip(at48[:-1], at48[1:], strict=True)):
+        if hi > lo:
+            out.append(row(1, pack48(follow[lo:hi]), pack32(kinds[0, lo:hi]), pack32(kinds[1, lo:hi]), part=part, home=q))
+    within = np.split(at, np.cumsum(sizes)[:-1])
+    for block_id, n, words_at, places in zip(rows["block"], rows["each"], word_at, within, strict=True):
+        own = int(u32(n).sum())
+        # A block's pairs of its own words come in order, and then those of split contexts.
+        out.append(row(2, pack_rising(words_at), pack_rising(places[:own]), pack_rising(places[own:]), part=part, block=int(block_id)))
+    return table(out)
+
+
+class Part:
+    """A partition's state: customers and single pairs by context, counts of all pairs, words of those that count twice or more."""
+
+    def __init__(self, row: pd.Series) -> None:
+        self.customers, self.singles, self.counts = u32(row["a"]), u32(row["b"]).astype(np.int64), u32(row["c"]).astype(np.int64)
+        self.word = wide(opened(row["d"]))
+        self.ctx = np.repeat(np.arange(len(self.customers)), u32(row["e"]))
+        raw = row["f"]
+        n = len(raw) // 12
+        self.split, self.split_of = np.frombuffer(raw[: 4 * n], np.uint32), np.frombuffer(raw[4 * n :], np.uint64)
+        self.many = self.counts > 1
+        self.c, self.at = self.counts[self.many], self.ctx[self.many]
+
+    def tables(self, t: np.ndarray) -> np.ndarray:
+        """Each context's tables."""
+        return self.singles + np.bincount(self.at, weights=t, minlength=len(self.singles)).astype(np.int64)
+
+
+# Seating
 
 
 @lru_cache
-def saddle_error(discount: float) -> np.ndarray:
-    """What the saddle point lacks for each t, by the exact row EXACT; far below its end alone."""
-    t = np.arange(1, EXACT // 4 + 1)
-    return log_stirling(discount)[EXACT, t] - np.interp(np.log(t), np.log((at := saddle(EXACT, discount))[0]), at[1])
+def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
+    """[c, t]: log S(c, t), by its recurrence."""
+    out = np.full((most + 1, most + 1), -np.inf)
+    out[0, 0] = 0.0
+    for c in range(1, most + 1):
+        t = np.arange(1, c + 1)
+        with np.errstate(divide="ignore"):
+            stay = out[c - 1, 1 : c + 1] + np.log(np.maximum(c - 1 - discount * t, 0.0))
+        out[c, 1 : c + 1] = np.logaddexp(out[c - 1, :c], stay)
+    return out
 
 
-def draw(c: np.ndarray, t: np.ndarray, base: np.ndarray, discount: float, strength: float, opening: np.ndarray, rng: np.random.Generator) -> None:
-    """Draws each dish's tables from their conditional given all others, in place.
+def draw_large(c: np.ndarray, w: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """As :func:`draw`, for many customers.
 
-    ``base`` is the parent's probability of the dish, ``opening`` strength + discount * T of its
-    restaurant, with T before the draw.
+    The weights' generating function is that of a Poisson number of groups of tilted sizes that add up to
+    c. At its saddle point the groups but one have mean ``mean`` and variance ``var``.
     """
-    others = np.maximum(opening - discount * t, strength)
-    many = np.flatnonzero(c > 1)
-    if not len(many):
-        return
-    many = many[np.argsort(c[many], kind="stable")]
-    sizes, starts = np.unique(c[many], return_index=True)
-    for size, group in zip(sizes.tolist(), np.split(many, starts[1:]), strict=True):
-        if size > EXACT:
-            at, logs = saddle(size, discount)
-            lack = saddle_error(discount)
-            for i in group:
-                o = others[i] / discount
-                rise = lambda x: log_gamma(o + x) + x * np.log(discount * base[i])  # noqa: B023, E731
-                rough = logs + rise(at)
-                near = at[rough > rough.max() - 40.0]
-                tables = np.arange(max(1, int(near[0]) - 1), min(size, int(near[-1]) + 2) + 1)
-                fine = np.interp(np.log(tables), np.log(at), logs) + rise(tables.astype(float))
-                fine += np.where(tables <= len(lack), lack[np.minimum(tables, len(lack)) - 1], 0.0)
-                chance = np.cumsum(np.exp(fine - fine.max()))
-                t[i] = tables[np.searchsorted(chance, rng.random() * chance[-1])]
-            continue
-        logs, steps = log_stirling(discount)[size, 1 : size + 1], discount * np.arange(size)
-        for lo in range(0, len(group), max(1, 1_000_000 // size)):
-            own = group[lo : lo + max(1, 1_000_000 // size)]
-            chance = logs + np.cumsum(np.log((others[own, None] + steps) * base[own, None]), 1)
-            chance = np.cumsum(np.exp(chance - chance.max(1, keepdims=True)), 1)
-            t[own] = 1 + (chance < rng.random((len(own), 1)) * chance[:, -1:]).sum(1)
-
-
-class Merged:
-    """A partition's counts from all blocks: its words, their contexts and pairs, in order of their keys."""
-
-    def __init__(self, rows: pd.DataFrame) -> None:
-        self.blocks = rows["block"].tolist()
-        found = [(np.frombuffer(a, np.uint64), np.frombuffer(opened(b), np.uint32), np.frombuffer(c, np.uint64), np.frombuffer(opened(d), np.uint32)) for a, b, c, d in zip(rows["a"], rows["b"], rows["c"], rows["d"], strict=True)]
-        self.keys = np.unique(np.concatenate([x[0] for x in found]))
-        self.contexts = np.unique(np.concatenate([x[2] for x in found]))
-        many = len(self.contexts)
-        self.words = [np.searchsorted(self.keys, a) for a, *_ in found]
-        own = [np.repeat(w, b) * many + np.searchsorted(self.contexts, c) for w, (_, b, c, _) in zip(self.words, found, strict=True)]
-        pairs = np.unique(np.concatenate(own))
-        self.places = [np.searchsorted(pairs, x) for x in own]
-        self.counts = np.zeros(len(pairs), np.int64)
-        for at, (*_, d) in zip(self.places, found, strict=True):
-            np.add.at(self.counts, at, d)
-        self.word, self.ctx = np.divmod(pairs, many)
-
-
-def sample_part(m: Merged, types: np.ndarray, share: float, seed: int) -> tuple[list[tuple], dict, np.ndarray]:
-    """Samples seatings of a partition, and answers every block; also sums, and tables by context.
-
-    ``types`` has each context's number of distinct words in the whole training part. An answer has, by
-    word: training count (high and low part) and the root's mass in each sample; and by pair: the average
-    mass of its own restaurant, and the mass of the two above in each sample. Mass is customers less
-    discounts. Words and pairs are places in tables of the rows that occur.
-    """
-    c3, word, ctx = m.counts, m.word, m.ctx
-    ends = (m.contexts & np.uint64(0xFFFF)).astype(np.int64)[ctx]
-    two_keys, two = np.unique(word * SUFFIXES + ends, return_inverse=True)
-    two_word, two_ctx = two_keys >> 16, two_keys & 0xFFFF
-    one_keys, one = np.unique(two_word * 512 + parent(two_ctx), return_inverse=True)
-    one_word, one_ctx = one_keys >> 9, one_keys & 511
-    n = len(m.keys)
-    counts = np.bincount(word, weights=c3, minlength=n).astype(np.int64)
-    d0, d1, d2, d3 = DISCOUNTS
-    rng = np.random.default_rng(seed)
-    uniform = share / max(1.0, float((counts > 0).sum()))  # 1 / V, from this sample of the vocabulary
-    by = lambda at, v, size: np.bincount(at, weights=v, minlength=size)
-    below = lambda at, v, size: by(at, v, size).astype(np.int64)
-    fit = lambda t, c: np.minimum(c, 1) if t is None else np.clip(t, np.minimum(c, 1), c)
-    t3 = np.minimum(c3, 1)
-    local = by(ctx, t3, len(types))
-    size_class = np.log2(np.maximum(types, 1)).astype(np.int64)
-    class_types = np.maximum(by(size_class, local, 64), 1.0)
-    t2 = t1 = t0 = None
-    seatings = []
-    before, sweep, settled = np.zeros(4), 0, False
-    while len(seatings) < SAMPLES:
-        c2 = below(two, t3, len(two_keys))
-        t2 = fit(t2, c2)
-        c1 = below(one, t2, len(one_keys))
-        t1 = fit(t1, c1)
-        c0 = below(one_word, t1, n)
-        t0 = fit(t0, c0)
-        opening = STRENGTHS[0] + d0 * t0.sum() / share
-        draw(c0, t0, np.full(n, uniform), d0, STRENGTHS[0], np.full(n, opening), rng)
-        p0 = (c0 - d0 * t0 + (STRENGTHS[0] + d0 * t0.sum() / share) * uniform) / (STRENGTHS[0] + max(1.0, c0.sum() / share))
-        total_t, total_c = by(one_ctx, t1, 512) / share, by(one_ctx, c1, 512) / share
-        draw(c1, t1, p0[one_word], d1, STRENGTHS[1], (STRENGTHS[1] + d1 * total_t)[one_ctx], rng)
-        p1 = (c1 - d1 * t1 + (STRENGTHS[1] + d1 * total_t[one_ctx]) * p0[one_word]) / (STRENGTHS[1] + total_c[one_ctx])
-        total_t, total_c = by(two_ctx, t2, SUFFIXES) / share, by(two_ctx, c2, SUFFIXES) / share
-        draw(c2, t2, p1[one], d2, STRENGTHS[2], (STRENGTHS[2] + d2 * total_t)[two_ctx], rng)
-        p2 = (c2 - d2 * t2 + (STRENGTHS[2] + d2 * total_t[two_ctx]) * p1[one]) / (STRENGTHS[2] + total_c[two_ctx])
-        ratio = np.maximum(by(size_class, by(ctx, t3, len(types)), 64) / class_types, 1.0)
-        draw(c3, t3, p2[two], d3, STRENGTHS[3], (STRENGTHS[3] + d3 * types * ratio[size_class])[ctx], rng)
-        now = np.asarray([t0.sum(), t1.sum(), t2.sum(), t3.sum()], float)
-        kept, sweep = settled, sweep + 1
-        settled = settled or (sweep >= BURN and (sweep >= MOST_BURN or bool((np.abs(now - before) <= SETTLED * now).all())))
-        before = now
-        if kept:
-            c2 = below(two, t3, len(two_keys))
-            s2 = fit(t2, c2)
-            c1 = below(one, s2, len(one_keys))
-            s1 = fit(t1, c1)
-            c0 = below(one_word, s1, n)
-            seatings.append((t3.copy(), c2, s2, c1, s1, c0, fit(t0, c0)))
-    sums = {"tokens": int(counts.sum()), "types": int((counts > 0).sum())}
-    for s, (_, y2, x2, y1, x1, y0, x0) in enumerate(seatings):
-        sums |= {f"c2_{s}": by(two_ctx, y2, SUFFIXES), f"t2_{s}": by(two_ctx, x2, SUFFIXES), f"c1_{s}": by(one_ctx, y1, 512), f"t1_{s}": by(one_ctx, x1, 512)}
-        sums[f"c0_{s}"], sums[f"t0_{s}"] = np.asarray([float(y0.sum())]), np.asarray([float(x0.sum())])
-    tables = np.stack([by(ctx, x[0], len(types)) for x in seatings]).astype(np.uint32)
-    # A pair's own mass enters predictions linearly, so its average is all that is needed; what is above it varies by sample.
-    own = np.mean([c3 - d3 * x[0] for x in seatings], axis=0)
-    middle = np.stack([x[1] - d2 * x[2] for x in seatings] + [(x[3] - d1 * x[4])[one] for x in seatings], 1)[two]
-    pair_rows, pair_at = np.unique(np.column_stack([own, middle]).astype(np.float32), axis=0, return_inverse=True)
-    root = np.stack([x[5] - d0 * x[6] for x in seatings], 1)
-    word_rows, word_at = np.unique(np.column_stack([counts // (1 << 20), counts % (1 << 20), root]).astype(np.float32), axis=0, return_inverse=True)
-    answers = []
-    for block_id, w, at in zip(m.blocks, m.words, m.places, strict=True):
-        answers.append((int(block_id), *coded(word_at.ravel()[w], word_rows), *coded(pair_at.ravel()[at], pair_rows)))
-    return answers, sums, tables
-
-
-def context_types(blocks: DataFrame, partitions: int) -> DataFrame:
-    """To each partition, in order of its contexts: their numbers of distinct words in all partitions."""
-
-    def send(rows: pd.DataFrame) -> pd.DataFrame:
-        m = Merged(rows.sort_values("block"))
-        types = np.bincount(m.ctx, weights=m.counts > 0, minlength=len(m.contexts)).astype(np.uint32)
-        at, p = cuts(m.contexts, partitions), int(rows["part"].iloc[0])
-        out = [(q, p, m.contexts[lo:hi].tobytes(), squeezed(types[lo:hi].tobytes())) for q, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
-        return pd.DataFrame(out, columns=["home", "part", "keys", "types"])
-
-    def add(rows: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, np.uint64) for x in rows["keys"]]
-        whole = np.unique(np.concatenate(keys))
-        places, total = [np.searchsorted(whole, x) for x in keys], np.zeros(len(whole), np.uint32)
-        for at, types in zip(places, rows["types"], strict=True):
-            total[at] += np.frombuffer(opened(types), np.uint32)
-        return pd.DataFrame({"home": rows["home"], "part": rows["part"], "types": [squeezed(total[at].tobytes()) for at in places]})
-
-    sent = blocks.where("kind = 1").select("block", "part", "a", "b", "c", "d").groupBy("part").applyInPandas(send, "home int, part int, keys binary, types binary")
-    return sent.groupBy("home").applyInPandas(add, "home int, part int, types binary")
-
-
-ANSWER = ["word_rows", "words", "pair_rows", "pairs"]
-
-
-def fit_and_answer(blocks: DataFrame, types: DataFrame, partitions: int) -> DataFrame:
-    """Answers to all blocks (kind 1), each partition's sums (0), and its tables by context for their homes (2)."""
-
-    def run(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        p = int(rows["part"].iloc[0])
-        m = Merged(rows.sort_values("block"))
-        whole = np.concatenate([np.frombuffer(opened(x), np.uint32) for x in known.sort_values("home")["types"]]).astype(np.float64)
-        answers, sums, tables = sample_part(m, whole, 1.0 / partitions, 1_000 + p)
-        packed = np.concatenate([[sums["tokens"], sums["types"]], *[sums[k] for k in sorted(sums) if k not in ("tokens", "types")]]).astype(np.float64)
-        out = [(1, b, p, *x) for b, *x in answers] + [(0, -1, p, squeezed(packed.tobytes()), None, None, None)]
-        at = cuts(m.contexts, partitions)
-        out += [(2, -1, q, m.contexts[lo:hi].tobytes(), squeezed(tables[:, lo:hi].tobytes()), None, None) for q, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo]
-        return pd.DataFrame(out, columns=["kind", "block", "part", *ANSWER])
-
-    schema = "kind int, block long, part int, " + ", ".join(f"{x} binary" for x in ANSWER)
-    sent = blocks.where("kind = 1").select("block", "part", "a", "b", "c", "d").groupBy("part")
-    return sent.cogroup(types.groupBy("part")).applyInPandas(run, schema)
-
-
-def context_tables(blocks: DataFrame, answers: DataFrame) -> DataFrame:
-    """To each block, in order of its words: the tables in each word's own restaurant, by sample (column ``tables``)."""
-
-    def run(own: pd.DataFrame, sent: pd.DataFrame) -> pd.DataFrame:
-        keys = [np.frombuffer(x, np.uint64) for x in sent["word_rows"]]
-        whole = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
-        total = np.zeros((SAMPLES, len(whole)), np.uint32)
-        for x, tables in zip(keys, sent["words"], strict=True):
-            total[:, np.searchsorted(whole, x)] += np.frombuffer(opened(tables), np.uint32).reshape(SAMPLES, -1)
-        # Every word of a block is the context of another of its tokens, or its end.
-        out = [squeezed(total[:, np.searchsorted(whole, np.frombuffer(a, np.uint64))].tobytes()) for a in own["a"]]
-        return pd.DataFrame({"block": own["block"], "part": own["part"], "tables": out})
-
-    homes = blocks.where("kind = 1").select("block", "part", "a").groupBy("part")
-    return homes.cogroup(answers.where("kind = 2").select("part", "word_rows", "words").groupBy("part")).applyInPandas(run, "block long, part int, tables binary")
-
-
-def totals(answers: DataFrame) -> dict[str, np.ndarray]:
-    """The whole model's sums: each partition's have one fixed size, and they are added on the way."""
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
-        for batch in batches:
-            for x in batch.column(0):
-                x = np.frombuffer(opened(x.as_buffer()), np.float64)
-                total = x.copy() if total is None else total + x
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([squeezed(total.tobytes())], pa.binary())], names=["sums"])
-
-    sums = answers.where("kind = 0").select(F.col("word_rows").alias("sums"))
-    for few in (32, 1):
-        sums = sums.coalesce(few).mapInArrow(add, "sums binary")
-    row = sums.first()
-    sizes = {f"{k}_{s}": SUFFIXES for k in ("c2", "t2") for s in range(SAMPLES)} | {f"{k}_{s}": 512 for k in ("c1", "t1") for s in range(SAMPLES)} | {f"{k}_{s}": 1 for k in ("c0", "t0") for s in range(SAMPLES)}
-    whole = np.frombuffer(opened(bytes(row["sums"])), np.float64) if row else np.zeros(2 + sum(sizes.values()))
-    out, at = {"tokens": int(whole[0]), "types": int(whole[1])}, 2
-    for name in sorted(sizes):
-        out[name] = whole[at : at + sizes[name]]
-        at += sizes[name]
-    return out
+    low, high = np.full(len(c), -700.0), np.full(len(c), -1e-12)
+    want = np.log(c / w)
+    for _ in range(60):
+        mid = (low + high) / 2
+        more = np.log1p(-np.exp(mid)) + (discount - 1) * mid > want
+        low, high = np.where(more, mid, low), np.where(more, high, mid)
+    mid = (low + high) / 2
+    u = np.exp(mid)
+    mean = w * -np.expm1(discount * mid) / discount
+    var = np.maximum(mean - c / (1 + (1 - discount) * (1 - u) / u), 0.0)
+    t = np.where(mean < 50, rng.poisson(np.minimum(mean, 50.0)), np.rint(mean + np.sqrt(var) * rng.standard_normal(len(c))))
+    return np.clip(1 + t, 1, c).astype(np.int64)
+
+
+def draw(c: np.ndarray, w: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
+    """Tables of dishes with ``c`` customers: t with probability in proportion to S(c, t) * w ** t."""
+    t = np.minimum(c, 1).astype(np.int64)
+    logs = log_stirling(discount)
+    order = np.argsort(c, kind="stable")
+    lo, end = np.searchsorted(c[order], [2, EXACT + 1])
+    while lo < end:
+        hi = min(end, lo + max(1, 400_000 // int(c[order[min(end - 1, lo + 200_000)]])))
+        own = order[lo:hi]
+        most = int(c[own[-1]])
+        chance = logs[c[own], 1 : most + 1] + np.log(np.maximum(w[own], 1e-300))[:, None] * np.arange(1, most + 1)
+        chance -= chance.max(1, keepdims=True)
+        np.exp(chance, out=chance)
+        np.cumsum(chance, 1, out=chance)
+        t[own] = 1 + (chance < rng.random((len(own), 1)) * chance[:, -1:]).sum(1)
+        lo = hi
+    if len(large := order[end:]):
+        t[large] = draw_large(c[large].astype(float), np.maximum(w[large], 1e-300), discount, rng)
+    return t
+
+
+def rounded_discount(once: float, twice: float) -> float:
+    """Ney's estimate, within bounds, coarse enough that all tasks share one table of Stirling numbers."""
+    return round(min(0.95, max(0.05, once / (once + 2 * twice))), 3) if once else 0.5
+
+
+def sweep_parts(rows: pd.DataFrame, discount: float, norm: float, rest: float, hot_x: dict[int, float], seed: int, keep: bool) -> pd.DataFrame:
+    """Draws a partition's tables given the root's measure; sums by word for the root's partitions."""
+    part = int(rows["part"].iloc[0])
+    p = Part(rows[rows["kind"] == 0].iloc[0])
+    rng = np.random.default_rng([seed, part])
+    sent = rows[rows["kind"] == 4].sort_values("home")
+    sent = [(int(h), np.frombuffer(opened(x), np.float32)) for h, x in zip(sent["home"], sent["a"], strict=True)]
+    g = np.concatenate([np.zeros(0, np.float32), *[x for _, x in sent]]).astype(float)
+    before = rows[rows["kind"] == 5]
+    tables = u32(before["a"].iloc[0]).astype(np.int64) if len(before) else p.tables(np.ones(len(p.c)))
+    x = rng.gamma(tables + STRENGTH / discount)
+    for i, key in zip(p.split, p.split_of, strict=True):
+        x[i] = hot_x[int(key)]
+    t = draw(p.c, discount * x[p.at] * ((g + rest) / norm)[p.word], discount, rng)
+    tables = p.tables(t)
+    split = [(int(k.view(np.int64)), float(n), 0.0) for k, n in zip(p.split_of, tables[p.split], strict=True)]
+    out = [row(5, pack32(tables), part=part, split=split)]
+    sums = np.bincount(p.word, weights=t, minlength=len(g))
+    at = 0
+    for home, values in sent:
+        out.append(row(1, pack32(sums[at : at + len(values)]), part=part, home=home))
+        at += len(values)
+    if keep:
+        out.append(row(6, pack32(t), part=part))
+    return table(out)
+
+
+def gather_roots(rows: pd.DataFrame) -> pd.DataFrame:
+    """A partition of the root from all partitions' words."""
+    home = int(rows["home"].iloc[0])
+    keys = [keys48(x) for x in rows["a"]]
+    whole = np.unique(np.concatenate(keys))
+    base, many, out = np.zeros(len(whole)), np.zeros(len(whole)), []
+    for part, own, once, twice in zip(rows["part"], keys, rows["b"], rows["c"], strict=True):
+        at, more = np.searchsorted(whole, own), u32(twice)
+        base[at] += u32(once)
+        many[at] += more
+        if (more > 0).any():
+            out.append(row(1, pack_rising(at[more > 0]), part=int(part), home=home))
+    first = base + many  # the first seating has one table for each pair
+    out.append(row(0, pack48(whole), pack32(base), home=home, stats=[float((first == 1).sum()), float((first == 2).sum()), float(first.sum()), float((first > 0).sum())]))
+    out.append(row(2, pack32(many), home=home))
+    return table(out)
+
+
+def sweep_root(rows: pd.DataFrame, discount: float, x: float, uniform: float, seed: int, keep: bool) -> pd.DataFrame:
+    """Draws the root's tables and measure for a partition of its dishes; values of G for other partitions."""
+    home = int(rows["home"].iloc[0])
+    rng = np.random.default_rng([seed, 1 << 20, home])
+    c = u32(rows.loc[rows["kind"] == 0, "b"].iloc[0]).astype(np.int64)
+    places = {int(p): rising(a) for p, a in zip(*(rows.loc[rows["kind"] == 1, k] for k in ("part", "a")), strict=True)}
+    sent = rows[rows["kind"] == 3]
+    for part, a in zip(sent["part"], sent["a"], strict=True):
+        c[places[int(part)]] += u32(a)
+    for a in rows.loc[rows["kind"] == 2, "a"]:
+        c += u32(a)
+    t = draw(c, np.full(len(c), discount * x * uniform), discount, rng)
+    g = rng.gamma(np.maximum(c - discount * t, 0.0)).astype(np.float32)
+    out = [row(4, squeezed(g[at].tobytes()), part=p, home=home) for p, at in places.items()]
+    kept = (pack32(c), pack32(t)) if keep else ()
+    out.append(row(7, *kept, home=home, stats=[float(c.sum()), float(t.sum()), float(g.sum(dtype=np.float64))]))
+    return table(out)
+
+
+# Predictions
+
+
+def root_masses(rows: pd.DataFrame, discount: float, parts: int) -> pd.DataFrame:
+    """To each partition: its words' keys and their mass at the root in each sample."""
+    keys = keys48(rows.loc[rows["kind"] == 0, "a"].iloc[0])
+    samples = rows[rows["kind"] == 7].sort_values("block")
+    mass = np.stack([u32(c) - discount * u32(t) for c, t in zip(samples["a"], samples["b"], strict=True)]).astype(np.float32)
+    at = cuts(keys, parts, 48)
+    return table([row(8, pack48(keys[lo:hi]), squeezed(mass[:, lo:hi].tobytes()), part=p) for p, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)) if hi > lo])
+
+
+def answer(rows: pd.DataFrame, discount: float, samples: int) -> pd.DataFrame:
+    """To each block, for its words: training count (high and low part), mass at the root and tables as a context,
+    in each sample; for its pairs: the average mass of their own. Mass is customers less discounts."""
+    part = int(rows["part"].iloc[0])
+    p = Part(rows[rows["kind"] == 0].iloc[0])
+    contexts = np.frombuffer(rows.loc[rows["kind"] == 3, "a"].iloc[0], np.uint64)
+    own = np.where(p.counts > 0, p.counts - discount, 0.0)
+    kept = rows[rows["kind"] == 6].sort_values("block")
+    own[p.many] = p.c - discount * np.mean([u32(x) for x in kept["a"]], axis=0)
+    pair_rows, pair_at = np.unique(own.astype(np.float32), return_inverse=True)
+    tables = [u32(x) for x in rows[rows["kind"] == 5].sort_values("block")["a"]]
+    root = np.zeros((samples, len(contexts)))
+    for a, b in zip(*(rows.loc[rows["kind"] == 8, k] for k in "ab"), strict=True):
+        keys = keys48(a)
+        at = np.minimum(np.searchsorted(keys, contexts >> np.uint64(16)), len(keys) - 1)
+        root += np.where(keys[at] == contexts >> np.uint64(16), np.frombuffer(opened(b), np.float32).reshape(samples, -1)[:, at], 0.0)
+    word_rows, word_at = np.unique(np.column_stack([p.customers // (1 << 20), p.customers % (1 << 20), *root, *tables]).astype(np.float32), axis=0, return_inverse=True)
+    out = []
+    for block, a, b, c in zip(*(rows.loc[rows["kind"] == 2, k] for k in ("block", *"abc")), strict=True):
+        pairs = np.concatenate([rising(b), rising(c)])
+        out.append(row(9, *coded(word_at.ravel()[rising(a)], word_rows), *coded(pair_at.ravel()[pairs], pair_rows[:, None]), part=part, block=int(block)))
+    return table(out)
 
 
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_docs(blocks: DataFrame, answers: DataFrame, tables: DataFrame, model: dict, spark: SparkSession) -> DataFrame:
-    """Scores of all documents, block by block."""
-    shared = spark.sparkContext.broadcast(model)  # a fixed size: sums by suffix
-
-    def run(docs: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        m = shared.value
-        own = own.sort_values("part")
-        homes, own = own[own["tables"].notna()], own[own["tables"].isna()]
-        shape, docs = docs[docs["kind"] == 2].iloc[0], docs[docs["kind"] == 0]
-        each, ctx = np.frombuffer(opened(shape["a"]), np.uint32), wide(opened(shape["b"]))
-        ends = np.frombuffer(opened(shape["c"]), np.uint16).astype(np.int64)[ctx]
-        table = lambda rows, at, n: np.concatenate([np.frombuffer(opened(x), np.float32).reshape(n, -1).T[wide(opened(y))] for x, y in zip(own[rows], own[at], strict=True)]).astype(float)
-        words, pairs = table("word_rows", "words", 2 + SAMPLES), table("pair_rows", "pairs", 1 + 2 * SAMPLES)
-        seated = np.concatenate([np.frombuffer(opened(x), np.uint32).reshape(SAMPLES, -1) for x in homes["tables"]], 1)
-        counts, root = words[:, 0] * (1 << 20) + words[:, 1], words[:, 2:]
-        word, one = np.repeat(np.arange(len(each)), each), parent(ends)
-        uniform = 1.0 / (m["types"] + 1)
-        p = np.zeros(len(ctx))
-        for s in range(SAMPLES):
-            p0 = (root[:, s] + (STRENGTHS[0] + DISCOUNTS[0] * m[f"t0_{s}"][0]) * uniform) / (STRENGTHS[0] + m[f"c0_{s}"][0])
-            p1 = (pairs[:, 1 + SAMPLES + s] + (STRENGTHS[1] + DISCOUNTS[1] * m[f"t1_{s}"][one]) * p0[word]) / (STRENGTHS[1] + m[f"c1_{s}"][one])
-            p2 = (pairs[:, 1 + s] + (STRENGTHS[2] + DISCOUNTS[2] * m[f"t2_{s}"][ends]) * p1) / (STRENGTHS[2] + m[f"c2_{s}"][ends])
-            # A word comes before another, or the first of a text, as often as it occurs.
-            p += (pairs[:, 0] + (STRENGTHS[3] + DISCOUNTS[3] * seated[s][ctx]) * p2) / (STRENGTHS[3] + counts[ctx])
-        logs = np.log10(p / SAMPLES)
+class Model:
+    """A sampled model: its partitions' tables, and the sums that all predictions share."""
+
+    def __init__(self, docs: DataFrame, seed: int = 1, part_pairs: int = PART_PAIRS, samples: int = SAMPLES) -> None:
+        self.wanted = samples
+        self.blocks = materialize(code_blocks(docs), "coded")
+        total = int(self.blocks.agg(F.sum("pairs").alias("n")).first()["n"] or 0)
+        homes = max(1, -(-total // (part_pairs * GROUP)))
+        self.parts = homes * GROUP if homes > 1 else max(1, -(-total // part_pairs))
+        cores = docs.sparkSession.sparkContext.defaultParallelism
+        self.light = max(min(cores, self.parts), self.parts // 4)
+        self.by_home = max(1, min(homes, self.light))
+        split = hot_contexts(self.blocks, self.parts, total) if self.parts > 1 else {}
+        sent = messages(self.blocks, split, self.parts).repartition(self.parts, "part")
+        self.state = materialize(sent.groupBy("part").applyInPandas(bound(merge, homes), STATE), "pairs")
+        tokens, types, once, twice = self.sums(self.state.where("kind = 0"), 4)
+        self.discount = rounded_discount(once, twice)
+        # Split contexts are words too, whose counts are those of their parts.
+        self.split, self.hot = split, self.hot_sums(self.state.where("kind = 0")) if split else {}
+        self.tokens, self.types = int(tokens), int(types) + sum(n > 0 for n, _ in self.hot.values())
+        self.uniform = 1.0 / (self.types + 1)
+        self.roots = self.grouped(self.state.where("kind = 1"), "home", self.by_home, gather_roots, "roots")
+        self.samples: list[dict] = []
+        self.sweeps = self.sample(np.random.default_rng(seed), seed)
+
+    @staticmethod
+    def grouped(rows: DataFrame, key: str, tasks: int, body, label: str) -> DataFrame:
+        return materialize(rows.select(*COLUMNS).repartition(tasks, key).groupBy(key).applyInPandas(body, STATE), label)
+
+    @staticmethod
+    def sums(rows: DataFrame, size: int) -> list[float]:
+        found = rows.agg(*[F.sum(F.get("stats", F.lit(i))).alias(f"s{i}") for i in range(size)]).first()
+        return [float(x or 0.0) for x in found]
+
+    @staticmethod
+    def hot_sums(rows: DataFrame) -> dict[int, tuple[float, float]]:
+        """Both sums of every split context: fewer than partitions."""
+        found = rows.select(F.explode("split").alias("s")).groupBy("s.key").agg(F.sum("s.n").alias("n"), F.sum("s.m").alias("m")).collect()
+        return {r["key"] & 0xFFFFFFFFFFFFFFFF: (r["n"], r["m"]) for r in found}
+
+    def sample(self, rng: np.random.Generator, seed: int) -> int:
+        """Sweeps until seatings settle, then keeps those wanted; the number of sweeps."""
+        once, twice, customers, dishes = self.sums(self.roots.where("kind = 0"), 4)
+        self.root_discount = rounded_discount(once, twice)
+        root_tables, tables = dishes, None
+        hot_tables = {k: m for k, (_, m) in self.hot.items()}
+        fixed, roots = self.state.where("kind = 0"), self.roots
+        settled, last, sweep = False, np.zeros(2), 0
+        while True:
+            # The root, given the contexts' tables.
+            keep, made = settled, seed * 1000 + sweep
+            x = rng.gamma(root_tables + STRENGTH / self.root_discount)
+            args = (self.root_discount, x, self.uniform, made, keep)
+            rows = roots if tables is None else roots.where("kind <> 2").unionByName(tables.where("kind = 1").withColumn("kind", F.lit(3)))
+            root = self.grouped(rows, "home", self.by_home, bound(sweep_root, *args), "root")
+            customers, root_tables, mass = self.sums(root.where("kind = 7"), 3)
+            rest = rng.gamma(STRENGTH + self.root_discount * root_tables)
+            if keep:
+                self.samples.append({"tables": tables, "root": root, "customers": customers, "root_tables": root_tables, "hot": hot_tables})
+                if len(self.samples) == self.wanted:
+                    return sweep
+            now = np.asarray([customers, root_tables])
+            settled = settled or sweep >= BURN and (sweep >= MOST_BURN or bool((np.abs(now - last) <= SETTLED * now).all()))
+            last = now
+            # The contexts, given the root.
+            hot_x = {k: float(rng.gamma(n + STRENGTH / self.discount)) for k, n in hot_tables.items()}
+            args = (self.discount, mass + rest, rest * self.uniform, hot_x, made, settled)
+            rows = fixed.unionByName(root.where("kind = 4"))
+            rows = rows if tables is None else rows.unionByName(tables.where("kind = 5"))
+            old, tables = tables, self.grouped(rows, "part", self.light, bound(sweep_parts, *args), "tables")
+            hot_tables = {k: n for k, (n, _) in self.hot_sums(tables.where("kind = 5")).items()} if self.hot else {}
+            if not keep:
+                remove(root)
+                if old is not None:
+                    remove(old)
+            sweep += 1
+
+    def answers(self) -> DataFrame:
+        """What blocks need of the samples."""
+        labelled = lambda name, kinds: [x[name].where(f"kind IN ({kinds})").withColumn("block", F.lit(i).cast("long")) for i, x in enumerate(self.samples)]
+        rows = self.roots.where("kind = 0")
+        for x in labelled("root", "7"):
+            rows = rows.unionByName(x)
+        masses = self.grouped(rows, "home", self.by_home, bound(root_masses, self.root_discount, self.parts), "masses")
+        rows = self.state.where("kind IN (0, 2, 3)").unionByName(masses)
+        for x in labelled("tables", "5, 6"):
+            rows = rows.unionByName(x)
+        return self.grouped(rows, "part", self.parts, bound(answer, self.discount, self.wanted), "answers")
+
+    def shared(self) -> dict:
+        """The few numbers that every prediction needs."""
+        hot = sorted(self.hot)
+        return {
+            "tokens": self.tokens, "types": self.types, "uniform": self.uniform, "discount": self.discount, "root_discount": self.root_discount,
+            "samples": self.wanted, "parts": self.parts, "split": self.split, "hot": np.asarray(hot, np.uint64), "hot_count": np.asarray([self.hot[k][0] for k in hot]),
+            "hot_tables": np.asarray([[x["hot"].get(k, 0.0) for k in hot] for x in self.samples]),
+            "customers": [x["customers"] for x in self.samples], "root_tables": [x["root_tables"] for x in self.samples],
+        }
+
+
+def predicted(shape: pd.Series, own: pd.DataFrame, m: dict) -> tuple[np.ndarray, ...]:
+    """A block's (word keys, contexts, words, training counts by word, probabilities by pair)."""
+    own, samples = own.sort_values("part"), m["samples"]
+    keys, each, word = np.frombuffer(shape["a"], np.uint64), u32(shape["b"]), wide(opened(shape["c"]))
+    order = Dealt(keys, each, word, m["split"], m["parts"]).order
+    ctx = np.repeat(np.arange(len(keys)), each)
+    words = np.concatenate([decoded(a, b, 2 + 2 * samples) for a, b in zip(own["a"], own["b"], strict=True)]).astype(float)
+    mass = np.zeros(len(word))
+    mass[order] = np.concatenate([decoded(c, d, 1)[:, 0] for c, d in zip(own["c"], own["d"], strict=True)])
+    counts, root, tables = words[:, 0] * (1 << 20) + words[:, 1], words[:, 2 : 2 + samples].T, words[:, 2 + samples :].T.copy()
+    if len(m["hot"]):
+        at = np.flatnonzero(np.isin(keys, m["hot"]))
+        place = np.searchsorted(m["hot"], keys[at])
+        counts[at], tables[:, at] = m["hot_count"][place], m["hot_tables"][:, place]
+    for s in range(samples):
+        p0 = (root[s] + (STRENGTH + m["root_discount"] * m["root_tables"][s]) * m["uniform"]) / (STRENGTH + m["customers"][s])
+        mass += (STRENGTH + m["discount"] * tables[s][ctx]) * p0[word] / samples
+    # A word comes before another, or the first of a text, as often as it occurs.
+    return keys, ctx, word, counts, mass / (STRENGTH + counts[ctx])
+
+
+def score(docs: DataFrame, part_pairs: int = PART_PAIRS) -> DataFrame:
+    """The scores of every whole text of ``docs`` under the model of its training part."""
+    model = Model(docs, part_pairs=part_pairs)
+    m = model.shared()
+
+    def run(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        _, _, word, counts, p = predicted(rows[rows["kind"] == 1].iloc[0], own, m)
+        rows = rows[rows["kind"] == 0]
+        logs = np.log10(p)
         base = np.log10((counts + 1.0) / (m["tokens"] + (m["types"] + 1.0)))[word]
         known = (counts > 0)[word]
-        tokens = [wide(x) for x in docs["a"]]
-        out = docs[["doc_id", "held_out"]].copy()
+        tokens = [wide(x) for x in rows["a"]]
+        out = rows[["doc_id", "held_out"]].copy()
         out["n_tokens"] = [len(x) for x in tokens]
         out["n_known"] = [int(known[x].sum()) for x in tokens]
         out["train_tokens"] = m["tokens"]
@@ -537,21 +676,21 @@ def score_docs(blocks: DataFrame, answers: DataFrame, tables: DataFrame, model:
         out["score"] = [float(logs[x].sum()) for x in tokens]
         return out
 
-    docs = blocks.where("kind <> 1").select("kind", "block", "doc_id", "held_out", "a", "b", "c").groupBy("block")
-    own = answers.where("kind = 1").select("block", "part", *ANSWER).unionByName(tables, allowMissingColumns=True).groupBy("block")
-    return docs.cogroup(own).applyInPandas(run, SCORES)
+    coded_rows = model.blocks.select("kind", "block", "doc_id", "held_out", "a", "b", "c").repartition(model.parts, "block").groupBy("block")
+    return coded_rows.cogroup(model.answers().select("block", "part", *"abcd").repartition(model.parts, "block").groupBy("block")).applyInPandas(run, SCORES)
 
 
-def score(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """The scores of every whole text of ``docs`` under the model of its training part."""
-    spark = docs.sparkSession
-    if partitions is None:
-        # A partition's share of distinct pairs follows the input; about this many rows' words each.
-        partitions = max(2, docs.count() // 4_000)
-    blocks = materialize(code_blocks(docs, partitions), "coded")
-    types = materialize(context_types(blocks, partitions), "context-types")
-    answers = materialize(fit_and_answer(blocks, types, partitions), "answers")
-    return score_docs(blocks, answers, context_tables(blocks, answers), totals(answers), spark)
+def pair_probabilities(docs: DataFrame, part_pairs: int = PART_PAIRS, samples: int = SAMPLES) -> DataFrame:
+    """(context, word, p): the probability of every pair of words of the texts, by the words' 64-bit hashes."""
+    model = Model(docs, part_pairs=part_pairs, samples=samples)
+    m = model.shared()
+
+    def run(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        keys, ctx, word, _, p = predicted(rows.iloc[0], own, m)
+        return pd.DataFrame({"context": keys[ctx].view(np.int64), "word": keys[word].view(np.int64), "p": p})
+
+    shapes = model.blocks.where("kind = 1").groupBy("block")
+    return shapes.cogroup(model.answers().groupBy("block")).applyInPandas(run, "context long, word long, p double").distinct()
 
 
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
