@@ -81,16 +81,27 @@ def pack32(values: np.ndarray) -> bytes:
     return squeezed(values.astype(np.uint32).tobytes())
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct values, place of each among them), by one sort."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.ones(len(ranked), bool)
+    np.not_equal(ranked[1:], ranked[:-1], out=new[1:])
+    at = np.empty(len(ranked), np.uint32)
+    at[order] = np.cumsum(new) - 1
+    return ranked[new], at
+
+
 def narrow(values: np.ndarray) -> bytes:
-    """Unsigned numbers as three bytes each, or four if one needs them; the first byte says which."""
+    """Unsigned numbers as three bytes each, or four if one needs them, by place; the first byte says which."""
     size = 3 if not len(values) or int(values.max()) < 1 << 24 else 4
-    return bytes([size]) + values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size].tobytes()
+    return bytes([size]) + values.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :size].T.tobytes()
 
 
 def wide(packed: bytes) -> np.ndarray:
     size = packed[0]
     out = np.zeros(((len(packed) - 1) // size, 4), np.uint8)
-    out[:, :size] = np.frombuffer(packed, np.uint8, offset=1).reshape(-1, size)
+    out[:, :size] = np.frombuffer(packed, np.uint8, offset=1).reshape(size, -1).T
     return out.view("<u4").ravel()
 
 
@@ -123,7 +134,7 @@ def cuts(keys: np.ndarray, partitions: int, bits: int = 64) -> np.ndarray:
 
 def coded(numbers: np.ndarray, rows: np.ndarray) -> tuple[bytes, bytes]:
     """(rows that occur, places in them) of ``rows[numbers]``; most rows occur often."""
-    found, at = np.unique(numbers, return_inverse=True)
+    found, at = distinct(numbers)
     return squeezed(rows[found].astype(np.float32).T.tobytes()), squeezed(narrow(at))
 
 
@@ -168,7 +179,7 @@ def code_blocks(docs: DataFrame) -> DataFrame:
             tokens.append(np.fromiter(map(get, (*text.lower().split(), END)), np.uint32))
             rows[i] = (doc_id, held, None)
         words = list(ids)
-        keys = np.fromiter((xxhash.xxh3_64_intdigest(x) for x in words), np.uint64, len(words))
+        keys = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         order = np.argsort(keys, kind="stable")
         rank = np.empty_like(order)
         rank[order] = np.arange(len(order))
@@ -183,8 +194,7 @@ def code_blocks(docs: DataFrame) -> DataFrame:
         flat <<= 32
         flat |= word
         del word
-        pairs = np.unique(flat)
-        places = np.searchsorted(pairs, flat).astype(np.uint32)
+        pairs, places = distinct(flat)
         del flat
         held = np.fromiter((h for _, h, _ in rows), bool, len(rows))
         counts = np.bincount(places, weights=np.repeat(~held, sizes), minlength=len(pairs))
@@ -312,7 +322,7 @@ def merge(rows: pd.DataFrame, homes: int) -> pd.DataFrame:
     part = int(rows["part"].iloc[0])
     words = [np.frombuffer(x, np.uint64) for x in rows["words"]]
     subs = [np.frombuffer(x, np.uint64) for x in rows["subs"]]
-    contexts = np.unique(np.concatenate([*words, *subs]))
+    contexts = distinct(np.concatenate([*words, *subs]))[0]
     word_at = [np.searchsorted(contexts, x) for x in words]
     sub_of = np.zeros(len(contexts), np.uint64)
     ctx = []
@@ -321,8 +331,8 @@ def merge(rows: pd.DataFrame, homes: int) -> pd.DataFrame:
         sub_of[places] = np.frombuffer(of, np.uint64)
         ctx.append(np.concatenate([np.repeat(at, u32(each)), np.repeat(places, u32(sub_each))]))
     sizes = [len(x) for x in ctx]
-    follow, inverse = np.unique(np.concatenate([keys48(x) for x in rows["follow"]]), return_inverse=True)
-    pairs, at = np.unique(np.concatenate(ctx) * len(follow) + inverse, return_inverse=True)
+    follow, inverse = distinct(np.concatenate([keys48(x) for x in rows["follow"]]))
+    pairs, at = distinct(np.concatenate(ctx) * len(follow) + inverse)
     del ctx, inverse
     counts = np.bincount(at, weights=np.concatenate([u32(x) for x in rows["counts"]]), minlength=len(pairs)).astype(np.int64)
     ctx, word = np.divmod(pairs, len(follow))
@@ -463,7 +473,7 @@ def gather_roots(rows: pd.DataFrame) -> pd.DataFrame:
     """A partition of the root from all partitions' words."""
     home = int(rows["home"].iloc[0])
     keys = [keys48(x) for x in rows["a"]]
-    whole = np.unique(np.concatenate(keys))
+    whole = distinct(np.concatenate(keys))[0]
     base, many, out = np.zeros(len(whole)), np.zeros(len(whole)), []
     for part, own, once, twice in zip(rows["part"], keys, rows["b"], rows["c"], strict=True):
         at, more = np.searchsorted(whole, own), u32(twice)
@@ -517,7 +527,7 @@ def answer(rows: pd.DataFrame, discount: float, samples: int) -> pd.DataFrame:
     own = np.where(p.counts > 0, p.counts - discount, 0.0)
     kept = rows[rows["kind"] == 6].sort_values("block")
     own[p.many] = p.c - discount * np.mean([u32(x) for x in kept["a"]], axis=0)
-    pair_rows, pair_at = np.unique(own.astype(np.float32), return_inverse=True)
+    pair_rows, pair_at = distinct(own.astype(np.float32))
     tables = [u32(x) for x in rows[rows["kind"] == 5].sort_values("block")["a"]]
     root = np.zeros((samples, len(contexts)))
     for a, b in zip(*(rows.loc[rows["kind"] == 8, k] for k in "ab"), strict=True):
@@ -528,7 +538,7 @@ def answer(rows: pd.DataFrame, discount: float, samples: int) -> pd.DataFrame:
     out = []
     for block, a, b, c in zip(*(rows.loc[rows["kind"] == 2, k] for k in ("block", *"abc")), strict=True):
         pairs = np.concatenate([rising(b), rising(c)])
-        out.append(row(9, *coded(word_at.ravel()[rising(a)], word_rows), *coded(pair_at.ravel()[pairs], pair_rows[:, None]), part=part, block=int(block)))
+        out.append(row(9, *coded(word_at.ravel()[rising(a)], word_rows), *coded(pair_at[pairs], pair_rows[:, None]), part=part, block=int(block)))
     return table(out)
 
 
@@ -622,7 +632,10 @@ class Model:
         rows = self.state.where("kind IN (0, 2, 3)").unionByName(masses)
         for x in labelled("tables", "5, 6"):
             rows = rows.unionByName(x)
-        return self.grouped(rows, "part", self.parts, bound(answer, self.discount, self.wanted), "answers")
+        out = self.grouped(rows, "part", self.parts, bound(answer, self.discount, self.wanted), "answers")
+        for used in (self.state, self.roots, masses, *(x[name] for x in self.samples for name in ("tables", "root"))):
+            remove(used)
+        return out
 
     def shared(self) -> dict:
         """The few numbers that every prediction needs."""
