@@ -58,6 +58,8 @@ BLOCK_BYTES = 12 << 20
 #: Pairs of blocks that one partition takes; neighbouring partitions whose words share a partition of the root.
 PART_PAIRS = 1_500_000
 GROUP = 8
+#: Inputs of more pairs than this take a partition for each core at least.
+SMALL = 100_000
 
 
 def squeezed(raw: bytes) -> bytes:
@@ -157,17 +159,16 @@ class _Ids(dict):
 # Blocks
 
 
-BLOCKS = "kind int, block long, doc_id long, held_out boolean, pairs long, a binary, b binary, c binary, d binary"
+BLOCKS = "block long, pairs long, keys binary, each binary, word binary, counts binary, places binary, sizes binary, ids binary, flags binary"
+HELD, NO_ID = 1, 2
 
 
 def code_blocks(docs: DataFrame) -> DataFrame:
-    """Blocks of coded documents: rows of kind 0 (a document: its tokens as places among the block's pairs) and
-    1 (a block: its words' keys, how many words follow each, which ones, and the pairs' training counts).
+    """Blocks of coded documents, a row each: the words' keys, how many words follow each, which ones, the pairs'
+    training counts; the documents' tokens as places among the pairs, and their sizes, ids and flags.
 
     Pairs are ordered by the keys of the context and of the word.
     """
-    kinds = {"kind": pa.int32(), "block": pa.int64(), "doc_id": pa.int64(), "held_out": pa.bool_(), "pairs": pa.int64()}
-    names = "kind block doc_id held_out pairs a b c d"
 
     def block(block_id: int, rows: list[tuple]) -> Iterator[pa.RecordBatch]:
         import xxhash
@@ -199,9 +200,10 @@ def code_blocks(docs: DataFrame) -> DataFrame:
         held = np.fromiter((h for _, h, _ in rows), bool, len(rows))
         counts = np.bincount(places, weights=np.repeat(~held, sizes), minlength=len(pairs))
         each = np.bincount(pairs >> 32, minlength=len(keys))  # every word is the context of another or of the end
-        ends = np.cumsum(sizes)
-        yield batch(names, kinds, [(1, block_id, None, None, len(pairs), keys.tobytes(), pack32(each), squeezed(narrow(pairs & 0xFFFFFFFF)), pack32(counts))])
-        yield batch(names, kinds, [(0, block_id, r[0], r[1], None, narrow(places[e - s : e]), None, None, None) for r, s, e in zip(rows, sizes, ends, strict=True)])
+        ids = np.fromiter((0 if r[0] is None else r[0] for r in rows), np.int64, len(rows))
+        flags = np.fromiter(((HELD if r[1] else 0) | (NO_ID if r[0] is None else 0) for r in rows), np.uint8, len(rows))
+        blobs = (keys.tobytes(), pack32(each), squeezed(narrow(pairs & 0xFFFFFFFF)), pack32(counts), squeezed(narrow(places)), pack32(sizes), squeezed(ids.tobytes()), squeezed(flags.tobytes()))
+        yield batch("block pairs keys each word counts places sizes ids flags", {"block": pa.int64(), "pairs": pa.int64()}, [(block_id, len(pairs), *blobs)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -230,12 +232,12 @@ def hot_contexts(blocks: DataFrame, parts: int, total: int) -> dict[int, int]:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for own in batches:
-            for pairs, a, b in zip(*(own.column(c).to_pylist() for c in ("pairs", "a", "b")), strict=True):
+            for pairs, a, b in zip(*(own.column(c).to_pylist() for c in ("pairs", "keys", "each")), strict=True):
                 each = u32(b)
                 often = each * parts * 4 > pairs
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(a, np.uint64)[often].view(np.int64)), pa.array(each[often].astype(np.int64))], names=["key", "n"])
 
-    counts = blocks.where("kind = 1").select("pairs", "a", "b").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    counts = blocks.select("pairs", "keys", "each").mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     found = counts.where(F.col("n") * parts > total).collect()
     return {r["key"] & 0xFFFFFFFFFFFFFFFF: 1 + r["n"] * parts // total for r in found}
 
@@ -278,7 +280,7 @@ def messages(blocks: DataFrame, hot: dict[int, int], parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            for block_id, a, b, c, d in zip(*(rows.column(x).to_pylist() for x in ("block", "a", "b", "c", "d")), strict=True):
+            for block_id, a, b, c, d in zip(*(rows.column(x).to_pylist() for x in ("block", "keys", "each", "word", "counts")), strict=True):
                 keys, each, word, counts = np.frombuffer(a, np.uint64), u32(b), wide(opened(c)), u32(d)
                 dealt = Dealt(keys, each, word, hot, parts)
                 short = keys >> np.uint64(16)
@@ -290,7 +292,7 @@ def messages(blocks: DataFrame, hot: dict[int, int], parts: int) -> DataFrame:
                         out.append((p, block_id, keys[w].tobytes(), pack32(dealt.own_each[w]), dealt.subs[s].tobytes(), dealt.sub_of[s].tobytes(), pack32(dealt.sub_each[s]), pack48(short[word[pairs]]), pack32(counts[pairs])))
                 yield batch("part block words each subs sub_of sub_each follow counts", {"part": pa.int32(), "block": pa.int64()}, out)
 
-    return blocks.where("kind = 1").select("block", "a", "b", "c", "d").mapInArrow(run, MESSAGES)
+    return blocks.select("block", "keys", "each", "word", "counts").mapInArrow(run, MESSAGES)
 
 
 # Partitions by context
@@ -553,12 +555,12 @@ class Model:
         self.blocks = materialize(code_blocks(docs), "coded")
         total = int(self.blocks.agg(F.sum("pairs").alias("n")).first()["n"] or 0)
         homes = max(1, -(-total // (part_pairs * GROUP)))
-        self.parts = homes * GROUP if homes > 1 else max(1, -(-total // part_pairs))
         cores = docs.sparkSession.sparkContext.defaultParallelism
+        self.parts = homes * GROUP if homes > 1 else max(1, -(-total // part_pairs), cores if total > SMALL else 1)
         self.light = max(min(cores, self.parts), self.parts // 4)
         self.by_home = max(1, min(homes, self.light))
         split = hot_contexts(self.blocks, self.parts, total) if self.parts > 1 else {}
-        sent = messages(self.blocks, split, self.parts).repartition(self.parts, "part")
+        sent = messages(self.blocks, split, self.parts).repartition(2 * self.parts, "part")
         self.state = materialize(sent.groupBy("part").applyInPandas(bound(merge, homes), STATE), "pairs")
         tokens, types, once, twice = self.sums(self.state.where("kind = 0"), 4)
         self.discount = rounded_discount(once, twice)
@@ -632,7 +634,7 @@ class Model:
         rows = self.state.where("kind IN (0, 2, 3)").unionByName(masses)
         for x in labelled("tables", "5, 6"):
             rows = rows.unionByName(x)
-        out = self.grouped(rows, "part", self.parts, bound(answer, self.discount, self.wanted), "answers")
+        out = self.grouped(rows, "part", 2 * self.parts, bound(answer, self.discount, self.wanted), "answers")
         for used in (self.state, self.roots, masses, *(x[name] for x in self.samples for name in ("tables", "root"))):
             remove(used)
         return out
@@ -648,10 +650,10 @@ class Model:
         }
 
 
-def predicted(shape: pd.Series, own: pd.DataFrame, m: dict) -> tuple[np.ndarray, ...]:
+def predicted(block: pd.Series, own: pd.DataFrame, m: dict) -> tuple[np.ndarray, ...]:
     """A block's (word keys, contexts, words, training counts by word, probabilities by pair)."""
     own, samples = own.sort_values("part"), m["samples"]
-    keys, each, word = np.frombuffer(shape["a"], np.uint64), u32(shape["b"]), wide(opened(shape["c"]))
+    keys, each, word = np.frombuffer(block["keys"], np.uint64), u32(block["each"]), wide(opened(block["word"]))
     order = Dealt(keys, each, word, m["split"], m["parts"]).order
     ctx = np.repeat(np.arange(len(keys)), each)
     words = np.concatenate([decoded(a, b, 2 + 2 * samples) for a, b in zip(own["a"], own["b"], strict=True)]).astype(float)
@@ -675,22 +677,26 @@ def score(docs: DataFrame, part_pairs: int = PART_PAIRS) -> DataFrame:
     m = model.shared()
 
     def run(rows: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        _, _, word, counts, p = predicted(rows[rows["kind"] == 1].iloc[0], own, m)
-        rows = rows[rows["kind"] == 0]
-        logs = np.log10(p)
-        base = np.log10((counts + 1.0) / (m["tokens"] + (m["types"] + 1.0)))[word]
-        known = (counts > 0)[word]
-        tokens = [wide(x) for x in rows["a"]]
-        out = rows[["doc_id", "held_out"]].copy()
-        out["n_tokens"] = [len(x) for x in tokens]
-        out["n_known"] = [int(known[x].sum()) for x in tokens]
-        out["train_tokens"] = m["tokens"]
-        out["base_score"] = [float(base[x].sum()) for x in tokens]
-        out["score"] = [float(logs[x].sum()) for x in tokens]
-        return out
+        block = rows.iloc[0]
+        _, _, word, counts, p = predicted(block, own, m)
+        places, sizes, flags = wide(opened(block["places"])), u32(block["sizes"]).astype(np.int64), np.frombuffer(opened(block["flags"]), np.uint8)
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])  # every text has a token
+        total = lambda values: np.add.reduceat(values[places], first)
+        base = np.log10((counts + 1.0) / (m["tokens"] + (m["types"] + 1.0)))
+        ids = pd.Series(np.frombuffer(opened(block["ids"]), np.int64)).astype("Int64").mask((flags & NO_ID) > 0)
+        return pd.DataFrame({
+            "doc_id": ids, "held_out": (flags & HELD) > 0, "n_tokens": sizes, "n_known": total((counts > 0)[word].astype(np.int64)), "train_tokens": m["tokens"],
+            "base_score": total(base[word]), "score": total(np.log10(p)),
+        })
+
+    return by_block(model, ("sizes", "ids", "flags", "places")).applyInPandas(run, SCORES)
+
 
-    coded_rows = model.blocks.select("kind", "block", "doc_id", "held_out", "a", "b", "c").repartition(model.parts, "block").groupBy("block")
-    return coded_rows.cogroup(model.answers().select("block", "part", *"abcd").repartition(model.parts, "block").groupBy("block")).applyInPandas(run, SCORES)
+def by_block(model: Model, more: tuple[str, ...] = ()):
+    """Blocks with their answers; more tasks than blocks, so that few get several."""
+    tasks = max(2, 2 * model.parts)
+    blocks = model.blocks.select("block", "keys", "each", "word", *more).repartition(tasks, "block")
+    return blocks.groupBy("block").cogroup(model.answers().select("block", "part", *"abcd").repartition(tasks, "block").groupBy("block"))
 
 
 def pair_probabilities(docs: DataFrame, part_pairs: int = PART_PAIRS, samples: int = SAMPLES) -> DataFrame:
@@ -702,8 +708,7 @@ def pair_probabilities(docs: DataFrame, part_pairs: int = PART_PAIRS, samples: i
         keys, ctx, word, _, p = predicted(rows.iloc[0], own, m)
         return pd.DataFrame({"context": keys[ctx].view(np.int64), "word": keys[word].view(np.int64), "p": p})
 
-    shapes = model.blocks.where("kind = 1").groupBy("block")
-    return shapes.cogroup(model.answers().groupBy("block")).applyInPandas(run, "context long, word long, p double").distinct()
+    return by_block(model).applyInPandas(run, "context long, word long, p double").distinct()
 
 
 def op2_pitman_yor(spark: SparkSession, sf_dir: str) -> DataFrame:
