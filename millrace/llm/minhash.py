@@ -4,8 +4,8 @@ Signatures. One permutation scatters a document's shingles; a second one, shifte
 gives coordinate k: the smallest second-permutation value of (first value + k). Both permutations are
 bijections of 32-bit numbers, so two permutations make all ROWS * BANDS coordinates.
 
-Classes. Rows with equal shingle sets are one class; only class representatives go on, and copies get
-their representative's component at the end.
+Classes. Rows with equal shingle sets are one class, which is a node with a number of its own; only class
+representatives go on. A component's name is the smallest doc_id of all its classes, and copies get it at the end.
 
 Candidates and links. Classes that share a band meet in a bucket. A bucket's pairs are never all
 emitted: in each round every bucket that still holds more than one component offers its next few
@@ -18,13 +18,19 @@ different texts that share a band is lost. Two texts at similarity 0.8 share no
 fetched: sketches differ in at most as many bits as the sets have unshared shingles, so that step loses
 no link, and it settles most pairs that are near the threshold, without a row for each of them.
 
+Large buckets. Rows of a bucket with over HOT members are not dealt by bucket: its facts are broadcast where they
+are found to be small. A bucket that still has over SPLIT members of several components after SPLIT_ROUND rounds
+of pivots holds unlike texts; in its place its members meet again in a bucket for each other band they share. So pairs
+there must share two bands of 40, which pairs at similarity 0.8 miss with probability under 3e-6.
+
 Components spread by smallest labels with pointer jumping over distributed tables; links, labels and
 sets never come to the driver.
 
 Defined results: null, empty or wordless text has no shingles and links with nothing. A text with
 fewer words than a shingle is one shingle. Repeated rows with one doc_id are copies of each other if
-their texts are alike; each row is returned. Rows with a null doc_id are left out of :func:`classify`
-and kept by :func:`keep`. Extra columns pass through :func:`keep` untouched. An empty table gives an
+their texts are alike; each row is returned. One doc_id with different texts is a node for each; all
+its links stand, and each row has the component of its own text. Very long texts are whole, in blocks of shingles.
+Rows with a null doc_id are left out of :func:`classify` and kept by :func:`keep`. Extra columns pass through :func:`keep` untouched. An empty table gives an
 empty table.
 """
 
@@ -34,7 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.plans.shared import materialize, remove, spread
@@ -48,6 +54,9 @@ PAIRS_AT_ONCE = 20_000
 #: Shingles whose coordinates are computed at a time; a document of any length takes bounded memory.
 BLOCK = 1 << 14
 
+#: Members of a bucket beyond which its rows stay where they are, and beyond which unlike members are split by a second band.
+HOT, SPLIT, SPLIT_ROUND = 256, 4096, 3
+
 #: Up to so many ids are broadcast (8 bytes each, counted first); beyond it their tables are shuffled.
 BROADCAST_IDS = 500_000
 
@@ -68,7 +77,10 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     out = np.zeros(len(h) - k + 1, np.uint64)
     for i in range(k):
         out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - k + 1 + i])
-    return np.unique(out)
+    out.sort()
+    new = np.ones(len(out), bool)
+    np.not_equal(out[1:], out[:-1], out=new[1:])
+    return out[new]
 
 
 class _WordHashes(dict):
@@ -123,7 +135,7 @@ def set_hash(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def _signed(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, set size, the set's name, its parity sketch, and the bands' hashes, for all rows."""
+    """doc_id, the text's hash, set size, the set's name, its parity sketch, and the bands' hashes, for all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -140,10 +152,14 @@ def _signed(docs: DataFrame, k: int) -> DataFrame:
                 bands.append(keys.view(np.int64))
             listed = pa.ListArray.from_arrays(pa.array(np.arange(0, BANDS * len(bands) + 1, BANDS), pa.int32()), pa.array(np.concatenate(bands) if bands else np.zeros(0, np.int64)))
             first, second = (pa.array([x[i] for x in names], pa.int64()) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), first, second, pa.array(sketches, pa.binary()), listed], names=["doc_id", "n_shingles", "class", "class2", "sketch", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(sizes, pa.int64()), first, second, pa.array(sketches, pa.binary()), listed], names=["doc_id", "text_hash", "n_shingles", "class", "class2", "sketch", "bands"])
+
+    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), text_hash().alias("text_hash"))
+    return spread(rows).mapInArrow(run, "doc_id long, text_hash long, n_shingles long, class long, class2 long, sketch binary, bands array<long>")
+
 
-    rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return spread(rows).mapInArrow(run, "doc_id long, n_shingles long, class long, class2 long, sketch binary, bands array<long>")
+def text_hash() -> Column:
+    return F.xxhash64(F.col("text").cast("string"))
 
 
 def parity(hashes: np.ndarray) -> bytes:
@@ -209,18 +225,18 @@ def bounded(ids: DataFrame) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """id and full shingle set of the wanted (id, class); texts are read again, only theirs go to Python."""
+    """id and full shingle set of the wanted (id, doc_id, class, class2); texts are read again, only theirs go to Python."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 256):
                 part = batch.slice(i, 256)
                 sets = [shingles(x.as_py(), k) for x in part.column(1)]
-                good = [j for j, (x, name) in enumerate(zip(sets, part.column(2).to_pylist(), strict=True)) if set_hash(x)[0] == name]
+                good = [j for j, (x, *name) in enumerate(zip(sets, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)) if set_hash(x) == tuple(name)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(good, pa.int64())), pa.array([sets[j].tobytes() for j in good], pa.binary())], names=["id", "shingle_set"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
-    return rows.join(bounded(wanted), "id").select("id", "text", "class").mapInArrow(run, "id long, shingle_set binary").dropDuplicates(["id"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.join(bounded(wanted), "doc_id").select("id", "text", "class", "class2").mapInArrow(run, "id long, shingle_set binary").dropDuplicates(["id"])
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -264,29 +280,60 @@ def components(edges: DataFrame) -> DataFrame:
             return labels.select("id", "label")
 
 
+def with_facts(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` joined with their groups' facts. ``groups`` is a written table with each group's size ``n``.
+
+    Rows of large groups are not dealt by key if the facts of those are few enough to broadcast.
+    """
+    hot = groups.where(F.col("n") > HOT)
+    few = hot.count()
+    if not few or few > BROADCAST_IDS:
+        return rows.join(groups, [*keys])  # here skewed partitions are split by adaptive execution
+    cold = rows.join(F.broadcast(hot.select(*keys)), [*keys], "left_anti").join(groups.where(F.col("n") <= HOT), [*keys])
+    return rows.join(F.broadcast(hot), [*keys]).unionByName(cold)
+
+
+def split_bands(rows: DataFrame, signed: DataFrame) -> DataFrame:
+    """(bucket, id) of large buckets' members by the other bands they have; every one needs two members."""
+    bands = signed.select("id", F.explode("bands").alias("band"))
+    more = rows.select("bucket", "id").join(bands, "id").where("band <> bucket").select(F.xxhash64("bucket", "band").alias("bucket"), "id")
+    shared = more.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return with_facts(more, materialize(shared, "shared"), "bucket").select("bucket", "id")
+
+
 def links(docs: DataFrame, signed: DataFrame, k: int, threshold: int = THRESHOLD) -> DataFrame:
     """(id, label): the components of linked classes, for ids that have a link.
 
-    ``signed`` has a row for each class: id, class, size, sketch and bands.
+    ``signed`` has a row for each class: id, doc_id, class, class2, size, sketch and bands.
     """
     spark = signed.sparkSession
     rows = signed.select("id", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    active = materialize(rows.join(shared, "bucket"), "buckets")
+    shared = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    active = materialize(with_facts(rows, shared, "bucket").select("bucket", "id"), "buckets")
+    remove(shared)
     facts = signed.select("id", "size", "sketch")
     found: DataFrame | None = None  # all links so far
     labels = spark.createDataFrame([], "id long, label long")
-    pivots = 1
+    pivots, turn = 1, 0
     while True:
-        now = active.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+        labelled = active.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
         # Buckets of one component have nothing left to find. Hash order is the same in all buckets, so they agree on pivots.
         order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
-        groups = now.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min(order).alias("first"))
-        open_ = groups.where("low <> high").select("bucket", "n", F.col("first.id").alias("first"))
+        groups = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min(order).alias("first"))
+        open_ = materialize(groups.where("low <> high").select("bucket", "n", F.col("first.id").alias("first")), "open-buckets")
+        if turn == SPLIT_ROUND and not open_.where(F.col("n") > SPLIT).isEmpty():
+            large = open_.where(F.col("n") > SPLIT).select("bucket", "n")
+            rest = with_facts(active, open_.where(F.col("n") <= SPLIT).select("bucket", "n"), "bucket").select("bucket", "id")
+            again = split_bands(with_facts(active, large, "bucket"), signed)
+            old, active = active, materialize(rest.unionByName(again), "buckets")
+            remove(old), remove(open_)
+            # New buckets have had no pivot; the others are offered some again, which are compared to no effect.
+            pivots, turn = 1, turn + 1
+            continue
         share = F.pmod(F.xxhash64("id"), F.lit(1 << 31)) / float(1 << 31)
-        now = now.join(open_, "bucket").select("bucket", "n", "id", "label", ((F.col("id") == F.col("first")) | (share * F.col("n") < pivots - 1)).alias("is_pivot"))
+        now = with_facts(labelled, open_, "bucket").select("bucket", "n", "id", "label", ((F.col("id") == F.col("first")) | (share * F.col("n") < pivots - 1)).alias("is_pivot"))
         now = materialize(now, "open")
-        remove(active)
+        remove(active), remove(open_)
         if now.isEmpty():
             break
         # Large buckets are dealt out in chunks; their pivots go to each.
@@ -299,7 +346,7 @@ def links(docs: DataFrame, signed: DataFrame, k: int, threshold: int = THRESHOLD
         likely = materialize(_compare(both, threshold).distinct(), "likely")
         if not likely.isEmpty():
             ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
-            wanted = materialize(ids.join(signed.select("id", "class"), "id"), "wanted")
+            wanted = materialize(ids.join(signed.select("id", "doc_id", "class", "class2"), "id"), "wanted")
             sets = materialize(_full_sets(docs, wanted, k), "sets", "none")
             new = materialize(_verify(likely, sets, threshold), "links", batch_rows=500)
             remove(sets), remove(wanted)
@@ -308,36 +355,58 @@ def links(docs: DataFrame, signed: DataFrame, k: int, threshold: int = THRESHOLD
                 labels = components(found)
         active = materialize(now.where("NOT is_pivot").select("bucket", "id"), "buckets")
         remove(now), remove(likely)
-        pivots *= 4
+        pivots, turn = pivots * 4, turn + 1
     return labels
 
 
+def grouped(docs: DataFrame, k: int, threshold: int = THRESHOLD) -> DataFrame:
+    """doc_id, text_hash, class, class2, n_shingles, component_id and the component's own number (node) of each row with a doc_id."""
+    signed = materialize(_signed(docs, k), "signatures")
+    names = signed.select("doc_id", "text_hash", "n_shingles", "class", "class2")
+    first = names.where("n_shingles > 0").groupBy("class", "class2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
+    reps = materialize(first.withColumn("id", F.monotonically_increasing_id()), "classes")
+    on = (signed["doc_id"] == reps["first"]) & (signed["class"] == reps["class"]) & (signed["class2"] == reps["class2"])
+    own = signed.join(reps, on).select("id", "doc_id", signed["class"], signed["class2"], F.col("n_shingles").alias("size"), "sketch", "bands")
+    nodes = materialize(own.dropDuplicates(["id"]), "nodes")
+    labelled = materialize(links(docs, nodes, k, threshold).join(reps.select("id", "first"), "id"), "labelled")
+    smallest = labelled.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = reps.join(labelled.join(smallest, "label").select("id", "label", "component_id"), "id", "left")
+    named = named.select("class", "class2", "n", F.coalesce("component_id", "first").alias("component_id"), F.coalesce("label", "id").alias("node"))
+    named = materialize(named, "components")
+    remove(nodes), remove(labelled), remove(reps)
+    out = with_facts(names.where("n_shingles > 0"), named, "class", "class2").drop("n")
+    return out.unionByName(names.where("n_shingles = 0").withColumns({"component_id": F.col("doc_id"), "node": F.lit(None).cast("long")}))
+
+
 def classify(docs: DataFrame, k: int, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, for each row with a doc_id."""
-    signed = materialize(_signed(docs, k), "signatures")
-    names = signed.select("doc_id", "n_shingles", "class", "class2")
-    reps = names.where("n_shingles > 0").groupBy("class", "class2").agg(F.min("doc_id").alias("id"))
-    reps = materialize(reps, "classes")
-    # Rows with one doc_id and different texts: the smallest name stands for it.
-    own = reps.groupBy("id").agg(F.min(F.struct("class", "class2")).alias("c")).select("id", "c.class", "c.class2")
-    on = (signed["doc_id"] == own["id"]) & (signed["class"] == own["class"]) & (signed["class2"] == own["class2"])
-    nodes = signed.join(own, on).select("id", signed["class"], F.col("n_shingles").alias("size"), "sketch", "bands").dropDuplicates(["id"])
-    labels = links(docs, materialize(nodes, "nodes"), k, threshold)
-    rows = names.join(reps, ["class", "class2"], "left").join(labels, "id", "left")
-    component = F.when(F.col("n_shingles") > 0, F.coalesce("label", "id", "doc_id")).otherwise(F.col("doc_id"))
-    return rows.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return grouped(docs, k, threshold).select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
 def keep(docs: DataFrame, k: int = 5, threshold: int = THRESHOLD) -> DataFrame:
-    """One document of each group, the one with the smallest doc_id; all columns unchanged."""
-    found = materialize(classify(docs, k, threshold), "groups")
-    gone = found.where(~F.col("kept")).select(F.col("doc_id").alias("_own_gone_id")).distinct()
-    out = docs.join(bounded(gone), F.col("doc_id").cast("long") == F.col("_own_gone_id"), "left_anti")
-    again = materialize(found.where("kept AND n_shingles > 0").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_own_again_id")), "repeated")
-    if again.isEmpty():
+    """One row of each group, one with the smallest doc_id; all columns unchanged.
+
+    Of several different texts under that doc_id, those of other groups stay too. Of rows with one doc_id and one
+    shingle set, one stays, with the text whose hash is smallest.
+    """
+    found = materialize(grouped(docs, k, threshold), "groups")
+    stay = F.col("doc_id") == F.col("component_id")
+    group = ["node", "doc_id"]
+    several = found.where(stay & (F.col("n_shingles") > 0)).groupBy(*group).agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash"))
+    several = materialize(several.where("n > 1"), "repeated")
+    gone = found.where(~stay).select("doc_id", "text_hash")
+    again = not several.isEmpty()
+    if again:
+        others = found.where(stay & (F.col("n_shingles") > 0)).join(several.select(*group, F.col("text_hash").alias("kept_hash")), group)
+        gone = gone.unionByName(others.where("text_hash <> kept_hash").select("doc_id", "text_hash"))
+    gone = gone.select(F.col("doc_id").alias("_own_id"), F.col("text_hash").alias("_own_hash")).distinct()
+    on = (F.col("doc_id").cast("long") == F.col("_own_id")) & (text_hash() == F.col("_own_hash"))
+    out = docs.join(bounded(gone), on, "left_anti")
+    if not again:
         return out
-    on = F.col("doc_id").cast("long") == F.col("_own_again_id")
-    return out.join(again, on, "left_anti").unionByName(out.join(again, on, "left_semi").dropDuplicates(["doc_id"]))
+    rows = several.select(F.col("doc_id").alias("_own_id"), F.col("text_hash").alias("_own_hash"))
+    once = out.join(rows, on, "left_semi").withColumn("_own_hash", text_hash()).dropDuplicates(["doc_id", "_own_hash"]).drop("_own_hash")
+    return out.join(rows, on, "left_anti").unionByName(once)
 
 
 ORACLE_SQL = r"""

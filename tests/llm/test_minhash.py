@@ -89,3 +89,38 @@ def test_keep_and_edges(spark, edge_docs, no_docs):
     twice = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c")], "doc_id long, text string")
     assert [r["doc_id"] for r in M.keep(twice).collect()] == [1]
     assert M.classify(twice, 2).count() == 3
+
+
+def test_texts_under_one_id_keep_their_links(spark):
+    """A repeated doc_id with two texts: both texts' near copies are found, and neither text is lost."""
+    rng = random.Random(4)
+    a, b, c = ([f"{x}{rng.randrange(500)}" for _ in range(120)] for x in "abc")
+    near = lambda w: " ".join([*w[:-1], "other"])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b)), (4, near(c)), (5, " ".join(c)), (5, " ".join(a))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"]) for r in M.classify(df, 2).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (5, 1), (5, 4)]
+    kept = sorted((r["doc_id"], r["text"]) for r in M.keep(df, 2).collect())
+    assert kept == sorted([(1, " ".join(a)), (1, " ".join(b)), (4, near(c))])
+
+
+def test_one_id_with_texts_of_one_set_stays_once(spark):
+    df = spark.createDataFrame([(1, "a b c d e f"), (1, "A b c d e F"), (1, "a b c d e f"), (2, "a b c d e f")], "doc_id long, text string")
+    assert len(M.keep(df).collect()) == 1
+
+
+def test_large_buckets_of_unlike_texts_are_split(spark, monkeypatch):
+    """Half of every text is shared, so chance buckets are large; links among them stay whole."""
+    monkeypatch.setattr(M, "HOT", 6)
+    monkeypatch.setattr(M, "SPLIT", 5)
+    monkeypatch.setattr(M, "SPLIT_ROUND", 1)
+    splits, split = [], M.split_bands
+    monkeypatch.setattr(M, "split_bands", lambda *args: splits.append(1) or split(*args))
+    rng = random.Random(7)
+    common = [f"c{i}" for i in range(170)]
+    rows = []
+    for i in range(60):
+        own = [f"o{i}x{j}" for j in range(50)]
+        rows += [(2 * i, " ".join([*common, *own])), (2 * i + 1, " ".join([*common, *own[:-3], f"z{rng.random()}"]))]
+    check(spark, rows, 2)
+    assert splits
