@@ -12,12 +12,17 @@ Address: hosts get a prior P(language | host), smoothed towards P(language | suf
 smoothed towards P(language). The counts are grouped sums of the text's own decision over all
 documents; a document does not count towards its own prior.
 
+Hosts with over HOT rows are not dealt by host when priors are joined, if they are few enough to broadcast.
+:func:`from_pages` makes rows of raw web pages: host and suffix from the address, the language that the page's
+markup declares, and its visible text.
+
 The weights of the evidence add up as logarithms; the text's is scaled by TEMPER, since trigrams of
 a text depend on each other.
 
 Defined results: null or empty text leaves the decision to the other evidence, and is rejected as it
 has no language. Blank or null declared languages, and null hosts, say nothing; a null host is a
-host of its own. Ties go to the language first in the alphabet, the background class last. Repeated
+host of its own. Without a column ``lang`` nothing is declared, without ``source`` all hosts are null. Very long
+texts are whole. Ties go to the language first in the alphabet, the background class last. Repeated
 rows count each. A corpus without any declared language has only the background class. Extra columns
 pass through :func:`keep` untouched. An empty table gives an empty table.
 """
@@ -48,6 +53,8 @@ UND_PRIOR = 0.01
 #: The background must beat every language by so much for each trigram: rare words alone are not junk.
 UND_MARGIN = 1.5
 LEAST_CONFIDENCE = 0.5
+#: Rows of one host beyond which they stay where they are; hosts that are broadcast at most.
+HOT, BROADCAST_HOSTS = 10_000, 50_000
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -58,6 +65,7 @@ def trigrams(text: str) -> np.ndarray:
 
 def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Language names, and log probabilities of buckets: a column for each, the background last."""
+    docs = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
     declared = F.col("lang").cast("string")
     labelled = docs.where((F.trim(declared) != "") & (F.col("text") != ""))
     top = labelled.groupBy(declared.alias("_own_lang")).agg(F.count("*").alias("_own_n")).orderBy(F.desc("_own_n"), "_own_lang").limit(MAX_LANGUAGES).collect()
@@ -126,15 +134,22 @@ def with_priors(scores: DataFrame, names: list[str]) -> DataFrame:
     own = scores.withColumn("text_lang", argmax(F.col("likelihood"), names)).withColumn("suffix", F.coalesce(suffix(F.col("host")), F.lit("")))
     sums = F.array(*[F.sum(F.when(F.col("text_lang") == x, 1.0).otherwise(0.0)) for x in names]).cast("array<double>")
     add = lambda c: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)]).cast("array<double>")
-    hosts = own.groupBy("suffix", "host").agg(sums.alias("host_n"))
-    hosts = materialize(hosts, "hosts")
+    own = own.withColumns({"host_key": F.coalesce("host", F.lit("")), "no_host": F.col("host").isNull()})
+    keys = ["suffix", "host_key", "no_host"]
+    hosts = materialize(own.groupBy(*keys).agg(sums.alias("host_n"), F.count("*").alias("rows")), "hosts")
     suffixes = hosts.groupBy("suffix").agg(add("host_n").alias("suffix_n"))
     total = hosts.agg(add("host_n").alias("n")).first()["n"] or [0.0] * n
     whole = F.array(*[F.lit(float(x or 0)) for x in total]).cast("array<double>")
-    hosts = hosts.join(suffixes, "suffix").select("suffix", "host", "host_n", "suffix_n")
-    if hosts.count() <= 50_000:
-        hosts = F.broadcast(hosts)
-    joined = own.join(hosts, own["host"].eqNullSafe(hosts["host"]) & (own["suffix"] == hosts["suffix"])).select(own["*"], "host_n", "suffix_n")
+    facts = hosts.join(suffixes, "suffix")
+    if hosts.count() <= BROADCAST_HOSTS:
+        joined = own.join(F.broadcast(facts), keys)
+    else:
+        # Fewer than rows / HOT hosts are large; those of all others are dealt by host.
+        large = facts.where(F.col("rows") > HOT)
+        large = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
+        small = own.join(large.select(*keys), keys, "left_anti").join(facts.where(F.col("rows") <= HOT), keys)
+        joined = own.join(large, keys).unionByName(small)
+    joined = joined.drop("host_key", "no_host", "rows")
     # A document's own decision leaves all three levels.
     mine = F.array(*[F.when(F.col("text_lang") == x, 1.0).otherwise(0.0) for x in names]).cast("array<double>")
 
@@ -182,6 +197,22 @@ def keep(docs: DataFrame) -> DataFrame:
     return docs.join(bad, on, "left_anti")
 
 
+def from_pages(pages: DataFrame) -> DataFrame:
+    """Rows for :func:`identify` from (page_id, url, html): doc_id, text, lang and source."""
+    html = F.coalesce(F.col("html").cast("string"), F.lit(""))
+    host = F.lower(F.regexp_extract(F.col("url").cast("string"), "^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
+    lang = F.lower(F.regexp_extract(html, "(?i)<html[^>]*[ \t\n]lang *= *[\"']?([A-Za-z]+)", 1))
+    visible = F.regexp_replace(html, "(?is)<(script|style)[^>]*+>.*?</\\1>|<!--.*?-->|<[^>]*+>", " ")
+    blank = lambda c: F.when(c != "", c)
+    return pages.select(F.col("page_id").cast("long").alias("doc_id"), visible.alias("text"), blank(lang).alias("lang"), blank(host).alias("source"))
+
+
+def language_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All of ``pages``, by text, the markup's declaration, and the address's suffix and host."""
+    out = identify(from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    return out.select(F.col("doc_id").alias("page_id"), "language", F.round("confidence", 6).alias("confidence"), "text_lang", "declared", "suffix", "host", "kept")
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents``; ``lang`` is the declared language and ``source`` the host."""
     out = identify(spark.read.parquet(f"{sf_dir}/documents.parquet"))

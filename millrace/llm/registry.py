@@ -9,6 +9,7 @@ _QUERIES = {
     "op1_ann_inner_product": "ann",
     "op2_pitman_yor": "pitman_yor",
     "op3_language_id": "language",
+    "language_of_pages": "language",
     "op4_minhash_groups": "minhash",
     "op5_personal_data": "pii",
     "op6_tool_calls": "tools",

@@ -1,3 +1,7 @@
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import language as L
@@ -51,3 +55,74 @@ def test_rare_languages_are_known(spark, docs, monkeypatch):
     monkeypatch.setattr(L, "MAX_LANGUAGES", 4)
     assert L.train(both, rows=10)[0] == ["de", "en", "es", "fr"]
     assert judged() == dict.fromkeys(range(10_000, 10_005), ("ru", True))
+
+
+def brute(rows, names):
+    """Priors and posteriors in plain Python, from the likelihoods: {doc_id: (prior, posterior)}."""
+    n = len(names)
+    every, by_suffix, by_host = np.zeros(n), defaultdict(lambda: np.zeros(n)), defaultdict(lambda: np.zeros(n))
+    facts = []
+    for r in rows:
+        like = np.asarray(r["likelihood"])
+        plain = (r["host"] or "").split("://")[-1].split("/")[0].split(":")[0].split("?")[0].split("#")[0]
+        suffix = plain.rsplit(".", 1)[-1] if "." in plain else ""
+        own = np.zeros(n)
+        if like.argmax() < n:
+            own[like.argmax()] = 1
+        facts.append((r, like, suffix, own))
+        every += own
+        by_suffix[suffix] += own
+        by_host[suffix, r["host"]] += own
+    out = {}
+    for r, like, suffix, own in facts:
+        level = lambda counts, wider, own=own: (np.maximum(counts - own, 0) + L.STRENGTH * wider) / (np.maximum(counts - own, 0).sum() + L.STRENGTH)
+        p = level(by_host[suffix, r["host"]], level(by_suffix[suffix], level(every, np.full(n, 1 / n))))
+        total = L.TEMPER * like + np.append(np.log(p * (1 - L.UND_PRIOR)), np.log(L.UND_PRIOR))
+        if r["declared"]:
+            known = r["declared"] in names
+            wrong = (1 - L.TRUST) / (n - 1 if known else n)
+            total += np.log([L.TRUST if x == r["declared"] else wrong for x in names] + [1 / (n + 1)])
+        post = np.exp(total - total.max())
+        out[r["doc_id"]] = (p, post / post.sum())
+    return out
+
+
+@pytest.mark.parametrize("hosts", [50_000, 0])
+def test_fusion_against_plain_python(spark, docs, sf_dir, monkeypatch, hosts):
+    """Host within suffix within all, each document without itself; broadcast hosts and dealt ones."""
+    monkeypatch.setattr(L, "BROADCAST_HOSTS", hosts)
+    monkeypatch.setattr(L, "HOT", 4)
+    pages = L.from_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+    mixed = docs.select((F.col("doc_id") + 5000).alias("doc_id"), "text", F.when(F.col("doc_id") % 3 == 0, F.col("lang")).alias("lang"), F.when(F.col("doc_id") % 5 > 0, F.concat("source", F.lit(".de"))).alias("source"))
+    both = pages.unionByName(mixed)
+    names, table = L.train(both)
+    scores = L.materialize(L.text_scores(both, table), "t")
+    want = brute(scores.collect(), names)
+    got = L.fuse(scores, names).collect()
+    assert len(got) == len(want) and Counter(r["suffix"] for r in got).keys() == {"", "com", "net", "org", "de"}
+    for r in got:
+        prior, post = want[r["doc_id"]]
+        assert np.allclose(r["prior"], prior, atol=1e-12)
+        best = int(post.argmax())
+        assert r["language"] == [*names, L.UND][best] and abs(r["confidence"] - post[best]) < 1e-9
+
+
+def test_suffix_and_markup_move_the_posterior(spark, docs):
+    german = docs.where("lang = 'de'").selectExpr("doc_id", "text", "lang", "concat('h', doc_id, '.de') AS source")
+    french = docs.where("lang = 'fr'").selectExpr("doc_id", "text", "lang", "concat('h', doc_id, '.fr') AS source")
+    rows = [(9001, "la", None, "new.de"), (9002, "la", None, "new.fr"), (9003, "la", "de", "new.fr"), (9004, "la", None, "new")]
+    got = {r["doc_id"]: r for r in L.identify(german.unionByName(french).unionByName(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))).collect()}
+    assert got[9001]["prior"][0] > 0.5 > got[9002]["prior"][0]
+    odds = {i: got[i]["total"][0] - got[i]["total"][1] for i in (9001, 9002, 9003, 9004)}  # German over French
+    assert odds[9001] > odds[9004] > odds[9002] and odds[9003] > odds[9002] + 1
+
+
+def test_pages_and_absent_columns(spark, docs):
+    page = '<!DOCTYPE html><HTML class="x" lang="DE-at"><head><style>p{}</style></head><body>Guten <b>Tag</b><script>var t="<p>";</script></body></html>'
+    rows = [(1, "https://u@Www.Beispiel.DE:80/a?b", page), (2, None, None), (3, "http://h", "<p>plain</p>")]
+    got = [tuple(r) for r in L.from_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()]
+    assert [(i, lang, host) for i, _, lang, host in got] == [(1, "de", "www.beispiel.de"), (2, None, None), (3, None, "h")]
+    assert got[0][1].split() == ["Guten", "Tag"]
+    bare = docs.select("doc_id", "text")
+    assert L.identify(bare).count() == docs.count() and {r["language"] for r in L.identify(bare).collect()} <= {L.UND}
+    assert L.identify(bare.limit(0)).count() == 0
