@@ -7,12 +7,14 @@ recursion over unbounded groups, and match just what the contract's base pattern
 
 Kinds: email, ip, card (Luhn), phone, and the added iban (mod-97). Each span has a base confidence;
 words such as "call" or "account" within CONTEXT characters before it raise it, words such as
-"version" or "order" lower it. Base kinds always stay. An iban needs its checksum; without a context
-word it stays too, as a mod-97 match is rarely chance.
+"version" or "order" lower it. Base kinds always stay, whatever their score. An iban needs its checksum and a score
+of LEAST: it stays without a context word, as a mod-97 match is rarely chance, but not after lowering words alone.
 
 Defined results: null text counts as empty: no spans, and the digest of the empty string. Repeated
-rows give repeated results. Extra columns pass through :func:`redact`. An empty table gives an empty
-table. Overlapping spans of different kinds are all reported; redaction joins them.
+rows give repeated results, and ties cannot occur: spans of one kind are disjoint. Very long texts are
+whole: places come from chunked running sums, and redaction cuts bytes at known places, so both take steps in
+proportion to a text's length and number of spans. Extra columns pass through :func:`redact`. An empty table
+gives an empty table. Overlapping spans of different kinds are all reported; redaction joins them.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ PATTERNS = {
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 NEEDS_MATCH = {"card": "[0-9][ -]?[0-9]", "iban": "[0-9]{2}"}
 CONFIDENCE = {"email": 0.8, "ip": 0.5, "card": 0.7, "phone": 0.6, "iban": 0.8}
+#: What a span of an added kind must score.
+LEAST = 0.7
 RAISING = {
     "email": "mail|contact|write",
     "ip": "ip|host|server|address|login",
@@ -96,7 +100,30 @@ def phone_digits(match: Column) -> Column:
 
 VALID = {"email": lambda m: F.lit(True), "ip": octets, "card": luhn, "phone": phone_digits, "iban": mod97}
 
-SPAN = "array<struct<kind:string,start:int,end:int,score:double>>"
+SPAN = "array<struct<kind:string,start:int,end:int,score:double,from:int,to:int>>"
+#: Items that one fold appends to an array; longer ones are folded in chunks of so many.
+CHUNK = 128
+
+
+def scan(items: Column, zero: Column, state: str, advance, emit, out: str) -> Column:
+    """``emit(state before, item)`` of every item, the state carried along by ``advance``; not for an empty array.
+
+    Appending copies an array, so a state is kept for every chunk, and chunks are folded apart from each other.
+    """
+
+    def chunked(all_items: Column) -> Column:
+        starts = F.sequence(F.lit(0), F.size(all_items) - 1, F.lit(CHUNK))
+        return let(F.transform(starts, lambda s: F.slice(all_items, s + 1, CHUNK)), whole)
+
+    def whole(chunks: Column) -> Column:
+        first = F.struct(zero.alias("s"), F.array().cast(f"array<{state}>").alias("all"))
+        step = lambda a, c: F.struct(F.aggregate(c, a["s"], advance).alias("s"), F.concat(a["all"], F.array(a["s"])).alias("all"))
+        each = lambda a, x: F.struct(advance(a["s"], x).alias("s"), F.concat(a["out"], F.array(emit(a["s"], x))).alias("out"))
+        none = F.array().cast(out).alias("out")
+        apart = lambda before: F.transform(chunks, lambda c, j: F.aggregate(c, F.struct(F.get(before, j).alias("s"), none), each, lambda a: a["out"]))
+        return F.flatten(let(F.aggregate(chunks, first, step, lambda a: a["all"]), apart))
+
+    return let(items, chunked)
 
 
 def spans_of(text: Column, kind: str) -> Column:
@@ -111,18 +138,23 @@ def spans_of(text: Column, kind: str) -> Column:
 
     def place(both: Column) -> Column:
         matches, between = both["m"], both["b"]
-        start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("out"))
+        zero = F.struct(F.lit(0).alias("at"), F.lit(0).alias("byte"))
+
+        def advance(a: Column, x: Column) -> Column:
+            at, byte = (a[k] + size(x["b"]) + size(x["m"]) for k, size in (("at", F.char_length), ("byte", F.octet_length)))
+            return F.struct(at.alias("at"), byte.alias("byte"))
 
-        def step(a: Column, x: Column) -> Column:
-            at = a["at"] + F.char_length(x["b"])
-            end = at + F.char_length(x["m"])
+        def span(a: Column, x: Column) -> Column:
+            at, byte = a["at"] + F.char_length(x["b"]), a["byte"] + F.octet_length(x["b"])
             near = F.substring(x["b"], -CONTEXT, CONTEXT)
-            span = F.struct(F.lit(kind).alias("kind"), at.alias("start"), end.alias("end"), score(near).alias("score"))
-            out = F.when(VALID[kind](x["m"]), F.concat(a["out"], F.array(span))).otherwise(a["out"])
-            return F.struct(end.alias("at"), out.alias("out"))
+            values = (F.lit(kind), at, at + F.char_length(x["m"]), score(near), byte, byte + F.octet_length(x["m"]))
+            made = F.struct(*[v.alias(n) for v, n in zip(values, ("kind", "start", "end", "score", "from", "to"), strict=True)])
+            good = VALID[kind](x["m"])
+            return F.when(good if kind in BASE_KINDS else good & (made["score"] >= LEAST), made)
 
         pairs = F.transform(matches, lambda m, i: F.struct(m.alias("m"), F.get(between, i).alias("b")))
-        return F.aggregate(pairs, start, step, lambda a: a["out"])
+        spans = scan(pairs, zero, "struct<at:int,byte:int>", advance, span, SPAN)
+        return F.filter(spans, lambda x: x.isNotNull())
 
     def found(t: Column) -> Column:
         matches = F.regexp_extract_all(t, F.lit(pattern), F.lit(0))
@@ -155,18 +187,20 @@ def redact(docs: DataFrame) -> DataFrame:
     """
     own = F.struct([F.col(f"`{c}`").alias(c) for c in docs.columns]).alias("row")
     text = text_of()
-    spans = F.sort_array(F.transform(F.concat(*[spans_of(text, kind) for kind in KINDS]), lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("minus"), s["kind"].alias("kind"))))
+    spans = F.sort_array(F.transform(F.concat(*[spans_of(text, kind) for kind in KINDS]), lambda s: F.struct(s["from"].alias("from"), (-s["to"]).alias("minus"), s["kind"].alias("kind"))))
     found = docs.select(own, text.alias("t"), spans.alias("spans"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-
-    def step(a: Column, s: Column) -> Column:
-        end = -s["minus"]
-        new = F.concat(a["out"], F.array(F.substring(F.col("t"), a["at"] + 1, s["start"] - a["at"]), F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))))
-        out = F.when(s["start"] >= a["at"], new).otherwise(a["out"])
-        return F.struct(F.greatest(a["at"], end).alias("at"), out.alias("out"))
-
-    last = lambda a: F.concat(F.array_join(a["out"], ""), F.expr("substring(t, 1)").substr(a["at"] + 1, F.char_length("t")))
-    clean = F.when(F.size("spans") > 0, F.aggregate("spans", start, step, last))
+    # State: the end of what is hidden so far. A span that begins before it is part of the one before.
+    cut = "struct<from:int,to:int,kind:string>"
+    piece = lambda a, s: F.when(s["from"] >= a, F.struct(a.alias("from"), s["from"].alias("to"), s["kind"].alias("kind")))
+    pieces = scan(F.col("spans"), F.lit(0), "int", lambda a, s: F.greatest(a, -s["minus"]), piece, f"array<{cut}>")
+
+    def rebuilt(both: Column) -> Column:
+        raw = both["raw"]  # bytes are cut without reading what is before them
+        parts = F.transform(F.filter(both["pieces"], lambda x: x.isNotNull()), lambda x: F.concat(raw.substr(x["from"] + 1, x["to"] - x["from"]).cast("string"), F.lit("<"), F.upper(x["kind"]), F.lit(">")))
+        end = F.aggregate("spans", F.lit(0), lambda a, s: F.greatest(a, -s["minus"]))
+        return F.concat(F.array_join(parts, ""), let(end, lambda e: raw.substr(e + 1, F.octet_length(raw) - e).cast("string")))
+
+    clean = F.when(F.size("spans") > 0, let(F.struct(F.col("t").cast("binary").alias("raw"), pieces.alias("pieces")), rebuilt))
     found = found.select("row", clean.alias("clean"))
     kinds = dict(docs.dtypes)
     new = {"text": F.coalesce(F.col("clean"), F.col("row.text").cast("string")).cast(kinds["text"])}
