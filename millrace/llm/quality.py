@@ -166,6 +166,44 @@ def keep(docs: DataFrame) -> DataFrame:
     return kept.select([own_or.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
+ORACLE_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t FROM documents
+), w AS (
+    SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM d
+), windows AS (
+    SELECT r, i, w[i : i + 4] AS five FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM w)
+), twice AS (
+    SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS n FROM windows) WHERE n > 1
+), repeated AS (
+    SELECT r, count(DISTINCT i + j) AS n FROM twice, range(0, 5) AS x(j) GROUP BY r
+), raw_lines AS (
+    SELECT r, unnest(string_split(t, chr(10))) AS line FROM d
+), lines AS (
+    SELECT r, line, lower(trim(regexp_replace(line, '[\x20\x09-\x0D]+', ' ', 'g'), ' ')) AS plain FROM raw_lines
+    WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), counted AS (
+    SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM lines GROUP BY r
+), texts AS (
+    SELECT d.r, d.doc_id, d.source, trim(regexp_replace(lower(regexp_replace(d.t, '[\x20\x09\x0B-\x0D]+', ' ', 'g')), ' *\n[ \n]*', chr(10), 'g'), ' ' || chr(10)) AS whole FROM d
+), common AS (
+    SELECT source, plain FROM (SELECT DISTINCT texts.source, lines.plain, texts.whole FROM texts JOIN lines USING (r)) GROUP BY source, plain HAVING count(*) > 20
+), hit AS (
+    SELECT DISTINCT d.doc_id, lines.plain FROM d JOIN lines USING (r) JOIN common ON lines.plain = common.plain AND d.source IS NOT DISTINCT FROM common.source
+), lost AS (
+    SELECT d.r, sum(len(string_split(lines.plain, ' '))) AS n FROM d JOIN lines USING (r) JOIN hit ON d.doc_id = hit.doc_id AND lines.plain = hit.plain GROUP BY d.r
+), facts AS (
+    SELECT d.doc_id, len(w.w) AS n_words, length(regexp_replace(d.t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars,
+        length(d.t) - length(translate(d.t, '#*$%&|<>', '')) AS n_symbols, coalesce(counted.n_dup_lines, 0) AS n_dup_lines,
+        coalesce(repeated.n, 0) AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS removed_words
+    FROM d JOIN w USING (r) LEFT JOIN counted USING (r) LEFT JOIN repeated USING (r) LEFT JOIN lost USING (r)
+)
+SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+    NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AND NOT (removed_words > 0 AND (n_words - removed_words < 10 OR n_words - removed_words < 0.3 * n_words)) AS kept
+FROM facts
+"""
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All of ``documents`` under the production limits."""
     out = measured(spark.read.parquet(f"{sf_dir}/documents.parquet"))
