@@ -1,9 +1,10 @@
-"""Command line: init, index update|rebuild, search, get, related, status."""
+"""Command line: init, index update|rebuild, search, get, related, status, workspace discover."""
 
 from __future__ import annotations
 
 import argparse
 import sys
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -11,6 +12,7 @@ from millrace.engine import Engine, Root, to_json
 from millrace.errors import EngineError
 from millrace.operators.models import HashingProvider, dimension, parse_model
 from millrace.plans.present import render
+from millrace.sources import workspace
 
 
 def parser() -> argparse.ArgumentParser:
@@ -20,6 +22,7 @@ def parser() -> argparse.ArgumentParser:
     out.add_argument("--code", action="append", default=[], metavar="ID=FOLDER")
     out.add_argument("--model", default=None, help="embed with the hashing stand-in for this model")
     out.add_argument("--document-only", action="store_true", help="index whole sections, without chunks")
+    out.add_argument("--workspace", default=None, metavar="PROFILE", help="take roots, rules and model from a profile beside them")
     commands = out.add_subparsers(dest="command", required=True)
     commands.add_parser("init")
     commands.add_parser("index").add_argument("what", choices=["update", "rebuild"])
@@ -31,6 +34,10 @@ def parser() -> argparse.ArgumentParser:
     for name in ("get", "related"):
         commands.add_parser(name).add_argument("id")
     commands.add_parser("status")
+    found = commands.add_parser("workspace")
+    found.add_argument("what", choices=["discover"])
+    found.add_argument("folder")
+    found.add_argument("--save", default=None, metavar="PROFILE")
     return out
 
 
@@ -49,7 +56,19 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             if model is None:
                 raise EngineError("InvalidConfiguration", f"unknown model {args.model!r}")
             provider = HashingProvider(dimension(model))
-        engine = Engine(spark, args.place, roots, model or "multilingual-e5-small", provider, chunked=not args.document_only)
+        if args.command == "workspace":
+            profile = workspace.profile_of(spark, args.folder)
+            if args.save:
+                profile.save(args.save)
+            print(to_json({"schema_version": 1, "kind": "workspace", "documents": profile.documents, "code": profile.code}))
+            return 0
+        more = {"provider": provider, "chunked": not args.document_only}
+        if args.workspace:
+            engine = Engine.of_workspace(spark, args.place, workspace.Profile.load(args.workspace), Path(args.workspace).resolve().parent, **more)
+            engine.roots += roots
+            engine.model = model or engine.model
+        else:
+            engine = Engine(spark, args.place, roots, model or "multilingual-e5-small", **more)
         if args.command in ("init", "index"):
             print(to_json(engine.index(full=args.command == "init" or args.what == "rebuild")))
         elif args.command == "search":

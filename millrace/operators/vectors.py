@@ -105,6 +105,26 @@ def reusable(stored: DataFrame, records: DataFrame, dimension: int) -> DataFrame
     return stored.where(F.size("vector") == dimension).join(records.select("id", "content_hash"), ["id", "content_hash"], "left_semi")
 
 
+def signed(records: DataFrame) -> tuple[int, str]:
+    """How many records there are, and a digest of their (id, content_hash) in any order."""
+    halves = [F.sum(F.xxhash64("id", "content_hash", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)]
+    row = records.agg(F.count("*").alias("n"), *halves).first()
+    return row["n"], ":".join(str(int(row[f"h{k}"] or 0) % (1 << 64)) for k in (0, 1))
+
+
+def mean_pool(tokens: DataFrame, *keys: str) -> DataFrame:
+    """(keys, vector): the mean of each group's token vectors whose ``mask`` is not 0, as a unit vector.
+
+    ``tokens`` has keys, mask and vector. A group without any such token gives a vector of zeros.
+    """
+    own = F.when(F.coalesce(F.col("mask"), F.lit(0)) != 0, 1.0).otherwise(0.0)
+    parts = tokens.select(*keys, own.alias("own"), F.posexplode("vector").alias("pos", "x"))
+    means = parts.groupBy(*keys, "pos").agg(F.sum(F.col("own") * F.col("x").cast("double")).alias("s"), F.sum("own").alias("n"))
+    mean = F.when(F.col("n") > 0, F.col("s") / F.col("n")).otherwise(0.0)
+    lists = means.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("pos", mean.alias("x")))).alias("v"))
+    return lists.select(*keys, normalize(F.col("v.x")).alias("vector"))
+
+
 def to_embed(records: DataFrame, stored: DataFrame, dimension: int) -> DataFrame:
     """Records without a vector to reuse."""
     have = stored.where(F.size("vector") == dimension).select("id", "content_hash")

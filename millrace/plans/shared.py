@@ -1,12 +1,14 @@
 """Intermediate tables in the folder that all executors share.
 
-``spark.checkpoint.dir`` names that folder on a cluster. Where a session leaves it unset, as tests
-do, one temporary folder is made for the process and set as its checkpoint folder.
+``spark.checkpoint.dir`` names that folder on a cluster. Where a local session leaves it unset, as tests
+do, one temporary folder is made for the process; on a cluster that is an error, as executors share no local folder.
+Tables that a lazy result still reads live until :func:`release`, or the end of the process, which calls it.
 """
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import shutil
 import tempfile
 import uuid
@@ -14,6 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: list[str] = []
+_written: dict[str, set[str]] = {}
 _CLEANUP = ("spark.sql.shuffleDependency.fileCleanup.enabled", "spark.sql.classic.shuffleDependency.fileCleanup.enabled")
 
 
@@ -22,6 +25,9 @@ def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return str(root)
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="millrace-"))
         atexit.register(shutil.rmtree, _own[0], True)
@@ -51,6 +57,7 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd", batch_rows
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.millrace_path = path
     return out
@@ -65,6 +72,23 @@ def remove(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> No
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    _written.get(spark.sparkContext.applicationId, set()).discard(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete all intermediate tables of this application; how many. No result of before may be read after."""
+    left = sorted(_written.get(spark.sparkContext.applicationId, ()))
+    for path in left:
+        remove(path, spark)
+    return len(left)
+
+
+@atexit.register
+def _release_at_exit() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        with contextlib.suppress(Exception):  # the process ends anyway, and the JVM may be gone
+            release(spark)
 
 
 def spread(df: DataFrame) -> DataFrame:

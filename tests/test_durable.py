@@ -1,0 +1,138 @@
+"""What the durable state promises: nothing written for nothing, resumed embedding, whole vectors, atomic changes."""
+
+import pytest
+
+from millrace import schema as S
+from millrace.engine import Engine, Root
+from millrace.errors import EngineError
+from millrace.operators import lexical, models, vectors
+from millrace.functions import text as T
+from millrace.plans.store import Store
+from pyspark.sql import functions as F
+
+
+@pytest.fixture()
+def tree(tmp_path):
+    (tmp_path / "docs").mkdir()
+    for i in range(6):
+        (tmp_path / f"docs/d{i}.md").write_text(f"# T{i}\n## H{i}\nword{i} common text about thing {i % 2}.\n")
+    return tmp_path
+
+
+def engine(spark, tree, **more):
+    return Engine(spark, f"file://{tree}/state", [Root("docs", str(tree / "docs"))], **more)
+
+
+def files(tree):
+    return sorted(str(p) for p in (tree / "state").rglob("*"))
+
+
+def test_unchanged_update_writes_nothing(spark, tree):
+    e = engine(spark, tree, provider=models.HashingProvider(384))
+    e.index()
+    before = files(tree)
+    assert e.index() == {"generation": 1, "changes": {"unchanged": 6}}
+    assert files(tree) == before and e.freshness() == "Current"
+    (tree / "docs/d0.md").write_text("# T0\n## H0\nnew words.\n")
+    assert e.index() == {"generation": 2, "changes": {"change": 1, "unchanged": 5}}
+
+
+def test_killed_embedding_resumes(spark, tree):
+    engine(spark, tree).index()
+    size = 384
+    plain = models.HashingProvider(size)
+
+    def dies(texts):
+        if any("word5" in t for t in texts):
+            raise OSError("killed")
+        return plain(texts)
+
+    first = engine(spark, tree, provider=dies)
+    first.wave = 1
+    with pytest.raises(Exception, match="killed"):
+        first.embed()
+    done = first.store.names("embedding/multilingual-e5-small")
+    made = sum(spark.read.parquet(f"{tree}/state/embedding/multilingual-e5-small/{n[:-5]}").count() for n in done if n.endswith(".done"))
+    assert made < 6
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counts(texts):
+        seen.add(len(texts))
+        return plain(texts)
+
+    again = engine(spark, tree, provider=counts)
+    again.embed()
+    assert seen.value == 6 - made and again.restore() == "Current" and again.vector_freshness() == "Current"
+    assert not again.store.names("embedding/multilingual-e5-small")
+
+
+def test_restore_checks(spark, tree):
+    e = engine(spark, tree, provider=models.HashingProvider(384))
+    assert e.restore() == "Stale"
+    e.index()
+    assert e.restore() == "Current" and e.restore("bge-m3") == "Stale"
+    whole = e._vectors()
+    marker = e.store.marker()["vectors"]
+    for broken in (whole.limit(5), whole.withColumn("vector", F.transform("vector", lambda x: (x * 2).cast("float"))), whole.withColumn("content_hash", F.lit("x"))):
+        e.store.write({"vectors/multilingual-e5-small": broken}, vectors=marker)
+        assert e.restore() == "Degraded"
+
+
+def test_records_by_themselves(spark, tree):
+    e = engine(spark, tree)
+    e.index()
+    old = e.store.read("records", S.RECORDS).orderBy("id").collect()
+    changed = old[0].asDict(recursive=True) | {"title": "Fresh title", "content": "A fresh text.", "content_hash": "h"}
+    assert e.put([changed]) == {"generation": 2, "changes": {"change": 1, "unchanged": 5}}
+    assert e.get(changed["id"])["title"] == "Fresh title"
+    assert e.search("fresh")["hit_count"] == 1
+    with pytest.raises(EngineError, match="twice"):
+        e.put([changed, changed])
+    with pytest.raises(EngineError, match="owns"):
+        e.apply_snapshot("other", [old[1].asDict(recursive=True) | {"source_key": "other"}])
+    with pytest.raises(EngineError, match="not of"):
+        e.apply_snapshot("other", [changed])
+    assert e.store.marker()["generation"] == 2
+    assert e.remove([changed["id"], "none"]) == {"generation": 3, "changes": {"delete": 1, "unchanged": 5}}
+    assert e.apply_snapshot(old[1]["source_key"], spark.createDataFrame([], S.RECORDS)) == {"generation": 4, "changes": {"delete": 1, "unchanged": 4}}
+
+
+def test_marker_survives_a_broken_one(spark, tree):
+    store = Store(spark, f"file://{tree}/s")
+    for n in range(3):
+        store.write({"t": spark.range(n)}, generation=n)
+    (tree / "s/marker-00000009.json").write_text("{not whole")
+    (tree / "s/.marker-00000009.json.crc").unlink(missing_ok=True)
+    assert store.marker()["generation"] == 2 and store.read("t", "id long").count() == 2
+    store.sweep()
+    assert [n for n in store.names() if n.startswith("write")] == ["write-00000002", "write-00000003"]
+
+
+def test_phrases_and_terms_in_batches(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
+    words = [r["w"] for r in docs.select(F.explode(F.slice(T.unicode_tokens(F.col("content")), 1, 3)).alias("w")).groupBy("w").count().orderBy(F.desc("count")).limit(40).collect()]
+    phrases = [(k, " ".join(words[k : k + 1 + k % 2])) for k in range(36)] + [(99, "..."), (98, "nowhere at all")]
+    got = lexical.bm25_phrases(docs, spark.createDataFrame(phrases, "query_id long, phrase string"))
+    got = {k: [(r["id"], r["tf"], r["score"]) for r in sorted(rows, key=lambda r: (-r["score"], r["id"]))] for k, rows in _by(got.collect()).items()}
+    for k in (0, 1, 7, 35):
+        want = [(r["id"], r["tf"], r["score"]) for r in lexical.bm25_phrase(docs, phrases[k][1]).collect()]
+        assert got.get(k, []) == want
+    assert 98 not in got and 99 not in got
+    postings = docs.withColumn("identifiers", T.ascii_tokens(F.col("content")))
+    queries = spark.createDataFrame([(0, words[0]), (1, "Nothing"), (2, words[3].upper())], "query_id long, text string")
+    want = sorted(map(tuple, lexical.exact_lookup(postings, queries).collect()))
+    assert sorted(map(tuple, lexical.term_lookup(lexical.inverted(postings), queries).collect())) == want and want
+
+
+def _by(rows):
+    out = {}
+    for r in rows:
+        out.setdefault(r["query_id"], []).append(r)
+    return out
+
+
+def test_mean_pooling_with_a_mask(spark):
+    rows = [("a", 1, [1.0, 0.0]), ("a", 1, [0.0, 1.0]), ("a", 0, [9.0, 9.0]), ("b", 0, [1.0, 2.0]), ("b", None, [1.0, 2.0])]
+    got = {r["k"]: r["vector"] for r in vectors.mean_pool(spark.createDataFrame(rows, "k string, mask int, vector array<double>"), "k").collect()}
+    assert got["a"] == pytest.approx([0.5**0.5] * 2) and got["b"] == [0.0, 0.0]
