@@ -129,10 +129,10 @@ def symbol_substring(spark: SparkSession, sf: str) -> DataFrame:
     return fusion.rank_in_channel(hits, F.col("id")).select("id", F.col("pos").cast("long").alias("pos"))
 
 
-@query("SELECT doc_id AS id, source FROM documents WHERE contains(lower(text), 'été') OR contains(lower(source), 'été')")
+@query("SELECT doc_id AS id, source FROM documents WHERE contains(lower(text), 'für') OR contains(lower(source), 'für')")
 def map_substring(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf)
-    return d.where(T.contains_folded(F.col("text"), F.lit("ÉTÉ")) | T.contains_folded(F.col("source"), F.lit("ÉTÉ"))).select(F.col("doc_id").alias("id"), "source")
+    return d.where(T.contains_folded(F.col("text"), F.lit("FÜR")) | T.contains_folded(F.col("source"), F.lit("FÜR"))).select(F.col("doc_id").alias("id"), "source")
 
 
 # Vectors
@@ -338,10 +338,10 @@ def state_diff_per_source(spark: SparkSession, sf: str) -> DataFrame:
     return state.diff(*_old_new(spark, sf), "source").groupBy("source", "state_change").agg(F.count("*").alias("n"))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def removed_sources(spark: SparkSession, sf: str) -> DataFrame:
     known = table(spark, sf, "customer").select("c_custkey")
-    return state.removed_sources(known, table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    return state.removed_sources(known, table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
 
 
 @query(
@@ -460,12 +460,12 @@ def _text_records(spark: SparkSession, sf: str) -> DataFrame:
     return documents(spark, sf).select(F.concat(F.lit("doc"), F.col("doc_id")).alias("id"), F.array("source").alias("heading_path"), F.col("text").alias("content"), F.lit(1).alias("line_start"))
 
 
-@query()
+@query("SELECT 'doc' || doc_id AS id, 0 AS ordinal, 'paragraph' AS kind, sha256(text) AS text_hash, 0 AS start_line, CAST(len(string_split(text, chr(10))) - 1 AS INTEGER) AS end_line FROM documents")
 def paragraph_blocks(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.blocks(_text_records(spark, sf)).select("id", "ordinal", "kind", F.sha2("text", 256).alias("text_hash"), "start_line", "end_line")
 
 
-@query()
+@query("SELECT 'paragraph' AS kind, count(*) AS n, CAST(max(length(source || ': ' || array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> ''), ' '))) AS INTEGER) AS longest FROM documents")
 def chunk_kind_counts(spark: SparkSession, sf: str) -> DataFrame:
     return chunking.chunks(_text_records(spark, sf), "multilingual-e5-small").groupBy("kind").agg(F.count("*").alias("n"), F.max("characters").alias("longest"))
 
@@ -498,7 +498,10 @@ def embedding_inputs(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query()
+_LE = "printf('%02x', strlen({0})) || '00000000000000' || hex(encode({0}))"
+
+
+@query(f"SELECT upper(sha256(unhex(string_agg({_LE.format('id')} || {_LE.format('content_hash')}, '' ORDER BY id)))) AS fingerprint FROM (SELECT CAST(doc_id AS VARCHAR) AS id, sha256(text) AS content_hash FROM documents)")
 def corpus_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), F.sha2("text", 256).alias("content_hash"))
     return spark.createDataFrame([(H.corpus_fingerprint(d),)], "fingerprint string")
@@ -590,7 +593,14 @@ def markdown_dominant(spark: SparkSession, sf: str) -> DataFrame:
     """
 )
 def experiment_journal(spark: SparkSession, sf: str) -> DataFrame:
-    e = table(spark, sf, "events")
+    from millrace.plans import inspection
+    from millrace.plans.shared import new_path
+
+    # Every entry goes through the journal, which is appended to twice.
+    folder = new_path(spark, "journal")
+    for half in (0, 1):
+        inspection.append_journal(table(spark, sf, "events").where(F.col("event_id") % 2 == half).select("user_id", "event_type", "value", F.col("ts").cast("timestamp_ntz").alias("ts")), folder)
+    e = spark.read.schema("user_id long, event_type string, value double, ts timestamp_ntz, recorded_ms long").json(folder).where("recorded_ms > 0")
     return e.groupBy("user_id", "event_type").agg(F.round(F.median("value"), 6).alias("median_value"), F.count("*").alias("runs"), F.max(F.expr("timestampdiff(MILLISECOND, timestamp_ntz'1970-01-01 00:00:00', cast(ts AS timestamp_ntz))")).alias("last_ms"))
 
 
@@ -614,9 +624,19 @@ def changed_sources(spark: SparkSession, sf: str) -> DataFrame:
     return state.changed_sources(new, old)
 
 
-@query(_OLD_NEW + ", d AS (SELECT coalesce(o.source, n.source) AS source, " + _CHANGE + " FROM o FULL JOIN n ON o.id = n.id AND o.source = n.source) SELECT source, bool_or(state_change <> 'unchanged') AS changed FROM d GROUP BY source")
+@query(
+    _OLD_NEW
+    + ", d AS (SELECT "
+    + _CHANGE
+    + """ FROM o FULL JOIN n ON o.id = n.id AND o.source = n.source)
+    SELECT 'new against old' AS what, 7 + CAST(bool_or(state_change <> 'unchanged') AS INTEGER) AS generation FROM d
+    UNION ALL SELECT 'old against old', 7 UNION ALL SELECT 'old against old, members changed', 8"""
+)
 def generation_bumps(spark: SparkSession, sf: str) -> DataFrame:
-    return state.diff(*_old_new(spark, sf), "source").groupBy("source").agg(F.bool_or(F.col("state_change") != "unchanged").alias("changed"))
+    old, new = _old_new(spark, sf)
+    same = state.diff(old, old, "source")
+    rows = [("new against old", state.next_generation(state.diff(old, new, "source"), 7)), ("old against old", state.next_generation(same, 7)), ("old against old, members changed", state.next_generation(same, 7, True))]
+    return spark.createDataFrame(rows, "what string, generation int")
 
 
 @query("SELECT d.source AS source_key, count(*) AS members, sum(l.quality) AS good FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.source")
@@ -642,20 +662,27 @@ def chunk_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return inspection.chunk_manifest(chunks, files).select("chunk_id", "root_id", "path", "file_hash")
 
 
-@query("SELECT label, CAST(i AS INTEGER) AS position, round(avg(CAST(embedding[i + 1] AS DOUBLE)), 6) AS mean FROM embeddings, range(64) r(i) GROUP BY ALL")
+@query(
+    """
+    WITH m AS (SELECT label, i, avg(CAST(embedding[i + 1] AS DOUBLE)) AS x FROM embeddings, range(64) r(i) WHERE vec_id % 3 <> 0 GROUP BY ALL),
+    n AS (SELECT label, sqrt(sum(x * x)) AS length FROM m GROUP BY label)
+    SELECT m.label, CAST(i AS INTEGER) AS position, round(x / length, 6) AS value FROM m JOIN n ON m.label = n.label
+    """
+)
 def mean_pooling(spark: SparkSession, sf: str) -> DataFrame:
-    parts = table(spark, sf, "embeddings").select("label", F.posexplode("embedding").alias("position", "x"))
-    return parts.groupBy("label", "position").agg(F.round(F.avg(F.col("x").cast("double")), 6).alias("mean"))
-
-
-def _models_sql() -> str:
-    from millrace.operators import models
-
-    rows = ", ".join(f"('{s}', '{n}', {d}, {i}, {models.COMPARISON_ORDER.index(s)})" for i, (s, n, d, _) in enumerate(models.MODELS))
-    return f"SELECT * FROM (VALUES {rows}) m(slug, name, dimension, display_order, comparison_order)"
+    tokens = table(spark, sf, "embeddings").select("label", F.when(F.col("vec_id") % 3 == 0, 0).otherwise(1).alias("mask"), F.col("embedding").alias("vector"))
+    return vectors.mean_pool(tokens, "label").select("label", F.posexplode("vector").alias("position", "x")).select("label", "position", F.round("x", 6).alias("value"))
 
 
-@query(_models_sql())
+@query(
+    """
+    SELECT * FROM (VALUES
+        ('bge-m3', 'BGE-M3', 1024, 0, 7), ('arctic-embed-l-v2', 'Arctic Embed L v2', 1024, 1, 6), ('qwen3-embedding-0.6b', 'Qwen3 Embedding 0.6B', 1024, 2, 5),
+        ('multilingual-e5-large', 'E5 Large', 1024, 3, 4), ('nomic-embed-text-v2-moe', 'Nomic Embed Text v2 MoE', 768, 4, 3), ('gte-multilingual-base', 'GTE Multilingual Base', 768, 5, 2),
+        ('multilingual-e5-base', 'E5 Base', 768, 6, 1), ('multilingual-e5-small', 'E5 Small', 384, 7, 0), ('jina-embeddings-v3', 'Jina Embeddings v3', 1024, 8, 8)
+    ) m(slug, name, dimension, display_order, comparison_order)
+    """
+)
 def model_orders(spark: SparkSession, sf: str) -> DataFrame:
     from millrace.operators import models
 
@@ -664,8 +691,18 @@ def model_orders(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     _BM25
-    + """SELECT doc_id, to_json({'schema_version': 1, 'kind': 'search', 'id': CAST(doc_id AS VARCHAR), 'record_kind': 'MarkdownSection', 'tf': tf, 'channel': 'Lexical'})::VARCHAR AS json FROM top"""
+    + """, ranked AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS n FROM top)
+    SELECT 'json' AS form, 0 AS line, '{"freshness": "Current", "hit_count": ' || count(*) || ', "hits": [' || string_agg('{"channel": "Lexical", "id": "' || doc_id || '", "path": "' || doc_id || '.md", "rank": ' || n || ', "record_kind": "MarkdownSection", "score": ' || CAST(tf AS VARCHAR) || ', "title": "T"}', ', ' ORDER BY n) || '], "kind": "search", "schema_version": 1}' AS text FROM ranked
+    UNION ALL SELECT 'technical', 0, 'hits=' || count(*) FROM ranked
+    UNION ALL SELECT 'technical', 1, 'freshness=Current'
+    UNION ALL SELECT 'technical', n + 1, 'Lexical' || chr(9) || tf || '.000000000' || chr(9) || 'MarkdownSection' || chr(9) || doc_id || chr(9) || 'T' || chr(9) || doc_id || '.md' FROM ranked"""
 )
 def json_contract(spark: SparkSession, sf: str) -> DataFrame:
-    fields = F.struct(F.lit(1).alias("schema_version"), F.lit("search").alias("kind"), F.col("doc_id").cast("string").alias("id"), F.lit("MarkdownSection").alias("record_kind"), "tf", F.lit("Lexical").alias("channel"))
-    return _bm25(spark, sf).select("doc_id", F.to_json(fields).alias("json"))
+    """The presenter's own JSON and technical texts of the best hits; their scores are counts here, to print alike."""
+    from millrace.plans import present
+
+    found = sorted(_bm25(spark, sf).collect(), key=lambda r: (-r["score"], r["doc_id"]))  # at most LIMIT
+    hits = [{"id": str(r["doc_id"]), "title": "T", "path": f"{r['doc_id']}.md", "record_kind": "MarkdownSection", "channel": "Lexical", "score": r["tf"], "rank": n} for n, r in enumerate(found, 1)]
+    response = {"schema_version": 1, "kind": "search", "freshness": "Current", "hit_count": len(hits), "hits": hits}
+    rows = [("json", 0, present.render(response, "json"))] + [("technical", n, x) for n, x in enumerate(present.render(response).split("\n"))]
+    return spark.createDataFrame(rows, "form string, line int, text string")
