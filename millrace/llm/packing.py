@@ -1,9 +1,9 @@
 """Packing of token sequences by exact complements, then best fit.
 
 The planner sees only how many pieces there are of each length, at most ``capacity`` numbers
-whatever the corpus holds. Single, pair and triple length sums that fill a sequence exactly are
-looked up by their complement and consumed under availability counts; what is left is packed best
-fit, longest first, many equal pieces at a time. The plan says, for each length, which ranks go to
+whatever the corpus holds. An index of single, pair and triple length sums is asked for what fills a gap exactly:
+first the gap beside each single piece, then every gap that best fit leaves open. What it finds is consumed under
+availability counts; the rest is packed best fit, longest first, many equal pieces at a time. The plan says, for each length, which ranks go to
 which run of sequences at which offset. Ranks within a length come from counts per (length, salt)
 group, so no group of equal lengths is ever in one task.
 
@@ -106,66 +106,128 @@ def cut(docs: DataFrame, path: str, capacity: int = CAPACITY, salts: int = 1024)
     return spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))).mapInArrow(run, PIECES)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Sequences as (lengths in order, how many such sequences), from piece counts by length."""
-    left = {n: c for n, c in counts.items() if c > 0}
-    done: list[tuple[tuple[int, ...], int]] = []
+class Complements:
+    """Index of single, pair and triple sums of the lengths that are left, under their availability counts.
 
-    def take(lengths: tuple[int, ...]) -> None:
+    Counts only fall, so every sum's search goes on from where it stopped: each sum passes over the lengths once.
+    """
+
+    def __init__(self, left: dict[int, int]) -> None:
+        self.left = left
+        self.lengths = sorted(left, reverse=True)
+        self.pairs: dict[int, tuple[int, ...] | None] = {}
+        self.triples: dict[int, tuple[int, ...] | None] = {}
+        self.at: dict[tuple[int, int], int] = {}
+
+    def times(self, lengths: tuple[int, ...]) -> int:
+        """How often the lengths can be taken together."""
         need: dict[int, int] = defaultdict(int)
         for n in lengths:
             need[n] += 1
-        times = min(left.get(n, 0) // k for n, k in need.items())
-        if times > 0:
-            for n, k in need.items():
-                left[n] -= times * k
-            done.append((lengths, times))
-
-    take((capacity,))
-    for a in sorted(left, reverse=True):
-        if capacity - a <= a and left[a]:
-            take((a, capacity - a))
-    # Long pieces first: they have the fewest ways to be completed.
-    for a in sorted(left, reverse=True):
-        rest = capacity - a
-        if rest <= 0 or not left[a]:
-            continue
-        for b in sorted((n for n in left if left[n] and n < rest and rest - n <= n <= a), reverse=True):
-            if not left[a]:
-                break
-            if left.get(rest - b):
-                take((a, b, rest - b))
-    left = {n: c for n, c in left.items() if c}
+        return min(self.left.get(n, 0) // k for n, k in need.items())
+
+    def take(self, lengths: tuple[int, ...], times: int) -> None:
+        for n in lengths:
+            self.left[n] -= times
+
+    def single(self, total: int) -> tuple[int, ...] | None:
+        return (total,) if self.left.get(total, 0) else None
+
+    def pair(self, total: int) -> tuple[int, ...] | None:
+        return self._search(total, 2, self.pairs, lambda n: (n, total - n) if 2 * n >= total else None)
+
+    def triple(self, total: int) -> tuple[int, ...] | None:
+        def completed(n: int) -> tuple[int, ...] | None:
+            if 3 * n < total:
+                return None
+            rest = self.pair(total - n)
+            return (n, *rest) if rest and rest[0] <= n else ()
+
+        return self._search(total, 3, self.triples, completed)
+
+    def _search(self, total: int, size: int, found: dict, complete) -> tuple[int, ...] | None:
+        """The sum's last combination if it can be had still, or the next one; ``complete`` gives None beyond the last."""
+        last = found.get(total, ())
+        if last is None or (last and self.times(last)):
+            return last
+        at = self.at.get((size, total), 0)
+        while at < len(self.lengths):
+            n = self.lengths[at]
+            if n < total and self.left[n]:
+                lengths = complete(n)
+                if lengths is None:
+                    break
+                if lengths and self.times(lengths):
+                    self.at[size, total], found[total] = at, lengths
+                    return lengths
+            at += 1
+        found[total] = None
+        return None
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Sequences as (lengths in order, how many such sequences), from piece counts by length."""
+    left = {n: c for n, c in counts.items() if c > 0}
+    done: list[tuple[tuple[int, ...], int]] = []
+    index = Complements(left)
+
+    def fill(lengths: tuple[int, ...], most: int | None, searches) -> int:
+        """Completes sequences that hold ``lengths`` by what fills their gap exactly; how many.
+
+        Without ``most``, ``lengths`` are taken too.
+        """
+        filled, gap = 0, capacity - sum(lengths)
+        for search in searches:
+            while (most is None or filled < most) and (rest := search(gap)):
+                times = index.times((*lengths, *rest)) if most is None else min(most - filled, index.times(rest))
+                if not times:
+                    break
+                index.take((*lengths, *rest) if most is None else rest, times)
+                done.append(((*lengths, *rest), times))
+                filled += times
+        return filled
+
+    if left.get(capacity):
+        done.append(((capacity,), left.pop(capacity)))
+        index.lengths.remove(capacity)
+    # Fewer pieces first; long ones first, as they have the fewest ways to be completed.
+    for search in (index.single, index.pair, index.triple):
+        for a in index.lengths:
+            if left[a] and capacity - a > 0:
+                fill((a,), None, (search,))
 
     room: list[int] = []  # the capacities still open, in order
     bins: dict[int, list[list]] = defaultdict(list)  # by open capacity: [lengths, times]
 
     def put(open_: int, lengths: tuple[int, ...], times: int) -> None:
-        if not bins[open_]:
-            insort(room, open_)
-        bins[open_].append([lengths, times])
+        if open_:
+            times -= fill(lengths, times, (index.single, index.pair, index.triple))
+        if times:
+            if not bins[open_]:
+                insort(room, open_)
+            bins[open_].append([lengths, times])
 
-    for n in sorted(left, reverse=True):
-        todo = left[n]
-        while todo:
+    for n in index.lengths:
+        while left[n]:
             at = bisect_left(room, n)
             if at == len(room):
                 # Equal pieces fill new sequences one after another, as best fit puts them.
-                each = capacity // n
-                if todo >= each:
-                    put(capacity - n * each, (n,) * each, todo // each)
-                if todo % each:
-                    put(capacity - n * (todo % each), (n,) * (todo % each), 1)
-                break
+                each, todo = capacity // n, left[n]
+                held = (todo // each, each) if todo >= each else (1, todo)
+                left[n] -= held[0] * held[1]
+                put(capacity - n * held[1], (n,) * held[1], held[0])
+                continue
             open_ = room[at]
             lengths, times = bins[open_].pop()
             if not bins[open_]:
                 room.pop(at)
-            used = min(times, todo)
+            used = min(times, left[n])
+            left[n] -= used
             if times > used:
-                put(open_, lengths, times - used)
+                if not bins[open_]:
+                    insort(room, open_)
+                bins[open_].append([lengths, times - used])
             put(open_ - n, (*lengths, n), used)
-            todo -= used
     return done + [(tuple(lengths), times) for groups in bins.values() for lengths, times in groups if times]
 
 

@@ -41,6 +41,31 @@ def test_plan_uses_all_and_fills():
     assert K.plan({}, 10) == []
 
 
+def test_gaps_are_completed_by_singles_pairs_and_triples():
+    assert K.plan({40: 1, 30: 1, 20: 1, 10: 1}, 100) == [((40, 30, 20, 10), 1)]
+    # Beside 60 only a triple fits; it is taken as often as all three are there.
+    assert K.plan({60: 3, 19: 2, 13: 5, 8: 3}, 100)[0] == ((60, 19, 13, 8), 2)
+    # A gap beside two pieces, which best fit opens, is filled exactly too.
+    out = K.plan({34: 2, 16: 1, 11: 1, 5: 1}, 100)
+    assert out == [((34, 34, 16, 11, 5), 1)]
+    # Of equal lengths no more are taken than there are.
+    assert sorted(K.plan({50: 3}, 100)) == [((50,), 1), ((50, 50), 1)]
+    assert K.plan({25: 5}, 100)[0] == ((25, 25, 25, 25), 1)
+
+
+def test_plan_reaches_the_bound_on_mixed_lengths():
+    rng = random.Random(8)
+    counts = Counter(min(4096, int(rng.lognormvariate(5.5, 1.2)) + 1) for _ in range(20_000))
+    out = K.plan(counts)
+    used = Counter()
+    for ls, times in out:
+        assert sum(ls) <= 4096
+        for n in ls:
+            used[n] += times
+    total = sum(n * c for n, c in counts.items())
+    assert used == counts and sum(t for _, t in out) <= -(-total // 4096) + 1
+
+
 def check(df):
     rows = K.pack(df, PATH).collect()
     places = defaultdict(list)
