@@ -14,6 +14,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 _written: dict[str, set[str]] = {}
@@ -91,6 +92,20 @@ def _release_at_exit() -> None:
             release(spark)
 
 
+def with_facts(rows: DataFrame, groups: DataFrame, *keys: str, hot: int = 256, most: int = 500_000) -> DataFrame:
+    """``rows`` joined with their groups' facts. ``groups`` is a written table with each group's size ``n``.
+
+    Rows of groups with over ``hot`` members are not dealt by key, if those groups' facts are at most ``most``
+    rows, which are broadcast. Otherwise adaptive execution splits what is skewed.
+    """
+    large = groups.where(F.col("n") > hot)
+    few = large.count()
+    if not few or few > most:
+        return rows.join(groups, [*keys])
+    cold = rows.join(F.broadcast(large.select(*keys)), [*keys], "left_anti").join(groups.where(F.col("n") <= hot), [*keys])
+    return rows.join(F.broadcast(large), [*keys]).unionByName(cold)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` in as many partitions as there are cores, if it has fewer: small inputs come as one file.
 
