@@ -12,7 +12,7 @@ Decoding. A machine over UTF-8's lead and continuation bytes carries the unfinis
 token to token; its steps over whole tokens are memoised, so text comes out as tokens come in.
 
 Defined results: null text counts as empty (no tokens; both digests are those of the empty string).
-Null ids are kept. Repeated rows give repeated results. Other columns, whatever their names, are
+Null ids are kept. Very long texts are encoded whole, match by match. Repeated rows give repeated results. Other columns, whatever their names, are
 not read. An empty table gives an empty table.
 """
 

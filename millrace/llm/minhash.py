@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace.plans import shared
 from millrace.plans.shared import materialize, remove, spread
 
 ROWS, BANDS = 5, 40
@@ -284,24 +285,16 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def with_facts(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` joined with their groups' facts. ``groups`` is a written table with each group's size ``n``.
-
-    Rows of large groups are not dealt by key if the facts of those are few enough to broadcast.
-    """
-    hot = groups.where(F.col("n") > HOT)
-    few = hot.count()
-    if not few or few > BROADCAST_IDS:
-        return rows.join(groups, [*keys])  # here skewed partitions are split by adaptive execution
-    cold = rows.join(F.broadcast(hot.select(*keys)), [*keys], "left_anti").join(groups.where(F.col("n") <= HOT), [*keys])
-    return rows.join(F.broadcast(hot), [*keys]).unionByName(cold)
+    """``rows`` with their groups' facts; rows of groups with over HOT members are not dealt by key."""
+    return shared.with_facts(rows, groups, *keys, hot=HOT, most=BROADCAST_IDS)
 
 
 def split_bands(rows: DataFrame, signed: DataFrame) -> DataFrame:
     """(bucket, id) of large buckets' members by the other bands they have; every one needs two members."""
     bands = signed.select("id", F.explode("bands").alias("band"))
     more = rows.select("bucket", "id").join(bands, "id").where("band <> bucket").select(F.xxhash64("bucket", "band").alias("bucket"), "id")
-    shared = more.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return with_facts(more, materialize(shared, "shared"), "bucket").select("bucket", "id")
+    met = more.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    return with_facts(more, materialize(met, "shared"), "bucket").select("bucket", "id")
 
 
 def links(docs: DataFrame, signed: DataFrame, k: int, threshold: int = THRESHOLD) -> DataFrame:
@@ -311,9 +304,9 @@ def links(docs: DataFrame, signed: DataFrame, k: int, threshold: int = THRESHOLD
     """
     spark = signed.sparkSession
     rows = signed.select("id", F.explode("bands").alias("bucket"))
-    shared = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    active = materialize(with_facts(rows, shared, "bucket").select("bucket", "id"), "buckets")
-    remove(shared)
+    met = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    active = materialize(with_facts(rows, met, "bucket").select("bucket", "id"), "buckets")
+    remove(met)
     facts = signed.select("id", "size", "sketch")
     found: DataFrame | None = None  # all links so far
     labels = spark.createDataFrame([], "id long, label long")

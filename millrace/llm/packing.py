@@ -8,7 +8,7 @@ which run of sequences at which offset. Ranks within a length come from counts p
 group, so no group of equal lengths is ever in one task.
 
 Defined results: null or empty text is one piece, the end token alone. Texts longer than the
-capacity are cut into pieces of just that capacity, and a last one that may be shorter. Rows with
+capacity, however long, are cut into pieces of just that capacity, and a last one that may be shorter. Rows with
 one doc_id are told apart by their texts' digest and order of arrival; null ids are packed too.
 Ties go to the smaller salt, then doc_id, then piece. Clashing or extra columns are not read. An
 empty table gives an empty table.

@@ -12,7 +12,8 @@ one line for each message.
 Defined results: null text counts as empty. Of several results for one identifier, the first turn (then
 the smallest content) is linked and the others are ``orphan``; of several calls with one identifier the
 first is linked to. A null identifier links with nothing. Arguments that are not a JSON object are invalid. Repeated rows
-are kept. Extra columns are not read. An empty table gives an empty table.
+are kept. Very long texts are one string each and are whole. Extra columns are not read. An empty table gives an
+empty table.
 
 The query over ``conversations``, which has plain turns: every user turn is taken as a call of the tool
 ``reply`` with arguments {"n": turn, "text": text} and identifier "turn", child of the user turn two

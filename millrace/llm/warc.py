@@ -15,7 +15,8 @@ only the others are shuffled.
 
 Defined results: null html counts as an empty payload. Payloads under ``least`` bytes are all
 ``response``. Rows with a null page_id are left out, since no record can be named for them. Repeated
-rows with one page_id give one record each. Extra columns are not read. An empty table gives an
+rows with one page_id give one record each. Very long payloads are cut into segments; equal payloads have one
+keeper, so there are no ties. Extra columns are not read. An empty table gives an
 empty table.
 """
 
@@ -31,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.plans.shared import materialize, new_path
+from millrace.plans.shared import materialize, new_path, with_facts
 
 SEGMENT_BYTES = 64 * 1024
 RECORDS_PER_FILE = 1000
@@ -53,8 +54,9 @@ def classify(pages: DataFrame, least: int = 0) -> DataFrame:
     facts = rows.select("page_id", "sha1", F.octet_length("html").cast("long").alias("size"))
     facts = materialize(facts, "digests").where(F.col("size") >= least)
     # Digests seen once need no row here: their page is its own response.
-    keepers = facts.groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = facts.join(keepers, "sha1").where("page_id <> keeper").select("page_id", "sha1", F.col("keeper").alias("refers_to")).distinct()
+    keepers = materialize(facts.groupBy("sha1").agg(F.max("page_id").alias("keeper"), F.count("*").alias("n")).where("n > 1"), "keepers")
+    # One payload, as the empty one, may be that of very many pages.
+    later = with_facts(facts, keepers, "sha1").where("page_id <> keeper").select("page_id", "sha1", F.col("keeper").alias("refers_to")).distinct()
     return rows.join(later, ["page_id", "sha1"], "left")
 
 
