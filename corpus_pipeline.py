@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame. :func:`run` writes each stage's rows as
 Parquet in the shared folder and hands what is read back to the next stage. All stages but the last
 return the columns of ``documents``; the last returns the places of every document's pieces.
+
+Defined results, for every stage: null and empty texts fail the quality rules; given to a later stage by itself,
+they have no language and go, are in no group and stay, have no personal data, and are one piece, the end token.
+Very long texts are whole throughout. Repeated rows count each, but of rows with one doc_id and equal shingles one
+stays. Rows with a null doc_id lose no lines, are in no group, and are packed. Ties go to the smaller doc_id. Extra
+columns pass through all stages but the last, whatever their names. Empty tables give empty tables.
 """
 
 from __future__ import annotations
