@@ -51,7 +51,7 @@ THRESHOLD = 80
 #: Bits of a parity sketch; members of a bucket that one task compares with its pivots; pairs at a time.
 PARITY_BITS = 4096
 CHUNK = 512
-PAIRS_AT_ONCE = 20_000
+PAIRS_AT_ONCE = 10_000
 #: Shingles whose coordinates are computed at a time; a document of any length takes bounded memory.
 BLOCK = 1 << 14
 
@@ -70,7 +70,7 @@ def shingles(text: str | None, k: int) -> np.ndarray:
     if not words:
         return np.zeros(0, np.uint64)
     memo = _word_hashes
-    if len(memo) > 200_000:
+    if len(memo) > 100_000:
         memo.clear()
     h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
     if len(words) < k:
@@ -266,18 +266,15 @@ def components(edges: DataFrame) -> DataFrame:
     long chains halve. Tables are written in each round, so lineage stays short.
     """
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    # n: how many edges a node has, so that those of a node with many are not dealt by it.
-    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label"), F.count("*").alias("n")), "labels")
+    labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
     while True:
-        near = with_facts(both, labels.select(F.col("id").alias("b"), "label", "n"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        joined = materialize(labels.join(near, "id").select("id", "label", F.least("label", "near").alias("next"), F.col("n").alias("edges")), "next")
-        # Large components share one label.
-        far = joined.groupBy("next").agg(F.count("*").alias("n")).join(joined.select(F.col("id").alias("next"), F.col("next").alias("far")), "next")
-        far = materialize(far, "far")
-        new = with_facts(joined, far, "next").select("id", F.col("label").alias("old"), F.least("next", "far").alias("label"), F.col("edges").alias("n"))
+        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        joined = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("next"))
+        jump = joined.select(F.col("id").alias("next"), F.col("next").alias("far"))
+        new = joined.join(jump, "next", "left").select("id", F.col("label").alias("old"), F.least("next", F.coalesce("far", "next")).alias("label"))
         new = materialize(new, "labels")
         changed = new.where("old <> label").limit(1).count()
-        remove(labels), remove(joined), remove(far)
+        remove(labels)
         labels = new
         if not changed:
             remove(both)
