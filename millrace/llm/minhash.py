@@ -52,6 +52,8 @@ THRESHOLD = 80
 PARITY_BITS = 4096
 CHUNK = 512
 PAIRS_AT_ONCE = 10_000
+#: Full sets, or pairs of them, that Python holds at a time: those of very long texts are megabytes each.
+SETS_AT_ONCE = 32
 #: Shingles whose coordinates are computed at a time; a document of any length takes bounded memory.
 BLOCK = 1 << 14
 
@@ -230,8 +232,8 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i in range(0, batch.num_rows, SETS_AT_ONCE):
+                part = batch.slice(i, SETS_AT_ONCE)
                 sets = [shingles(x.as_py(), k) for x in part.column(1)]
                 good = [j for j, (x, *name) in enumerate(zip(sets, part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)) if set_hash(x) == tuple(name)]
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(good, pa.int64())), pa.array([sets[j].tobytes() for j in good], pa.binary())], names=["id", "shingle_set"])
@@ -340,8 +342,8 @@ def links(docs: DataFrame, signed: DataFrame, k: int, threshold: int = THRESHOLD
         if not likely.isEmpty():
             ids = likely.select(F.col("a").alias("id")).union(likely.select("b")).distinct()
             wanted = materialize(ids.join(signed.select("id", "doc_id", "class", "class2"), "id"), "wanted")
-            sets = materialize(_full_sets(docs, wanted, k), "sets", "none")
-            new = materialize(_verify(likely, sets, threshold), "links", batch_rows=500)
+            sets = materialize(_full_sets(docs, wanted, k), "sets", "none", batch_rows=2 * SETS_AT_ONCE)
+            new = materialize(_verify(likely, sets, threshold), "links", batch_rows=SETS_AT_ONCE)
             remove(sets), remove(wanted)
             if not new.isEmpty():
                 found = new if found is None else found.unionByName(new)
