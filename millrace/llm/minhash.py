@@ -264,23 +264,43 @@ def _verify(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, label) of every id in ``edges`` (a, b), label the smallest id that it reaches.
 
-    Each round gives every label the smallest one next to it, then follows that one's own label, so
-    long chains halve. Tables are written in each round, so lineage stays short.
+    Each round gives every id the smallest label next to it, then follows that one's own label of the round
+    before, so long chains halve. Tables are written in each round, so lineage stays short.
     """
-    both = materialize(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    both = materialize(edges.select(F.inline(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.min("a")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        joined = labels.join(near, "id").select("id", "label", F.least("label", "near").alias("next"))
-        jump = joined.select(F.col("id").alias("next"), F.col("next").alias("far"))
-        new = joined.join(jump, "next", "left").select("id", F.col("label").alias("old"), F.least("next", F.coalesce("far", "next")).alias("label"))
+        joined = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("next"))
+        jump = labels.select(F.col("id").alias("next"), F.col("label").alias("far"))
+        new = joined.join(jump, "next").select("id", "old", F.least("next", "far").alias("label"))
         new = materialize(new, "labels")
         changed = new.where("old <> label").limit(1).count()
         remove(labels)
         labels = new
         if not changed:
             remove(both)
-            return labels.select("id", "label")
+            out = labels.select("id", "label")
+            out.millrace_path = labels.millrace_path
+            return out
+
+
+def merged(labels: DataFrame, new: DataFrame) -> DataFrame:
+    """``labels`` (id, label) after the links ``new`` (a, b): only components that these touch are worked on."""
+    for end in ("a", "b"):
+        own = labels.select(F.col("id").alias(end), "label")
+        new = new.join(own, end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+    between = materialize(new.where("a <> b").select("a", "b").distinct(), "between")
+    if between.isEmpty():
+        remove(between)
+        return labels
+    joined = components(between)
+    remove(between)
+    moved = joined.select(F.col("id").alias("label"), F.col("label").alias("now"))
+    old = labels.join(moved, "label", "left").select("id", F.coalesce("now", "label").alias("label"))
+    out = materialize(old.unionByName(joined.join(labels.select("id"), "id", "left_anti")), "labels")
+    remove(joined), remove(labels)
+    return out
 
 
 def with_facts(rows: DataFrame, groups: DataFrame, *keys: str) -> DataFrame:
@@ -302,20 +322,15 @@ def links(docs: DataFrame, signed: DataFrame, k: int, threshold: int = THRESHOLD
     ``signed`` has a row for each class: id, doc_id, class, class2, size, sketch and bands.
     """
     spark = signed.sparkSession
-    rows = signed.select("id", F.explode("bands").alias("bucket"))
-    met = materialize(rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    active = materialize(with_facts(rows, met, "bucket").select("bucket", "id"), "buckets")
-    remove(met)
+    active = signed.select("id", F.explode("bands").alias("bucket"))
     facts = signed.select("id", "size", "sketch")
-    found: DataFrame | None = None  # all links so far
     labels = spark.createDataFrame([], "id long, label long")
     pivots, turn = 1, 0
     while True:
         labelled = active.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
         # Buckets of one component have nothing left to find. Hash order is the same in all buckets, so they agree on pivots.
-        order = F.struct(F.xxhash64("id").alias("h"), F.col("id").alias("id"))
-        groups = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min(order).alias("first"))
-        open_ = materialize(groups.where("low <> high").select("bucket", "n", F.col("first.id").alias("first")), "open-buckets")
+        groups = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min_by("id", F.xxhash64("id")).alias("first"))
+        open_ = materialize(groups.where("low <> high").select("bucket", "n", "first"), "open-buckets")
         if turn == SPLIT_ROUND and not open_.where(F.col("n") > SPLIT).isEmpty():
             large = open_.where(F.col("n") > SPLIT).select("bucket", "n")
             rest = with_facts(active, open_.where(F.col("n") <= SPLIT).select("bucket", "n"), "bucket").select("bucket", "id")
@@ -333,10 +348,11 @@ def links(docs: DataFrame, signed: DataFrame, k: int, threshold: int = THRESHOLD
             break
         # Large buckets are dealt out in chunks; their pivots go to each.
         chunks = (F.lit(1) + F.col("n") / CHUNK).cast("int")
-        sketched = now.join(facts, "id").withColumn("chunks", chunks)
-        members = sketched.withColumn("chunk", F.pmod(F.xxhash64("id", F.lit(9)), F.col("chunks")).cast("int")).withColumn("member", F.lit(True))
-        leaders = sketched.where("is_pivot").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("member", F.lit(False))
-        both = members.unionByName(leaders).select("bucket", "chunk", "member", "id", "label", "size", "sketch")
+        member = F.struct(F.pmod(F.xxhash64("id", F.lit(9)), F.col("chunks")).cast("int").alias("chunk"), F.lit(True).alias("member"))
+        leader = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda c: F.struct(c.alias("chunk"), F.lit(False).alias("member")))
+        places = F.when(F.col("is_pivot"), F.concat(F.array(member), leader)).otherwise(F.array(member))
+        both = now.join(facts, "id").withColumn("chunks", chunks).select("bucket", "id", "label", "size", "sketch", F.inline(places))
+        both = both.select("bucket", "chunk", "member", "id", "label", "size", "sketch")
         both = both.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "member")
         likely = materialize(_compare(both, threshold).distinct(), "likely")
         if not likely.isEmpty():
@@ -345,9 +361,8 @@ def links(docs: DataFrame, signed: DataFrame, k: int, threshold: int = THRESHOLD
             sets = materialize(_full_sets(docs, wanted, k), "sets", "none", batch_rows=2 * SETS_AT_ONCE)
             new = materialize(_verify(likely, sets, threshold), "links", batch_rows=SETS_AT_ONCE)
             remove(sets), remove(wanted)
-            if not new.isEmpty():
-                found = new if found is None else found.unionByName(new)
-                labels = components(found)
+            labels = merged(labels, new)
+            remove(new)
         active = materialize(now.where("NOT is_pivot").select("bucket", "id"), "buckets")
         remove(now), remove(likely)
         pivots, turn = pivots * 4, turn + 1
