@@ -17,6 +17,9 @@ _QUERIES = {
     "op8_warc_segments": "warc",
     "op9_quality_rules": "quality",
     "op10_bpe_roundtrip": "bpe_transducer",
+    "op11_mix_sources": "mixing",
+    "op12_hard_negatives": "hard_negatives",
+    "op13_vector_codes": "vector_codes",
 }
 
 
