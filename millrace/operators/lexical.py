@@ -32,24 +32,23 @@ def exact_lookup(postings: DataFrame, queries: DataFrame, id_column: str = "id")
     return rows.join(terms, "term").select("query_id", "id", "n_identifiers")
 
 
-def inverted(postings: DataFrame, id_column: str = "id") -> DataFrame:
-    """(term, id, n_identifiers) of every distinct identifier, in ranges of terms."""
-    rows = postings.select(F.explode(F.array_distinct("identifiers")).alias("term"), F.col(id_column).alias("id"), F.size("identifiers").alias("n_identifiers"))
-    return rows.repartitionByRange(F.col("term"), F.col("id")).sortWithinPartitions("term", "id")
+def inverted(postings: DataFrame, id_column: str = "id", *more: str) -> DataFrame:
+    """(term, id, n_identifiers, more) of every distinct identifier; to be stored in ranges of terms."""
+    return postings.select(F.explode(F.array_distinct("identifiers")).alias("term"), F.col(id_column).alias("id"), *more, F.size("identifiers").alias("n_identifiers"))
 
 
 #: Terms that are pushed into the scan as a list; more are joined.
 LISTED_TERMS = 1000
 
 
-def term_lookup(terms: DataFrame, queries: DataFrame) -> DataFrame:
-    """As :func:`exact_lookup`, from a stored table of :func:`inverted`."""
+def term_lookup(terms: DataFrame, queries: DataFrame, *more: str) -> DataFrame:
+    """As :func:`exact_lookup`, from a stored table of :func:`inverted`, with ``more`` of its columns."""
     asked = queries.where(~T.is_quoted(F.col("text"))).select("query_id", T.exact_term(F.col("text")).alias("term"))
     some = asked.select("term").distinct().limit(LISTED_TERMS + 1).collect()
     if len(some) > LISTED_TERMS:
-        return terms.join(asked, "term").select("query_id", "id", "n_identifiers")
+        return terms.join(asked, "term").select("query_id", "id", "n_identifiers", *more)
     rows = terms.where(F.col("term").isin([r["term"] for r in some]))
-    return rows.join(F.broadcast(asked) if asked.count() <= 10 * LISTED_TERMS else asked, "term").select("query_id", "id", "n_identifiers")
+    return rows.join(F.broadcast(asked) if asked.count() <= 10 * LISTED_TERMS else asked, "term").select("query_id", "id", "n_identifiers", *more)
 
 
 _TERM = "[\\p{L}\\p{N}]"

@@ -18,6 +18,19 @@ def diff(old: DataFrame, new: DataFrame, *scope: str) -> DataFrame:
     return o.join(n, keys, "full").select(*keys, change(F.col("old_hash"), F.col("new_hash")).alias("state_change"))
 
 
+def replaced(old: DataFrame, new: DataFrame, columns: list[str]) -> DataFrame:
+    """Old rows joined with their new selves by id: ``new``'s columns, state_change, and whether a row was, is, and differs.
+
+    ``state_change`` goes by content hash; rows differ if any column does.
+    """
+    row = F.xxhash64(F.to_json(F.struct(*columns)))
+    o = old.select("id", F.col("content_hash").alias("_old_hash"), row.alias("_old_row"))
+    n = new.select(*columns, row.alias("_row"))
+    return o.join(n, "id", "full").select(
+        *columns, change(F.col("_old_hash"), F.col("content_hash")).alias("state_change"), F.col("_old_row").isNotNull().alias("was"), F.col("_row").isNotNull().alias("is"), (~F.col("_old_row").eqNullSafe(F.col("_row"))).alias("differs")
+    )
+
+
 def removed_sources(known: DataFrame, seen: DataFrame, key: str = "source_key") -> DataFrame:
     return known.join(seen, key, "left_anti")
 

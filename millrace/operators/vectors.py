@@ -112,6 +112,12 @@ def signed(records: DataFrame) -> tuple[int, str]:
     return row["n"], ":".join(str(int(row[f"h{k}"] or 0) % (1 << 64)) for k in (0, 1))
 
 
+def signed_after(before: tuple[int, str], come: tuple[int, str], gone: tuple[int, str]) -> tuple[int, str]:
+    """What :func:`signed` gives for records after some came and some went."""
+    halves = zip(*(x[1].split(":") for x in (before, come, gone)), strict=True)
+    return before[0] + come[0] - gone[0], ":".join(str((int(a) + int(b) - int(c)) % (1 << 64)) for a, b, c in halves)
+
+
 def mean_pool(tokens: DataFrame, *keys: str) -> DataFrame:
     """(keys, vector): the mean of each group's token vectors whose ``mask`` is not 0, as a unit vector.
 

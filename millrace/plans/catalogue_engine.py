@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace import schema as S
 from millrace.operators import chunking
-from millrace.plans.catalogue import ASCII, documents, query
+from millrace.plans.catalogue import ASCII, TOKENS, documents, query
 from millrace.plans.shared import new_path, table
 from millrace.sources import maps, markdown, scan, symbols, tsv
 
@@ -116,10 +116,10 @@ def markdown_blocks(spark: SparkSession, sf: str) -> DataFrame:
 # The engine
 
 
-def _engine(spark: SparkSession):
+def _engine(spark: SparkSession, chunked: bool = False):
     from millrace.engine import Engine
 
-    return Engine(spark, new_path(spark, "engine"), chunked=False)
+    return Engine(spark, new_path(spark, "engine"), chunked=chunked)
 
 
 def _document_records(spark: SparkSession, sf: str) -> DataFrame:
@@ -149,6 +149,64 @@ def engine_exact_search(spark: SparkSession, sf: str) -> DataFrame:
     return engine.search_batch(asked).select("query_id", "id", "channel", "rank")
 
 
+def _tokens(text: str) -> str:
+    return TOKENS.replace("lower(text)", f"lower({text})")
+
+
+_PHRASES = f"""
+    WITH d AS (SELECT 'doc' || doc_id AS id, 0 AS o, {_tokens("source || ': ' || text")} AS w FROM documents WHERE trim(text) <> ''
+        UNION ALL SELECT 'doc' || doc_id, 1, {_tokens("source || ': language ' || lang")} FROM documents WHERE trim(text) <> ''),
+    s AS (SELECT count(*) AS n, sum(len(w)) / count(*) AS mean FROM d),
+    t AS (SELECT item_id AS query_id, {TOKENS} AS w FROM benchmark UNION ALL VALUES (-1, ['language', 'en'])),
+    q AS (SELECT query_id, w[1] AS a, w[2] AS b FROM t WHERE len(w) >= 2),
+    f AS (SELECT word, count(*) AS df FROM (SELECT DISTINCT id, o, unnest(w) AS word FROM d) GROUP BY word),
+    h AS (SELECT query_id, id, o, a, b, len(w) AS dl, len(list_filter(range(1, len(w)), lambda i: w[i] = a AND w[i + 1] = b)) AS tf FROM d JOIN q ON list_contains(w, a) AND list_contains(w, b)),
+    scored AS (SELECT query_id, id, o, round((ln(1 + (n - x.df + 0.5) / (x.df + 0.5)) + ln(1 + (n - y.df + 0.5) / (y.df + 0.5))) * (tf * 2.2) / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / mean)), 6) AS score
+        FROM h JOIN f x ON a = x.word JOIN f y ON b = y.word, s WHERE tf > 0),
+    top AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id || ':' || o) <= 100),
+    best AS (SELECT query_id, id, max(score) AS score FROM top GROUP BY query_id, id)
+    SELECT query_id, id, 'Lexical' AS channel, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM best
+"""
+
+
+def _sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as sections under their source, with a list after the text, so each has two chunks."""
+    rows = _document_records(spark, sf).join(documents(spark, sf).select(F.concat(F.lit("doc"), "doc_id").alias("id"), "source"), "id")
+    named = F.struct(F.lit("markdown").alias("kind"), F.array("source").alias("parts"))
+    return rows.withColumns({"selector": named, "content": F.concat("content", F.lit("\n\n- language "), "title")}).select(S.COLUMNS)
+
+
+def _asked(spark: SparkSession, sf: str) -> DataFrame:
+    """The first two words of each benchmark item as a phrase, and one that half of all chunks may have."""
+    from millrace.functions import text as T
+
+    words = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.slice(T.unicode_tokens(F.col("text")), 1, 2).alias("w")).where(F.size("w") == 2)
+    words = words.unionByName(spark.range(1).select(F.lit(-1).cast(words.schema["query_id"].dataType).alias("query_id"), F.array(F.lit("language"), F.lit("en")).alias("w")))
+    return words.select("query_id", F.concat(F.lit('"'), F.array_join("w", " "), F.lit('"')).alias("text"))
+
+
+@query(_PHRASES)
+def engine_phrase_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The engine's batch search of phrases over chunked sections, by the positional index."""
+    engine = _engine(spark, chunked=True)
+    engine.put(_sections(spark, sf))
+    return engine.search_batch(_asked(spark, sf)).select("query_id", "id", "channel", "rank")
+
+
+@query(_PHRASES)
+def engine_phrases_after_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows from an index that came about by changes: wrong texts put right, and others removed."""
+    engine, rows = _engine(spark, chunked=True), _sections(spark, sf)
+    number = F.expr("cast(substring(id, 4) AS long)")
+    wrong = rows.withColumns({"content": F.concat(F.lit("language en language "), "content"), "content_hash": F.lit("wrong")})
+    more = rows.where(number % 5 == 1).withColumns({c: F.concat(F.lit("more-"), c) for c in ("id", "source_key")})
+    engine.put(rows.where(number % 4 > 0).unionByName(wrong.where(number % 4 == 0)).unionByName(more))
+    engine.put(rows.where(number % 8 == 0))
+    engine.remove(more.select("id"))
+    engine.put(rows.where(number % 8 == 4))
+    return engine.search_batch(_asked(spark, sf)).select("query_id", "id", "channel", "rank")
+
+
 @query(
     """
     SELECT 'named-root-v1:maps:' || n_regionkey || '.cfmap.md:file' AS map_id, 'n' || n_nationkey AS id, n_name AS title, 'CodeSymbol' AS record_kind FROM nation
@@ -161,8 +219,8 @@ def engine_related(spark: SparkSession, sf: str) -> DataFrame:
     key = F.concat(F.lit("n"), F.col("n_nationkey"))
     facts = {"id": key, "kind": F.lit("CodeSymbol"), "root_id": F.lit("src"), "source_key": key, "path": F.lit("n.py"), "selector": F.struct(F.lit("file").alias("kind"), none.alias("parts")), "title": F.col("n_name"), "content": F.col("n_name"), "metadata": F.map_from_arrays(none, none), "relations": none, "content_hash": F.sha2("n_name", 256)}
     engine.put(_maps(spark, sf).unionByName(table(spark, sf, "nation").select([facts[c].alias(c) for c in S.COLUMNS])))
-    rows = [(m["id"], r["id"], r["title"], r["record_kind"]) for m in engine.store.read("records", S.RECORDS).where("kind = 'CodeMap'").collect() for r in engine.related(m["id"])]
-    return spark.createDataFrame(rows, "map_id string, id string, title string, record_kind string")
+    maps_ = engine.store.read("records", S.RECORDS).where("kind = 'CodeMap'")
+    return engine.related_batch(maps_).select(F.col("src_id").alias("map_id"), "id", "title", "record_kind")
 
 
 @query(
@@ -178,7 +236,7 @@ def engine_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Putting, putting again, changing and removing records: the engine's generations and counts."""
     engine, rows = _engine(spark), _document_records(spark, sf)
     number = F.expr("cast(substring(id, 4) AS long)")
-    gone = [r["id"] for r in rows.where(number % 10 == 1).select("id").distinct().collect()]
+    gone = rows.where(number % 10 == 1).select("id")
     steps = [lambda: engine.put(rows), lambda: engine.put(rows), lambda: engine.put(rows.where(number % 3 == 0).withColumn("content_hash", F.lit("new"))), lambda: engine.remove(gone)]
     out = [(n, done["generation"], change, count) for n, step in enumerate(steps, 1) for done in [step()] for change, count in done["changes"].items()]
     return spark.createDataFrame(out, "step int, generation int, change string, rows long")
