@@ -53,12 +53,12 @@ def fuse(candidates: DataFrame, mode: str = "balanced") -> DataFrame:
     order; sums by channel are plain hash aggregates with partial sums.
     """
     has_provenance = "provenance" in candidates.columns
-    w = by_channel(F.lit(mode), F.col("channel"))
-    rows = candidates.withColumn("weight", w).withColumn("o", order_of(F.col("channel")))
-    share = F.col("weight") / (OFFSET + F.col("pos"))
+    cases = " ".join(f"WHEN '{c}' THEN {w}D" for c, w in zip(CHANNELS, WEIGHTS[mode], strict=True))
+    listed = ", ".join(f"'{c}'" for c in CHANNELS)
+    rows = candidates.withColumns({"weight": F.expr(f"CASE channel {cases} END"), "o": F.expr(f"array_position(array({listed}), channel) - 1")})
     strength = F.struct((F.col("channel") == "Exact").alias("e"), F.col("weight").alias("w"), (-F.col("o")).alias("o"))
     aggregates = [
-        *[F.coalesce(F.sum(F.when(F.col("channel") == c, share)), F.lit(0.0)).alias(f"_{c}") for c in CHANNELS],
+        *[F.expr(f"coalesce(sum(CASE WHEN channel = '{c}' THEN weight / ({OFFSET}D + pos) END), 0.0D)").alias(f"_{c}") for c in CHANNELS],
         F.bool_or(F.col("channel") == "Exact").alias("exact"),
         F.max_by("channel", strength).alias("channel"),
     ]

@@ -105,10 +105,13 @@ def reusable(stored: DataFrame, records: DataFrame, dimension: int) -> DataFrame
     return stored.where(F.size("vector") == dimension).join(records.select("id", "content_hash"), ["id", "content_hash"], "left_semi")
 
 
-def signed(records: DataFrame) -> tuple[int, str]:
-    """How many records there are, and a digest of their (id, content_hash) in any order."""
-    halves = [F.sum(F.xxhash64("id", "content_hash", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)]
-    row = records.agg(F.count("*").alias("n"), *halves).first()
+def signature() -> list[Column]:
+    """Aggregates for :func:`signed`."""
+    return [F.count("*").alias("n"), *[F.sum(F.xxhash64("id", "content_hash", F.lit(k)).cast("decimal(38,0)")).alias(f"h{k}") for k in (0, 1)]]
+
+
+def signed(row) -> tuple[int, str]:
+    """How many records there are, and a digest of their (id, content_hash) in any order, from a row of :func:`signature`."""
     return row["n"], ":".join(str(int(row[f"h{k}"] or 0) % (1 << 64)) for k in (0, 1))
 
 

@@ -3,9 +3,9 @@
 import pytest
 
 from millrace import schema as S
-from millrace.engine import Engine, Root
+from millrace.engine import POSTINGS, Engine, Root
 from millrace.errors import EngineError
-from millrace.operators import lexical, models, vectors
+from millrace.operators import dense, lexical, models, vectors
 from millrace.functions import text as T
 from millrace.plans.store import Store
 from pyspark.sql import functions as F
@@ -48,12 +48,13 @@ def test_killed_embedding_resumes(spark, tree):
         return plain(texts)
 
     first = engine(spark, tree, provider=dies)
-    first.wave = 1
-    with pytest.raises(Exception, match="killed"):
+    with pytest.raises(EngineError, match="killed"):
         first.embed()
-    done = first.store.names("embedding/multilingual-e5-small")
-    made = sum(spark.read.parquet(f"{tree}/state/embedding/multilingual-e5-small/{n[:-5]}").count() for n in done if n.endswith(".done"))
-    assert made < 6
+    bad = [r["id"] for r in first.store.read("postings", POSTINGS).where(F.col("text").contains("word5")).collect()]
+    with pytest.raises(EngineError, match=bad[0].replace("(", ".")):  # by name
+        first.embed()
+    made = models.Made(spark, f"{first.store.root}/embedding/multilingual-e5-small").read().count()
+    assert made == 5
 
     seen = spark.sparkContext.accumulator(0)
 
@@ -63,19 +64,48 @@ def test_killed_embedding_resumes(spark, tree):
 
     again = engine(spark, tree, provider=counts)
     again.embed()
-    assert seen.value == 6 - made and again.restore() == "Current" and again.vector_freshness() == "Current"
+    assert seen.value == 1 and again.restore() == "Current" and again.vector_freshness() == "Current"
     assert not again.store.names("embedding/multilingual-e5-small")
 
 
+def test_a_job_that_dies_keeps_what_its_tasks_made(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(models, "TASK_TEXTS", 10)
+    rows = spark.createDataFrame([(f"i{i}", "h", f"text {i}") for i in range(80)], "id string, content_hash string, embedding_input string")
+    plain = models.HashingProvider(8)
+
+    def dies(texts):
+        import os
+        import time
+
+        if any(t == "text 7" for t in texts):
+            time.sleep(4)  # other tasks end first
+            os._exit(1)
+        return plain(texts)
+
+    made = models.Made(spark, f"file://{tmp_path}/made")
+    with pytest.raises(Exception, match="crash|exit|EOF|worker|task"):
+        made.add(rows, dies, 8, 80)
+    kept = made.read().count()
+    assert 0 < kept < 80
+    made.add(rows.join(made.read(), ["id", "content_hash"], "left_anti"), plain, 8, 80)
+    assert made.read().select("id").distinct().count() == made.read().count() == 80 and made.failures() == []
+
+
+def test_a_broken_model_fails_at_once(spark, tmp_path):
+    rows = spark.createDataFrame([(f"i{i}", "h", f"text {i}") for i in range(80)], "id string, content_hash string, embedding_input string")
+    with pytest.raises(Exception, match="no such model"):
+        models.Made(spark, f"file://{tmp_path}/made").add(rows, lambda texts: (_ for _ in ()).throw(OSError("no such model")), 8, 80)
+
+
 def test_restore_checks(spark, tree):
     e = engine(spark, tree, provider=models.HashingProvider(384))
     assert e.restore() == "Stale"
     e.index()
     assert e.restore() == "Current" and e.restore("bge-m3") == "Stale"
-    whole = e._vectors()
+    whole = e._vectors().drop("model")
     marker = e.store.marker()["vectors"]
     for broken in (whole.limit(5), whole.withColumn("vector", F.transform("vector", lambda x: (x * 2).cast("float"))), whole.withColumn("content_hash", F.lit("x"))):
-        e.store.write({"vectors/multilingual-e5-small": broken}, vectors=marker)
+        e.store.write({"vectors/multilingual-e5-small": dense.grouped(broken)}, vectors=marker)
         assert e.restore() == "Degraded"
 
 
