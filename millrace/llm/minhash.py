@@ -23,8 +23,10 @@ are found to be small. A bucket that still has over SPLIT members of several com
 of pivots holds unlike texts; in its place its members meet again in a bucket for each other band they share. So pairs
 there must share two bands of 40, which pairs at similarity 0.8 miss with probability under 3e-6.
 
-Components spread by smallest labels with pointer jumping over distributed tables; links, labels and
-sets never come to the driver.
+Between rounds a label moves one step, to the smallest one that a new link leads to: equal labels are always of one component,
+which is all that rounds need to leave pairs out. At the end all links make the components whole, by smallest labels with pointer
+jumping over distributed tables; only labels that still differ across a link take part. Links, labels and sets never come to the
+driver.
 
 Defined results: null, empty or wordless text has no shingles and links with nothing. A text with
 fewer words than a shingle is one shingle. Repeated rows with one doc_id are copies of each other if
@@ -37,6 +39,7 @@ empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -285,20 +288,30 @@ def components(edges: DataFrame) -> DataFrame:
             return out
 
 
-def merged(labels: DataFrame, new: DataFrame) -> DataFrame:
-    """``labels`` (id, label) after the links ``new`` (a, b): only components that these touch are worked on."""
+def hooked(between: DataFrame) -> DataFrame:
+    """(id, label) of the labels in ``between`` (a, b) that have a smaller one beside them: the smallest of those."""
+    both = between.select(F.greatest("a", "b").alias("id"), F.least("a", "b").alias("label"))
+    return materialize(both.groupBy("id").agg(F.min("label").alias("label")), "hooked")
+
+
+def merged(labels: DataFrame, new: DataFrame, whole: bool = False) -> DataFrame:
+    """``labels`` (id, label) after the links ``new`` (a, b): only labels that these touch are worked on.
+
+    ``whole`` labels are those of components. Otherwise each label moves one step, to the smallest label that a link leads to, so
+    equal labels are of one component, but a component may have several for a while.
+    """
+    own = bounded(labels)
     for end in ("a", "b"):
-        own = labels.select(F.col("id").alias(end), "label")
-        new = new.join(own, end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
+        new = new.join(own.select(F.col("id").alias(end), "label"), end, "left").withColumn(end, F.coalesce("label", end)).drop("label")
     between = materialize(new.where("a <> b").select("a", "b").distinct(), "between")
     if between.isEmpty():
         remove(between)
         return labels
-    joined = components(between)
+    joined = components(between) if whole else hooked(between)
     remove(between)
-    moved = joined.select(F.col("id").alias("label"), F.col("label").alias("now"))
+    moved = bounded(joined.select(F.col("id").alias("label"), F.col("label").alias("now")))
     old = labels.join(moved, "label", "left").select("id", F.coalesce("now", "label").alias("label"))
-    out = materialize(old.unionByName(joined.join(labels.select("id"), "id", "left_anti")), "labels")
+    out = materialize(old.unionByName(joined.join(own.select("id"), "id", "left_anti")), "labels")
     remove(joined), remove(labels)
     return out
 
@@ -325,9 +338,9 @@ def links(docs: DataFrame, signed: DataFrame, k: int, threshold: int = THRESHOLD
     active = signed.select("id", F.explode("bands").alias("bucket"))
     facts = signed.select("id", "size", "sketch")
     labels = spark.createDataFrame([], "id long, label long")
-    pivots, turn = 1, 0
+    pivots, turn, all_links = 1, 0, []
     while True:
-        labelled = active.join(labels, "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+        labelled = active.join(bounded(labels), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
         # Buckets of one component have nothing left to find. Hash order is the same in all buckets, so they agree on pivots.
         groups = labelled.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"), F.min_by("id", F.xxhash64("id")).alias("first"))
         open_ = materialize(groups.where("low <> high").select("bucket", "n", "first"), "open-buckets")
@@ -362,11 +375,17 @@ def links(docs: DataFrame, signed: DataFrame, k: int, threshold: int = THRESHOLD
             new = materialize(_verify(likely, sets, threshold), "links", batch_rows=SETS_AT_ONCE)
             remove(sets), remove(wanted)
             labels = merged(labels, new)
-            remove(new)
+            all_links.append(new)
         active = materialize(now.where("NOT is_pivot").select("bucket", "id"), "buckets")
         remove(now), remove(likely)
         pivots, turn = pivots * 4, turn + 1
-    return labels
+    if all_links:
+        labels = merged(labels, reduce(DataFrame.unionByName, all_links), whole=True)
+        for table in all_links:
+            remove(table)
+    # What is a label has itself for a label.
+    roots = labels.select(F.col("label").alias("id")).distinct().join(bounded(labels.select("id")), "id", "left_anti")
+    return labels.unionByName(roots.withColumn("label", F.col("id")))
 
 
 def grouped(docs: DataFrame, k: int, threshold: int = THRESHOLD) -> DataFrame:
