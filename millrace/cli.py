@@ -34,6 +34,7 @@ def parser() -> argparse.ArgumentParser:
     for name in ("get", "related"):
         commands.add_parser(name).add_argument("id")
     commands.add_parser("status")
+    commands.add_parser("inspect").add_argument("folder")
     found = commands.add_parser("workspace")
     found.add_argument("what", choices=["discover"])
     found.add_argument("folder")
@@ -81,6 +82,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             print(to_json(found))
         elif args.command == "related":
             print(to_json({"schema_version": 1, "kind": "related", "records": engine.related(args.id)}))
+        elif args.command == "inspect":
+            print(to_json(engine.export(args.folder)))
         else:
             print(to_json(engine.status()))
         return 0

@@ -1,13 +1,12 @@
 """Exact-identifier lookup and BM25 phrase ranking.
 
 An unquoted query is one exact term; a quoted one is a phrase. Exact terms are looked up in an inverted table,
-sorted by term, so files and row groups of other terms are not read. Statistics of all phrases' terms come from one
-aggregation over all documents; scoring all phrases is one more scan, with no shuffle before the top-k.
+sorted by term, so files and row groups of other terms are not read. A phrase over texts without an index takes one pass for
+statistics and one for scores, with no shuffle before the top-k; :mod:`positions` has the index.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -99,40 +98,6 @@ def bm25_phrase(docs: DataFrame, phrase: str, id_column: str = "id", text_column
     return found.orderBy(F.desc("score"), id_column).limit(limit)
 
 
-#: Phrases that one scan scores.
-PHRASES_AT_ONCE = 32
-
-
-def bm25_phrases(docs: DataFrame, phrases: DataFrame, id_column: str = "id", text_column: str = "content", limit: int = LIMIT) -> DataFrame | None:
-    """(query_id, id, tf, dl, score): the best documents of each phrase of (query_id, phrase), as :func:`bm25_phrase`.
-
-    One pass has the statistics of all terms; each PHRASES_AT_ONCE phrases are scored in one scan.
-    """
-    asked = phrases.select("query_id", T.unicode_tokens(F.col("phrase")).alias("words")).where(F.size("words") > 0).orderBy("query_id").collect()
-    if not asked:
-        return None
-    texts = spread(docs.select(F.col(id_column).alias("id"), F.lower(F.col(text_column)).alias("lowered")))
-    words = sorted({w for r in asked for w in r["words"]})
-    stats = corpus_statistics(texts, words)
-    n, mean = stats["n"], stats["mean"] or 1.0
-    idf = {w: math.log(1 + (n - stats[f"df{k}"] + 0.5) / (stats[f"df{k}"] + 0.5)) for k, w in enumerate(words)}
-    out = None
-    for at in range(0, len(asked), PHRASES_AT_ONCE):
-        tries = []
-        for r in asked[at : at + PHRASES_AT_ONCE]:
-            likely = reduce(lambda a, b: a & b, [F.contains("lowered", F.lit(w)) for w in r["words"]])
-            tf = F.when(likely, F.regexp_count("lowered", F.lit(phrase_pattern(r["words"])))).otherwise(0)
-            tries.append(F.struct(F.lit(r["query_id"]).cast("long").alias("query_id"), F.lit(sum(idf[w] for w in r["words"])).alias("idf"), tf.alias("tf")))
-        found = texts.select("id", "lowered", F.filter(F.array(*tries), lambda x: x["tf"] > 0).alias("hits")).where(F.size("hits") > 0)
-        found = found.select("id", length(F.col("lowered")).alias("dl"), F.explode("hits").alias("hit"))
-        tf = F.col("hit.tf").cast("double")
-        score = F.col("hit.idf") * (tf * (K1 + 1)) / (tf + K1 * (1 - B + B * F.col("dl") / mean))
-        part = found.select(F.col("hit.query_id").alias("query_id"), "id", F.col("hit.tf").alias("tf"), "dl", F.round(T.finite(score), PLACES).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    return out.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= limit).drop("_n")
-
-
 def mode_preferred(mode: str, metadata: Column) -> Column:
     """Whether a record's metadata suits the mode."""
     if mode == "current":

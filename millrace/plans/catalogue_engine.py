@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace import schema as S
 from millrace.operators import chunking
+from millrace.plans import table_functions
 from millrace.plans.catalogue import ASCII, TOKENS, documents, query
 from millrace.plans.shared import new_path, table
 from millrace.sources import maps, markdown, scan, symbols, tsv
@@ -24,26 +25,39 @@ def _file(parts, order: str, head) -> F.Column:
     return F.concat(head, F.array_join(ordered, "")).cast("binary").alias("content")
 
 
-@query(
-    """
+_SECTIONS = """
     WITH t AS (SELECT conv_id, turn, 'Turn ' || turn || ' ' || role AS title, translate(text, '#', ' ') AS text FROM conversations),
     c AS (SELECT *, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS content FROM t)
     SELECT 'named-root-v1:conv:' || conv_id || '.md:markdown:' || strlen('Conversation ' || conv_id) || ':Conversation ' || conv_id || strlen(title) || ':' || title AS id,
         title, sha256(content) AS content_sha, CASE conv_id % 2 WHEN 0 THEN 'CURRENT' ELSE 'DESIGN' END AS alignment, conv_id || '.md' AS path
     FROM c WHERE content <> ''
     """
-)
-def markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
-    """Frontmatter, headings and sections of a Markdown file for each conversation."""
+
+
+def _conversation_files(spark: SparkSession, sf: str) -> DataFrame:
+    """A Markdown file for each conversation."""
     part = F.concat(F.lit("## Turn "), F.col("turn"), F.lit(" "), F.col("role"), F.lit("\n"), F.translate(F.coalesce("text", F.lit("")), "#", " "), F.lit("\n"))
     alignment = F.when(F.col("conv_id") % 2 == 0, "CURRENT").otherwise("DESIGN")
     head = F.concat(F.lit("---\nalignment: "), alignment, F.lit("\n---\n# Conversation "), F.col("conv_id"), F.lit("\n"))
     files = table(spark, sf, "conversations").groupBy("conv_id").agg(_file(part, "turn", F.lit("")).alias("parts"))
-    files = files.select(F.concat("conv_id", F.lit(".md")).alias("path"), F.concat(head.cast("binary"), "parts").alias("content"))
-    found = _records(files, partial(markdown.parse, root="conv"))
+    return files.select(F.concat("conv_id", F.lit(".md")).alias("path"), F.concat(head.cast("binary"), "parts").alias("content"))
+
+
+@query(_SECTIONS)
+def markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
+    """Frontmatter, headings and sections of a Markdown file for each conversation."""
+    found = _records(_conversation_files(spark, sf), partial(markdown.parse, root="conv"))
     return found.select("id", "title", F.sha2("content", 256).alias("content_sha"), F.col("metadata")["alignment"].alias("alignment"), "path")
 
 
+@query(_SECTIONS)
+def sections_by_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The same sections from SQL, by a table function over the files' partitions."""
+    table_functions.register(spark)
+    found = "SELECT id, title, sha2(content, 256) AS content_sha, metadata['alignment'] AS alignment, path FROM markdown_sections(TABLE({files}) PARTITION BY (path), 'conv')"
+    return spark.sql(found, files=_conversation_files(spark, sf))
+
+
 @query(
     """
     SELECT c_nationkey || '.tsv' AS path, CAST(row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) + 1 AS VARCHAR) AS number, c_name AS title, c_mktsegment AS segment,
@@ -94,8 +108,7 @@ def code_maps(spark: SparkSession, sf: str) -> DataFrame:
     return _maps(spark, sf).select("id", "title", F.array_join("relations", ",").alias("relations"), F.col("metadata")["state"].alias("state"))
 
 
-@query(
-    """
+_BLOCKS = """
     WITH c AS (SELECT conv_id, turn, trim(regexp_replace(translate(text, '#|`*_[]()-+.', '            '), '\\s+', ' ', 'g')) AS w FROM conversations),
     ok AS (SELECT * FROM c WHERE regexp_matches(w, '^[A-Za-z]'))
     SELECT conv_id || '/' || turn AS id, o AS ordinal, kind, text, a AS start_line, b AS end_line FROM (
@@ -104,13 +117,26 @@ def code_maps(spark: SparkSession, sf: str) -> DataFrame:
         UNION ALL SELECT conv_id, turn, 2, 'code_block', '```' || chr(10) || w || chr(10) || '```', 5, 7 FROM ok
         UNION ALL SELECT conv_id, turn, 3, 'paragraph', 'end', 9, 9 FROM ok)
     """
-)
-def markdown_blocks(spark: SparkSession, sf: str) -> DataFrame:
-    """Paragraphs, a list and a fence around each turn's words."""
+
+
+def _turn_texts(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, content): paragraphs, a list and a fence around each turn's words."""
     plain = F.trim(F.regexp_replace(F.translate("text", "#|`*_[]()-+.", "            "), "\\s+", " "))
     rows = table(spark, sf, "conversations").select(F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("id"), plain.alias("w")).where(F.col("w").rlike("^[A-Za-z]"))
-    content = F.concat("w", F.lit("\n\n- "), "w", F.lit("\n- two\n\n```\n"), "w", F.lit("\n```\n\nend"))
-    return chunking.blocks(rows.select("id", content.alias("content"))).select("id", "ordinal", "kind", "text", "start_line", "end_line")
+    return rows.select("id", F.concat("w", F.lit("\n\n- "), "w", F.lit("\n- two\n\n```\n"), "w", F.lit("\n```\n\nend")).alias("content"))
+
+
+@query(_BLOCKS)
+def markdown_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of every turn's text."""
+    return chunking.blocks(_turn_texts(spark, sf)).select("id", "ordinal", "kind", "text", "start_line", "end_line")
+
+
+@query(_BLOCKS)
+def blocks_by_sql(spark: SparkSession, sf: str) -> DataFrame:
+    """The same blocks from SQL, by lateral calls of a table function."""
+    table_functions.register(spark)
+    return spark.sql("SELECT t.id, b.ordinal, b.kind, b.text, b.start_line, b.end_line FROM {turns} t, LATERAL markdown_blocks(t.content) b", turns=_turn_texts(spark, sf))
 
 
 # The engine
@@ -207,6 +233,44 @@ def engine_phrases_after_changes(spark: SparkSession, sf: str) -> DataFrame:
     return engine.search_batch(_asked(spark, sf)).select("query_id", "id", "channel", "rank")
 
 
+class _Numbers:
+    """A model for texts that are whole numbers: the vector that they make."""
+
+    def __call__(self, texts: list[str]):
+        import re
+
+        import numpy as np
+
+        out = np.zeros((len(texts), 384))
+        for row, text in zip(out, texts, strict=True):
+            numbers = [int(x) for x in re.findall(r"-?\d+", text)]
+            row[: len(numbers)] = numbers
+        return out
+
+
+@query(
+    """
+    WITH v AS (SELECT vec_id, 'vec' || vec_id AS id, list_transform(embedding, lambda x: CAST(floor(1000 * CAST(x AS DOUBLE)) AS INTEGER)) AS w FROM embeddings),
+    u AS (SELECT vec_id, id, list_transform(w, lambda x: CAST(CAST(CAST(x AS DOUBLE) / sqrt(list_sum(list_transform(w, lambda y: CAST(y AS DOUBLE) * y))) AS FLOAT) AS DOUBLE)) AS w FROM v),
+    s AS (SELECT q.vec_id AS query_id, q.id = u.id AS own, u.id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_dot_product(q.w, u.w), 6) DESC, u.id) AS pos FROM u q, u WHERE q.vec_id % 100 = 0),
+    f AS (SELECT query_id, id, own, round(CASE WHEN own THEN 1.0 / 61 ELSE 0 END + 0.95 / (60 + pos), 9) AS score FROM s)
+    SELECT query_id, id, CASE WHEN own THEN 'Lexical' ELSE 'Vector' END AS channel, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM f QUALIFY rank <= 50
+    """
+)
+def engine_fused_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """The engine's batch search with phrases and vectors fused: of the complete fusion the first 50 of each query."""
+    engine = _engine(spark)
+    engine.provider, engine.top = _Numbers(), 50
+    numbers = F.array_join(F.transform("embedding", lambda x: F.floor(1000 * x.cast("double")).cast("string")), " ")
+    rows = table(spark, sf, "embeddings").select("vec_id", F.concat(F.lit("vec"), "vec_id").alias("id"), numbers.alias("content"))
+    none = F.array().cast("array<string>")
+    facts = {"id": "id", "kind": F.lit("MarkdownSection"), "root_id": F.lit("vectors"), "source_key": "id", "path": "id", "selector": F.struct(F.lit("file").alias("kind"), none.alias("parts")), "title": F.lit("numbers"), "content": "content", "metadata": F.map_from_arrays(none, none), "relations": none, "content_hash": F.sha2("content", 256)}
+    engine.put(rows.select([(F.col(x) if isinstance(x, str) else x).alias(c) for c, x in facts.items()]))
+    engine.embed()
+    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.concat(F.lit('"'), "content", F.lit('"')).alias("text"))
+    return engine.search_batch(asked).select("query_id", "id", "channel", "score", "rank")
+
+
 @query(
     """
     SELECT 'named-root-v1:maps:' || n_regionkey || '.cfmap.md:file' AS map_id, 'n' || n_nationkey AS id, n_name AS title, 'CodeSymbol' AS record_kind FROM nation

@@ -36,8 +36,10 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, label: str) -> str:
-    """An unused path under the shared folder."""
-    return f"{shared_root(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    """An unused path under the shared folder, which :func:`release` removes with what is in it."""
+    path = f"{shared_root(spark)}/millrace/{label}-{uuid.uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
+    return path
 
 
 def materialize(df: DataFrame, label: str, compression: str = "zstd", batch_rows: int = 500) -> DataFrame:
@@ -58,7 +60,6 @@ def materialize(df: DataFrame, label: str, compression: str = "zstd", batch_rows
     finally:
         for key, value in before.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
-    _written.setdefault(spark.sparkContext.applicationId, set()).add(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.millrace_path = path
     return out
@@ -77,7 +78,7 @@ def remove(df_or_path: DataFrame | str, spark: SparkSession | None = None) -> No
 
 
 def release(spark: SparkSession) -> int:
-    """Delete all intermediate tables of this application; how many. No result of before may be read after."""
+    """Delete all intermediate tables and other paths of this application; how many. No result of before may be read after."""
     left = sorted(_written.get(spark.sparkContext.applicationId, ()))
     for path in left:
         remove(path, spark)

@@ -139,29 +139,15 @@ def test_marker_survives_a_broken_one(spark, tree):
     assert [n for n in store.names() if n.startswith("write")] == ["write-00000002", "write-00000003"]
 
 
-def test_phrases_and_terms_in_batches(spark, sf_dir):
+def test_terms_in_batches(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("string").alias("id"), F.col("text").alias("content"))
     words = [r["w"] for r in docs.select(F.explode(F.slice(T.unicode_tokens(F.col("content")), 1, 3)).alias("w")).groupBy("w").count().orderBy(F.desc("count")).limit(40).collect()]
-    phrases = [(k, " ".join(words[k : k + 1 + k % 2])) for k in range(36)] + [(99, "..."), (98, "nowhere at all")]
-    got = lexical.bm25_phrases(docs, spark.createDataFrame(phrases, "query_id long, phrase string"))
-    got = {k: [(r["id"], r["tf"], r["score"]) for r in sorted(rows, key=lambda r: (-r["score"], r["id"]))] for k, rows in _by(got.collect()).items()}
-    for k in (0, 1, 7, 35):
-        want = [(r["id"], r["tf"], r["score"]) for r in lexical.bm25_phrase(docs, phrases[k][1]).collect()]
-        assert got.get(k, []) == want
-    assert 98 not in got and 99 not in got
     postings = docs.withColumn("identifiers", T.ascii_tokens(F.col("content")))
     queries = spark.createDataFrame([(0, words[0]), (1, "Nothing"), (2, words[3].upper())], "query_id long, text string")
     want = sorted(map(tuple, lexical.exact_lookup(postings, queries).collect()))
     assert sorted(map(tuple, lexical.term_lookup(lexical.inverted(postings), queries).collect())) == want and want
 
 
-def _by(rows):
-    out = {}
-    for r in rows:
-        out.setdefault(r["query_id"], []).append(r)
-    return out
-
-
 def test_mean_pooling_with_a_mask(spark):
     rows = [("a", 1, [1.0, 0.0]), ("a", 1, [0.0, 1.0]), ("a", 0, [9.0, 9.0]), ("b", 0, [1.0, 2.0]), ("b", None, [1.0, 2.0])]
     got = {r["k"]: r["vector"] for r in vectors.mean_pool(spark.createDataFrame(rows, "k string, mask int, vector array<double>"), "k").collect()}
