@@ -1,12 +1,14 @@
 """Language identification: one posterior from text, declared markup language, address and host.
 
-Text: naive Bayes over hashed byte trigrams. The languages are the MAX_LANGUAGES most often declared, by
-a count of all rows; each is fitted on a bounded sample of its own rows (about TRAIN_ROWS in all, but
-LEAST_ROWS or all rows of each language, chosen by hash, whole texts). A background class with uniform
-trigrams stands for what is no language known here.
+Text: naive Bayes over hashed byte trigrams. Declared tags are folded to their first part in lower case, so ``EN``
+and ``en-US`` are ``en``. The languages are all that are declared by a code of two or three letters, however many
+(no more than 18,252 such codes exist); each is fitted on a bounded sample of its own rows (about TRAIN_ROWS in all,
+but LEAST_ROWS or all rows of each language, chosen by hash, whole texts). The model keeps only trigrams that a
+language's sample has. A background class with uniform trigrams stands for what is no language known here.
 
 Declared language: right with probability TRUST, otherwise any other language alike. One outside the
-model is a class of its own for its row, with the background's text likelihood and prior.
+model (no code, or declared only beside empty texts) is a class of its own for its row, with the background's
+text likelihood and prior.
 
 Address: hosts get a prior P(language | host), smoothed towards P(language | suffix), which is
 smoothed towards P(language). The counts are grouped sums of the text's own decision over all
@@ -30,6 +32,7 @@ pass through :func:`keep` untouched. An empty table gives an empty table.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +45,9 @@ from millrace.plans.shared import materialize, spread
 TRAIN_ROWS = 6000
 #: But not fewer of any language, as far as it has them.
 LEAST_ROWS = 200
-MAX_LANGUAGES = 100
 BUCKETS = 1 << 16
+#: Added to the count of every trigram of every language.
+SMOOTH = 0.05
 TEMPER = 0.2
 TRUST = 0.9
 #: Documents that the next wider level of the prior counts for.
@@ -53,7 +57,7 @@ UND_PRIOR = 0.01
 #: The background must beat every language by so much for each trigram: rare words alone are not junk.
 UND_MARGIN = 1.5
 LEAST_CONFIDENCE = 0.5
-#: Rows of one host beyond which they stay where they are; hosts that are broadcast at most.
+#: Rows of one host beyond which they stay where they are; hosts that are broadcast at most, of up to eight languages each.
 HOT, BROADCAST_HOSTS = 10_000, 50_000
 
 
@@ -63,51 +67,92 @@ def trigrams(text: str) -> np.ndarray:
     return ((b[:-2] * np.uint32(0x9E3779B1) + b[1:-1] * np.uint32(0x85EBCA6B) + b[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(16)).astype(np.int64)
 
 
-def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
-    """Language names, and log probabilities of buckets: a column for each, the background last."""
-    docs = docs if "lang" in docs.columns else docs.withColumn("lang", F.lit(None).cast("string"))
-    declared = F.col("lang").cast("string")
-    labelled = docs.where((F.trim(declared) != "") & (F.col("text") != ""))
-    top = labelled.groupBy(declared.alias("_own_lang")).agg(F.count("*").alias("_own_n")).orderBy(F.desc("_own_n"), "_own_lang").limit(MAX_LANGUAGES).collect()
-    names = sorted(r["_own_lang"] for r in top)
-    each = max(LEAST_ROWS, rows // max(1, len(names)))
-    if names:
-        sizes = F.create_map(*[F.lit(x) for r in top for x in (r["_own_lang"], r["_own_n"])])
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id", "text", F.lit(3)), F.try_element_at(sizes, declared)) < each)
+class TextModel(NamedTuple):
+    """Log likelihoods: ``base`` of a trigram that a class has not seen, the background last, and what a seen one adds.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[str, np.ndarray] = {}
-        for batch in batches:
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
-                sums[lang] += np.bincount(trigrams(text), minlength=BUCKETS)
-        for lang, counts in sums.items():
-            at = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(counts[at])], names=["lang", "bucket", "n"])
-
-    counts = labelled.select(F.col("text").cast("string"), F.col("lang").cast("string")).mapInArrow(run, "lang string, bucket long, n long")
+    Bucket b's languages and weights are at ``start[b]`` to ``start[b + 1]``.
+    """
+
+    base: np.ndarray
+    start: np.ndarray
+    language: np.ndarray
+    weight: np.ndarray
+
+    def score(self, codes: np.ndarray, step: int = 1 << 13) -> np.ndarray:
+        out = len(codes) * self.base
+        for at in range(0, len(codes), step):
+            first = self.start[codes[at : at + step]]
+            many = self.start[codes[at : at + step] + 1] - first
+            places = np.arange(many.sum()) + np.repeat(first - (np.cumsum(many) - many), many)
+            out += np.bincount(self.language[places], self.weight[places], len(out))
+        return out
+
+
+def tag(declared: Column) -> Column:
+    """The first part of a language tag, in lower case; blank where nothing is declared."""
+    return F.coalesce(F.regexp_extract(F.lower(F.trim(declared)), "^[^-_]*", 0), F.lit(""))
+
+
+def constants(values: list, kind: str) -> Column:
+    """A constant array, which is folded when the query is planned, whatever its size."""
+    return (F.split(F.lit(" ".join(map(str, values))), " ") if values else F.array()).cast(f"array<{kind}>")
+
+
+def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, text) to (k, bucket, n): counts of each class's buckets, some 2 ** 20 at a time."""
+    keys: list[np.ndarray] = []
+    counts: list[np.ndarray] = []
+    held = 0
+
+    def merged() -> pa.RecordBatch:
+        found, at = np.unique(np.concatenate([*keys, np.zeros(0, np.int64)]), return_inverse=True)
+        n = np.bincount(at, np.concatenate([*counts, np.zeros(0, np.int64)]), len(found)).astype(np.int64)
+        keys.clear()
+        counts.clear()
+        return pa.RecordBatch.from_arrays([pa.array((found >> 16).astype(np.int32)), pa.array(found & 0xFFFF), pa.array(n)], names=["k", "bucket", "n"])
+
+    for batch in batches:
+        for k, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            buckets, n = np.unique(trigrams(text.as_py()), return_counts=True)
+            keys.append((k << 16) + buckets)
+            counts.append(n)
+            held += len(n)
+            if held > 1 << 20:
+                yield merged()
+                held = 0
+    yield merged()
+
+
+def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> tuple[list[str], TextModel]:
+    """Language names in the alphabet's order, and the text model of them and the background."""
+    declared = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
+    text = F.col("text").cast("string")
+    labelled = docs.select(F.xxhash64("doc_id", "text", F.lit(3)).alias("h"), text.alias("text"), tag(declared).alias("lang"))
+    labelled = labelled.where(F.col("lang").rlike("^[a-z]{2,3}$") & (F.col("text") != ""))
+    # A row for each code of two or three letters at most.
+    sizes = sorted((r["lang"], r["count"]) for r in labelled.groupBy("lang").count().collect())
+    names = [x for x, _ in sizes]
+    each = max(LEAST_ROWS, rows // max(1, len(names)))
+    codes = F.broadcast(docs.sparkSession.createDataFrame([(x, k, n) for k, (x, n) in enumerate(sizes)], "lang string, k int, size long"))
+    sample = labelled.join(codes, "lang").where(F.pmod("h", "size") < each).select("k", "text")
     # At most BUCKETS rows for each language of the sample.
-    found = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    table = np.full((BUCKETS, len(names) + 1), 0.05)
-    for k, name in enumerate(names):
-        own = found[found["lang"] == name]
-        table[own["bucket"], k] += own["n"].to_numpy(float)
-    logs = np.log(table / table.sum(axis=0))
-    logs[:, -1] -= UND_MARGIN
-    return names, logs.astype(np.float32)
+    found = sample.mapInArrow(count_trigrams, "k int, bucket long, n long").groupBy("bucket", "k").agg(F.sum("n").alias("n")).toPandas()
+    found = found.sort_values(["bucket", "k"])
+    k, n = found["k"].to_numpy(np.int32), found["n"].to_numpy(float)
+    base = np.log(SMOOTH / (np.bincount(k, n, len(names)) + SMOOTH * BUCKETS))
+    start = np.searchsorted(found["bucket"].to_numpy(np.int64), np.arange(BUCKETS + 1))
+    return names, TextModel(np.append(base, -np.log(BUCKETS) - UND_MARGIN), start, k, np.log1p(n / SMOOTH).astype(np.float32))
 
 
-def text_scores(docs: DataFrame, table: np.ndarray) -> DataFrame:
+def text_scores(docs: DataFrame, table: TextModel) -> DataFrame:
     """doc_id, text_hash, host, declared and the text's log likelihoods; whole texts, in one pass."""
-    wide = table.shape[1]
+    wide = len(table.base)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = np.zeros((batch.num_rows, wide))
             for i, text in enumerate(batch.column("text")):
-                codes = trigrams(text.as_py() or "")
-                for at in range(0, len(codes), 1 << 16):
-                    out[i] += table[codes[at : at + (1 << 16)]].sum(axis=0, dtype=np.float64)
+                out[i] = table.score(trigrams(text.as_py() or ""))
             likelihood = pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) * wide + 1, wide), pa.int32()), pa.array(out.ravel()))
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "text_hash", "host", "declared")], likelihood], names=["doc_id", "text_hash", "host", "declared", "likelihood"])
 
@@ -118,8 +163,13 @@ def text_scores(docs: DataFrame, table: np.ndarray) -> DataFrame:
     return spread(rows).mapInArrow(run, "doc_id long, text_hash long, host string, declared string, likelihood array<double>")
 
 
+def best(values: Column) -> Column:
+    """The place, from 0, of the largest value; the first of equal ones."""
+    return F.array_position(values, F.array_max(values)).cast("int") - 1
+
+
 def argmax(values: Column, names: list[str]) -> Column:
-    return F.get(F.array(*[F.lit(x) for x in [*names, UND]]), F.array_position(values, F.array_max(values)).cast("int") - 1)
+    return F.get(constants([*names, UND], "string"), best(values))
 
 
 def suffix(host: Column) -> Column:
@@ -131,53 +181,61 @@ def suffix(host: Column) -> Column:
 def with_priors(scores: DataFrame, names: list[str]) -> DataFrame:
     """Adds ``prior``: smoothed counts of the other documents' decisions, host within suffix within all."""
     n = len(names)
-    own = scores.withColumn("text_lang", argmax(F.col("likelihood"), names)).withColumn("suffix", F.coalesce(suffix(F.col("host")), F.lit("")))
-    sums = F.array(*[F.sum(F.when(F.col("text_lang") == x, 1.0).otherwise(0.0)) for x in names]).cast("array<double>")
-    add = lambda c: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)]).cast("array<double>")
-    own = own.withColumns({"host_key": F.coalesce("host", F.lit("")), "no_host": F.col("host").isNull()})
+    own = scores.withColumn("k", best(F.col("likelihood"))).withColumn("suffix", F.coalesce(suffix(F.col("host")), F.lit("")))
+    own = own.withColumns({"text_lang": F.get(constants([*names, UND], "string"), F.col("k")), "host_key": F.coalesce("host", F.lit("")), "no_host": F.col("host").isNull()})
     keys = ["suffix", "host_key", "no_host"]
-    hosts = materialize(own.groupBy(*keys).agg(sums.alias("host_n"), F.count("*").alias("rows")), "hosts")
-    suffixes = hosts.groupBy("suffix").agg(add("host_n").alias("suffix_n"))
-    total = hosts.agg(add("host_n").alias("n")).first()["n"] or [0.0] * n
-    whole = F.array(*[F.lit(float(x or 0)) for x in total]).cast("array<double>")
-    facts = hosts.join(suffixes, "suffix")
-    if hosts.count() <= BROADCAST_HOSTS:
+
+    def by_language(counts: DataFrame, *by: str) -> DataFrame:
+        """(by, n, rows): for each group an array of its counts by language, and the count with the background's."""
+        sums = counts.groupBy(*by, "k").agg(F.sum("n").alias("n")).groupBy(*by)
+        out = sums.agg(F.map_from_entries(F.collect_list(F.struct("k", "n"))).alias("m"), F.sum("n").alias("rows"))
+        every = F.sequence(F.lit(0), F.lit(n - 1)) if n else F.array().cast("array<int>")
+        return out.select(*by, F.transform(every, lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0)).cast("double")).alias("n"), "rows")
+
+    counts = materialize(own.groupBy(*keys, "k").agg(F.count("*").alias("n")), "host-counts")
+    total = {r["k"]: r["n"] for r in counts.groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    whole = constants([float(total.get(k, 0)) for k in range(n)], "double")
+    hosts = by_language(counts, *keys).withColumnRenamed("n", "host_n")
+    facts = materialize(hosts.join(by_language(counts, "suffix").select("suffix", F.col("n").alias("suffix_n")), "suffix"), "hosts")
+    few = lambda df: df.count() * max(8, n) <= 8 * BROADCAST_HOSTS
+    if few(facts):
         joined = own.join(F.broadcast(facts), keys)
     else:
         # Fewer than rows / HOT hosts are large; those of all others are dealt by host.
         large = facts.where(F.col("rows") > HOT)
-        large = F.broadcast(large) if large.count() <= BROADCAST_HOSTS else large
+        large = F.broadcast(large) if few(large) else large
         small = own.join(large.select(*keys), keys, "left_anti").join(facts.where(F.col("rows") <= HOT), keys)
         joined = own.join(large, keys).unionByName(small)
     joined = joined.drop("host_key", "no_host", "rows")
     # A document's own decision leaves all three levels.
-    mine = F.array(*[F.when(F.col("text_lang") == x, 1.0).otherwise(0.0) for x in names]).cast("array<double>")
+    mine = lambda i: F.when(F.col("k") == i, 1.0).otherwise(0.0)
 
     def level(counts: Column, wider: Column) -> Column:
-        rest = F.zip_with(counts, mine, lambda c, m: F.greatest(F.lit(0.0), c - m))
+        rest = F.transform(counts, lambda c, i: F.greatest(F.lit(0.0), c - mine(i)))
         size = F.aggregate(rest, F.lit(0.0), lambda a, x: a + x)
         return F.zip_with(rest, wider, lambda c, w: (c + STRENGTH * w) / (size + STRENGTH))
 
-    even = F.array(*[F.lit(1.0 / max(1, n))] * n).cast("array<double>")
+    even = F.array_repeat(F.lit(1.0 / max(1, n)), n)
     joined = joined.withColumn("p0", level(whole, even)).withColumn("p1", level(F.col("suffix_n"), F.col("p0")))
-    return joined.withColumn("prior", level(F.col("host_n"), F.col("p1"))).drop("p0", "p1", "host_n", "suffix_n")
+    return joined.withColumn("prior", level(F.col("host_n"), F.col("p1"))).drop("p0", "p1", "host_n", "suffix_n", "k")
 
 
 def fuse(scores: DataFrame, names: list[str]) -> DataFrame:
     """Posterior of every class, the language, its confidence, and the verdict."""
     n = len(names)
-    said = F.coalesce(F.trim("declared") != "", F.lit(False))
-    known = said & F.col("declared").isin(names) if names else F.lit(False)
+    declared = tag(F.col("declared"))
+    said = declared != ""
+    known = F.array_contains(constants(names, "string"), declared)
     others = F.when(known, float(np.log((1 - TRUST) / max(1, n - 1)))).otherwise(float(np.log((1 - TRUST) / max(1, n))))
-    by_name = [F.when(~said, 0.0).when(F.col("declared") == x, float(np.log(TRUST))).otherwise(others) for x in names]
-    markup = F.array(*by_name, F.when(said, float(np.log(1 / (n + 1)))).otherwise(0.0)).cast("array<double>")
+    by_name = F.transform(constants(names, "string"), lambda x: F.when(~said, 0.0).when(declared == x, float(np.log(TRUST))).otherwise(others))
+    markup = F.concat(by_name, F.array(F.when(said, float(np.log(1 / (n + 1)))).otherwise(0.0)))
     prior = F.concat(F.transform("prior", lambda p: F.log(F.greatest(p, F.lit(1e-9)) * (1 - UND_PRIOR))), F.array(F.lit(float(np.log(UND_PRIOR)))))
     total = F.transform(F.arrays_zip(F.col("likelihood").alias("t"), markup.alias("m"), prior.alias("p")), lambda x: TEMPER * x["t"] + x["m"] + x["p"])
     # Last, a declared language that the model does not have: text and prior as the background's.
     outside = F.when(said & ~known, TEMPER * F.get("likelihood", F.lit(n)) + float(np.log(TRUST) + np.log(UND_PRIOR))).otherwise(-1e300)
     out = with_priors(scores, names).withColumn("total", F.concat(total, F.array(outside)))
     norm = F.aggregate(F.transform("total", lambda x: F.exp(x - F.array_max("total"))), F.lit(0.0), lambda a, x: a + x)
-    out = out.withColumn("language", F.coalesce(argmax(F.col("total"), names), F.col("declared"))).withColumn("confidence", 1 / norm)
+    out = out.withColumn("language", F.coalesce(argmax(F.col("total"), names), declared)).withColumn("confidence", 1 / norm)
     # Texts without any word carry only padding trigrams.
     return out.withColumn("kept", (F.col("language") != UND) & (F.col("confidence") >= LEAST_CONFIDENCE) & (F.col("text_hash") != F.xxhash64(F.lit(""))) & (F.col("text_hash") != F.xxhash64(F.lit(None).cast("string"))))
 

@@ -41,7 +41,7 @@ def test_junk_and_edges(spark, docs, edge_docs, no_docs):
     assert L.identify(no_docs).count() == 0 and L.keep(no_docs).count() == 0
 
 
-def test_rare_languages_are_known(spark, docs, monkeypatch):
+def test_rare_languages_are_known(spark, docs):
     """Languages come from all declared rows, and one outside the model is evidence still."""
     russian = "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по своему. " * 4
     rare = spark.createDataFrame([(10_000 + i, russian + str(i), "ru", "ru.example") for i in range(5)], "doc_id long, text string, lang string, source string")
@@ -52,9 +52,9 @@ def test_rare_languages_are_known(spark, docs, monkeypatch):
     assert names == ["de", "en", "es", "fr", "ru"]
     judged = lambda: {r["doc_id"]: (r["language"], r["kept"]) for r in L.identify(both, rows=10).where("doc_id >= 10000").collect()}
     assert judged() == dict.fromkeys(range(10_000, 10_005), ("ru", True))
-    monkeypatch.setattr(L, "MAX_LANGUAGES", 4)
+    both = both.withColumn("lang", F.when(F.col("lang") == "ru", "Russian").otherwise(F.col("lang")))
     assert L.train(both, rows=10)[0] == ["de", "en", "es", "fr"]
-    assert judged() == dict.fromkeys(range(10_000, 10_005), ("ru", True))
+    assert judged() == dict.fromkeys(range(10_000, 10_005), ("russian", True))
 
 
 def brute(rows, names):
@@ -126,3 +126,46 @@ def test_pages_and_absent_columns(spark, docs):
     bare = docs.select("doc_id", "text")
     assert L.identify(bare).count() == docs.count() and {r["language"] for r in L.identify(bare).collect()} <= {L.UND}
     assert L.identify(bare.limit(0)).count() == 0
+
+
+def test_any_number_of_languages(spark):
+    """150 languages: a text is known without a declaration, and the fusion is that of plain Python."""
+    rng = np.random.default_rng(5)
+    codes = [a + b for a in "abcdefghijklmno" for b in "klmnopqrst"]
+    rows, true = [], {}
+    for k, code in enumerate(codes):
+        words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(60)]
+        for i in range(6):
+            true[k * 6 + i] = code
+            rows.append((k * 6 + i, " ".join(rng.choice(words, 50)), code if i < 3 else None, f"h{k % 40}.{code}" if i % 2 else None))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    names, model = L.train(df)
+    assert names == sorted(codes) and len(model.base) == 151
+    scores = L.materialize(L.text_scores(df, model), "t")
+    want = brute(scores.collect(), names)
+    got = L.fuse(scores, names).collect()
+    assert len(got) == 900
+    for r in got:
+        prior, post = want[r["doc_id"]]
+        assert np.allclose(r["prior"], prior, atol=1e-12) and abs(r["confidence"] - post.max()) < 1e-9
+        assert (r["language"], r["kept"]) == (true[r["doc_id"]], True)
+
+
+def test_text_model_against_a_plain_table(docs):
+    """The sparse model's scores are those of a table with a row for each bucket."""
+    names, model = L.train(docs)
+    counts = np.zeros((L.BUCKETS, len(names)))
+    for r in docs.where("text <> ''").collect():
+        np.add.at(counts[:, names.index(r["lang"])], L.trigrams(r["text"]), 1)
+    table = np.log((counts + L.SMOOTH) / (counts + L.SMOOTH).sum(axis=0))
+    for text in ("", "a", "der Hund und the dog " * 2000, "\u0101\u4e00\x00"):
+        codes = L.trigrams(text)
+        assert np.allclose(model.score(codes)[:-1], table[codes].sum(axis=0), rtol=1e-6)
+
+
+def test_tags_are_folded(spark, docs):
+    tags = F.element_at(F.array(F.upper("lang"), F.concat("lang", F.lit("-US")), F.concat(F.lit(" "), "lang", F.lit("_x")), F.col("lang")), (F.col("doc_id") % 4 + 1).cast("int"))
+    folded = docs.withColumn("lang", tags)
+    assert L.train(folded)[0] == ["de", "en", "es", "fr"]
+    plain = {r["doc_id"]: (r["language"], round(r["confidence"], 9), r["kept"]) for r in L.identify(docs).collect()}
+    assert {r["doc_id"]: (r["language"], round(r["confidence"], 9), r["kept"]) for r in L.identify(folded).collect()} == plain
