@@ -12,7 +12,8 @@ under LEAST_SHARE of its words.
 
 Defined results: null or empty text has no words, so it fails the base rules. A null source is a host
 of its own. Rows with one text on one host count as one document; rows with one doc_id share the set of
-removed lines. A null doc_id loses no lines. Extra columns pass through :func:`keep` untouched, also those named like
+removed lines. A null doc_id loses no lines. Very long texts and lines are whole. There are no ties: a line over the limit goes
+wherever it is. Extra columns pass through :func:`keep` untouched, also those named like
 the statistics. An empty table gives an empty table.
 """
 
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.plans.shared import materialize
+from millrace.plans.shared import materialize, with_facts
 
 SPACE = "[\\x20\\x09-\\x0D]+"
 #: A line is removed where more different documents of its host have it, whatever the size of the host.
@@ -95,25 +96,26 @@ def statistics(docs: DataFrame) -> DataFrame:
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
-def common_lines(facts: DataFrame, limit: int = LIMIT, share: float = 0.0) -> DataFrame:
-    """(source, h): the lines that over ``limit`` different documents of a host have.
+def host_lines(facts: DataFrame, *more: str) -> DataFrame:
+    """(host, no_host, h, more): the different lines of each row."""
+    host = [F.coalesce("source", F.lit("")).alias("host"), F.col("source").isNull().alias("no_host")]
+    return facts.select(*more, *host, F.xxhash64("lines.h").alias("digest"), F.explode(F.array_distinct("lines.h")).alias("h"))
 
-    With ``share`` they must also be over that share of the host's rows; no query asks for that.
+
+def common_lines(facts: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(host, no_host, h, n): the lines that over ``limit`` different documents of a host have, and their rows."""
+    seen = host_lines(facts).groupBy("host", "no_host", "h", "digest").agg(F.count("*").alias("n"))
+    lines = seen.groupBy("host", "no_host", "h").agg(F.count("*").alias("documents"), F.sum("n").alias("n"))
+    return lines.where(F.col("documents") > limit).drop("documents")
+
+
+def removed_lines(facts: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """doc_id and the hashes of its removed lines, for documents that lose any; written once.
+
+    A line that a third of all rows have is not dealt by key.
     """
-    seen = facts.select("source", F.xxhash64("lines.h").alias("digest"), F.explode(F.array_distinct("lines.h")).alias("h")).distinct()
-    lines = seen.groupBy("source", "h").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    if not share:
-        return lines.select("source", "h")
-    hosts = facts.groupBy("source").agg(F.count("*").alias("docs"))
-    on = lines["source"].eqNullSafe(hosts["source"])
-    return lines.join(hosts, on).where(F.col("n") > share * F.col("docs")).select(lines["source"], "h")
-
-
-def removed_lines(facts: DataFrame, limit: int = LIMIT, share: float = 0.0) -> DataFrame:
-    """doc_id and the hashes of its removed lines, for documents that lose any; written once."""
-    common = common_lines(facts, limit, share)
-    lines = facts.where("doc_id IS NOT NULL").select("doc_id", "source", F.explode(F.array_distinct(F.col("lines.h"))).alias("h"))
-    hit = lines.join(common, lines["source"].eqNullSafe(common["source"]) & (lines["h"] == common["h"]), "left_semi")
+    common = materialize(common_lines(facts, limit), "common-lines")
+    hit = with_facts(host_lines(facts.where("doc_id IS NOT NULL"), "doc_id"), common, "host", "no_host", "h")
     return materialize(hit.groupBy("doc_id").agg(F.collect_set("h").alias("gone")), "removed-lines")
 
 

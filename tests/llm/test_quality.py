@@ -1,5 +1,8 @@
+import functools
 import re
-from collections import Counter
+from collections import Counter, defaultdict
+
+import pytest
 
 from millrace.llm import quality as Q
 
@@ -50,7 +53,7 @@ def test_common_lines_go_and_copies_stay(spark):
     rows += [(300, text(300, 2) + "\n" + legal, "other"), (301, legal + "\n" + text(301, 2), None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "length(text) AS n_chars")
     facts = Q.materialize(Q.statistics(df), "t")
-    gone = Q.removed_lines(facts, limit=20, share=0.1)
+    gone = Q.removed_lines(facts, limit=20)
     assert {r["doc_id"] for r in gone.collect()} == {*range(40), 100}
     judged = {r["doc_id"]: r for r in Q.judge(facts, gone).collect()}
     assert not judged[100]["base_failed"] and not judged[100]["kept"]
@@ -75,7 +78,7 @@ def test_shared_blocks_go_and_copies_do_not_count(spark):
     # Two texts that share a line, of which there are many copies: two documents.
     rows += [(1000 + i, own(5000 + i % 2) + "\na line of two much copied documents", "h") for i in range(300)]
     facts = Q.materialize(Q.statistics(spark.createDataFrame(rows, "doc_id long, text string, source string")), "t")
-    gone = {r["doc_id"]: len(r["gone"]) for r in Q.removed_lines(facts, limit=100, share=0.1).collect()}
+    gone = {r["doc_id"]: len(r["gone"]) for r in Q.removed_lines(facts, limit=100).collect()}
     assert gone == dict.fromkeys(range(300), 6)
 
 
@@ -85,3 +88,45 @@ def test_one_limit_at_every_host_size(spark):
     rows += [(1000 + i, own(i + 1000) + ("\nin few pages of a large host" if i < 30 else ""), "large") for i in range(3000)]
     facts = Q.materialize(Q.statistics(spark.createDataFrame(rows, "doc_id long, text string, source string")), "t")
     assert {r["doc_id"] for r in Q.removed_lines(facts).collect()} == {*range(66), *range(1000, 1030)}
+
+
+def plain_rule(rows):
+    """{doc_id: (removed words, kept)} by sets and counts in plain Python."""
+    squeeze = lambda x: re.sub(r"[\x20\x09-\x0D]+", " ", x).strip(" ").lower()
+    lines = {r["doc_id"]: [x for x in map(squeeze, (r["text"] or "").split("\n")) if x] for r in rows}
+    have = defaultdict(set)
+    for r in rows:
+        for x in lines[r["doc_id"]]:
+            have[r["source"], x].add(tuple(lines[r["doc_id"]]))
+    out = {}
+    for r in rows:
+        n, _, _, _, _, failed = brute(r["text"])
+        lost = sum(len(x.split(" ")) for x in lines[r["doc_id"]] if len(have[r["source"], x]) > Q.LIMIT)
+        out[r["doc_id"]] = (lost, not failed and not (lost and (n - lost < 10 or n - lost < 0.3 * n)))
+    return out
+
+
+@pytest.mark.parametrize("hot", [20])
+def test_line_rule_against_a_plain_count(spark, sf_dir, monkeypatch, hot):
+    """Over 10,000 documents, of which over a thousand lose lines, with lines dealt by key and broadcast ones."""
+    monkeypatch.setattr(Q, "with_facts", functools.partial(Q.with_facts, hot=hot))
+    docs = spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet")
+    want = plain_rule(docs.collect())
+    got = {r["doc_id"]: (r["removed_words"], r["kept"]) for r in Q.measured(docs).collect()}
+    assert got == want
+    assert sum(lost > 0 for lost, _ in want.values()) > 1000
+    kept = {r["doc_id"]: len(WORD.findall(r["text"])) for r in Q.keep(docs).collect()}
+    words = {r["doc_id"]: len(WORD.findall(r["text"] or "")) for r in docs.collect()}
+    assert kept == {i: words[i] - lost for i, (lost, stays) in want.items() if stays}
+
+
+def test_very_long_text_and_line(spark):
+    long = " ".join(f"w{i}" for i in range(20_000))
+    own = lambda i: " ".join(f"t{i}w{n}" for n in range(12))
+    rows = [(i, own(i) + "\n" + long, "h") for i in range(Q.LIMIT + 1)] + [(99, long.replace(" ", "\n"), "h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    assert {r["doc_id"]: (r["removed_words"], r["kept"]) for r in Q.measured(df).collect()} == plain_rule(rows_of(df))
+
+
+def rows_of(df):
+    return [r.asDict() for r in df.collect()]
