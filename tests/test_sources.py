@@ -72,6 +72,25 @@ def test_python_symbols_and_identity():
         symbols.parse("t.py", b"def (")
 
 
+def test_large_python_is_parsed_in_pieces(monkeypatch):
+    code = "import a\n@wrap\ndef f():\n    pass\nx = \"\"\"é\ndef no(): pass\n\"\"\"\ny = [\n1]\ntry:\n    pass\nfinally:\n    class In: ...\n@wrap\nclass C:\n    def g(self): ...\nasync def h(): ...\nz = 1 + \\\n2\n"
+    text = "".join(code.replace("def f", f"def f{i}") for i in range(6000))
+    import ast
+
+    starts = [0]
+    for line in text.splitlines(keepends=True):
+        starts.append(starts[-1] + len(line.encode()))
+    want = sorted(("class" if isinstance(x, ast.ClassDef) else "function", x.name, starts[x.lineno - 1] + x.col_offset) for x in ast.walk(ast.parse(text)) if isinstance(x, ast.FunctionDef | ast.AsyncFunctionDef | ast.ClassDef))
+    with pytest.raises(EngineError, match="too large"):
+        symbols.parse("t.py", text.encode())
+    for size in (1, 100, symbols.PIECE):
+        monkeypatch.setattr(symbols, "PIECE", size)
+        assert sorted(symbols.python_symbols(text, None)) == want
+    with pytest.raises(EngineError, match=f"line {text.count(chr(10)) + 2}"):
+        list(symbols.python_symbols(text + "x = 1\ndef (\n", None))
+    assert len(list(symbols.read("t.py", text.encode())[1])) == len(want)
+
+
 def test_walk_ignores(tmp_path):
     for name in ("a.md", ".hidden.md", "skip.md", "keep/b.md", "keep/x.cfmap.md", "target/c.md", "logs/d.md", "keep/in/e.md"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
