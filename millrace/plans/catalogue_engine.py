@@ -68,7 +68,7 @@ def registry_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of a registry file for each nation's customers."""
     line = F.concat(F.concat_ws("\t", "c_name", "c_mktsegment", F.col("c_custkey").cast("string")), F.lit("\n"))
     files = table(spark, sf, "customer").groupBy("c_nationkey").agg(_file(line, "c_custkey", F.lit("name\tsegment\tkey\n")))
-    found = _records(files.select(F.concat("c_nationkey", F.lit(".tsv")).alias("path"), "content"), partial(tsv.parse, root="reg"))
+    found = _records(files.select(F.concat("c_nationkey", F.lit(".tsv")).alias("path"), "content"), partial(tsv.read, root="reg"))
     return found.select("path", F.col("selector.parts")[0].alias("number"), "title", F.col("metadata")["segment"].alias("segment"), "content")
 
 

@@ -43,6 +43,20 @@ def test_tsv():
             tsv.parse("r.tsv", bad)
 
 
+def test_scans_hold_few_records_of_a_large_registry_at_once(spark):
+    from millrace.sources import scan
+
+    files = spark.createDataFrame([("a.tsv", b"name\tn\n" + b"".join(b"x\t%d\n" % i for i in range(2500))), ("b.tsv", b"name\tn\n"), ("c.tsv", b"name\tn\ny\t1\n")], "path string, content binary").coalesce(1)
+    found = scan.parse_files(files, tsv.read).collect()
+    assert max(len(r["records"]) for r in found) <= scan.PIECE
+    sources, records = scan.checked(scan.parse_files(files, tsv.read))
+    assert sorted(r["path"] for r in sources.collect()) == ["a.tsv", "b.tsv", "c.tsv"]
+    assert sorted(int(r["metadata"]["n"]) for r in records.where("path = 'a.tsv'").collect()) == list(range(2500)) and records.count() == 2501
+    assert next(tsv.read("a.tsv", b"name\tn\nx\t1\nbad\n")[1])["title"] == "x"  # made one by one
+    with pytest.raises(EngineError, match="row 3"):
+        scan.checked(scan.parse_files(spark.createDataFrame([("a.tsv", b"name\tn\nx\t1\nbad\n")], "path string, content binary"), tsv.read))
+
+
 def test_maps(tmp_path):
     text = b"---\ncfmap: v1\nmode: AUTO\nsource: src/a.rs#x\ngeneration: 3\n---\n# Map\n@related id-1\n"
     _, (record,) = maps.parse("m.cfmap.md", text, None, tmp_path)
