@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PLACES = 6
 #: Queries that one scan carries; larger sets are searched in blocks of this many.
 QUERY_BLOCK = 1024
+#: Pairs that a task scores, and those that it holds.
+TASK_PAIRS, BATCH_PAIRS = 50_000_000, 100_000
+#: As many digits as a double can have.
+WIDE = Context(prec=700)
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -34,20 +40,80 @@ def valid(v: Column, dimension: int) -> Column:
 
 
 def scores(vectors: DataFrame, queries: DataFrame, places: int = PLACES) -> DataFrame:
-    """(query_id, id, score) of every vector for every stated query.
+    """(query_id, id, score) of every vector for every stated query; none of either has a null score.
 
-    Queries go in blocks of QUERY_BLOCK, each an array literal of bounded size in one scan, so there
-    is no pair join. ``vectors``: id, vector; ``queries``: query_id, vector.
+    Queries go in blocks of QUERY_BLOCK to the tasks, as matrices; a task multiplies a few rows at a time with them, so
+    there is no pair join, and what it holds is bounded. ``vectors``: id, vector; ``queries``: query_id, vector.
     """
+    rows = vectors.select("id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
+    kind = dict(queries.dtypes)["query_id"]
     numbered = queries.select("query_id", F.transform("vector", lambda x: x.cast("double")).alias("vector"))
-    blocks = max(1, -(-numbered.count() // QUERY_BLOCK))
+    asked_in_all = numbered.count()
+    blocks = max(1, -(-asked_in_all // QUERY_BLOCK))
+    # A task's share of pairs stays the same however many there are.
+    tasks = max(vectors.sparkSession.sparkContext.defaultParallelism, -(-vectors.count() * min(asked_in_all, QUERY_BLOCK) // TASK_PAIRS))
+    rows = rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
+    schema = f"query_id {kind}, id {dict(vectors.dtypes)['id']}, score double"
     out = None
-    for k in range(blocks):
-        block = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).agg(F.collect_list(F.struct("query_id", "vector")).alias("qs"))
-        part = vectors.join(F.broadcast(block)).select("id", "vector", F.explode("qs").alias("q"))  # one row on the broadcast side
-        part = part.select(F.col("q.query_id").alias("query_id"), "id", F.round(dot(F.col("q.vector"), F.col("vector")), places).alias("score"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    for block in range(blocks):
+        asked = numbered.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        if asked:
+            part = rows.mapInArrow(_all_pairs([tuple(r) for r in asked], places), schema)
+            out = part if out is None else out.unionByName(part)
+    return vectors.sparkSession.createDataFrame([], schema) if out is None else out
+
+
+def _half_up(v: np.ndarray, q: np.ndarray, places: int) -> np.ndarray:
+    """Products of rows of ``v`` and of ``q``, rounded as Spark's ``round`` does it with sums in component order.
+
+    A matrix product adds in another order, so where its last bits might decide, the sum is made again in order.
+    """
+    with np.errstate(all="ignore"):
+        products = v @ q.T
+        scale = 10.0**places
+        scaled = np.abs(products) * scale
+        out = np.rint(products * scale) / scale
+        least = scale * 1e-12 * (np.abs(v) @ np.abs(q.T)) + scaled * 1e-12
+        i, j = np.nonzero((np.abs(scaled - np.floor(scaled) - 0.5) <= least) | ~(scaled <= 2.0**50))
+        exact = np.zeros(len(i))
+        for d in range(v.shape[1]):
+            exact = exact + v[i, d] * q[j, d]
+    if len(i):
+        unit = Decimal(1).scaleb(-places)
+        out[i, j] = [float(Decimal(repr(x)).quantize(unit, ROUND_HALF_UP, WIDE)) if np.isfinite(x) else x for x in exact.tolist()]
+    return out + 0.0  # no negative zero
+
+
+def _all_pairs(asked: list[tuple], places: int):
+    """A query or vector that is null or has a null, and two of different lengths, have no score."""
+    query_ids = [q for q, _ in asked]
+    lengths = np.asarray([-1 if v is None or None in v else len(v) for _, v in asked])
+    matrices = {n: np.asarray([asked[j][1] for j in np.flatnonzero(lengths == n)], dtype=np.float64).reshape(int(np.sum(lengths == n)), n) for n in set(lengths.tolist()) - {-1}}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, BATCH_PAIRS // len(query_ids))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                own = batch.column("vector")
+                some = own.flatten()
+                sizes = pc.fill_null(pc.list_value_length(own), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                if some.null_count:
+                    bad = np.asarray([x is not None and None in x for x in own.to_pylist()])
+                else:
+                    bad = np.zeros(len(sizes), bool)
+                found, none = np.zeros((len(sizes), len(query_ids))), np.ones((len(sizes), len(query_ids)), bool)
+                for n, matrix in matrices.items():
+                    r, c = np.flatnonzero((sizes == n) & ~bad), np.flatnonzero(lengths == n)
+                    if len(r):
+                        v = own.take(pa.array(r)).flatten().to_numpy(zero_copy_only=False).reshape(len(r), n)
+                        found[np.ix_(r, c)], none[np.ix_(r, c)] = _half_up(v, matrix, places), False
+                k = len(query_ids)
+                ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(sizes)), k)))
+                names = pa.array(query_ids).take(pa.array(np.tile(np.arange(k), len(sizes))))
+                yield pa.RecordBatch.from_arrays([names, ids, pa.array(found.ravel(), mask=none.ravel())], names=["query_id", "id", "score"])
+
+    return run
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, by: str | None = None, places: int = PLACES) -> DataFrame:

@@ -84,3 +84,20 @@ def test_fingerprint_and_models(spark):
     assert corpus_fingerprint(df) == fingerprint(sorted(pairs)) != fingerprint(pairs)
     assert models.parse_model(" E5 Small ") == "multilingual-e5-small" and models.parse_model("M3") == "bge-m3" and models.parse_model("x") is None
     assert models.catalogue(spark).count() == 9 and models.dimension("bge-m3") == 1024
+
+
+def test_scores_of_all_pairs_are_those_of_expressions(spark):
+    inf, nan = float("inf"), float("nan")
+    import random
+
+    rng = random.Random(3)
+    rows = [(i, [rng.choice([-1.0, 0.5, 0.0005, 1.5, -0.001, 3e7, 1e300]) * rng.randint(0, 9) for _ in range(4)]) for i in range(60)]
+    rows += [(100, None), (101, []), (102, [1.0, None, 2.0, 3.0]), (103, [1.0]), (104, [inf, 1.0, 0.0, 0.0]), (105, [nan, 1.0, 1.0, 1.0]), (106, [0.0015, 0.0, 0.0, 0.0]), (107, [0.001, 0.0, 0.0, 0.0])]
+    rows += [(200 + i, [rng.random() - 0.5 for _ in range(4)]) for i in range(40)]
+    v = spark.createDataFrame(rows, "id long, vector array<double>")
+    q = v.withColumnRenamed("id", "query_id")
+    want = q.crossJoin(v.withColumnRenamed("vector", "w")).select("query_id", "id", F.round(vectors.dot(F.col("vector"), F.col("w")), 6).alias("score"))
+    plain = lambda rows: sorted((r["query_id"], r["id"], repr(r["score"] if r["score"] is None else r["score"] + 0.0)) for r in rows.collect())
+    assert plain(vectors.scores(v, q)) == plain(want)
+    assert "zip_with" not in vectors.scores(v, q)._jdf.queryExecution().toString()  # no expression for each pair
+    assert vectors.scores(v, q.limit(0)).count() == 0
